@@ -30,6 +30,7 @@ from triagelens.operators.sessions import (
     identity_columns,
     number_sessions,
     session_id,
+    slice_of,
     with_identity,
 )
 from triagelens.session import leaf_bytes
@@ -72,7 +73,7 @@ def _prepare(events: DataFrame, slice_seconds: float) -> DataFrame:
         "seq",
         "status",
         level.alias("level"),
-        F.expr(f"unix_micros(ts) div {int(slice_seconds * SECOND)}L").alias("slice"),
+        slice_of(F.unix_micros("ts"), slice_seconds).alias("slice"),
         value("path").alias("path"),
         value("message").alias("message"),
         value("source").alias("source"),

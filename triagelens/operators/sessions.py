@@ -31,12 +31,10 @@ def with_identity(events: DataFrame) -> DataFrame:
     )
 
 
-def slice_of(ts: Column, seconds: float) -> Column:
-    return F.expr(f"unix_micros({_name(ts)}) div {int(seconds * SECOND)}L")
-
-
-def _name(ts: Column | str) -> str:
-    return ts if isinstance(ts, str) else "ts"
+def slice_of(us: Column, seconds: float) -> Column:
+    """Number of the slice of time holding ``us`` microseconds (floor, also before 1970)."""
+    width = int(seconds * SECOND)
+    return ((us - F.pmod(us, F.lit(width))) / width).cast("bigint")
 
 
 def number_sessions(slices: DataFrame, gap_minutes: float, order: list[str]) -> DataFrame:
@@ -74,7 +72,7 @@ def identity_columns() -> list[Column]:
 def sessionize(events: DataFrame, gap_minutes: float = 30) -> DataFrame:
     """Events with their ``session_no`` (0-based per identity), ``session_start``
     and ``session_id``.  A gap of exactly ``gap_minutes`` does not split."""
-    sliced = with_identity(events).withColumn("slice", slice_of("ts", gap_minutes * 60))
+    sliced = with_identity(events).withColumn("slice", slice_of(F.unix_micros("ts"), gap_minutes * 60))
     slices = sliced.groupBy(*KEYS, "slice").agg(
         F.min(F.unix_micros("ts")).alias("first_us"), F.max(F.unix_micros("ts")).alias("last_us")
     )
@@ -93,7 +91,7 @@ def session_table(events: DataFrame, gap_minutes: float = 30) -> DataFrame:
     """One row per session with its bounds and event count."""
     slices = (
         with_identity(events)
-        .withColumn("slice", slice_of("ts", gap_minutes * 60))
+        .withColumn("slice", slice_of(F.unix_micros("ts"), gap_minutes * 60))
         .groupBy(*KEYS, "slice")
         .agg(
             F.min(F.unix_micros("ts")).alias("first_us"),
