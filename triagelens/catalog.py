@@ -12,7 +12,7 @@ from triagelens.oracle import views as v
 from triagelens.operators import features as feat
 from triagelens.operators import sessions as sess
 from triagelens.plans import bridge
-from triagelens.session import pin_session
+from triagelens.session import pin_session, stage
 
 
 @dataclass(frozen=True)
@@ -107,6 +107,11 @@ def scored(spark, sf, **options):
     return bridge.fixed_score(features_at(spark, sf, **{"parts": RATES, **options}))
 
 
+def staged(spark, sf, **options):
+    """Scored sessions written once: the jobs on top read them more than once."""
+    return stage(scored(spark, sf, **options), "sessions")
+
+
 def clustered(spark, sf):
     return inc.cluster_sessions(scored(spark, sf))
 
@@ -137,26 +142,346 @@ def _(spark, sf):
 
 @register("anomaly_threshold", ssh_sql.threshold())
 def _(spark, sf):
-    df = rank.add_threshold(scored(spark, sf), threshold_percentile=95.0)
+    df = rank.add_threshold(staged(spark, sf), threshold_percentile=95.0)
     return nine(df, ["session_id", "anomaly_score", "anomaly_percentile", "is_anomalous"])
 
 
 @register("alerts_only", ssh_sql.threshold("WHERE is_anomalous"))
 def _(spark, sf):
-    df = rank.add_threshold(scored(spark, sf), threshold_percentile=95.0).where("is_anomalous")
+    df = rank.add_threshold(staged(spark, sf), threshold_percentile=95.0).where("is_anomalous")
     return nine(df, ["session_id", "anomaly_score", "anomaly_percentile", "is_anomalous"])
 
 
 @register("minmax_normalized_scores", ssh_sql.minmax())
 def _(spark, sf):
-    df = rank.min_max(rank.min_max(scored(spark, sf), "anomaly_score", "score_norm"), "auth_burst_max_per_minute", "burst_norm")
+    df = rank.min_max(staged(spark, sf), {"anomaly_score": "score_norm", "auth_burst_max_per_minute": "burst_norm"})
     return nine(df, ["session_id", "score_norm", "burst_norm"])
 
 
 @register("top_anomalous_sessions", ssh_sql.top_sessions())
 def _(spark, sf):
-    df = rank.add_threshold(scored(spark, sf), threshold_percentile=95.0)
+    df = rank.add_threshold(staged(spark, sf), threshold_percentile=95.0)
     return nine(
         rank.top_sessions(df, 20, alerts_only=True),
         ["session_id", "ip", "user", "event_count", "error_ratio", "anomaly_score", "anomaly_percentile", "is_anomalous"],
     )
+
+
+# --- parsing and normalization ------------------------------------------------
+
+from triagelens.operators import evidence as ev  # noqa: E402
+from triagelens.operators import generic_incidents as gen  # noqa: E402
+from triagelens.operators import normalize as norm  # noqa: E402
+from triagelens.operators import reports as rep  # noqa: E402
+from triagelens.oracle import text_sql  # noqa: E402
+from triagelens.sources import events as src  # noqa: E402
+from triagelens.sources import loader  # noqa: E402
+from triagelens.sources import records as rec  # noqa: E402
+
+YEAR = 2024
+MAPPING = {
+    "source_type": "generic_jsonl",
+    "fields": {
+        "timestamp": ["@timestamp", "time", "ts"],
+        "message": ["msg", "event_message"],
+        "severity": ["level", "log_level"],
+        "user": ["username", "account"],
+        "src_ip": ["client_ip", "ip"],
+        "host": ["hostname", "server"],
+        "service": ["app", "application"],
+        "status_code": "status",
+        "event_action": ["action", "operation"],
+        "session_hint": ["session_id", "trace_id", "request_id"],
+    },
+    "defaults": {"event_category": "auth"},
+}
+NORM_OUT = [
+    "seq", "timestamp", "source_type", "event_category", "event_action", "severity", "src_ip", "user", "host", "service",
+    "message", "session_hint",
+]
+
+
+def with_iso(df, *names):
+    return df.withColumns({n: iso_text(F.col(n)) for n in names})
+
+
+@register("parse_ssh_log", text_sql.parse_ssh())
+def _(spark, sf):
+    df = src.parse_ssh(bridge.lines_of(spark, sf, "ssh"), YEAR)
+    return with_iso(df, "ts").selectExpr("seq", "ts", "ip", "user", "cast(status AS bigint) AS status", "raw", "source")
+
+
+@register("parse_apache_error", text_sql.parse_apache())
+def _(spark, sf):
+    df = src.parse_apache_error(bridge.lines_of(spark, sf, "apache"))
+    return with_iso(df, "ts").select("seq", "ts", "level", "message", "raw", "source")
+
+
+@register("parse_access_log", text_sql.parse_access())
+def _(spark, sf):
+    df = src.parse_access(bridge.lines_of(spark, sf, "access"))
+    return with_iso(df, "ts").selectExpr("seq", "ts", "ip", "method", "path", "cast(status AS bigint) AS status", "user_agent")
+
+
+def extra_keys():
+    return F.array_join(F.array_sort(F.map_keys("extra")), ",").alias("extra_keys")
+
+
+@register("read_jsonl_mapped", text_sql.normalized(text_sql.jsonl_views(), ", status_code, status_code_raw, extra_keys"))
+def _(spark, sf):
+    df = rec.parse_jsonl(bridge.lines_of(spark, sf, "jsonl"), MAPPING)
+    return df.select(*NORM_OUT, F.col("status_code").cast("bigint").alias("status_code"), "status_code_raw", extra_keys())
+
+
+@register("read_jsonl", text_sql.normalized(text_sql.jsonl_views(mapped=False), ", status_code, extra_keys"))
+def _(spark, sf):
+    df = rec.parse_jsonl(bridge.lines_of(spark, sf, "jsonl"))
+    return df.select(*NORM_OUT, F.col("status_code").cast("bigint").alias("status_code"), extra_keys())
+
+
+@register(
+    "read_jsonl_flat",
+    text_sql.normalized(text_sql.jsonl_views("jsonl_objects", mapped=True), ", status_code, status_code_raw").replace(
+        "'auth' AS event_category", "NULL::VARCHAR AS event_category"
+    ),
+)
+def _(spark, sf):
+    flat = {"timestamp": "time", "message": "msg", "severity": "level", "status_code": "status"}
+    df = rec.parse_jsonl_flat(bridge.lines_of(spark, sf, "jsonl_objects"), flat)
+    return df.select(*NORM_OUT, F.col("status_code").cast("bigint").alias("status_code"), "status_code_raw")
+
+
+@register("read_syslog", text_sql.normalized(text_sql.syslog_views(), ", pid, facility, pri"))
+def _(spark, sf):
+    df = rec.parse_syslog(bridge.lines_of(spark, sf, "syslog"), year=YEAR)
+    left = [F.try_element_at("extra", F.lit(k)).alias(k) for k in ("pid", "facility", "pri")]
+    return df.select(*NORM_OUT, *left)
+
+
+@register("read_syslog_simple", text_sql.normalized(text_sql.syslog_simple_views(), ", facility"))
+def _(spark, sf):
+    df = rec.parse_syslog_simple(bridge.lines_of(spark, sf, "syslog"), YEAR)
+    return df.select(*NORM_OUT, F.try_element_at("extra", F.lit("facility")).alias("facility"))
+
+
+ERROR_OUT = ["line_no", "reason", "raw", "message"]
+
+
+@register("jsonl_errors", text_sql.jsonl_errors())
+def _(spark, sf):
+    return rec.jsonl_rejects(bridge.lines_of(spark, sf, "jsonl")).select(*ERROR_OUT)
+
+
+@register(
+    "syslog_errors",
+    text_sql.rejects(
+        "syslog", text_sql.SYSLOG, "failed to parse syslog line (line does not match RFC3164-style syslog format)"
+    ),
+)
+def _(spark, sf):
+    return rec.syslog_rejects(bridge.lines_of(spark, sf, "syslog")).select(*ERROR_OUT)
+
+
+@register("syslog_simple_errors", text_sql.rejects("syslog", text_sql.SIMPLE, "could not parse syslog line"))
+def _(spark, sf):
+    return rec.syslog_simple_rejects(bridge.lines_of(spark, sf, "syslog"), YEAR).select(*ERROR_OUT)
+
+
+@register("ssh_line_errors", text_sql.rejects("ssh", text_sql.SSH, "no SSH line match"))
+def _(spark, sf):
+    return src.ssh_rejects(bridge.lines_of(spark, sf, "ssh"), YEAR).select(*ERROR_OUT)
+
+
+@register("normalize_ssh_events", text_sql.normalized(text_sql.normalize_ssh_views(), ", status_code"))
+def _(spark, sf):
+    df = norm.normalize_ssh(src.parse_ssh(bridge.lines_of(spark, sf, "ssh"), YEAR))
+    return df.select(*NORM_OUT, F.col("status_code").cast("bigint").alias("status_code"))
+
+
+@register("normalize_apache_events", text_sql.normalized(text_sql.normalize_apache_views(), ", apache_level"))
+def _(spark, sf):
+    df = norm.normalize_apache(src.parse_apache_error(bridge.lines_of(spark, sf, "apache")))
+    return df.select(*NORM_OUT, F.try_element_at("extra", F.lit("apache_level")).alias("apache_level"))
+
+
+def _mixed_sql() -> str:
+    picks = []
+    for i, views in enumerate((text_sql.normalize_ssh_views(), text_sql.normalize_apache_views(), text_sql.jsonl_views())):
+        picks.append(
+            f"SELECT {i} AS source_no, * FROM ({v.with_views(*views)} SELECT source_type, event_category, event_action, severity, count(*) AS n FROM norm GROUP BY ALL)"
+        )
+    return " UNION ALL ".join(picks)
+
+
+@register("load_mixed_sources", _mixed_sql())
+def _(spark, sf):
+    parts = [
+        loader.normalize_lines(bridge.lines_of(spark, sf, kind), source, mapping=mapping, year=YEAR)
+        for kind, source, mapping in (("ssh", "ssh", None), ("apache", "apache", None), ("jsonl", "generic", MAPPING))
+    ]
+    return loader.mix(*parts).events.groupBy(
+        F.col("seq.source_no").alias("source_no"), "source_type", "event_category", "event_action", "severity"
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("preview_events", text_sql.normalized(text_sql.normalize_ssh_views()) + " ORDER BY seq LIMIT 10")
+def _(spark, sf):
+    df = loader.normalize_lines(bridge.lines_of(spark, sf, "ssh"), "ssh", year=YEAR).events
+    return rep.preview(df, 10).select(*NORM_OUT)
+
+
+# --- generic incidents -----------------------------------------------------------
+
+GENERIC_OUT = [
+    "incident_id", "group_key", "bucket", "severity", "confidence", "priority", "attack_pattern", "event_count",
+    "error_count", "warning_count", "distinct_users", "distinct_hosts", "distinct_src_ips", "first_seen", "last_seen",
+    "source_type", "summary_title", "summary_description",
+]
+
+
+@register(
+    "group_keys_and_buckets",
+    v.with_views(v.LOG_EVENTS, text_sql.NORMALIZED, text_sql.grouped(15))
+    + " SELECT seq, group_key, bucket FROM grouped",
+)
+def _(spark, sf):
+    return gen.with_group(bridge.normalized_events(spark, sf), 15).select("seq", "group_key", "bucket")
+
+
+@register(
+    "clock_buckets_45_and_90",
+    "SELECT a.seq, a.bucket AS bucket_45, b.bucket AS bucket_90 FROM ("
+    + v.with_views(v.LOG_EVENTS, text_sql.NORMALIZED, text_sql.grouped(45)) + " SELECT seq, bucket FROM grouped) a JOIN ("
+    + v.with_views(v.LOG_EVENTS, text_sql.NORMALIZED, text_sql.grouped(90)) + " SELECT seq, bucket FROM grouped) b USING (seq)",
+)
+def _(spark, sf):
+    return bridge.normalized_events(spark, sf).select(
+        "seq", gen.clock_bucket(45).alias("bucket_45"), gen.clock_bucket(90).alias("bucket_90")
+    )
+
+
+@register("generic_incidents", text_sql.generic_incidents())
+def _(spark, sf):
+    df = gen.generic_incidents(bridge.normalized_events(spark, sf))
+    return df.orderBy(*gen.generic_order()).select(*GENERIC_OUT)
+
+
+@register("generic_incidents_5_minutes", text_sql.generic_incidents(5))
+def _(spark, sf):
+    return gen.generic_incidents(bridge.normalized_events(spark, sf), 5).select(*GENERIC_OUT)
+
+
+@register("ssh_normalized_incidents", text_sql.generic_incidents(15, text_sql.normalize_ssh_views()))
+def _(spark, sf):
+    events = loader.normalize_lines(bridge.lines_of(spark, sf, "ssh"), "ssh", year=YEAR).events
+    return gen.generic_incidents(events).select(*GENERIC_OUT)
+
+
+@register("apache_normalized_incidents", text_sql.generic_incidents(15, text_sql.normalize_apache_views()))
+def _(spark, sf):
+    events = loader.normalize_lines(bridge.lines_of(spark, sf, "apache"), "apache").events
+    return gen.generic_incidents(events).select(*GENERIC_OUT)
+
+
+TOP_GENERIC = """ORDER BY CASE priority WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC,
+  CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, event_count DESC, error_count DESC, bucket_id"""
+
+
+@register("top_generic_incidents", text_sql.on_generic(f"SELECT {text_sql.GENERIC_COLUMNS} FROM gincidents {TOP_GENERIC} LIMIT 10"))
+def _(spark, sf):
+    gen.check_top(10)
+    df = gen.generic_incidents(bridge.normalized_events(spark, sf))
+    return df.orderBy(*gen.generic_order()).limit(10).select(*GENERIC_OUT)
+
+
+@register("nth_generic_incident", text_sql.on_generic(f"SELECT {text_sql.GENERIC_COLUMNS} FROM gincidents {TOP_GENERIC} LIMIT 1 OFFSET 3"))
+def _(spark, sf):
+    df = gen.generic_incidents(bridge.normalized_events(spark, sf))
+    return rank.nth(df, 3, gen.generic_order()).select(*GENERIC_OUT)
+
+
+@register("incident_events", text_sql.on_generic("SELECT incident_id, seq, event_action, g.severity FROM grouped g JOIN gincidents i USING (group_key, bucket)"))
+def _(spark, sf):
+    events = bridge.normalized_events(spark, sf)
+    return gen.bundle(gen.generic_incidents(events), events).select("incident_id", "seq", "event_action", "severity")
+
+
+@register(
+    "first_events_of_incidents",
+    v.with_views(v.LOG_EVENTS, text_sql.NORMALIZED, text_sql.grouped(15))
+    + """ SELECT group_key, bucket, position, seq, timestamp, event_action FROM (
+      SELECT *, row_number() OVER (PARTITION BY group_key, bucket ORDER BY seq) AS position FROM grouped) WHERE position <= 5""",
+)
+def _(spark, sf):
+    df = gen.first_events(bridge.normalized_events(spark, sf), 5)
+    return df.select("group_key", "bucket", F.col("position").cast("bigint").alias("position"), "seq", "timestamp", "event_action")
+
+
+@register(
+    "representative_ip_and_user",
+    v.with_views(v.LOG_EVENTS, text_sql.NORMALIZED, text_sql.grouped(15))
+    + """ SELECT group_key, bucket, arg_min(src_ip, seq) FILTER (WHERE src_ip IS NOT NULL) AS ip,
+      arg_min("user", seq) FILTER (WHERE "user" IS NOT NULL) AS "user" FROM grouped GROUP BY ALL""",
+)
+def _(spark, sf):
+    return gen.representatives(bridge.normalized_events(spark, sf)).select("group_key", "bucket", "ip", "user")
+
+
+@register(
+    "entity_sets_of_incidents",
+    v.with_views(v.LOG_EVENTS, text_sql.NORMALIZED, text_sql.grouped(15))
+    + """ SELECT DISTINCT group_key, bucket, kind, name FROM (
+      SELECT group_key, bucket, 'user' AS kind, "user" AS name FROM grouped UNION ALL
+      SELECT group_key, bucket, 'host', host FROM grouped UNION ALL SELECT group_key, bucket, 'src_ip', src_ip FROM grouped)
+      WHERE name IS NOT NULL""",
+)
+def _(spark, sf):
+    return gen.entity_sets(gen.with_group(bridge.normalized_events(spark, sf))).select("group_key", "bucket", "kind", "name")
+
+
+UNKNOWN = "coalesce({}, 'unknown')"
+
+
+@register(
+    "generic_event_summary",
+    text_sql.summary(
+        [v.LOG_EVENTS, text_sql.NORMALIZED],
+        {
+            "total_events": "'all'",
+            "severity": UNKNOWN.format("severity"),
+            "event_category": UNKNOWN.format("event_category"),
+            "event_action": UNKNOWN.format("event_action"),
+        },
+    ),
+)
+def _(spark, sf):
+    return rep.generic_summary(bridge.normalized_events(spark, sf))
+
+
+@register(
+    "ssh_event_summary",
+    text_sql.summary(
+        text_sql.normalize_ssh_views(),
+        {"total_events": "'all'", "severity": UNKNOWN.format("severity"), "event_action": UNKNOWN.format("event_action")},
+    )
+    + """ UNION ALL SELECT 'distinct_users', 'all', count(DISTINCT "user") FROM norm
+          UNION ALL SELECT 'distinct_src_ips', 'all', count(DISTINCT src_ip) FROM norm""",
+)
+def _(spark, sf):
+    return rep.ssh_summary(loader.normalize_lines(bridge.lines_of(spark, sf, "ssh"), "ssh", year=YEAR).events)
+
+
+@register(
+    "apache_event_summary",
+    text_sql.summary(
+        text_sql.normalize_apache_views(),
+        {
+            "total_events": "'all'",
+            "severity": UNKNOWN.format("severity"),
+            "event_action": UNKNOWN.format("event_action"),
+            "apache_level": UNKNOWN.format("apache_level"),
+        },
+    ),
+)
+def _(spark, sf):
+    return rep.apache_summary(loader.normalize_lines(bridge.lines_of(spark, sf, "apache"), "apache").events)

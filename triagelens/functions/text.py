@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: what counts as blank at the ends of a text (Unicode white space
@@ -105,3 +105,12 @@ def text(*parts) -> Column:
 
 def count_where(condition: Column) -> Column:
     return F.count_if(condition).cast("bigint")
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once per row.
+
+    A filter on a plain computed column is pushed below it and repeats its
+    expression for every use; it is not pushed through a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))

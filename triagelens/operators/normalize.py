@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagelens.functions.text import blank_to_null, first_match, iso_text, strip
+from triagelens.functions.text import blank_to_null, first_match, iso_text, once, strip
 from triagelens.sources.mapping import FieldMapping
 
 # For each field, the record names it is read from, in order.
@@ -154,13 +154,13 @@ def from_record(df: DataFrame, record: Column, source_type: str) -> DataFrame:
     Names are used up to the first one with a value; the later ones stay in
     ``extra``.  If none has a value the last one counts as read.
     """
-    base = df.select("seq", record.alias("record"))
+    base = once(df, "_record", record).select("seq", F.col("_record").alias("record"))
     # the typed values are looked at once; all lookups below are on plain maps
-    plain = base.select(
-        "seq",
-        F.transform_values("record", lambda k, v: _text(v)).alias("plain"),
-        F.map_filter(F.transform_values("record", lambda k, v: _truthy(v)), lambda k, v: v.isNotNull()).alias("valued"),
-        F.schema_of_variant(F.try_element_at("record", F.lit("status_code"))).alias("status_kind"),
+    plain = once(base, "plain", F.transform_values("record", lambda k, v: _text(v)))
+    plain = once(
+        plain,
+        "valued",
+        F.map_filter(F.transform_values("record", lambda k, v: _truthy(v)), lambda k, v: v.isNotNull()),
     )
     fields = {
         name: F.coalesce(
@@ -172,7 +172,7 @@ def from_record(df: DataFrame, record: Column, source_type: str) -> DataFrame:
     picked = plain.select(
         "seq",
         "plain",
-        "status_kind",
+        F.schema_of_variant(F.try_element_at("record", F.lit("status_code"))).alias("status_kind"),
         *[value.alias(name) for name, value in fields.items()],
         F.array_append(used, F.lit("status_code")).alias("used"),
         F.try_element_at("plain", F.lit("status_code")).alias("status_code_raw"),
@@ -184,10 +184,10 @@ def from_record(df: DataFrame, record: Column, source_type: str) -> DataFrame:
         .when(F.col("status_kind") == "STRING", strip(raw).try_cast("int"))
         .otherwise(raw.try_cast("double").try_cast("int"))
     )
-    shaped = picked.select(
+    shaped = once(picked.withColumnRenamed("timestamp", "_raw_time"), "timestamp", iso_timestamp(F.col("_raw_time"))).select(
         "seq",
         F.lit(source_type).alias("source_type"),
-        iso_timestamp(F.col("timestamp")).alias("timestamp"),
+        "timestamp",
         blank_to_null(F.coalesce("raw_message", "message")).alias("raw_message"),
         *[blank_to_null(F.col(name)).alias(name) for name in FIELD_ALIASES if name != "timestamp"],
         status.alias("status_code"),
@@ -238,7 +238,8 @@ def normalize_ssh(events: DataFrame) -> DataFrame:
     base = events.select(
         "seq", "ts", "status", raw.alias("raw"), _clean("ip").alias("ip"), _clean("user").alias("user"),
         _extra(method=_clean("method"), path=_clean("path"), user_agent=_clean("user_agent")).alias("extra"),
-    ).withColumn("action", ssh_action(F.col("status"), F.col("raw")))
+    )
+    base = once(base, "action", ssh_action(F.col("status"), F.col("raw")))
     return _event_rows(
         base,
         source_type=F.lit("ssh"),

@@ -78,12 +78,17 @@ def add_threshold(
     )
 
 
-def min_max(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Adds ``name``: the column scaled to 0..1; 0.0 if it is constant."""
-    low = df.select(F.min(column)).scalar()
-    high = df.select(F.max(column)).scalar()
-    value = F.when((high == low) | high.isNull(), F.lit(0.0)).otherwise((F.col(column) - low) / (high - low))
-    return df.withColumn(name, value)
+def min_max(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Adds each column scaled to 0..1 under its new name; 0.0 if it is constant."""
+    spans = df.select(
+        F.struct(*[F.struct(F.min(c).alias("low"), F.max(c).alias("high")).alias(c) for c in names]).alias("spans")
+    ).scalar()
+    out = {}
+    for column, name in names.items():
+        low, high = spans[column]["low"], spans[column]["high"]
+        scaled = (F.col(column) - low) / (high - low)
+        out[name] = F.when(high.isNull() | (high == low), F.lit(0.0)).otherwise(scaled)
+    return df.withColumns(out)
 
 
 def score_column(df: DataFrame) -> str:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triagelens.functions.text import once
 from triagelens.operators.normalize import NORMALIZED, event_time
 
 ORIGIN = 1_704_067_200_000_000  # 2024-01-01 in microseconds
@@ -20,7 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
+    events = once(
+        table(spark, sf_dir, "events"), "k", F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
+    )
+    return events.selectExpr(
         "event_id AS seq",
         f"timestamp_micros({ORIGIN} + (unix_micros(cast(ts AS timestamp)) - {ORIGIN}) div 24) AS ts",
         """CASE WHEN user_id % 10 = 0 THEN concat('10.0.0.', (user_id div 10) % 3)
@@ -29,24 +33,24 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         """CASE WHEN user_id % 10 = 0 AND (user_id div 10) % 3 = 2 THEN 'root'
                 WHEN user_id % 10 = 8 THEN NULL ELSE concat('u', user_id) END AS user""",
         "cast(NULL AS string) AS method",
-        "cast(regexp_extract(props, '([0-9]+)', 1) AS bigint) AS k",
+        "k",
         """CASE WHEN event_type = 'view' THEN NULL
-                WHEN cast(regexp_extract(props, '([0-9]+)', 1) AS bigint) < 5 THEN concat('/item/', event_id)
-                ELSE concat('/p/', regexp_extract(props, '([0-9]+)', 1)) END AS path""",
+                WHEN k < 5 THEN concat('/item/', event_id)
+                ELSE concat('/p/', k) END AS path""",
         """CASE WHEN user_id % 10 = 0 THEN 401
                 WHEN user_id % 10 = 1 THEN CASE WHEN event_type = 'signup' THEN 200 ELSE 401 END
                 ELSE CASE event_type WHEN 'error' THEN 500 WHEN 'purchase' THEN 200
                      WHEN 'signup' THEN 401 WHEN 'click' THEN 404 END END AS status""",
         "cast(NULL AS string) AS user_agent",
         "props AS raw",
-        """CASE WHEN user_id % 7 = 0 AND cast(regexp_extract(props, '([0-9]+)', 1) AS bigint) % 2 = 0
+        """CASE WHEN user_id % 7 = 0 AND k % 2 = 0
                 THEN 'access' ELSE 'ssh_auth' END AS source""",
         """CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn'
                 WHEN 'purchase' THEN 'crit' ELSE 'notice' END AS level""",
         """CASE WHEN event_type = 'view' THEN NULL
-                WHEN cast(regexp_extract(props, '([0-9]+)', 1) AS bigint) >= 97
+                WHEN k >= 97
                 THEN concat(event_type, ' id ', event_id)
-                ELSE concat(event_type, ' k', cast(regexp_extract(props, '([0-9]+)', 1) AS bigint) % 7)
+                ELSE concat(event_type, ' k', k % 7)
                 END AS message""",
         "user_id",
         "event_type",
@@ -102,12 +106,11 @@ def lines_of(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     }
     bad = {
         "jsonl": "CASE WHEN k % 2 = 0 THEN concat('not json ', seq) ELSE concat('[', seq, ']') END",
+        "jsonl_objects": "concat('[', seq, ']')",
     }.get(kind, "concat('not a log line ', seq)")
-    return e.selectExpr(
-        "seq",
-        "line_no",
-        f"CASE WHEN seq % 50 = 17 THEN '' WHEN seq % 50 = 49 THEN {bad} ELSE {forms[kind]} END AS value",
-    )
+    forms["jsonl_objects"] = forms["jsonl"]
+    value = F.expr(f"CASE WHEN seq % 50 = 17 THEN '' WHEN seq % 50 = 49 THEN {bad} ELSE {forms[kind]} END")
+    return once(e, "value", value).select("seq", "line_no", "value")
 
 
 def normalized_events(spark: SparkSession, sf_dir: str) -> DataFrame:

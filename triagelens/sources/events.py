@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagelens.functions.text import empty_to_null, extract, strip
-from triagelens.sources.lines import captures, is_blank, quarantine
+from triagelens.functions.text import empty_to_null, extract, once, strip
+from triagelens.sources.lines import captures, group, is_blank, quarantine
 
 # Line patterns.  (?dU) gives "." and the classes the meaning the
 # results depend on: only a newline ends a line, and classes cover Unicode.
@@ -27,7 +27,8 @@ EVENT_COLUMNS = [
 
 
 def month_day_time(year: Column, month: Column, day: Column, clock: Column) -> Column:
-    return F.try_to_timestamp(F.concat_ws(" ", year, month, day, clock), F.lit("yyyy MMM d H:m:s"))
+    shown = F.concat(year, F.lit(" "), month, F.lit(" "), day, F.lit(" "), clock)
+    return F.try_to_timestamp(shown, F.lit("yyyy MMM d H:m:s"))
 
 
 def _events(df: DataFrame, **columns: Column) -> DataFrame:
@@ -47,9 +48,9 @@ def _events(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def _ssh(lines: DataFrame, year: int) -> DataFrame:
-    parts = lines.withColumn("m", captures(F.col("value"), SSH_LINE, 6))
-    m = F.col("m")
-    return parts.withColumn("ts", month_day_time(F.lit(str(year)), m[0], m[1], m[2])).withColumn("text", m[5])
+    parts = once(lines, "m", captures(F.col("value"), SSH_LINE, 6))
+    at = month_day_time(F.lit(str(year)), group("m", 1), group("m", 2), group("m", 3))
+    return once(parts, "ts", at).withColumn("text", group("m", 6))
 
 
 def auth_status(text: Column) -> Column:
@@ -73,22 +74,18 @@ def ssh_rejects(lines: DataFrame, year: int = 2005) -> DataFrame:
 
 
 def _apache(lines: DataFrame) -> DataFrame:
-    m, when_ = F.col("m"), F.col("when")
-    return (
-        lines.withColumn("m", captures(F.col("value"), APACHE_LINE, 3))
-        .withColumn("when", captures(m[0], APACHE_TIME, 4))
-        .withColumn("ts", month_day_time(when_[3], when_[0], when_[1], when_[2]))
-    )
+    parts = once(lines, "m", captures(F.col("value"), APACHE_LINE, 3))
+    timed = once(parts, "t", captures(group("m", 1), APACHE_TIME, 4))
+    return once(timed, "ts", month_day_time(group("t", 4), group("t", 1), group("t", 2), group("t", 3)))
 
 
 def parse_apache_error(lines: DataFrame) -> DataFrame:
-    m = F.col("m")
     return _events(
         _apache(lines).where(F.col("ts").isNotNull()),
         raw=F.col("value"),
         source=F.lit("apache_error"),
-        level=strip(m[1]),
-        message=strip(m[2]),
+        level=strip(group("m", 2)),
+        message=strip(group("m", 3)),
     )
 
 
@@ -97,21 +94,18 @@ def apache_rejects(lines: DataFrame) -> DataFrame:
 
 
 def _access(lines: DataFrame) -> DataFrame:
-    m = F.col("m")
-    return lines.withColumn("m", captures(F.col("value"), ACCESS_LINE, 6)).withColumn(
-        "ts", F.try_to_timestamp(m[1], F.lit("dd/MMM/yyyy:HH:mm:ss Z"))
-    )
+    parts = once(lines, "m", captures(F.col("value"), ACCESS_LINE, 6))
+    return once(parts, "ts", F.try_to_timestamp(group("m", 2), F.lit("dd/MMM/yyyy:HH:mm:ss Z")))
 
 
 def parse_access(lines: DataFrame) -> DataFrame:
-    m = F.col("m")
     return _events(
         _access(lines).where(F.col("ts").isNotNull()),
-        ip=m[0],
-        method=m[2],
-        path=m[3],
-        status=m[4].cast("int"),
-        user_agent=empty_to_null(m[5]),
+        ip=group("m", 1),
+        method=group("m", 3),
+        path=group("m", 4),
+        status=group("m", 5).cast("int"),
+        user_agent=empty_to_null(group("m", 6)),
         raw=F.col("value"),
         source=F.lit("access"),
     )
@@ -124,7 +118,7 @@ def access_rejects(lines: DataFrame) -> DataFrame:
 def _rejects(parsed: DataFrame, no_match: str, keep: list[str]) -> DataFrame:
     reason = (
         F.when(is_blank(F.col("value")), None)
-        .when(F.col("m").isNull(), no_match)
+        .when(group("m", 1).isNull(), no_match)
         .when(F.col("ts").isNull(), "not a valid time")
     )
     return quarantine(parsed.select(*keep, reason.alias("_why")), F.col("_why"))

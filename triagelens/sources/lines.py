@@ -88,11 +88,18 @@ def quarantine(lines: DataFrame, reason: Column) -> DataFrame:
     )
 
 
-SEP = "\x01"
+SEP = "\x1e\x01\x1e"
 
 
 def captures(value: Column, pattern: str, groups: int) -> Column:
-    """All groups of an anchored pattern in one regex pass; null if no match."""
-    template = SEP.join(f"${i}" for i in range(1, groups + 1))
-    parts = F.split(F.regexp_replace(value, pattern, template), SEP, -1)
-    return F.when(value.rlike(pattern) & (F.size(parts) >= groups), parts)
+    """The groups of an anchored pattern, at positions 1.., in one regex pass.
+
+    Position 1 and on are absent where the text does not match; read them with
+    ``group``.
+    """
+    template = "".join(f"{SEP}${i}" for i in range(1, groups + 1))
+    return F.split(F.regexp_replace(value, pattern, template), SEP, -1)
+
+
+def group(captured: Column | str, number: int) -> Column:
+    return F.get(F.col(captured) if isinstance(captured, str) else captured, F.lit(number))

@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagelens.functions.text import blank_to_null, iso_text, strip
+from triagelens.functions.text import blank_to_null, iso_text, once, strip
 from triagelens.operators.normalize import apply_flat_mapping, apply_mapping, from_record
 from triagelens.sources.events import month_day_time
-from triagelens.sources.lines import captures, is_blank, quarantine
+from triagelens.sources.lines import captures, group, is_blank, quarantine
 from triagelens.sources.mapping import build_mapping
 
 # Syslog line patterns.
@@ -47,17 +47,18 @@ def _typed(lines: DataFrame) -> DataFrame:
     value is an error too.
     """
     doc = F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit("]")))
-    typed = lines.withColumn("doc", doc).withColumn("item", F.expr("try_variant_get(doc, '$[0]', 'variant')"))
-    single = F.col("item").isNotNull() & F.expr("try_variant_get(doc, '$[1]', 'variant')").isNull()
-    kind = F.regexp_extract(F.schema_of_variant("item"), r"^([A-Z]+)", 1)
-    return typed.withColumn("kind", F.when(single, kind).otherwise("invalid")).drop("doc")
+    typed = once(lines, "doc", doc)
+    item = F.expr("try_variant_get(doc, '$[0]', 'variant')")
+    single = item.isNotNull() & F.expr("try_variant_get(doc, '$[1]', 'variant')").isNull()
+    shape = F.regexp_extract(F.schema_of_variant("doc"), r"^ARRAY<([A-Z]+)", 1)
+    return once(typed, "kind", F.when(single, shape).otherwise("invalid"))
 
 
 def _json(lines: DataFrame) -> DataFrame:
     """Non-blank lines with ``kind`` and ``record`` (null unless one object)."""
     typed = _typed(lines.where(~is_blank(F.col("value"))))
-    record = F.when(F.col("kind") == "OBJECT", F.expr(f"try_variant_get(item, '$', '{RECORD}')"))
-    return typed.withColumn("record", record).drop("item")
+    record = F.when(F.col("kind") == "OBJECT", F.expr(f"try_variant_get(doc, '$[0]', '{RECORD}')"))
+    return once(typed, "record", record).drop("doc")
 
 
 def parse_jsonl(lines: DataFrame, mapping=None) -> DataFrame:
@@ -111,85 +112,79 @@ def _record(**fields: Column) -> Column:
 
 
 def syslog_time(text: Column, year: int) -> Column:
-    words = F.split(strip(text), r"(?U)\s+")
-    return month_day_time(F.lit(str(year)), words[0], words[1], words[2])
+    """``Mon D HH:MM:SS`` in ``year``; runs of blanks count as one."""
+    return F.try_to_timestamp(
+        F.concat(F.lit(f"{year} "), F.regexp_replace(text, r"(?U)\s+", " ")), F.lit("yyyy MMM d H:m:s")
+    )
 
 
 def _syslog(lines: DataFrame) -> DataFrame:
-    return lines.where(~is_blank(F.col("value"))).withColumn("m", captures(F.col("value"), SYSLOG_LINE, 4))
+    return once(lines.where(~is_blank(F.col("value"))), "m", captures(F.col("value"), SYSLOG_LINE, 4))
 
 
 def parse_syslog(lines: DataFrame, mapping=None, year: int = 2005) -> DataFrame:
     """RFC 3164 lines: priority, tag and pid are split off; times are UTC."""
     plan = build_mapping(mapping)
-    m = F.col("m")
-    pri = F.try_to_number(F.nullif(m[0], F.lit("")), F.lit("999")).cast("int")
-    parts = (
-        _syslog(lines)
-        .where(m.isNotNull())
-        .withColumn("pri", pri)
-        .withColumn("msg", strip(m[3]))
-        .withColumn("tag", captures(F.col("msg"), SYSLOG_TAG, 3))
-        .withColumn("at", syslog_time(m[1], year))
+    matched = _syslog(lines).where(group("m", 2).isNotNull())
+    parts = once(
+        matched.withColumn("msg", strip(group("m", 4))), "tag", captures(strip(group("m", 4)), SYSLOG_TAG, 3)
+    ).select(
+        "*",
+        F.nullif(group("m", 1), F.lit("")).try_cast("int").alias("pri"),
+        syslog_time(group("m", 2), year).alias("at"),
     )
-    tag, msg = F.col("tag"), F.col("msg")
-    content = blank_to_null(tag[2])
-    when_ = F.coalesce(F.concat(iso_text(F.col("at")), F.lit("+00:00")), strip(m[1]))
+    content = blank_to_null(group("tag", 3))
+    when_ = F.coalesce(F.concat(iso_text(F.col("at")), F.lit("+00:00")), strip(group("m", 2)))
     base = _record(
         timestamp=_variant(when_),
-        host=_variant(m[2]),
+        host=_variant(group("m", 3)),
         raw_message=_variant(F.col("value")),
         severity=_variant(severity_name(F.col("pri"), SEVERITY_NAMES)),
         event_category=_variant(F.lit("syslog")),
-        message=_variant(F.coalesce(content, msg)),
-        service=tag[0].cast("variant"),
-        pid=F.nullif(tag[1], F.lit("")).cast("variant"),
+        message=_variant(F.coalesce(content, "msg")),
+        service=group("tag", 1).cast("variant"),
+        pid=F.nullif(group("tag", 2), F.lit("")).cast("variant"),
         pri=F.col("pri").cast("variant"),
         facility=facility(F.col("pri")).cast("variant"),
     )
     record = F.map_filter(base, lambda k, v: v.isNotNull())
     source_type = (plan.source_type if plan else None) or "generic_syslog"
-    staged = parts.withColumn("record", record)
-    return from_record(staged, apply_mapping(F.col("record"), plan), source_type)
+    return from_record(once(parts, "record", record), apply_mapping(F.col("record"), plan), source_type)
 
 
 def syslog_rejects(lines: DataFrame) -> DataFrame:
     reason = F.when(
-        ~is_blank(F.col("value")) & captures(F.col("value"), SYSLOG_LINE, 4).isNull(),
+        ~is_blank(F.col("value")) & group(captures(F.col("value"), SYSLOG_LINE, 4), 2).isNull(),
         "failed to parse syslog line (line does not match RFC3164-style syslog format)",
     )
-    return quarantine(lines.select(*lines.columns, reason.alias("_why")), F.col("_why"))
+    return quarantine(once(lines, "_why", reason), F.col("_why"))
 
 
 def _simple(lines: DataFrame, year: int) -> DataFrame:
-    return (
-        lines.withColumn("text", strip(F.col("value")))
-        .withColumn("m", captures(F.col("text"), SYSLOG_SIMPLE, 4))
-        .withColumn("at", syslog_time(F.col("m")[1], year))
-    )
+    parts = once(lines.withColumn("text", strip(F.col("value"))), "m", captures(strip(F.col("value")), SYSLOG_SIMPLE, 4))
+    return once(parts, "at", syslog_time(group("m", 2), year))
 
 
 def parse_syslog_simple(lines: DataFrame, year: int = 2005) -> DataFrame:
     """The text before the first colon is the service; times are naive."""
-    m = F.col("m")
-    colon = F.instr(F.col("body"), ":")
-    parts = (
-        _simple(lines, year)
-        .where(F.col("at").isNotNull())
-        .withColumn("pri", F.expr("try_cast(nullif(m[0], '') as bigint)"))
-        .withColumn("body", m[3])
-        .withColumn("colon", colon)
+    parts = _simple(lines, year).where(F.col("at").isNotNull()).select(
+        "seq",
+        "at",
+        F.nullif(group("m", 1), F.lit("")).try_cast("bigint").alias("pri"),
+        group("m", 3).alias("host"),
+        group("m", 4).alias("body"),
+        F.instr(group("m", 4), ":").alias("colon"),
     )
     has_colon = F.col("colon") > 0
     record = _record(
         timestamp=_variant(iso_text(F.col("at"))),
-        host=_variant(m[2]),
+        host=_variant(F.col("host")),
         message=_variant(F.when(has_colon, strip(F.expr("substr(body, colon + 1)"))).otherwise(F.col("body"))),
         severity=_variant(severity_name(F.col("pri"), SEVERITY_SHORT)),
         service=_variant(F.when(has_colon, blank_to_null(F.expr("substr(body, 1, colon - 1)")))),
         facility=_variant(facility(F.col("pri"))),
     )
-    return from_record(parts.withColumn("record", record), F.col("record"), "generic_jsonl")
+    return from_record(once(parts, "record", record), F.col("record"), "generic_jsonl")
 
 
 def syslog_simple_rejects(lines: DataFrame, year: int = 2005) -> DataFrame:
