@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triagelens.oracle import views as v
@@ -485,3 +485,426 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return rep.apache_summary(loader.normalize_lines(bridge.lines_of(spark, sf, "apache"), "apache").events)
+
+
+# --- SSH incidents: filters, orders, timeline, text -----------------------------
+
+from triagelens.operators import analysis as ana  # noqa: E402
+from triagelens.oracle import text_rules_sql as trs  # noqa: E402
+
+
+@register("ssh_incidents_min_sessions", ssh_sql.incidents_all(min_sessions=5))
+def _(spark, sf):
+    return incident_columns(incidents(spark, sf, min_sessions=5))
+
+
+@register(
+    "ssh_incidents_filtered",
+    ssh_sql.incidents_all(
+        "WHERE severity IN ('low', 'medium', 'high') AND confidence IN ('medium', 'high') AND attack_pattern IN ('password_spray', 'possible_compromise', 'brute_force')"
+    ),
+)
+def _(spark, sf):
+    df = inc.filter_incidents(
+        incidents(spark, sf), "low", "medium", ["password_spray", "possible_compromise", "brute_force"]
+    )
+    return incident_columns(df)
+
+
+@register("ssh_incidents_high_confidence", ssh_sql.incidents_all("WHERE confidence = 'high'"))
+def _(spark, sf):
+    return incident_columns(inc.filter_incidents(incidents(spark, sf), min_confidence="high"))
+
+
+_SEV = "CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC"
+SORTS = {
+    "severity": f"{_SEV}, avg_score DESC, total_events DESC",
+    "avg_score": "avg_score DESC, total_events DESC",
+    "auth_fail_ratio": "fail_ratio DESC, auth_failed DESC, total_events DESC",
+    "total_events": "total_events DESC, auth_failed DESC, avg_score DESC",
+}
+
+
+def _top_incidents(by):
+    sql = ssh_sql.on_incidents(
+        f"""SELECT row_number() OVER (ORDER BY {SORTS[by]}, ip, cluster_index) AS place, incident_id, severity, total_events
+        FROM (SELECT *, avg_anomaly_score AS avg_score, auth_fail_ratio AS fail_ratio FROM incidents) ORDER BY place LIMIT 25"""
+    )
+
+    @register(f"ssh_incidents_by_{by}", sql)
+    def run(spark, sf):
+        top = inc.sort_incidents(incidents(spark, sf), by).limit(25)
+        place = F.row_number().over(Window.orderBy(*inc.incident_order(by)))  # 25 rows
+        return top.withColumn("place", place.cast("bigint")).select("place", "incident_id", "severity", "total_events")
+
+
+for _by in SORTS:
+    _top_incidents(_by)
+
+
+@register(
+    "nth_ssh_incident",
+    ssh_sql.on_incidents(
+        f"""SELECT incident_id, severity, total_events FROM (SELECT *, avg_anomaly_score AS avg_score FROM incidents)
+        ORDER BY {SORTS['severity']}, ip, cluster_index LIMIT 1 OFFSET 7"""
+    ),
+)
+def _(spark, sf):
+    df = rank.nth(stage(incidents(spark, sf), "incidents"), 7, inc.incident_order("severity"))
+    return df.select("incident_id", "severity", "total_events")
+
+
+@register(
+    "cluster_index",
+    v.with_views(*v.feature_views(), ssh_sql.SCORED, ssh_sql.MERGED.format(source="scored"))
+    + " SELECT session_id, ip, cluster_index FROM clustered",
+)
+def _(spark, sf):
+    return clustered(spark, sf).select("session_id", "ip", "cluster_index")
+
+
+@register(
+    "incident_timeline",
+    v.with_views(*v.feature_views(), ssh_sql.SCORED, ssh_sql.MERGED.format(source="scored"))
+    + f""" SELECT 'ip:' || ip || '#' || cluster_index AS incident_id, {v.iso('start_time')} AS timestamp, session_id, ip, "user",
+      auth_failed, auth_success, event_count, round(anomaly_score, 9) AS anomaly_score, {trs.EVENT_TYPE} AS event_type,
+      {trs.SSH_NOTES} AS notes FROM clustered""",
+)
+def _(spark, sf):
+    df = inc.timeline(clustered(spark, sf))
+    out = ["incident_id", "timestamp", "session_id", "ip", "user", "auth_failed", "auth_success", "event_count",
+           "anomaly_score", "event_type", "notes"]
+    return nine(with_iso(df, "timestamp").withColumn("notes", F.array_join(ev.ssh_session_notes(), "\n")), out)
+
+
+@register(
+    "incident_members_and_users",
+    ssh_sql.on_incidents(
+        "SELECT incident_id, array_to_string(session_ids, ';') AS session_ids, array_to_string(targeted_users, ';') AS targeted_users FROM incidents"
+    ),
+)
+def _(spark, sf):
+    members = stage(clustered(spark, sf), "clustered")
+    df = inc.with_member_lists(inc.roll_up(members), members)
+    return df.select(
+        "incident_id",
+        F.array_join("session_ids", ";").alias("session_ids"),
+        F.array_join("targeted_users", ";").alias("targeted_users"),
+    )
+
+
+@register(
+    "sessions_join_scores",
+    v.with_views(*v.feature_views(), ssh_sql.SCORED)
+    + """ SELECT session_id, event_count, round(anomaly_score, 9) AS anomaly_score FROM scored""",
+)
+def _(spark, sf):
+    table = sess.session_table(bridge.log_events(spark, sf))
+    scores = scored(spark, sf).select(*sess.SESSION, "anomaly_score")
+    return nine(inc.join_scores(table, scores), ["session_id", "event_count", "anomaly_score"])
+
+
+@register(
+    "sessions_of_alerts",
+    v.with_views(*v.feature_views(), ssh_sql.SCORED, ssh_sql.threshold_view())
+    + f" SELECT session_id, {v.iso('start_time')} AS start_time, {v.iso('end_time')} AS end_time, event_count FROM ranked WHERE is_anomalous",
+)
+def _(spark, sf):
+    kept = rank.add_threshold(staged(spark, sf), threshold_percentile=95.0).where("is_anomalous")
+    table = inc.restrict_sessions(sess.session_table(bridge.log_events(spark, sf)), kept)
+    return with_iso(table, "start_time", "end_time").select("session_id", "start_time", "end_time", "event_count")
+
+
+def _base_sql(column):
+    return (
+        v.with_views(*v.feature_views())
+        + f""" SELECT "{column}", sessions AS session_count, events AS event_total, {v.iso('first_seen')} AS first_seen,
+        round(mean, 9) AS events_per_session FROM {column}_base"""
+    )
+
+
+for _column in ("ip", "user"):
+
+    def _baseline(column):
+        @register(f"{column}_baseline", _base_sql(column))
+        def run(spark, sf):
+            df = feat.identity_baseline(sess.session_table(bridge.log_events(spark, sf)), column)
+            return nine(with_iso(df, "first_seen"), [column, "session_count", "event_total", "first_seen", "events_per_session"])
+
+    _baseline(_column)
+
+
+@register(
+    "incident_text",
+    ssh_sql.on_incidents(
+        f"""SELECT incident_id, {trs.TITLE} AS title, {trs.DESCRIPTION} AS description, {trs.EXPLANATION} AS local_explanation,
+        {trs.actions(chr(10))} AS actions, {trs.SSH_HIGHLIGHTS} AS highlights FROM incidents"""
+    ),
+)
+def _(spark, sf):
+    df = ev.with_ssh_text(incidents(spark, sf))
+    return df.select(
+        "incident_id", "title", "description", "local_explanation",
+        F.array_join("recommended_actions", "\n").alias("actions"),
+        F.array_join(ev.ssh_highlights(), "\n").alias("highlights"),
+    )
+
+
+@register(
+    "ssh_incident_evidence",
+    ssh_sql.on_incidents(
+        f"""SELECT incident_id, 'ssh_auth' AS log_type, ip, primary_user AS "user", 'iforest-v2' AS feature_version, severity, confidence,
+        priority, attack_pattern, {trs.SSH_HIGHLIGHTS} AS highlights, session_count AS session_rows,
+        array_to_string(session_ids, ';') AS session_ids, first_seen, last_seen, severity_reason FROM incidents"""
+    ),
+)
+def _(spark, sf):
+    members = stage(clustered(spark, sf), "clustered")
+    df = ev.ssh_evidence(inc.roll_up(members), members)
+    return df.select(
+        "incident_id", "log_type", "ip", "user", "feature_version", "severity", "confidence", "priority",
+        "attack_pattern", F.array_join("highlights", "\n").alias("highlights"),
+        F.size("sessions").cast("bigint").alias("session_rows"),
+        F.array_join(F.transform("sessions", lambda s: s["session_id"]), ";").alias("session_ids"),
+        "extra.first_seen", "extra.last_seen", "extra.severity_reason",
+    )
+
+
+@register("incident_json")
+def _(spark, sf):
+    members = stage(clustered(spark, sf), "clustered")
+    df = ev.with_ssh_text(inc.with_member_lists(inc.roll_up(members), members))
+    return df.select("incident_id", ev.incident_json(df).alias("document"))
+
+
+@register(
+    "playbook_of_incidents",
+    ssh_sql.on_incidents(
+        f"SELECT incident_id, {trs.playbook_case('slug')} AS slug, {trs.playbook_case('title')} AS title FROM incidents"
+    ),
+)
+def _(spark, sf):
+    df = ana.with_playbook(incidents(spark, sf))
+    return df.select("incident_id", "playbook.slug", "playbook.title")
+
+
+def analysis_columns(df):
+    lists = ["evidence", "caveats", "next_steps"]
+    return df.select(
+        "incident_id", "summary", "hypothesis", "playbook_slug", "playbook_notes",
+        *[F.array_join(c, "\n").alias(c) for c in lists],
+    )
+
+
+@register("ssh_incident_analysis", trs.ssh_analysis())
+def _(spark, sf):
+    members = stage(clustered(spark, sf), "clustered")
+    return analysis_columns(ana.analyse(ev.ssh_evidence(inc.roll_up(members), members), ana.ssh_payload()))
+
+
+@register("generic_incident_analysis", trs.generic_analysis())
+def _(spark, sf):
+    events = bridge.normalized_events(spark, sf)
+    evidence = ev.generic_evidence(gen.generic_incidents(events), events)
+    return analysis_columns(ana.analyse(evidence, ana.generic_payload()))
+
+
+@register(
+    "generic_incident_evidence",
+    text_sql.on_generic(
+        f"""SELECT incident_id, source_type AS log_type, ip, "user", severity, priority, {trs.GENERIC_HIGHLIGHTS} AS highlights,
+        least(event_count, 5) AS sample_size, summary_title FROM gincidents
+        JOIN (SELECT group_key, bucket, arg_min(src_ip, seq) FILTER (WHERE src_ip IS NOT NULL) AS ip,
+          arg_min("user", seq) FILTER (WHERE "user" IS NOT NULL) AS "user" FROM grouped GROUP BY ALL) USING (group_key, bucket)"""
+    ),
+)
+def _(spark, sf):
+    events = bridge.normalized_events(spark, sf)
+    df = ev.generic_evidence(gen.generic_incidents(events), events)
+    return df.select(
+        "incident_id", "log_type", "ip", "user", "severity", "priority",
+        F.array_join("highlights", "\n").alias("highlights"),
+        F.size("sessions").cast("bigint").alias("sample_size"), "extra.summary_title",
+    )
+
+
+@register("normalized_incident_evidence")
+def _(spark, sf):
+    events = bridge.normalized_events(spark, sf)
+    df = ev.normalized_evidence(gen.generic_incidents(events), events, "generic", "jsonl")
+    return df.select("incident.incident_id", "total_event_count", F.to_json(F.struct("incident", "events")).alias("document"))
+
+
+@register("prompt_payloads")
+def _(spark, sf):
+    members = stage(clustered(spark, sf), "clustered")
+    rolled = inc.roll_up(members)
+    events = bridge.normalized_events(spark, sf)
+    generic = stage(gen.generic_incidents(events), "generic")
+    web = bridge.fixed_score(features_at(spark, sf))
+    shapes = [
+        ("ssh", ev.ssh_evidence(rolled, members), ana.ssh_payload()),
+        ("apache", ev.apache_evidence(web), ana.apache_payload()),
+        ("generic", ev.generic_evidence(generic, events), ana.generic_payload()),
+    ]
+    parts = [
+        df.select(F.lit(name).alias("shape"), "incident_id", ana.payload_json(payload).alias("payload"))
+        for name, df, payload in shapes
+    ]
+    structured = ev.normalized_evidence(generic, events, "generic", "jsonl").select(
+        F.lit("structured").alias("shape"), "incident.incident_id", ana.payload_json(ana.structured_payload()).alias("payload")
+    )
+    briefing = ev.with_ssh_text(rolled).select(
+        F.lit("text").alias("shape"), "incident_id", ana.text_prompt().alias("payload")
+    )
+    out = parts[0]
+    for part in [*parts[1:], structured, briefing]:
+        out = out.unionByName(part)
+    return out
+
+
+@register(
+    "check_analysis_payloads",
+    v.with_views(v.LOG_EVENTS)
+    + """ SELECT seq, CASE WHEN k % 7 = 0 THEN 'AI analysis must be a dict.'
+      WHEN k % 7 = 1 THEN 'AI analysis is missing required key: ''hypothesis'''
+      WHEN k % 7 = 2 THEN 'AI analysis ''evidence'' must be a list of strings.'
+      WHEN k % 7 = 3 THEN 'AI analysis ''caveats'' must contain only strings.'
+      WHEN k % 7 = 4 THEN 'AI analysis ''playbook_slug'' must be a string or None.' END AS problem FROM log_events""",
+)
+def _(spark, sf):
+    made = F.expr(
+        """CASE WHEN k % 7 = 0 THEN concat('[', seq, ']') ELSE concat('{"summary": "event ', seq, '", "evidence": ',
+           CASE WHEN k % 7 = 2 THEN '"none"' ELSE '["a", "b"]' END,
+           CASE WHEN k % 7 = 1 THEN '' ELSE ', "hypothesis": "h"' END, ', "caveats": ',
+           CASE WHEN k % 7 = 3 THEN '["c", 1]' ELSE '[]' END, ', "next_steps": ["n"], "playbook_slug": ',
+           CASE WHEN k % 7 = 4 THEN '5' ELSE 'null' END, ', "playbook_notes": "", "more": 1}') END"""
+    )
+    payloads = bridge.log_events(spark, sf).select("seq", made.alias("payload"))
+    return ana.check_analysis(payloads).select("seq", "problem")
+
+
+# --- reports -----------------------------------------------------------------------
+
+
+def _counts_sql():
+    dims = ["severity", "confidence", "attack_pattern", "priority"]
+    parts = [f"SELECT '{d}' AS dimension, {d} AS value, count(*) AS n FROM incidents GROUP BY 2" for d in dims]
+    return ssh_sql.on_incidents("SELECT 'total_incidents' AS dimension, 'all' AS value, count(*) AS n FROM incidents UNION ALL " + " UNION ALL ".join(parts))
+
+
+@register("incident_report_counts", _counts_sql())
+def _(spark, sf):
+    return rep.incident_counts(incidents(spark, sf))
+
+
+@register(
+    "incident_report_totals",
+    v.with_views(*v.feature_views(), ssh_sql.SCORED, ssh_sql.threshold_view())
+    + """ SELECT count(*) AS total_sessions, count(*) FILTER (WHERE is_anomalous) AS anomalous_sessions,
+      printf('%.2f', 100.0::DOUBLE * count(*) FILTER (WHERE is_anomalous) / count(*))::DOUBLE AS anomalous_session_percent FROM ranked""",
+)
+def _(spark, sf):
+    return rep.session_totals(rank.add_threshold(staged(spark, sf), threshold_percentile=95.0))
+
+
+@register("top_incident_ips", ssh_sql.on_incidents("SELECT ip, count(*) AS incident_count FROM incidents GROUP BY ip ORDER BY 2 DESC, ip LIMIT 5"))
+def _(spark, sf):
+    return rep.top_ips(incidents(spark, sf))
+
+
+@register(
+    "top_targeted_users",
+    ssh_sql.on_incidents('SELECT u AS "user", count(*) AS incident_count FROM (SELECT unnest(targeted_users) AS u FROM incidents) GROUP BY u ORDER BY 2 DESC, u LIMIT 5'),
+)
+def _(spark, sf):
+    return rep.top_users(clustered(spark, sf))
+
+
+# --- Apache sessions ------------------------------------------------------------------
+
+
+def web_sessions(spark, sf):
+    """Sessions of the events as web traffic, with every Apache feature."""
+    return bridge.fixed_score(features_at(spark, sf, parts=("rates", "rarity")))
+
+
+@register(
+    "apache_incidents",
+    trs.on_web_sessions(
+        f"""SELECT 'apache:' || session_id AS incident_id, ip, "user", severity, confidence, severity AS priority, attack_pattern,
+        attack_pattern_reason, {trs.APACHE_HIGHLIGHTS} AS highlights, {trs.APACHE_SESSION_NOTES} AS notes FROM aclass"""
+    ),
+)
+def _(spark, sf):
+    df = ev.apache_evidence(web_sessions(spark, sf))
+    return df.select(
+        "incident_id", "ip", "user", "severity", "confidence", "priority", "attack_pattern", "extra.attack_pattern_reason",
+        F.array_join("highlights", "\n").alias("highlights"),
+        F.array_join(F.col("sessions")[0]["notes"], "\n").alias("notes"),
+    )
+
+
+@register(
+    "apache_session_summaries",
+    trs.on_web_sessions(
+        f"""SELECT session_id, round(anomaly_score, 9) AS score, round(error_ratio, 9) AS error_ratio,
+        round(apache_error_vs_notice_ratio, 9) AS apache_error_vs_notice_ratio, {trs.BE}, {trs.B5}, round({trs.RM}, 9) AS {trs.RM},
+        round({trs.HI}, 9) AS {trs.HI}, {trs.RH}, {trs.APACHE_NOTES} AS apache_notes FROM aclass"""
+    ),
+)
+def _(spark, sf):
+    df = web_sessions(spark, sf)
+    assert not rep.missing_columns(df)
+    out = df.withColumn("score", F.col("anomaly_score")).withColumn("apache_notes", ev.apache_summary_notes())
+    return nine(
+        out,
+        ["session_id", "score", "error_ratio", "apache_error_vs_notice_ratio", trs.BE, trs.B5, trs.RM, trs.HI, trs.RH, "apache_notes"],
+    )
+
+
+_APACHE_FILTER = f"anomaly_score >= 0.05::DOUBLE AND {trs.RH} > 0 AND {trs.B5} >= 1 AND error_events >= 1"
+
+
+@register("apache_sessions_filtered", trs.on_web_sessions(f"SELECT session_id, error_events FROM aclass WHERE {_APACHE_FILTER}"))
+def _(spark, sf):
+    df = rep.filter_apache(web_sessions(spark, sf), 0.05, True, 1, 1)
+    return df.select("session_id", "error_events")
+
+
+@register("apache_top_sessions", trs.on_web_sessions("SELECT session_id, round(anomaly_score, 9) AS anomaly_score FROM aclass ORDER BY aclass.anomaly_score DESC, session_id LIMIT 15"))
+def _(spark, sf):
+    df = web_sessions(spark, sf)
+    return nine(df.orderBy(*rep.apache_order(df)).limit(15), ["session_id", "anomaly_score"])
+
+
+@register(
+    "apache_report",
+    trs.on_web_sessions(
+        f"""SELECT count(*) AS total_sessions_considered, count(*) FILTER (WHERE {trs.RH} > 0) AS rare_hour_sessions,
+        count(*) FILTER (WHERE {trs.B5} >= 5) AS sessions_with_5xx_burst, count(*) FILTER (WHERE {trs.BE} >= 10) AS sessions_with_error_burst,
+        count(*) FILTER (WHERE {trs.RM} > 0.3::DOUBLE) AS sessions_with_rare_templates,
+        count(*) FILTER (WHERE {trs.HI} > 0.1::DOUBLE) AS sessions_with_high_severity_ratio,
+        count(*) FILTER (WHERE apache_error_vs_notice_ratio > 2.0::DOUBLE) AS sessions_with_error_dominance,
+        sum(error_events)::BIGINT AS total_error_events,
+        array_to_string(list(session_id ORDER BY anomaly_score DESC, session_id)[1:5], ';') AS top_session_ids
+        FROM (SELECT * FROM aclass ORDER BY anomaly_score DESC, session_id LIMIT 20)"""
+    ),
+)
+def _(spark, sf):
+    df = rep.apache_report(web_sessions(spark, sf), 20)
+    return df.withColumn("top_session_ids", F.array_join("top_session_ids", ";"))
+
+
+@register(
+    "score_summary",
+    v.with_views(*v.feature_views(), ssh_sql.SCORED)
+    + """ SELECT round(min(anomaly_score), 9) AS score_min, round(max(anomaly_score), 9) AS score_max, round(avg(anomaly_score), 9) AS score_mean,
+      round(quantile_cont(anomaly_score, 0.95), 9) AS score_p95, 99.0::DOUBLE AS threshold_percentile,
+      round(quantile_cont(anomaly_score, 0.99), 9) AS threshold_value,
+      round(count(*) FILTER (WHERE anomaly_score >= (SELECT quantile_cont(anomaly_score, 0.99) FROM scored))::DOUBLE / count(*), 9) AS fraction_above_threshold
+      FROM scored""",
+)
+def _(spark, sf):
+    df = rep.score_summary(staged(spark, sf))
+    return nine(df, df.columns)
