@@ -580,7 +580,7 @@ def _(spark, sf):
 @register(
     "incident_members_and_users",
     ssh_sql.on_incidents(
-        "SELECT incident_id, array_to_string(session_ids, ';') AS session_ids, array_to_string(targeted_users, ';') AS targeted_users FROM incidents"
+        "SELECT incident_id, array_to_string(session_ids, ';') AS session_ids, coalesce(array_to_string(targeted_users, ';'), '') AS targeted_users FROM incidents"
     ),
 )
 def _(spark, sf):
@@ -908,3 +908,206 @@ def _(spark, sf):
 def _(spark, sf):
     df = rep.score_summary(staged(spark, sf))
     return nine(df, df.columns)
+
+
+# --- anomaly models ------------------------------------------------------------------
+
+from triagelens.models import detectors, jobs, vectors  # noqa: E402
+from triagelens.session import scratch_path  # noqa: E402
+from triagelens.streaming import jobs as streams  # noqa: E402
+
+
+@register(
+    "feature_standardization",
+    v.with_views(*v.feature_views())
+    + " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, round(avg({f}), 6) AS mean, round(stddev_pop({f}), 6) AS deviation FROM feats"
+        for f in feat.NUMERIC_FEATURES
+    ),
+)
+def _(spark, sf):
+    df = vectors.feature_stats(features_at(spark, sf))
+    return df.select("feature", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
+
+
+def _model_query(kind):
+    @register(f"{kind}_scores")
+    def run(spark, sf):
+        features = stage(features_at(spark, sf), "features")
+        model = jobs.train(features, kind, "ssh_auth", sf)
+        df = rank.add_threshold(stage(jobs.score_sessions(features, model), "scores"))
+        return df.select("session_id", "anomaly_score", "anomaly_percentile", "is_anomalous")
+
+
+for _kind in detectors.KINDS:
+    _model_query(_kind)
+
+
+@register("multi_model_scores")
+def _(spark, sf):
+    features = stage(features_at(spark, sf), "features")
+    models = {k: detectors.fit(features, k) for k in detectors.KINDS}
+    df = rank.add_threshold(jobs.score_sessions_multi(features, models), "ensemble_score")
+    return ev.session_rows(df)
+
+
+@register("compare_models")
+def _(spark, sf):
+    return jobs.compare_models(features_at(spark, sf))
+
+
+@register("model_save_and_load")
+def _(spark, sf):
+    features = stage(features_at(spark, sf), "features")
+    path = scratch_path(spark, "model")
+    detectors.save(spark, jobs.train(features, "iforest", "ssh_auth", sf), path)
+    model = detectors.load(spark, path)
+    info = model.metadata
+    return features.agg(
+        F.count(F.lit(1)).alias("sessions"), F.sum("event_count").alias("events")
+    ).select(
+        (F.col("sessions") == info["session_count"]).alias("session_count_kept"),
+        (F.col("events") == info["event_count_total"]).alias("event_count_kept"),
+        F.lit(len(info["numeric_features"])).alias("features"),
+    )
+
+
+_FIXED_MODELS = """
+three AS (SELECT session_id, anomaly_score AS iforest_score, auth_fail_ratio * 2 - 1 AS ocsvm_score, ln(event_count) AS lof_score FROM scored),
+norms AS (SELECT *, (iforest_score - (SELECT min(iforest_score) FROM three)) / ((SELECT max(iforest_score) FROM three) - (SELECT min(iforest_score) FROM three)) AS a,
+  (ocsvm_score - (SELECT min(ocsvm_score) FROM three)) / ((SELECT max(ocsvm_score) FROM three) - (SELECT min(ocsvm_score) FROM three)) AS b,
+  (lof_score - (SELECT min(lof_score) FROM three)) / ((SELECT max(lof_score) FROM three) - (SELECT min(lof_score) FROM three)) AS c FROM three)
+"""
+
+
+@register(
+    "ensemble_of_fixed_scores",
+    v.with_views(*v.feature_views(), ssh_sql.SCORED, _FIXED_MODELS)
+    + """ SELECT session_id, round(a, 9) AS iforest_score_norm, round(b, 9) AS ocsvm_score_norm, round(c, 9) AS lof_score_norm,
+      round((a + b + c) / 3, 9) AS ensemble_score, round(iforest_score, 9) AS anomaly_score FROM norms""",
+)
+def _(spark, sf):
+    base = staged(spark, sf)
+    three = base.select(
+        "session_id",
+        F.col("anomaly_score").alias("iforest_score"),
+        (F.col("auth_fail_ratio") * 2 - 1).alias("ocsvm_score"),
+        F.log("event_count").alias("lof_score"),
+    )
+    df = jobs.combine_scores(three, ["iforest", "ocsvm", "lof"])
+    return nine(df, ["session_id", "iforest_score_norm", "ocsvm_score_norm", "lof_score_norm", "ensemble_score", "anomaly_score"])
+
+
+def _drift_sql():
+    runs = []
+    for i, day in enumerate(("2024-01-01", "2024-01-02")):
+        runs.append(
+            f"""SELECT {i}::BIGINT AS run_no, quantile_cont(anomaly_score, 0.99) AS t, avg(anomaly_score) AS m,
+            count(*) FILTER (WHERE anomaly_score >= (SELECT quantile_cont(anomaly_score, 0.99) FROM scored WHERE start_time::DATE = DATE '{day}'))::DOUBLE / count(*) AS f
+            FROM scored WHERE start_time::DATE = DATE '{day}'"""
+        )
+    return (
+        v.with_views(*v.feature_views(), ssh_sql.SCORED, "runs AS (" + " UNION ALL ".join(runs) + ")")
+        + """ SELECT a.run_no, round(a.t, 9) AS threshold_value, round(a.f, 9) AS fraction_above_threshold, round(a.m, 9) AS score_mean,
+          round(a.t - b.t, 9) AS threshold_value_change, round(a.f - b.f, 9) AS fraction_above_threshold_change,
+          round(a.m - b.m, 9) AS score_mean_change FROM runs a LEFT JOIN runs b ON a.run_no = b.run_no + 1"""
+    )
+
+
+@register("score_drift", _drift_sql())
+def _(spark, sf):
+    sessions = staged(spark, sf)
+    runs = None
+    for i, day in enumerate(("2024-01-01", "2024-01-02")):
+        part = rep.score_summary(sessions.where(F.to_date("start_time") == day)).withColumn("run_no", F.lit(i).cast("bigint"))
+        runs = part if runs is None else runs.unionByName(part)
+    df = rep.drift(stage(runs, "runs"))
+    return nine(df, df.columns)
+
+
+# --- streams ----------------------------------------------------------------------------
+
+
+def _event_stream(spark, sf):
+    batch = bridge.table(spark, sf, "events")
+    return spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+@register(
+    "stream_sessions",
+    v.with_views(*v.feature_views())
+    + f""" SELECT session_id, ip, "user", {v.iso('start_time')} AS start_time, {v.iso('end_time')} AS end_time, event_count, status_4xx,
+      status_5xx, auth_failed, auth_success, error_events, notice_events, round(error_ratio, 9) AS error_ratio,
+      round(auth_fail_ratio, 9) AS auth_fail_ratio FROM feats
+      WHERE end_time + INTERVAL 30 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM log_events)""",
+)
+def _(spark, sf):
+    df = streams.stream_sessions(bridge.as_log_events(_event_stream(spark, sf)))
+    done = streams.run_to_table(df, scratch_path(spark, "stream"), scratch_path(spark, "stream-state"))
+    out = ["session_id", "ip", "user", "start_time", "end_time", "event_count", "status_4xx", "status_5xx", "auth_failed",
+           "auth_success", "error_events", "notice_events", "error_ratio", "auth_fail_ratio"]
+    return nine(with_iso(done, "start_time", "end_time"), out)
+
+
+@register(
+    "stream_generic_incidents",
+    text_sql.on_generic(
+        """SELECT group_key, bucket AS bucket_start, severity, confidence, priority, attack_pattern, event_count, error_count,
+        warning_count, first_seen, last_seen FROM gincidents
+        WHERE bucket <> 'no_time' AND date_trunc('hour', first_ts) + to_minutes((minute(first_ts) // 15) * 15 + 15)
+          <= (SELECT date_trunc('millisecond', max(event_ts)) - INTERVAL 10 MINUTE FROM norm)"""
+    ),
+)
+def _(spark, sf):
+    events = bridge.as_normalized_events(bridge.as_log_events(_event_stream(spark, sf)))
+    df = streams.stream_generic_incidents(events)
+    done = streams.run_to_table(df, scratch_path(spark, "stream"), scratch_path(spark, "stream-state"))
+    return with_iso(done, "bucket_start").select(
+        "group_key", "bucket_start", "severity", "confidence", "priority", "attack_pattern", "event_count",
+        "error_count", "warning_count", "first_seen", "last_seen",
+    )
+
+
+# --- files: line scan, sinks ---------------------------------------------------------------
+
+
+@register(
+    "scan_lines_of_files",
+    v.with_views(*text_sql.lines("ssh"))
+    + """ SELECT count(*) AS lines, count(*) FILTER (WHERE trim(value) <> '') AS lines_not_blank, count(*) AS line_numbers,
+      true AS numbers_fill_each_file, count(*) FILTER (WHERE value LIKE 'not a log line%') AS bad_lines FROM lines""",
+)
+def _(spark, sf):
+    from triagelens.sources.lines import is_blank, number_lines, scan_lines
+
+    path = scratch_path(spark, "lines")
+    bridge.lines_of(spark, sf, "ssh").select("value").write.text(path)
+    numbered = number_lines(scan_lines(spark, path))
+    per_file = numbered.groupBy("path").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max("line_no").alias("last"),
+        F.count_distinct("line_no").alias("numbers"),
+        F.count_if(~is_blank(F.col("value"))).alias("not_blank"),
+    )
+    bad = src.ssh_rejects(scan_lines(spark, path), YEAR).agg(F.count(F.lit(1)))
+    return per_file.agg(
+        F.sum("n").alias("lines"),
+        F.sum("not_blank").alias("lines_not_blank"),
+        F.sum("numbers").alias("line_numbers"),
+        F.bool_and(F.col("n") == F.col("last")).alias("numbers_fill_each_file"),
+    ).withColumn("bad_lines", bad.scalar())
+
+
+@register(
+    "sink_results_as_json",
+    v.with_views(*v.feature_views(), ssh_sql.SCORED)
+    + """ SELECT session_id, ip, "user", event_count, round(error_ratio, 9) AS error_ratio, round(anomaly_score, 9) AS anomaly_score FROM scored""",
+)
+def _(spark, sf):
+    from triagelens.plans.sinks import write_json
+
+    path = scratch_path(spark, "json")
+    rows = ev.session_rows(scored(spark, sf))
+    write_json(rows, path)
+    back = spark.read.schema(rows.schema).json(path)
+    return nine(back, ["session_id", "ip", "user", "event_count", "error_ratio", "anomaly_score"])

@@ -106,7 +106,8 @@ def roll_up(clustered: DataFrame, min_sessions: int = 1) -> DataFrame:
     total = per_user.groupBy(*INCIDENT).agg(
         F.sum("n").alias("session_count"),
         F.sum("event_count").alias("total_events"),
-        (F.sum("score_sum") / F.sum("n")).alias("avg_anomaly_score"),
+        # to 12 places: a sum of doubles depends on the order of addition
+        F.round(F.sum("score_sum") / F.sum("n"), 12).alias("avg_anomaly_score"),
         F.sum("auth_failed").alias("auth_failed"),
         F.sum("auth_success").alias("auth_success"),
         F.max("streak").alias("auth_failed_streak_max"),

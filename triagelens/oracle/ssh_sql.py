@@ -83,7 +83,7 @@ user_mode AS (
     rolled = f"""
 rolled AS (
   SELECT 'ip:' || ip || '#' || cluster_index AS incident_id, ip, cluster_index, count(*) AS session_count,
-    sum(event_count)::BIGINT AS total_events, sum(anomaly_score) / count(*) AS avg_anomaly_score,
+    sum(event_count)::BIGINT AS total_events, round(sum(anomaly_score) / count(*), 12) AS avg_anomaly_score,
     sum(auth_failed)::BIGINT AS auth_failed, sum(auth_success)::BIGINT AS auth_success,
     CASE WHEN sum(auth_failed) + sum(auth_success) = 0 THEN 0.0::DOUBLE
          ELSE sum(auth_failed)::DOUBLE / (sum(auth_failed) + sum(auth_success))::DOUBLE END AS auth_fail_ratio,

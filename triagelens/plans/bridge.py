@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = once(
-        table(spark, sf_dir, "events"), "k", F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
-    )
+    return as_log_events(table(spark, sf_dir, "events"))
+
+
+def as_log_events(table_or_stream: DataFrame) -> DataFrame:
+    events = once(table_or_stream, "k", F.regexp_extract("props", "([0-9]+)", 1).cast("bigint"))
     return events.selectExpr(
         "event_id AS seq",
         f"timestamp_micros({ORIGIN} + (unix_micros(cast(ts AS timestamp)) - {ORIGIN}) div 24) AS ts",
@@ -115,7 +117,11 @@ def lines_of(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 def normalized_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalized events that reach every kind of grouping key."""
-    base = log_events(spark, sf_dir).selectExpr(
+    return as_normalized_events(log_events(spark, sf_dir))
+
+
+def as_normalized_events(events: DataFrame) -> DataFrame:
+    base = events.selectExpr(
         "seq",
         """CASE WHEN k = 42 THEN 'not-a-time' WHEN k = 43 THEN NULL
                 ELSE concat(date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), '.',
