@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: what counts as blank at the ends of a text (Unicode white space
-# and the four ASCII separators).
-BLANKS = r"[\s\x1c-\x1f]"
+# Fixed value: what counts as blank at the ends of a text.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{BLANKS}+|{BLANKS}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def blank_to_null(text: Column) -> Column:

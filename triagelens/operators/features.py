@@ -171,25 +171,53 @@ def _piece_summaries(rows: DataFrame, cut: list[str]) -> DataFrame:
 
 
 def _peak_rates(rows: DataFrame, window_seconds: float) -> DataFrame:
-    """Per (identity, slice): the most events in any closed window ending in it."""
+    """Per (identity, slice): the most events in any closed window ending in it.
+
+    An event counts from its instant until one window later.  Slices are one
+    window wide, so within a slice the events in the window are those of the
+    slice before that have not run out plus those of the slice so far: one
+    running sum over arrivals and departures, whatever the density.
+    """
     width = int(window_seconds * SECOND)
     status, level = F.col("status"), F.col("level")
+    names = ["all", "404", "5xx", "error"]
     instants = rows.groupBy(*KEYS, "slice", "us").agg(
         F.count(F.lit(1)).alias("n_all"),
         count_where(status == 404).alias("n_404"),
         count_where(_is_5xx(status)).alias("n_5xx"),
         count_where(level == "error").alias("n_error"),
     )
-    names = ["all", "404", "5xx", "error"]
-    reach = W.partitionBy(*KEYS, "into").orderBy("us").rangeBetween(-width, 0)
-    both = instants.withColumn("into", F.explode(F.array("slice", F.col("slice") + 1)))
-    counted = both.select(*KEYS, "slice", "into", *[F.sum(f"n_{n}").over(reach).alias(f"peak_{n}") for n in names])
+    moves = instants.select(
+        *KEYS,
+        F.explode(
+            F.array(
+                F.struct(F.col("slice").alias("at_slice"), F.col("us").alias("at"), F.lit(1).alias("sign")),
+                F.struct((F.col("slice") + 1).alias("at_slice"), (F.col("us") + width + 1).alias("at"), F.lit(-1).alias("sign")),
+            )
+        ).alias("m"),
+        *[f"n_{n}" for n in names],
+    ).select(*KEYS, "m.*", *[f"n_{n}" for n in names])
+    in_slice = W.partitionBy(*KEYS, "at_slice")
+    so_far = in_slice.orderBy("at").rangeBetween(W.unboundedPreceding, 0)
+    whole = in_slice.orderBy("at").rangeBetween(W.unboundedPreceding, W.unboundedFollowing)
+    leaving = F.col("sign") < 0
+    counted = moves.select(
+        *KEYS,
+        "at_slice",
+        "sign",
+        *[
+            (
+                F.sum(F.col("sign") * F.col(f"n_{n}")).over(so_far)
+                + F.coalesce(F.sum(F.when(leaving, F.col(f"n_{n}"))).over(whole), F.lit(0))
+            ).alias(f"peak_{n}")
+            for n in names
+        ],
+    )
     return (
-        counted.where("into = slice")
-        .withColumnRenamed("into", "at")
-        .groupBy(*KEYS, "at")
+        counted.where("sign > 0")
+        .groupBy(*KEYS, "at_slice")
         .agg(*[F.max(f"peak_{n}").alias(f"peak_{n}") for n in names])
-        .withColumnRenamed("at", "slice")
+        .withColumnRenamed("at_slice", "slice")
     )
 
 

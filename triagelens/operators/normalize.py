@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelens.functions.text import blank_to_null, first_match, iso_text, once, strip
+from triagelens.sources.lines import captures, group
 from triagelens.sources.mapping import FieldMapping
 
 # For each field, the record names it is read from, in order.
@@ -40,82 +41,136 @@ ISO_DATE_TIME = (
 # --- values of a record ----------------------------------------------------
 
 
-def _text(value: Column) -> Column:
-    plain = value.cast("string")
-    return F.when(F.schema_of_variant(value) == "BOOLEAN", F.initcap(plain)).otherwise(plain)
+def _typed(value: Column) -> Column:
+    return F.struct(F.schema_of_variant(value).alias("kind"), value.cast("string").alias("plain"))
 
 
-def _truthy(value: Column) -> Column:
-    """Text of a value that counts as present: not null, empty, zero or false."""
-    kind, plain = F.schema_of_variant(value), value.cast("string")
-    falsy = (
-        plain.isNull()
-        | ((kind == "BOOLEAN") & (plain == "false"))
-        | (kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (plain.try_cast("double") == 0))
-        | ((kind == "STRING") & (plain == ""))
-        | (kind.startswith("ARRAY") & (plain == "[]"))
-        | (kind.startswith("OBJECT") & (plain == "{}"))
+def _text(typed: Column) -> Column:
+    """Plain text of one typed value: strings as they are, the rest as JSON."""
+    return F.when(typed["kind"] == "BOOLEAN", F.initcap(typed["plain"])).otherwise(typed["plain"])
+
+
+def _present(typed: Column) -> Column:
+    """Whether a value counts as given: not null, empty, zero or false."""
+    kind, plain = typed["kind"], typed["plain"]
+    return (
+        F.when(plain.isNull(), False)
+        .when(kind == "STRING", plain != "")
+        .when(kind == "BOOLEAN", plain == "true")
+        .when(kind.startswith("ARRAY"), plain != "[]")
+        .when(kind.startswith("OBJECT"), plain != "{}")
+        .otherwise(F.coalesce(plain.try_cast("double") != 0, F.lit(True)))
     )
-    return F.when(~falsy, _text(value))
 
 
 # --- mapping ----------------------------------------------------------------
 
-
-def _replace(record: Column, overlay: Column) -> Column:
-    """``record`` with the non-null entries of ``overlay`` put over it."""
-    kept = F.map_filter(overlay, lambda k, v: v.isNotNull())
-    rest = F.map_filter(record, lambda k, v: ~F.map_contains_key(overlay, k) | F.element_at(overlay, k).isNull())
-    return F.map_concat(rest, kept)
+# A record is two columns: ``plain``, a map of texts, and ``record``, the same
+# map with typed values, filled only where a text does not tell its type.
+# Every step below works on a map column made by the step before: a lambda
+# repeats an expression it uses for each entry, and is not compiled.
 
 
 def _pairs(items: dict[str, Column]) -> Column:
     return F.create_map(*[x for name, value in items.items() for x in (F.lit(name), value)])
 
 
-def apply_mapping(record: Column, mapping: FieldMapping | None) -> Column:
+def _replace_column(df: DataFrame, column: str, value: Column, *drop: str) -> DataFrame:
+    return once(df, "_new", value).drop(column, *drop).withColumnRenamed("_new", column)
+
+
+def _put(df: DataFrame, column: str, over: dict[str, Column], keep_null: bool) -> DataFrame:
+    """The entries of ``over`` put over a map column; null ones only if kept."""
+    out = once(df, "_over", F.when(F.col(column).isNotNull(), _pairs(over)))
+    if not keep_null:
+        out = _replace_column(out, "_over", F.map_filter("_over", lambda k, v: v.isNotNull()))
+    out = once(out, "_keys", F.map_keys("_over"))
+    out = once(out, "_rest", F.map_filter(column, lambda k, v: ~F.array_contains("_keys", k)))
+    return _replace_column(out, column, F.map_concat("_rest", "_over"), "_over", "_keys", "_rest")
+
+
+def _add_absent(df: DataFrame, column: str, defaults: dict[str, Column]) -> DataFrame:
+    out = once(df, "_have", F.map_keys(column))
+    out = once(out, "_add", F.when(F.col(column).isNotNull(), _pairs(defaults)))
+    out = _replace_column(out, "_add", F.map_filter("_add", lambda k, v: ~F.array_contains("_have", k)))
+    return _replace_column(out, column, F.map_concat(column, "_add"), "_have", "_add")
+
+
+def _given(column: str, name: str) -> Column:
+    """A value that is there and not null, of either map."""
+    value = F.try_element_at(column, F.lit(name))
+    return F.when(~F.is_variant_null(value), value) if column == "record" else value
+
+
+def apply_mapping(df: DataFrame, mapping: FieldMapping | None) -> DataFrame:
     """Mapped fields over defaults over the record's own names.
 
     A default applies only where the name is absent; a source name is skipped
     when absent or null, but an empty text is taken.
     """
     if mapping is None:
-        return record
-    out = record
-    if mapping.defaults:
-        defaults = {name: F.parse_json(F.lit(json.dumps(value))) for name, value in mapping.defaults.items()}
-        out = F.map_concat(
-            F.map_filter(_pairs(defaults), lambda k, v: ~F.map_contains_key(record, k)), record
-        )
-    if mapping.fields:
-        taken = {}
-        for target, names in mapping.fields.items():
-            found = [F.try_element_at(record, F.lit(n)) for n in names]
-            taken[target] = F.coalesce(*[F.when(~F.is_variant_null(v), v) for v in found])
-        out = _replace(out, _pairs(taken))
+        return df
+    out = df
+    for column in ("plain", "record"):
+        taken = {t: F.coalesce(*[_given(column, n) for n in names]) for t, names in mapping.fields.items()}
+        held = f"_from_{column}"
+        if taken:  # read from the record as it came, before defaults
+            out = once(out, held, F.struct(*[v.alias(t) for t, v in taken.items()]))
+        if mapping.defaults:
+            out = _add_absent(out, column, {n: _default(column, v) for n, v in mapping.defaults.items()})
+        if taken:
+            out = _put(out, column, {t: F.col(held)[t] for t in taken}, keep_null=False).drop(held)
     return out
 
 
-def apply_flat_mapping(record: Column, mapping: FieldMapping | None) -> Column:
+def _default(column: str, value) -> Column:
+    if column == "record":
+        return F.parse_json(F.lit(json.dumps(value)))
+    return F.lit(value if value is None or isinstance(value, str) else json.dumps(value)).cast("string")
+
+
+def apply_flat_mapping(df: DataFrame, mapping: FieldMapping | None) -> DataFrame:
     """Each target is its first source name, null included."""
     if mapping is None or not mapping.fields:
-        return record
-    null = F.parse_json(F.lit("null"))
-    taken = {
-        target: F.coalesce(F.try_element_at(record, F.lit(name)), null)
-        for target, name in mapping.first_names().items()
-    }
-    return _replace(record, _pairs(taken))
+        return df
+    out, null = df, F.parse_json(F.lit("null"))
+    for column in ("plain", "record"):
+        taken = {t: F.try_element_at(column, F.lit(n)) for t, n in mapping.first_names().items()}
+        if column == "record":
+            taken = {t: F.coalesce(v, null) for t, v in taken.items()}
+        out = _put(out, column, taken, keep_null=True)
+    return out
+
+
+# Texts that mean something else as a string than as a JSON value.
+TYPE_MATTERS = ["true", "false", "0", "-0", "0.0", "-0.0", "[]", "{}"]
+
+
+def names_read(mapping: FieldMapping | None) -> list[str]:
+    names = [a for aliases in FIELD_ALIASES.values() for a in aliases] + ["status_code", "raw_message"]
+    return names + [n for listed in (mapping.fields.values() if mapping else []) for n in listed]
+
+
+def needs_types(plain: Column, mapping: FieldMapping | None) -> Column:
+    """Whether a field that is read has a text whose JSON type matters."""
+    names = names_read(mapping)
+    status = ["status_code", *(mapping.fields.get("status_code", []) if mapping else [])]
+    return F.exists(
+        F.map_entries(plain),
+        lambda e: (e["value"].isin(TYPE_MATTERS) & e["key"].isin(names))
+        | (e["key"].isin(status) & e["value"].rlike("[.eE]")),
+    )
 
 
 # --- time -------------------------------------------------------------------
 
 
-def iso_timestamp(raw: Column) -> Column:
-    """ISO text in one form where ``raw`` is an ISO time; other text unchanged."""
-    text = blank_to_null(raw)
-    parts = [F.regexp_extract(text, ISO_DATE_TIME, i) for i in range(1, 8)]
-    date, clock, second, fraction, zulu, zone_hour, zone_minute = parts
+def with_iso_timestamp(df: DataFrame, raw: Column) -> DataFrame:
+    """Adds ``timestamp``: ISO text in one form where ``raw`` is an ISO time,
+    other text unchanged; and ``event_ts``: its instant, null for other text."""
+    out = once(df, "_text", blank_to_null(raw))
+    out = once(out, "_iso", captures(F.col("_text"), ISO_DATE_TIME, 7))
+    date, clock, second, fraction, zulu, zone_hour, zone_minute = [group("_iso", i) for i in range(1, 8)]
     whole = F.concat(
         date,
         F.lit("T"),
@@ -129,8 +184,13 @@ def iso_timestamp(raw: Column) -> Column:
         F.when((fraction == "") | (micros == "000000"), "").otherwise(F.concat(F.lit("."), micros)),
         F.when(zulu != "", "+00:00").when(zone_hour != "", F.concat(zone_hour, F.lit(":"), zone_minute)).otherwise(""),
     )
-    valid = (date != "") & F.try_to_timestamp(whole, F.lit("yyyy-MM-dd'T'HH:mm:ss")).isNotNull()
-    return F.when(valid, shown).otherwise(text)
+    real = F.try_to_timestamp(whole, F.lit("yyyy-MM-dd'T'HH:mm:ss")).isNotNull()
+    out = once(out, "_shown", F.when(real, shown))
+    return out.select(
+        *df.columns,
+        F.coalesce("_shown", "_text").alias("timestamp"),
+        F.col("_shown").try_cast("timestamp").alias("event_ts"),
+    )
 
 
 def event_time(iso: Column) -> Column:
@@ -141,26 +201,33 @@ def event_time(iso: Column) -> Column:
 # --- record to event --------------------------------------------------------
 
 
-def _read_names(aliases: list[str]) -> Column:
+def _read_names(aliases: list[str]) -> list[Column]:
     """The names read for one field: up to the first with a value, else all."""
-    names = F.array(*[F.lit(a) for a in aliases])
-    first = F.array_position(F.transform(names, lambda a: F.map_contains_key(F.col("valued"), a)), True)
-    return F.slice(names, 1, F.when(first == 0, len(aliases)).otherwise(first).cast("int"))
+    names = [F.lit(aliases[0])]
+    missing = F.lit(True)
+    for before, alias in zip(aliases, aliases[1:]):
+        missing = missing & F.try_element_at("valued", F.lit(before)).isNull()
+        names.append(F.when(missing, F.lit(alias)))
+    return names
 
 
-def from_record(df: DataFrame, record: Column, source_type: str) -> DataFrame:
-    """Read the event fields of ``record``; what is left becomes ``extra``.
+def from_record(df: DataFrame, source_type: str) -> DataFrame:
+    """Read the event fields of a record; what is left becomes ``extra``.
 
     Names are used up to the first one with a value; the later ones stay in
     ``extra``.  If none has a value the last one counts as read.
     """
-    base = once(df, "_record", record).select("seq", F.col("_record").alias("record"))
-    # the typed values are looked at once; all lookups below are on plain maps
-    plain = once(base, "plain", F.transform_values("record", lambda k, v: _text(v)))
+    typed = once(df.select("seq", "plain", "record"), "typed", F.transform_values("record", lambda k, v: _typed(v)))
+    shown = _replace_column(
+        typed, "plain", F.coalesce(F.transform_values("typed", lambda k, v: _text(v)), F.col("plain"))
+    )
     plain = once(
-        plain,
+        shown,
         "valued",
-        F.map_filter(F.transform_values("record", lambda k, v: _truthy(v)), lambda k, v: v.isNotNull()),
+        F.when(
+            F.col("typed").isNotNull(),
+            F.transform_values(F.map_filter("typed", lambda k, v: _present(v)), lambda k, v: _text(v)),
+        ).otherwise(F.map_filter("plain", lambda k, v: v != "")),
     )
     fields = {
         name: F.coalesce(
@@ -168,13 +235,13 @@ def from_record(df: DataFrame, record: Column, source_type: str) -> DataFrame:
         )
         for name, aliases in FIELD_ALIASES.items()
     }
-    used = F.flatten(F.array(*[_read_names(aliases) for aliases in FIELD_ALIASES.values()]))
+    used = [name for aliases in FIELD_ALIASES.values() for name in _read_names(aliases)]
     picked = plain.select(
         "seq",
         "plain",
-        F.schema_of_variant(F.try_element_at("record", F.lit("status_code"))).alias("status_kind"),
+        F.coalesce(F.try_element_at("typed", F.lit("status_code"))["kind"], F.lit("STRING")).alias("status_kind"),
         *[value.alias(name) for name, value in fields.items()],
-        F.array_append(used, F.lit("status_code")).alias("used"),
+        F.array_compact(F.array(*used, F.lit("status_code"))).alias("used"),
         F.try_element_at("plain", F.lit("status_code")).alias("status_code_raw"),
         F.try_element_at("plain", F.lit("raw_message")).alias("raw_message"),
     )
@@ -184,17 +251,18 @@ def from_record(df: DataFrame, record: Column, source_type: str) -> DataFrame:
         .when(F.col("status_kind") == "STRING", strip(raw).try_cast("int"))
         .otherwise(raw.try_cast("double").try_cast("int"))
     )
-    shaped = once(picked.withColumnRenamed("timestamp", "_raw_time"), "timestamp", iso_timestamp(F.col("_raw_time"))).select(
+    timed = with_iso_timestamp(picked.withColumnRenamed("timestamp", "raw_time"), F.col("raw_time"))
+    return timed.select(
         "seq",
-        F.lit(source_type).alias("source_type"),
+        "event_ts",
+        "status_code_raw",
         "timestamp",
+        F.lit(source_type).alias("source_type"),
         blank_to_null(F.coalesce("raw_message", "message")).alias("raw_message"),
         *[blank_to_null(F.col(name)).alias(name) for name in FIELD_ALIASES if name != "timestamp"],
         status.alias("status_code"),
-        "status_code_raw",
         F.map_filter("plain", lambda k, v: ~F.array_contains("used", k)).alias("extra"),
-    )
-    return shaped.withColumn("event_ts", event_time(F.col("timestamp"))).select(*NORMALIZED)
+    ).select(*NORMALIZED)
 
 
 # --- parsed events to normalized events -------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from triagelens.session import needs_skew_plan
+from triagelens.session import needs_skew_plan, stage
 
 SAMPLE = 8192
 
@@ -25,10 +25,8 @@ def range_bounds(df: DataFrame, column: str, ranges: int) -> list:
     return values[step::step]
 
 
-def with_range(df: DataFrame, column: str, skew_safe: bool | None, ranges: int | None = None) -> DataFrame:
-    """Adds ``range_no``; a single range when the input is small."""
-    if not needs_skew_plan(df, skew_safe):
-        return df.withColumn("range_no", F.lit(0))
+def with_range(df: DataFrame, column: str, ranges: int | None = None) -> DataFrame:
+    """Adds ``range_no``: the number of bounds at or below the value."""
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = range_bounds(df, column, n)
     if not bounds:
@@ -42,9 +40,13 @@ def running_total(
 ) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over all rows with a smaller ``column``.
 
-    ``column`` must be unique.
+    ``column`` must be unique.  A small input is one sorted run; a large one is
+    staged, split into ranges, and each range gets the total of those before.
     """
-    ranged = with_range(df.withColumn("_value", value), column, skew_safe, ranges)
+    if not needs_skew_plan(df, skew_safe):
+        before = W.orderBy(column).rowsBetween(W.unboundedPreceding, -1)
+        return df.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0)))
+    ranged = with_range(stage(df.withColumn("_value", value), "ranked"), column, ranges)
     inside = W.partitionBy("range_no").orderBy(column).rowsBetween(W.unboundedPreceding, -1)
     local = ranged.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
     # one row per range: a few hundred at most
@@ -66,13 +68,21 @@ def add_threshold(
     ranges: int | None = None,
 ) -> DataFrame:
     """Adds ``anomaly_percentile`` (average rank of ties, in percent of the rows)
-    and ``is_anomalous``."""
-    counts = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_total(counts, score, F.col("_n"), "_before", skew_safe, ranges)
-    rows = df.select(F.count(score).alias("n"))
-    percentile = (F.col("_before") + (F.col("_n") + 1) / 2.0) / rows.scalar() * 100.0
-    levels = ranked.select(F.col(score).alias("_score"), percentile.alias("anomaly_percentile"))
-    out = df.join(levels, df[score] == levels["_score"], "left").drop("_score")
+    and ``is_anomalous``.  Rows without a score have neither rank nor flag."""
+    known = F.col(score).isNotNull()
+    if not needs_skew_plan(df, skew_safe):
+        below = F.rank().over(W.partitionBy(known).orderBy(score)) - 1
+        ties = F.count(score).over(W.partitionBy(known, score))
+        rows = F.count(score).over(W.partitionBy(known))
+        out = df.withColumn("anomaly_percentile", F.when(known, (below + (ties + 1) / 2.0) / rows * 100.0))
+    else:
+        # ranks are found on one row per distinct score
+        counts = df.where(known).groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
+        ranked = running_total(counts, score, F.col("_n"), "_before", True, ranges)
+        rows = df.select(F.count(score)).scalar()
+        percentile = (F.col("_before") + (F.col("_n") + 1) / 2.0) / rows * 100.0
+        levels = ranked.select(F.col(score).alias("_score"), percentile.alias("anomaly_percentile"))
+        out = df.join(levels, df[score] == levels["_score"], "left").drop("_score")
     return out.withColumn(
         "is_anomalous", F.coalesce(F.col("anomaly_percentile") >= threshold_percentile, F.lit(False))
     )

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelens.functions.text import once
+from triagelens.session import widen
 from triagelens.operators.normalize import NORMALIZED, event_time
 
 ORIGIN = 1_704_067_200_000_000  # 2024-01-01 in microseconds
@@ -21,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_log_events(table(spark, sf_dir, "events"))
+    return as_log_events(widen(table(spark, sf_dir, "events"), "event_id"))
 
 
 def as_log_events(table_or_stream: DataFrame) -> DataFrame:

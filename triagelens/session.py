@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 # Inputs below this many bytes fit comfortably in one task's sort, so an
 # operator may use its one-pass plan; above it the skew-safe plan is used.
 ONE_PASS_BYTES = 1 << 30
+# Inputs below this many bytes may be one split and are spread over the cores.
+SPREAD_BYTES = 256 << 20
 
 
 def build_session(app: str = "triagelens", master: str | None = None, conf: dict | None = None) -> SparkSession:
@@ -71,3 +73,14 @@ def leaf_bytes(df: DataFrame) -> int:
 def needs_skew_plan(df: DataFrame, choice: bool | None = None) -> bool:
     """``choice`` if given, else decided from the size of the input."""
     return choice if choice is not None else leaf_bytes(df) > ONE_PASS_BYTES
+
+
+def widen(df: DataFrame, key: str) -> DataFrame:
+    """Spread a small input of few splits over the cores.
+
+    Parsing a line costs far more than moving it, and a small table may be a
+    single split.  Inputs above ``SPREAD_BYTES`` have splits enough and are left
+    alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if leaf_bytes(df) < SPREAD_BYTES else df

@@ -1,7 +1,7 @@
 """JSON-lines and syslog lines to records, then to normalized events.
 
-A record is a ``map<string, variant>``: field names with typed JSON values, so
-that null, empty, false and zero stay distinguishable until aliases are chosen.
+A record is a map of texts, and where the type of a value matters (false and
+zero count as absent, the texts "false" and "0" do not) also one of variants.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelens.functions.text import blank_to_null, iso_text, once, strip
-from triagelens.operators.normalize import apply_flat_mapping, apply_mapping, from_record
+from triagelens.operators.normalize import apply_flat_mapping, apply_mapping, from_record, needs_types
 from triagelens.sources.events import month_day_time
 from triagelens.sources.lines import captures, group, is_blank, quarantine
 from triagelens.sources.mapping import build_mapping
@@ -54,31 +54,33 @@ def _typed(lines: DataFrame) -> DataFrame:
     return once(typed, "kind", F.when(single, shape).otherwise("invalid"))
 
 
-def _json(lines: DataFrame) -> DataFrame:
-    """Non-blank lines with ``kind`` and ``record`` (null unless one object)."""
+def _json(lines: DataFrame, mapping=None) -> DataFrame:
+    """Non-blank lines with ``kind`` and, for an object, ``plain`` and ``record``."""
     typed = _typed(lines.where(~is_blank(F.col("value"))))
-    record = F.when(F.col("kind") == "OBJECT", F.expr(f"try_variant_get(doc, '$[0]', '{RECORD}')"))
-    return once(typed, "record", record).drop("doc")
+    is_object = F.col("kind") == "OBJECT"
+    out = once(typed, "plain", F.when(is_object, F.from_json("value", "map<string,string>")))
+    typed_map = F.expr(f"try_variant_get(doc, '$[0]', '{RECORD}')")
+    return once(out, "record", F.when(needs_types(F.col("plain"), mapping), typed_map)).drop("doc")
 
 
 def parse_jsonl(lines: DataFrame, mapping=None) -> DataFrame:
     """One object per line; each field takes the first of its mapped names that is not null."""
     plan = build_mapping(mapping)
-    good = _json(lines).where(F.col("record").isNotNull())
+    good = _json(lines, plan).where(F.col("plain").isNotNull())
     source_type = (plan.source_type if plan else None) or "generic_jsonl"
-    return from_record(good, apply_mapping(F.col("record"), plan), source_type)
+    return from_record(apply_mapping(good, plan), source_type)
 
 
 def parse_jsonl_flat(lines: DataFrame, mapping=None) -> DataFrame:
     """First name only, and its null is kept; an invalid line fails the job."""
     plan = build_mapping(mapping)
-    strict = _json(lines).withColumn(
-        "record",
-        F.when(F.col("kind") == "invalid", F.raise_error(F.concat(F.lit("invalid JSON line: "), F.col("value"))).cast(RECORD))
-        .otherwise(F.col("record")),
+    message = F.concat(F.lit("invalid JSON line: "), F.col("value"))
+    strict = once(
+        _json(lines, plan),
+        "checked",
+        F.when(F.col("kind") == "invalid", F.raise_error(message).cast("boolean")).otherwise(F.col("kind") == "OBJECT"),
     )
-    good = strict.where(F.col("record").isNotNull())
-    return from_record(good, apply_flat_mapping(F.col("record"), plan), "generic_jsonl")
+    return from_record(apply_flat_mapping(strict.where("checked"), plan), "generic_jsonl")
 
 
 def jsonl_rejects(lines: DataFrame) -> DataFrame:
@@ -102,13 +104,13 @@ def jsonl_rejects(lines: DataFrame) -> DataFrame:
 # --- syslog ---------------------------------------------------------------
 
 
-def _variant(value: Column) -> Column:
-    """A plain value as variant; null becomes the JSON null (the key exists)."""
-    return F.coalesce(value.cast("variant"), F.parse_json(F.lit("null")))
+def _record(**fields: Column) -> Column:
+    return F.create_map(*[x for name, value in fields.items() for x in (F.lit(name), value.cast("string"))])
 
 
-def _record(**fields: Column) -> Column:
-    return F.create_map(*[x for name, value in fields.items() for x in (F.lit(name), value)])
+def _as_record(df: DataFrame, plain: Column) -> DataFrame:
+    """Syslog values are texts and positive numbers: their types never matter."""
+    return once(df, "plain", plain).withColumn("record", F.lit(None).cast(RECORD))
 
 
 def syslog_time(text: Column, year: int) -> Column:
@@ -136,20 +138,22 @@ def parse_syslog(lines: DataFrame, mapping=None, year: int = 2005) -> DataFrame:
     content = blank_to_null(group("tag", 3))
     when_ = F.coalesce(F.concat(iso_text(F.col("at")), F.lit("+00:00")), strip(group("m", 2)))
     base = _record(
-        timestamp=_variant(when_),
-        host=_variant(group("m", 3)),
-        raw_message=_variant(F.col("value")),
-        severity=_variant(severity_name(F.col("pri"), SEVERITY_NAMES)),
-        event_category=_variant(F.lit("syslog")),
-        message=_variant(F.coalesce(content, "msg")),
-        service=group("tag", 1).cast("variant"),
-        pid=F.nullif(group("tag", 2), F.lit("")).cast("variant"),
-        pri=F.col("pri").cast("variant"),
-        facility=facility(F.col("pri")).cast("variant"),
+        timestamp=when_,
+        host=group("m", 3),
+        raw_message=F.col("value"),
+        severity=severity_name(F.col("pri"), SEVERITY_NAMES),
+        event_category=F.lit("syslog"),
+        message=F.coalesce(content, "msg"),
+        service=group("tag", 1),
+        pid=F.nullif(group("tag", 2), F.lit("")),
+        pri=F.col("pri"),
+        facility=facility(F.col("pri")),
     )
-    record = F.map_filter(base, lambda k, v: v.isNotNull())
+    # no pid or priority means no such name; no severity means a null one
+    optional = ["service", "pid", "pri", "facility"]
+    kept = F.map_filter(base, lambda k, v: v.isNotNull() | ~k.isin(optional))
     source_type = (plan.source_type if plan else None) or "generic_syslog"
-    return from_record(once(parts, "record", record), apply_mapping(F.col("record"), plan), source_type)
+    return from_record(apply_mapping(_as_record(parts, kept), plan), source_type)
 
 
 def syslog_rejects(lines: DataFrame) -> DataFrame:
@@ -177,14 +181,14 @@ def parse_syslog_simple(lines: DataFrame, year: int = 2005) -> DataFrame:
     )
     has_colon = F.col("colon") > 0
     record = _record(
-        timestamp=_variant(iso_text(F.col("at"))),
-        host=_variant(F.col("host")),
-        message=_variant(F.when(has_colon, strip(F.expr("substr(body, colon + 1)"))).otherwise(F.col("body"))),
-        severity=_variant(severity_name(F.col("pri"), SEVERITY_SHORT)),
-        service=_variant(F.when(has_colon, blank_to_null(F.expr("substr(body, 1, colon - 1)")))),
-        facility=_variant(facility(F.col("pri"))),
+        timestamp=iso_text(F.col("at")),
+        host=F.col("host"),
+        message=F.when(has_colon, strip(F.expr("substr(body, colon + 1)"))).otherwise(F.col("body")),
+        severity=severity_name(F.col("pri"), SEVERITY_SHORT),
+        service=F.when(has_colon, blank_to_null(F.expr("substr(body, 1, colon - 1)"))),
+        facility=facility(F.col("pri")),
     )
-    return from_record(once(parts, "record", record), F.col("record"), "generic_jsonl")
+    return from_record(_as_record(parts, record), "generic_jsonl")
 
 
 def syslog_simple_rejects(lines: DataFrame, year: int = 2005) -> DataFrame:
