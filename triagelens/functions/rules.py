@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from triagelens.functions.text import first_match, half_even, present, text
+from triagelens.functions.text import first_match, present, text
 
 # Ordinal ranks and scores of the levels.
 LEVEL_RANK = {"low": 1, "medium": 2, "high": 3}
@@ -165,7 +165,7 @@ def priority_score(severity: Column, confidence: Column) -> Column:
     """Half-even rounding: 50 x 85 / 100 = 42.5 is 42."""
     sev = F.greatest(rank_of(severity, SEVERITY_SCORE), F.lit(SEVERITY_SCORE["low"]))
     conf = F.greatest(rank_of(confidence, CONFIDENCE_SCORE), F.lit(CONFIDENCE_SCORE["low"]))
-    return half_even((sev * conf) / F.lit(100.0), 0).cast("bigint")
+    return F.bround((sev * conf) / F.lit(100.0)).cast("bigint")
 
 
 def priority_band(score: Column) -> Column:

@@ -370,12 +370,15 @@ def _spread(column: str) -> Column:
     return F.coalesce(F.col(column), F.concat(F.lit("\x01"), salt))
 
 
-def with_identity_baselines(sessions: DataFrame) -> DataFrame:
-    """First-seen and rarely-seen flags, baseline and deviation, by ip and user."""
+def with_identity_baselines(sessions: DataFrame, all_sessions: DataFrame | None = None) -> DataFrame:
+    """First-seen and rarely-seen flags, baseline and deviation, by ip and user.
+
+    ``all_sessions`` may be a cheaper frame of the same sessions to count from.
+    """
     out = sessions
     for column in ("ip", "user"):
         known = F.col(column).isNotNull()
-        base = identity_baseline(sessions, column).select(
+        base = identity_baseline(all_sessions if all_sessions is not None else sessions, column).select(
             F.col(column).alias("_key"),
             F.col("session_count").alias("_sessions"),
             F.col("first_seen").alias("_first"),
@@ -426,9 +429,12 @@ def session_features(
     if rates:
         pieces_df = pieces_df.join(_peak_rates(rows, window_seconds), [*KEYS, "slice"])
     out = _session_values(_join_pieces(pieces_df, cut, gap_minutes), rates)
+    slices = rows.groupBy(*KEYS, "slice").agg(
+        F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("n")
+    )
+    numbered = number_sessions(slices, gap_minutes, ["slice"])
     if "rarity" in parts:
-        slices = rows.groupBy(*KEYS, "slice").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"))
-        session_of = number_sessions(slices, gap_minutes, ["slice"]).select(*SESSION, "slice")
+        session_of = numbered.select(*SESSION, "slice")
         zero = lambda name: F.coalesce(F.col(name), F.lit(0))
         out = out.join(_value_rarity(rows, session_of), SESSION, "left").withColumns(
             {
@@ -441,5 +447,8 @@ def session_features(
             }
         ).drop("rare_paths", "path_events", "rare_messages", "message_events")
     if "identity" in parts:
-        out = with_identity_baselines(out)
+        light = numbered.groupBy(*SESSION).agg(
+            F.sum("n").alias("event_count"), F.timestamp_micros(F.min("first_us")).alias("start_time")
+        )
+        out = with_identity_baselines(out, light.select("event_count", "start_time", *identity_columns()))
     return out

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from triagelens.functions import rules
-from triagelens.functions.text import blank_to_null, count_where, empty_to_null, text
+from triagelens.functions.text import blank_to_null, count_where, empty_to_null, once, text
 from triagelens.operators.ranking import running_total
 
 GROUP = ["group_key", "bucket"]
@@ -107,14 +107,14 @@ def generic_groups(grouped: DataFrame) -> DataFrame:
 
 def classify_generic(groups: DataFrame) -> DataFrame:
     n, errors, warnings = F.col("event_count"), F.col("error_count"), F.col("warning_count")
-    graded = groups.withColumns(
+    graded = once(groups, "severity", rules.generic_severity(n, errors, warnings))
+    graded = once(graded, "confidence", rules.generic_confidence(n, errors))
+    return graded.withColumns(
         {
-            "severity": rules.generic_severity(n, errors, warnings),
-            "confidence": rules.generic_confidence(n, errors),
             "attack_pattern": rules.generic_pattern(errors, warnings, F.col("any_login_failed")),
+            "priority": rules.generic_priority(F.col("severity"), F.col("confidence")),
         }
     )
-    return graded.withColumn("priority", rules.generic_priority(F.col("severity"), F.col("confidence")))
 
 
 def summary_title() -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from triagelens.functions import rules
-from triagelens.functions.text import ratio, text
+from triagelens.functions.text import once, ratio, text
 from triagelens.operators.sessions import SECOND, SESSION, slice_of
 from triagelens.session import needs_skew_plan
 
@@ -119,10 +119,10 @@ def roll_up(clustered: DataFrame, min_sessions: int = 1) -> DataFrame:
         F.max(F.greatest("last_end", "last_start")).alias("last_seen"),
     )
     kept = total.where(F.col("session_count") >= min_sessions)
+    kept = once(kept, "auth_fail_ratio", ratio(F.col("auth_failed"), F.col("auth_failed") + F.col("auth_success")))
     return classify(
         kept.withColumn("primary_user", F.col("top.user"))
         .withColumn("user", F.col("top.user"))
-        .withColumn("auth_fail_ratio", ratio(F.col("auth_failed"), F.col("auth_failed") + F.col("auth_success")))
         .withColumn("has_success_after_failures", (F.col("auth_failed") > 0) & (F.col("auth_success") > 0))
         .withColumn("incident_id", incident_id(F.col("ip"), F.col("cluster_index")))
         .drop("top")
@@ -139,14 +139,16 @@ def classify(incidents: DataFrame) -> DataFrame:
     )
     graded = incidents.withColumns(
         {
-            "severity": rules.ssh_severity(*core, *tail),
             "severity_reason": rules.ssh_severity_reason(*core, *tail),
-            "confidence": rules.ssh_confidence(*core, c("session_count"), *tail),
             "confidence_reason": rules.ssh_confidence_reason(*core, c("session_count"), *tail),
             "attack_pattern": rules.ssh_pattern(*pattern),
             "attack_pattern_reason": rules.ssh_pattern_reason(*pattern),
         }
-    ).withColumn("priority_score", rules.priority_score(c("severity"), c("confidence")))
+    )
+    # severity and confidence feed several columns
+    graded = once(graded, "severity", rules.ssh_severity(*core, *tail))
+    graded = once(graded, "confidence", rules.ssh_confidence(*core, c("session_count"), *tail))
+    graded = once(graded, "priority_score", rules.priority_score(c("severity"), c("confidence")))
     return graded.withColumns(
         {
             "priority": rules.priority_band(c("priority_score")),

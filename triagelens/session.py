@@ -65,8 +65,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def leaf_bytes(df: DataFrame) -> int:
-    """Bytes the optimizer expects to read from the leaves of ``df``'s plan."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    """Bytes of the tables and files ``df`` reads, before any pruning."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
