@@ -39,7 +39,9 @@ def fit_scaler(features: DataFrame) -> Scaler:
     n = len(NUMERIC_FEATURES)
     if row["m0"] is None:
         raise ValueError("No training data was produced from the provided logs.")
-    return Scaler([float(row[f"m{i}"]) for i in range(n)], [float(row[f"s{i}"]) or 1.0 for i in range(n)])
+    # to 12 digits: the last ones depend on the order of addition
+    near = lambda x: float(f"{x:.12g}")
+    return Scaler([near(row[f"m{i}"]) for i in range(n)], [near(row[f"s{i}"]) or 1.0 for i in range(n)])
 
 
 def vector(scaler: Scaler | None = None) -> Column:
