@@ -39,9 +39,13 @@ def fit_scaler(features: DataFrame) -> Scaler:
     n = len(NUMERIC_FEATURES)
     if row["m0"] is None:
         raise ValueError("No training data was produced from the provided logs.")
-    # to 12 digits: the last ones depend on the order of addition
-    near = lambda x: float(f"{x:.12g}")
-    return Scaler([near(row[f"m{i}"]) for i in range(n)], [near(row[f"s{i}"]) or 1.0 for i in range(n)])
+    # to 9 digits, and no mean or deviation that is only rounding: the last digits
+    # of a sum depend on the order of addition
+    near = lambda x: float(f"{x:.9g}")
+    mean = [near(row[f"m{i}"]) for i in range(n)]
+    spread = [near(row[f"s{i}"]) for i in range(n)]
+    scale = [s if s > 1e-9 * max(1.0, abs(m)) else 1.0 for m, s in zip(mean, spread)]
+    return Scaler([m if abs(m) > 1e-9 * s else 0.0 for m, s in zip(mean, scale)], scale)
 
 
 def vector(scaler: Scaler | None = None) -> Column:
