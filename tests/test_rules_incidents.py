@@ -226,3 +226,24 @@ def test_apache_report_and_totals(spark):
     flags = spark.createDataFrame([(True,), (True,), (False,)], "is_anomalous boolean")
     assert tuple(rep.session_totals(flags).first()) == (3, 2, 66.67)
     assert tuple(rep.session_totals(flags.limit(0)).first()) == (0, 0, 0.0)
+
+
+def test_percentiles_by_rank(spark):
+    import numpy as np
+
+    from triagelens.session import lowest_hash
+
+    rng = random.Random(7)
+    values = [rng.choice([0.0, 1.0, rng.random()]) for _ in range(777)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    want = [float(np.percentile(values, p)) for p in (5, 50, 95, 100)]
+    for skew_safe in (False, True):
+        assert np.allclose(rank.percentiles(df, "x", [0.05, 0.5, 0.95, 1.0], skew_safe, ranges=6), want)
+    ids = spark.range(0, 20000, 1, 7)
+    few = {r.id for r in lowest_hash(ids, ["id"], 1000).collect()}
+    exact = {r.id for r in ids.orderBy(F.xxhash64(F.lit(0), "id"), "id").limit(1000).collect()}
+    assert few == exact
+    assert {tuple(r) for r in rep.score_summary(df, "x", skew_safe=True).collect()} == {
+        tuple(r) for r in rep.score_summary(df, "x").collect()
+    }
+    assert rep.score_summary(df.limit(0), "x").first().threshold_value is None

@@ -728,11 +728,23 @@ def _(spark, sf):
     )
 
 
-@register("normalized_incident_evidence")
+@register(
+    "normalized_incident_evidence",
+    text_sql.on_generic(
+        """SELECT incident_id, event_count AS total_event_count, times FROM gincidents JOIN (
+          SELECT group_key, bucket, string_agg(coalesce(timestamp, '-') || ' ' || coalesce(event_action, '-'), ';' ORDER BY seq) AS times
+          FROM (SELECT *, row_number() OVER (PARTITION BY group_key, bucket ORDER BY seq) AS position FROM grouped)
+          WHERE position <= 20 GROUP BY ALL) USING (group_key, bucket)"""
+    ),
+)
 def _(spark, sf):
     events = bridge.normalized_events(spark, sf)
     df = ev.normalized_evidence(gen.generic_incidents(events), events, "generic", "jsonl")
-    return df.select("incident.incident_id", "total_event_count", F.to_json(F.struct("incident", "events")).alias("document"))
+    line = F.transform(
+        "events",
+        lambda e: F.concat(F.coalesce(e["timestamp"], F.lit("-")), F.lit(" "), F.coalesce(e["event_action"], F.lit("-"))),
+    )
+    return df.select("incident.incident_id", "total_event_count", F.array_join(line, ";").alias("times"))
 
 
 @register("prompt_payloads")

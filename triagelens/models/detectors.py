@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelens.models import kernels
-from triagelens.models.vectors import Scaler, fit_scaler, hash_sample, percentile_of, vector
+from triagelens.models.vectors import Scaler, fit_scaler, hash_sample, vector
 from triagelens.operators.features import NUMERIC_FEATURES
+from triagelens.operators.ranking import percentiles
 from triagelens.session import stage
 
 # tasks get the kernels with the job, also where the package is not installed
@@ -52,7 +53,7 @@ def fit(features: DataFrame, kind: str, **options) -> Model:
         model.params["offset"] = params["train_offset"]
     else:
         raw = stage(score(features, model, "raw").select("raw"), "train-scores")
-        model.params["offset"] = percentile_of(raw, "raw", 1 - CONTAMINATION)
+        model.params["offset"] = percentiles(raw, "raw", [1 - CONTAMINATION])[0]
     return model
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from triagelens.operators.features import NUMERIC_FEATURES
 from triagelens.operators.sessions import SESSION
+from triagelens.session import lowest_hash
 
 
 @dataclass
@@ -62,20 +63,7 @@ def hash_sample(features: DataFrame, n: int, seed: int, scaler: Scaler) -> np.nd
     The hash does not depend on partitioning, so the sample is the same on every
     run, and a top-n keeps what a task and the driver hold to ``n`` rows.
     """
-    picked = (
-        features.select(F.xxhash64(F.lit(seed), *SESSION).alias("h"), *SESSION, vector(scaler).alias("v"))
-        .orderBy("h", *SESSION)
-        .limit(n)
-        .select("v")
-    )
-    rows = picked.collect()
+    picked = lowest_hash(features.select(*SESSION, vector(scaler).alias("v")), SESSION, n, seed)
+    rows = picked.select("v").collect()
     return np.array([r[0] for r in rows], dtype=float).reshape(-1, len(NUMERIC_FEATURES))
 
-
-def percentile_of(scored: DataFrame, column: str, share: float, exact_rows: int = 5_000_000) -> float:
-    """Percentile of a column: interpolated up to ``exact_rows`` rows, else approximate."""
-    n = scored.count()
-    cut = F.percentile(F.col(column), F.lit(share)) if n <= exact_rows else F.percentile_approx(
-        F.col(column), F.lit(share), F.lit(1_000_000)
-    )
-    return float(scored.agg(cut).first()[0])

@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from triagelens.session import needs_skew_plan, stage
+from triagelens.session import lowest_hash, needs_skew_plan, stage
 
 SAMPLE = 8192
 
 
 def range_bounds(df: DataFrame, column: str, ranges: int) -> list:
     """Bounds of about equally full ranges, from the values with lowest hash."""
-    sample = df.select(column).distinct().orderBy(F.xxhash64(column), column).limit(SAMPLE)
+    sample = lowest_hash(df.select(column).distinct(), [column], SAMPLE)
     values = sorted(r[0] for r in sample.collect() if r[0] is not None)
     step = max(len(values) // ranges, 1)
     return values[step::step]
@@ -88,6 +88,33 @@ def add_threshold(
     )
 
 
+def percentiles(
+    df: DataFrame, column: str, shares: list[float], skew_safe: bool | None = None, ranges: int | None = None
+) -> list[float]:
+    """Interpolated percentiles of a column, exact for any number of rows.
+
+    The built-in exact percentile keeps every distinct value in one task; on a
+    large input the values at the wanted ranks are looked up instead.
+    """
+    if not needs_skew_plan(df, skew_safe):
+        row = df.agg(F.percentile(F.col(column), F.array(*[F.lit(s) for s in shares]))).first()
+        return [float(x) for x in row[0]]
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_total(counts, column, F.col("_n"), "_before", True, ranges)
+    total = df.agg(F.count(column)).first()[0]
+    places = [s * (total - 1) for s in shares]
+    wanted = sorted({int(p) for p in places} | {min(int(p) + 1, total - 1) for p in places})
+    here = F.filter(
+        F.array(*[F.lit(w) for w in wanted]),
+        lambda w: (w >= F.col("_before")) & (w < F.col("_before") + F.col("_n")),
+    )
+    found = ranked.select(F.explode(here).alias("place"), F.col(column).alias("x")).collect()  # two rows per share
+    at = {r["place"]: r["x"] for r in found}
+    return [
+        at[int(p)] + (at[min(int(p) + 1, total - 1)] - at[int(p)]) * (p - int(p)) for p in places
+    ]
+
+
 def min_max(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """Adds each column scaled to 0..1 under its new name; 0.0 if it is constant."""
     spans = df.select(

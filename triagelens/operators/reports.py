@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelens.functions.text import count_where, empty_to_null, present, rounded
-from triagelens.operators.ranking import score_column
+from triagelens.operators.ranking import percentiles, score_column
 
 
 def count_by(df: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
@@ -174,24 +174,30 @@ def apache_report(sessions: DataFrame, top: int, ids: int = 5) -> DataFrame:
 
 
 def score_summary(
-    scored: DataFrame, score: str = "anomaly_score", threshold_percentile: float = 99.0, approximate: bool = False
+    scored: DataFrame,
+    score: str = "anomaly_score",
+    threshold_percentile: float = 99.0,
+    approximate: bool = False,
+    skew_safe: bool | None = None,
 ) -> DataFrame:
     """Minimum, maximum, mean, 95th percentile, threshold and share at or above it."""
-    at = F.lit(threshold_percentile / 100.0)
-    cut = F.percentile_approx if approximate else F.percentile
-    stats = scored.agg(
+    share_at = threshold_percentile / 100.0
+    if approximate:
+        p95, threshold = scored.agg(F.percentile_approx(score, [0.95, share_at], 100_000)).first()[0] or (None, None)
+    elif scored.isEmpty():
+        p95 = threshold = None
+    else:
+        p95, threshold = percentiles(scored, score, [0.95, share_at], skew_safe)
+    above = F.count_if(F.col(score) >= F.lit(threshold).cast("double")) / F.nullif(F.count(score), F.lit(0))
+    return scored.agg(
         F.min(score).alias("score_min"),
         F.max(score).alias("score_max"),
         F.avg(score).alias("score_mean"),
-        cut(F.col(score), F.lit(0.95)).alias("score_p95"),
+        F.lit(p95).cast("double").alias("score_p95"),
         F.lit(float(threshold_percentile)).alias("threshold_percentile"),
-        cut(F.col(score), at).alias("threshold_value"),
-    )
-    threshold = scored.select(cut(F.col(score), at)).scalar()
-    share = scored.agg(
-        (F.count_if(F.col(score) >= threshold) / F.nullif(F.count(score), F.lit(0))).alias("fraction_above_threshold")
+        F.lit(threshold).cast("double").alias("threshold_value"),
+        above.alias("fraction_above_threshold"),
     )
-    return stats.withColumn("fraction_above_threshold", share.scalar())
 
 
 def drift(runs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Inputs below this many bytes fit comfortably in one task's sort, so an
 # operator may use its one-pass plan; above it the skew-safe plan is used.
@@ -84,3 +85,28 @@ def widen(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if leaf_bytes(df) < SPREAD_BYTES else df
+
+
+def conf_bytes(spark: SparkSession, key: str) -> int:
+    """A size setting such as ``128MB`` or ``134217728b`` in bytes."""
+    text = spark.conf.get(key).strip().lower().removesuffix("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    return int(text[:-1]) * unit[text[-1]] if text[-1:] in unit else int(text)
+
+
+def lowest_hash(df: DataFrame, columns: list[str], n: int, seed: int = 0) -> DataFrame:
+    """The ``n`` rows with the lowest hash of ``columns``: a sample that is the
+    same for any partitioning.
+
+    With far more rows than ``n``, those whose hash cannot be among the lowest
+    (beyond twice the expected bound) are dropped first, so that the tasks do
+    not each send ``n`` rows to the one that merges them.
+    """
+    hashed = df.withColumn("_hash", F.xxhash64(F.lit(seed), *columns))
+    total = df.count()
+    if total > 4 * n:
+        bound = -(1 << 63) + int((1 << 64) * (2 * n / total))
+        near = hashed.where(F.col("_hash") <= bound)
+        hashed = near if near.count() >= n else hashed
+    return hashed.orderBy("_hash", *columns).limit(n).drop("_hash")
+

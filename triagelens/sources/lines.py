@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from triagelens.functions.text import strip
+from triagelens.session import conf_bytes, leaf_bytes
 
 ROW_BITS = (1 << 33) - 1
 # A block row is about 200 bytes; this keeps the broadcast below 64 MB.
@@ -51,11 +52,7 @@ def number_lines(lines: DataFrame, only: Column | None = None) -> DataFrame:
     """
     offsets = _block_offsets(lines)
     wanted = lines if only is None else lines.where(only)
-    files = lines.sparkSession.conf.get("spark.sql.files.maxPartitionBytes")
-    split = int("".join(ch for ch in files if ch.isdigit()) or 1)
-    from triagelens.session import leaf_bytes
-
-    n_blocks = leaf_bytes(lines) // max(split, 1)
+    n_blocks = leaf_bytes(lines) // conf_bytes(lines.sparkSession, "spark.sql.files.maxPartitionBytes")
     side = F.broadcast(offsets) if n_blocks < BROADCAST_BLOCKS else offsets
     keyed = wanted.withColumn("path", F.col("seq.path")).withColumn("block_start", F.col("seq.block_start"))
     return keyed.join(side, ["path", "block_start"]).select(
