@@ -21,7 +21,7 @@ from triagelens.models import kernels
 from triagelens.models.vectors import Scaler, fit_scaler, hash_sample, vector
 from triagelens.operators.features import NUMERIC_FEATURES
 from triagelens.operators.ranking import percentiles
-from triagelens.session import stage
+from triagelens.session import stage, widen
 
 # tasks get the kernels with the job, also where the package is not installed
 cloudpickle.register_pickle_by_value(kernels)
@@ -65,7 +65,7 @@ def score(features: DataFrame, model: Model, name: str = "anomaly_score") -> Dat
 def score_many(features: DataFrame, models: dict[str, Model]) -> DataFrame:
     """Scores of several models, one column each."""
     spark = features.sparkSession
-    out = features
+    out = widen(features, "session_id")
     for name, model in models.items():
         shared = spark.sparkContext.broadcast((model.kind, model.arrays, model.params))
         out = out.withColumn(name, _scorer(shared)(vector(model.scaler)))
@@ -80,8 +80,9 @@ def _scorer(shared):
         if not len(points):
             return pd.Series([], dtype=float)
         if kind == "iforest":
-            trees = kernels_trees(arrays)
-            raw = 2.0 ** (-kernels.mean_path(points, trees) / kernels.average_path(params["sample_size"]))
+            trees = _trees(arrays)
+            depth = int(np.ceil(np.log2(max(params["sample_size"], 2))))
+            raw = 2.0 ** (-kernels.mean_path(points, trees, depth) / kernels.average_path(params["sample_size"]))
         elif kind == "ocsvm":
             raw = -kernels.fourier_map(points, arrays["weights"], arrays["phase"]) @ arrays["normal"]
         else:
@@ -99,12 +100,18 @@ def _scorer(shared):
     return run
 
 
-def kernels_trees(arrays: dict[str, np.ndarray]) -> list[dict]:
+def _trees(arrays: dict[str, np.ndarray]) -> list[dict]:
     """Node rows, ordered by (tree, node), as one set of arrays per tree."""
     starts = np.searchsorted(arrays["tree"], np.unique(arrays["tree"]))
     ends = [*starts[1:], len(arrays["tree"])]
-    names = ("feature", "threshold", "left", "right", "length")
-    return [{n: arrays[n][a:b] for n in names} for a, b in zip(starts, ends)]
+    trees = []
+    for a, b in zip(starts, ends):
+        tree = {n: arrays[n][a:b] for n in ("feature", "threshold", "left", "right", "length")}
+        leaf, own = tree["feature"] < 0, np.arange(b - a)
+        tree["feature"] = np.where(leaf, 0, tree["feature"])
+        tree["left"], tree["right"] = (np.where(leaf, own, tree[side]) for side in ("left", "right"))
+        trees.append(tree)
+    return trees
 
 
 # --- isolation forest ----------------------------------------------------------

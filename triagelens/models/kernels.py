@@ -40,20 +40,18 @@ def grow_tree(points: np.ndarray, rng: np.random.Generator) -> list[tuple]:
     return rows
 
 
-def mean_path(points: np.ndarray, trees: list[dict]) -> np.ndarray:
-    """Mean leaf length of each point over the trees, level by level."""
+def mean_path(points: np.ndarray, trees: list[dict], depth: int) -> np.ndarray:
+    """Mean leaf length of each point over the trees, all points level by level.
+
+    A leaf leads to itself, so every point takes ``depth`` steps.
+    """
     total = np.zeros(len(points))
     index = np.arange(len(points))
     for tree in trees:
         at = np.zeros(len(points), dtype=np.int64)
-        while True:
-            feature = tree["feature"][at]
-            inner = feature >= 0
-            if not inner.any():
-                break
-            value = points[index[inner], feature[inner]]
-            here = at[inner]
-            at[inner] = np.where(value <= tree["threshold"][here], tree["left"][here], tree["right"][here])
+        for _ in range(depth):
+            value = points[index, tree["feature"][at]]
+            at = np.where(value <= tree["threshold"][at], tree["left"][at], tree["right"][at])
         total += tree["length"][at]
     return total / max(len(trees), 1)
 
