@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from helpers import brute_features, event, events
 from triagelens.operators import features as feat
@@ -119,4 +118,3 @@ def test_same_result_for_any_number_of_partitions(spark):
 def test_hottest_slice(spark):
     rows = feat._prepare(events(spark, [event(i, 0, "a") for i in range(9)] + [event(9, 100, "a")]), 60)
     assert feat.hottest_slice(rows) == 9
-    assert F is not None

@@ -96,7 +96,6 @@ def _(spark, sf):
 
 from triagelens.operators import incidents as inc  # noqa: E402
 from triagelens.operators import ranking as rank  # noqa: E402
-from triagelens.functions import rules  # noqa: E402
 from triagelens.functions.text import iso_text  # noqa: E402
 from triagelens.oracle import ssh_sql  # noqa: E402
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagelens.functions.text import count_where, empty_to_null, present, rounded
+from triagelens.functions.text import count_where, empty_to_null, rounded
 from triagelens.operators.ranking import percentiles, score_column
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from triagelens.functions.text import blank_to_null, iso_text, once, strip
 from triagelens.operators.normalize import apply_flat_mapping, apply_mapping, from_record, needs_types
-from triagelens.sources.events import month_day_time
 from triagelens.sources.lines import captures, group, is_blank, quarantine
 from triagelens.sources.mapping import build_mapping
 
