@@ -4,21 +4,47 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from triagelens.llm import bpe, host_rules, jaccard_join, mixing, secret_scan
+from pyspark.sql import functions as F
+
+from triagelens.llm import (
+    bpe,
+    host_rules,
+    jaccard_join,
+    language_mix,
+    mixing,
+    secret_scan,
+    token_counts,
+    topk,
+    toxicity,
+    warc,
+)
 from triagelens.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+UNIGRAM_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, F.col("vec_id") % topk.QUERY_EVERY == 0)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), UNIGRAM_VOCABULARY)
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply_host_rules(table(spark, sf_dir, "documents"))
 
@@ -27,14 +53,27 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+def op9_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_mix.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
+    "op2_top_k": op2_top_k,
+    "op3_token_counts": op3_token_counts,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_toxicity": op5_toxicity,
     "op6_host_rules": op6_host_rules,
     "op7_source_mix": op7_source_mix,
+    "op8_warc": op8_warc,
+    "op9_language_mix": op9_language_mix,
     "op10_byte_bpe": op10_byte_bpe,
 }
