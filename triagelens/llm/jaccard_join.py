@@ -154,14 +154,15 @@ def differing_bits(a: bytes, b: bytes) -> int:
 
 
 def sketch(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n, set_id, bits, keys`` of every row; keys are empty for a copy of a
-    set that the task has already sent, and all but ``n`` null or empty for empty sets."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("set_id", pa.int64()), ("bits", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    """``doc_id, text_key, n, set_id, bits, keys`` of every row; keys are empty for a copy
+    of a set that the task has already sent, set and bits are null for an empty set.
+    ``text_key`` tells rows of one id with different texts apart."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int32()), ("set_id", pa.int64()), ("bits", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         bands, seen = Bands(percent), set()
         for batch in batches:
-            ids, texts = batch.columns
+            ids, texts, text_keys = batch.columns
             sizes, sets, bits, keys = [], [], [], []
             for text in texts.to_pylist():
                 members = shingle_set(text, words)
@@ -175,11 +176,12 @@ def sketch(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
                 keys.append([] if set_id in seen else join_keys(members, bands))
                 if len(seen) < SEEN:
                     seen.add(set_id)
-            columns = [ids, pa.array(sizes, pa.int32()), pa.array(sets, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            columns = [ids, text_keys, pa.array(sizes, pa.int32()), pa.array(sets, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     small_batches(docs.sparkSession)
-    return documents(docs).mapInArrow(run, "doc_id long, n int, set_id long, bits binary, keys array<long>")
+    rows = documents(docs).withColumn("text_key", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, n int, set_id long, bits binary, keys array<long>")
 
 
 def similar_sizes(a: str, b: str, percent: int) -> str:
@@ -284,8 +286,8 @@ def open_pairs(met: DataFrame, labels: DataFrame, percent: int = PERCENT) -> Dat
     return pairs.select(F.least("set_id", "x").alias("a"), F.greatest("set_id", "x").alias("b")).distinct()
 
 
-def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row."""
+def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, text_key, n, class`` of every row; the class of an empty set is null."""
     sketched = written(sketch(docs, words, percent), "sketches")
     sets = sketched.where("set_id is not null").groupBy("set_id")
     sets = written(sets.agg(F.min("doc_id").alias("place"), F.first("n").alias("n"), F.first("bits").alias("bits")), "sets")
@@ -297,9 +299,29 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     near = written(near_pairs(open_pairs(met, labels, percent), sets, percent), "pairs")
     if not near.isEmpty():
         labels = connected(links.union(verified(near, docs, sets, words, percent)))
-    rows = sketched.select("doc_id", "n", "set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
-    rows = rows.select("doc_id", "n", F.coalesce("label", "set_id").alias("class"))
+    rows = sketched.select("doc_id", "text_key", "n", "set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
+    return rows.select("doc_id", "text_key", "n", F.coalesce("label", "set_id").alias("class"))
+
+
+def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row."""
+    rows = classes(docs, words, percent)
     first = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
     return rows.join(first, "class", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id")
     )
+
+
+def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of each class, that of the smallest id, all columns unchanged; rows
+    without words are in no class and all stay."""
+    rows = written(classes(docs, words, percent), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    first = rows.where("class is not null").groupBy("class").agg(F.min(order).alias("f"))
+    kept = first.select(F.col("f.doc_id").alias("_id"), F.col("f.text_key").alias("_key"), F.lit(False).alias("_empty"))
+    empty = rows.where("class is null").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.lit(True).alias("_empty"))
+    kept = kept.union(empty.distinct())
+    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = keyed.join(kept, F.expr("doc_id <=> _id and _text_key = _key"))
+    copy = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_empty"))
+    return joined.withColumn("_copy", copy).where("_empty or _copy = 1").select(*docs.columns)

@@ -350,6 +350,20 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: tup
     return rows.mapInArrow(run, f"{types}, score double, predicted int")
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, whose score is below ``threshold``."""
+    schema = docs.schema
+
+    def run(batches):
+        scorer = model.scorer()
+        for batch in batches:
+            texts = batch.column(text_col).to_pylist()
+            yield batch.filter(pa.array([scorer(t or "") < threshold for t in texts], pa.bool_()))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, schema)
+
+
 def held_out() -> Column:
     return F.coalesce(crc32_mod(F.col("doc_id"), 4) == 2, F.lit(False))
 
