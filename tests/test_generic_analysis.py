@@ -68,9 +68,16 @@ def test_generic_levels_and_sets(lines):
 
 def test_numbering_in_ranges(lines):
     df = jsonl(lines, *[{"ts": "2024-01-01T00:00:00", "user": f"u{i:03d}"} for i in range(200)])
-    plain = {r.incident_id for r in gen.generic_incidents(df, skew_safe=False).collect()}
-    ranged = {r.incident_id for r in gen.generic_incidents(df, skew_safe=True).collect()}
-    assert plain == ranged and "generic:user:u007#8" in plain
+    assert {r.incident_id for r in gen.generic_incidents(df).collect()} == {f"generic:user:u{i:03d}#{i + 1}" for i in range(200)}
+
+
+def test_evidence_of_epoch_buckets(lines):
+    objects = [{"ts": f"2024-01-01T0{i}:20:00", "user": "u", "event_action": "x"} for i in range(9)] * 3
+    df = jsonl(lines, *objects)
+    incidents = gen.generic_incidents(df, 90, "epoch")
+    assert ev.generic_evidence(incidents, df, window_minutes=90, mode="epoch").count() == incidents.count() == 6
+    whole = ev.normalized_evidence(incidents, df, "generic", "jsonl", 90, "epoch")
+    assert sum(len(r.events) for r in whole.collect()) == 27
 
 
 def test_adapters(spark):
@@ -116,7 +123,7 @@ def test_generic_evidence_and_analysis(lines):
     assert out.next_steps == w.GENERIC_STEPS and "Sample normalized events included: 5." in out.evidence
     payload = json.loads(evidence.select(ana.payload_json(ana.generic_payload())).first()[0])
     assert payload["incident"]["primary_user"] is None and payload["aggregates"]["window_minutes"] == 15
-    whole = ev.normalized_evidence(incidents, df, "generic", "jsonl", sample=3)
+    whole = ev.normalized_evidence(incidents, df, "generic", "jsonl")
     shaped = json.loads(whole.select(ana.payload_json(ana.structured_payload(2))).first()[0])
     assert shaped["total_event_count"] == 7 and shaped["sampled_event_count"] == 2
 

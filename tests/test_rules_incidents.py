@@ -154,15 +154,20 @@ def test_clusters_by_hour_slices_are_the_same(spark, seed):
         start = rng.choice([rng.randrange(0, 4000), 60 * rng.randrange(0, 60)])
         rows.append((rng.choice("aab"), f"u{rng.randrange(5)}", start, start + rng.choice([0, 5, 59, 120, 400]), 0.1, 1, 0))
     df = scored(spark, rows)
-    simple = {r.session_id: r.cluster_index for r in inc.cluster_sessions(df, skew_safe=False).collect()}
-    sliced = {r.session_id: r.cluster_index for r in inc.cluster_sessions(df, skew_safe=True).collect()}
-    assert simple == sliced and max(simple.values()) > 3
-
-
-def test_member_lists_beyond_the_limit_stay_rows(spark):
-    clustered = inc.cluster_sessions(scored(spark, [("a", f"u{i}", i, i, 0.1, 1, 0) for i in range(4)]))
-    row = inc.with_member_lists(inc.roll_up(clustered), clustered, limit=3).first()
-    assert row.session_ids is None and inc.incident_members(clustered).count() == 4
+    got = {r.session_id: r.cluster_index for r in inc.cluster_sessions(df).collect()}
+    simple, last = {}, {}
+    for r in sorted(df.collect(), key=lambda r: (r.ip, r.start_time, r.k_user, r.k_agent)):
+        index, end = last.get(r.ip, (0, None))
+        index += end is not None and (r.start_time - end).total_seconds() > 3600
+        last[r.ip] = index, r.end_time
+        simple[r.session_id] = index
+    assert simple == got and max(simple.values()) > 3
+
+
+def test_member_lists_are_whole(spark):
+    clustered = inc.cluster_sessions(scored(spark, [("a", f"u{i}", i, i, 0.1, 1, 0) for i in range(40)]))
+    row = inc.with_member_lists(inc.roll_up(clustered), clustered).first()
+    assert len(row.session_ids) == 40 == inc.incident_members(clustered).count() and len(row.targeted_users) == 40
 
 
 def test_filters_and_orders(spark):
@@ -190,8 +195,8 @@ def test_threshold_ranks(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(scores)], "id long, anomaly_score double")
     n = len(scores)
     want = {i: (sum(x < s for x in scores) + (sum(x == s for x in scores) + 1) / 2) / n * 100 for i, s in enumerate(scores)}
-    for skew_safe in (False, True):
-        out = rank.add_threshold(df, threshold_percentile=90, skew_safe=skew_safe, ranges=5).collect()
+    for ranges in (1, 5):
+        out = rank.add_threshold(df, threshold_percentile=90, ranges=ranges).collect()
         assert {r.id: round(r.anomaly_percentile, 9) for r in out} == {i: round(x, 9) for i, x in want.items()}
         assert all(r.is_anomalous == (r.anomaly_percentile >= 90) for r in out)
     same = spark.createDataFrame([(i, 1.0) for i in range(4)], "id long, anomaly_score double")
@@ -201,8 +206,8 @@ def test_threshold_ranks(spark):
 
 def test_running_total_over_ranges(spark):
     df = spark.range(0, 1000).select(F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("k"))
-    for skew_safe in (False, True):
-        out = rank.running_total(df, "k", F.lit(1), "before", skew_safe, ranges=7).collect()
+    for ranges in (1, 7):
+        out = rank.running_total(df, "k", F.lit(1), "before", ranges).collect()
         assert all(int(r.k[1:]) == r.before for r in out) and len(out) == 1000
 
 
@@ -237,13 +242,10 @@ def test_percentiles_by_rank(spark):
     values = [rng.choice([0.0, 1.0, rng.random()]) for _ in range(777)]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     want = [float(np.percentile(values, p)) for p in (5, 50, 95, 100)]
-    for skew_safe in (False, True):
-        assert np.allclose(rank.percentiles(df, "x", [0.05, 0.5, 0.95, 1.0], skew_safe, ranges=6), want)
+    for ranges in (1, 6):
+        assert np.allclose(rank.percentiles(df, "x", [0.05, 0.5, 0.95, 1.0], ranges), want)
     ids = spark.range(0, 20000, 1, 7)
     few = {r.id for r in lowest_hash(ids, ["id"], 1000).collect()}
     exact = {r.id for r in ids.orderBy(F.xxhash64(F.lit(0), "id"), "id").limit(1000).collect()}
     assert few == exact
-    assert {tuple(r) for r in rep.score_summary(df, "x", skew_safe=True).collect()} == {
-        tuple(r) for r in rep.score_summary(df, "x").collect()
-    }
     assert rep.score_summary(df.limit(0), "x").first().threshold_value is None

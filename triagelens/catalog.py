@@ -732,8 +732,7 @@ def _(spark, sf):
     text_sql.on_generic(
         """SELECT incident_id, event_count AS total_event_count, times FROM gincidents JOIN (
           SELECT group_key, bucket, string_agg(coalesce(timestamp, '-') || ' ' || coalesce(event_action, '-'), ';' ORDER BY seq) AS times
-          FROM (SELECT *, row_number() OVER (PARTITION BY group_key, bucket ORDER BY seq) AS position FROM grouped)
-          WHERE position <= 20 GROUP BY ALL) USING (group_key, bucket)"""
+          FROM grouped GROUP BY ALL) USING (group_key, bucket)"""
     ),
 )
 def _(spark, sf):

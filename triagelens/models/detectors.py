@@ -21,7 +21,7 @@ from triagelens.models import kernels
 from triagelens.models.vectors import Scaler, fit_scaler, hash_sample, vector
 from triagelens.operators.features import NUMERIC_FEATURES
 from triagelens.operators.ranking import percentiles
-from triagelens.session import stage, widen
+from triagelens.session import stage
 
 # tasks get the kernels with the job, also where the package is not installed
 cloudpickle.register_pickle_by_value(kernels)
@@ -65,7 +65,7 @@ def score(features: DataFrame, model: Model, name: str = "anomaly_score") -> Dat
 def score_many(features: DataFrame, models: dict[str, Model]) -> DataFrame:
     """Scores of several models, one column each."""
     spark = features.sparkSession
-    out = widen(features, "session_id")
+    out = features
     for name, model in models.items():
         shared = spark.sparkContext.broadcast((model.kind, model.arrays, model.params))
         out = out.withColumn(name, _scorer(shared)(vector(model.scaler)))

@@ -9,7 +9,7 @@ from triagelens.functions import rules
 from triagelens.functions import wording as w
 from triagelens.functions.text import fixed, iso_text, present, text
 from triagelens.operators import generic_incidents as gen
-from triagelens.operators.incidents import INLINE_MEMBERS, timeline
+from triagelens.operators.incidents import timeline
 
 
 def _or_unknown(name: str) -> Column:
@@ -176,18 +176,12 @@ def ssh_evidence(
     log_type: str = "ssh_auth",
     model_type: str = "iforest",
     threshold_percentile: float = 99.0,
-    limit: int = INLINE_MEMBERS,
 ) -> DataFrame:
-    """One evidence row per incident.
-
-    ``sessions`` holds the session rows of incidents of at most ``limit``
-    sessions; those of larger ones are in ``ssh_session_evidence``.
-    """
+    """One evidence row per incident, ``sessions`` holding all its session rows."""
     rows = ssh_session_evidence(clustered)
-    small = incidents.where(F.col("session_count") <= limit).select("incident_id")
     fields = [c for c in rows.columns if c != "incident_id"]
     sessions = (
-        rows.join(small, "incident_id", "left_semi")
+        rows.join(incidents.select("incident_id"), "incident_id", "left_semi")
         .groupBy("incident_id")
         .agg(F.array_sort(F.collect_list(F.struct("start_time", "session_id", F.struct(*fields).alias("row")))).alias("s"))
         .select("incident_id", F.transform("s", lambda x: x["row"]).alias("sessions"))
@@ -342,11 +336,17 @@ def generic_highlights() -> Column:
 
 
 def generic_evidence(
-    incidents: DataFrame, events: DataFrame, input_format: str = "jsonl", window_minutes: int = 15, sample: int = 5
+    incidents: DataFrame,
+    events: DataFrame,
+    input_format: str = "jsonl",
+    window_minutes: int = 15,
+    sample: int = 5,
+    mode: str = "clock",
 ) -> DataFrame:
-    """One evidence row per incident with its first ``sample`` events."""
+    """One evidence row per incident with its first ``sample`` events; window and
+    ``mode`` must be those the incidents were made with."""
     c = F.col
-    first = gen.first_events(events, sample, window_minutes).join(incidents.select(*gen.GROUP, "incident_id"), gen.GROUP)
+    first = gen.first_events(events, sample, window_minutes, mode).join(incidents.select(*gen.GROUP, "incident_id"), gen.GROUP)
     action = F.lower(F.coalesce("event_action", F.lit("")))
     sessions = F.struct(
         F.coalesce("session_hint", text(c("incident_id"), ":event-", c("position"))).alias("session_id"),
@@ -380,8 +380,8 @@ def generic_evidence(
         "sample_events",
     )
     return (
-        incidents.join(samples, gen.GROUP)
-        .join(gen.representatives(events, window_minutes), gen.GROUP)
+        incidents.join(samples, gen.GROUP, "left")
+        .join(gen.representatives(events, window_minutes, mode), gen.GROUP, "left")
         .select(
             "incident_id",
             c("source_type").alias("log_type"),
@@ -413,15 +413,18 @@ def generic_incident_struct() -> Column:
 
 
 def normalized_evidence(
-    incidents: DataFrame, events: DataFrame, source_type: str, input_format: str, window_minutes: int = 15,
-    sample: int = 20,
+    incidents: DataFrame,
+    events: DataFrame,
+    source_type: str,
+    input_format: str,
+    window_minutes: int = 15,
+    mode: str = "clock",
 ) -> DataFrame:
-    """Incident, its event count and its first events; all events are in ``bundle``."""
+    """Incident, its event count and all its events in input order."""
     fields = [f for f in gen.SAMPLE_FIELDS if f != "session_hint"] + ["status_code", "session_hint"]
-    first = gen.first_events(events, sample, window_minutes).groupBy(*gen.GROUP).agg(
-        F.array_sort(F.collect_list(F.struct("position", F.struct(*fields).alias("event")))).alias("s")
-    )
-    return incidents.join(first, gen.GROUP).select(
+    members = gen.with_group(events, window_minutes, mode).groupBy(*gen.GROUP)
+    listed = members.agg(F.array_sort(F.collect_list(F.struct("seq", F.struct(*fields).alias("event")))).alias("s"))
+    return incidents.join(listed, gen.GROUP, "left").select(
         F.lit(source_type).alias("source_type"),
         F.lit(input_format).alias("input_format"),
         F.lit(window_minutes).alias("window_minutes"),

@@ -11,9 +11,10 @@ or a value in one task:
   slice, since a closed window reaches back into one slice at most;
 * value rarity and distinct counts use counts per (identity, slice, value).
 
-``split_hot`` additionally cuts the slices along the global event order into
-pieces of bounded size, for data in which one identity has more events within a
-single slice than a task should sort.
+The ordered features are worked on by second of an identity, so what a task sorts
+together is one second's events however many an identity has, and every piece of
+work reads the prepared rows, which are written once: the events are parsed and
+scanned a single time.
 """
 
 from __future__ import annotations
@@ -33,11 +34,10 @@ from triagelens.operators.sessions import (
     slice_of,
     with_identity,
 )
-from triagelens.session import leaf_bytes
+from triagelens.session import stage
 
 RARE_SESSIONS = 3  # an identity with fewer sessions is "rarely seen"
 RARE_HOURS_END = 4  # hours 0..3
-HOT_SLICE_ROWS = 5_000_000
 ALL_PARTS = ("rates", "identity", "rarity")
 
 # The 45 numeric features, in model order.
@@ -74,33 +74,14 @@ def _prepare(events: DataFrame, slice_seconds: float) -> DataFrame:
         "status",
         level.alias("level"),
         slice_of(F.unix_micros("ts"), slice_seconds).alias("slice"),
+        slice_of(F.unix_micros("ts"), 1).alias("second"),
         value("path").alias("path"),
         value("message").alias("message"),
         value("source").alias("source"),
     )
 
 
-def hottest_slice(rows: DataFrame) -> int:
-    """Events in the fullest (identity, slice); one number reaches the driver."""
-    top = rows.groupBy(*KEYS, "slice").count().agg(F.max("count")).first()[0]
-    return top or 0
-
-
-def _split_hot(rows: DataFrame, choice: bool | None, pieces: int | None) -> tuple[DataFrame, list[str]]:
-    """Rows with the columns that cut an identity into ordered pieces.
-
-    Usually the slice alone.  Otherwise a range partitioning by (identity, time,
-    order) -- whose bounds may fall anywhere, also inside one instant -- adds the
-    number of the range.
-    """
-    if choice is None:
-        small = leaf_bytes(rows) // 16 < HOT_SLICE_ROWS  # an event takes 16 bytes or more
-        choice = not small and hottest_slice(rows) > HOT_SLICE_ROWS
-    if not choice:
-        return rows, ["slice"]
-    n = pieces or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, *KEYS, "us", "seq").withColumn("piece", F.spark_partition_id())
-    return ranged, ["slice", "piece"]
+CUT = ["slice", "second"]
 
 
 def _piece_summaries(rows: DataFrame, cut: list[str]) -> DataFrame:
@@ -410,8 +391,6 @@ def session_features(
     gap_minutes: float = 30,
     window_seconds: float = 60,
     parts=ALL_PARTS,
-    split_hot: bool | None = None,
-    pieces: int | None = None,
 ) -> DataFrame:
     """One row per session with the features of the chosen ``parts``.
 
@@ -422,13 +401,12 @@ def session_features(
     """
     if window_seconds > gap_minutes * 60:
         raise ValueError("the rate window must not be longer than the session gap")
-    rows = _prepare(events, window_seconds)
-    ranged, cut = _split_hot(rows, split_hot, pieces)
-    pieces_df = _piece_summaries(ranged, cut)
+    rows = stage(_prepare(events, window_seconds), "prepared")
+    pieces_df = _piece_summaries(rows, CUT)
     rates = "rates" in parts
     if rates:
         pieces_df = pieces_df.join(_peak_rates(rows, window_seconds), [*KEYS, "slice"])
-    out = _session_values(_join_pieces(pieces_df, cut, gap_minutes), rates)
+    out = _session_values(_join_pieces(pieces_df, CUT, gap_minutes), rates)
     slices = rows.groupBy(*KEYS, "slice").agg(
         F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("n")
     )

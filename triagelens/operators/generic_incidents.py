@@ -132,19 +132,17 @@ def summary_description() -> Column:
     )
 
 
-def number_incidents(groups: DataFrame, skew_safe: bool | None = None, ranges: int | None = None) -> DataFrame:
+def number_incidents(groups: DataFrame, ranges: int | None = None) -> DataFrame:
     """1-based ``incident_index`` in the text order of key and bucket."""
     keyed = groups.withColumn("bucket_id", text(F.col("group_key"), "||", F.col("bucket")))
-    counted = running_total(keyed, "bucket_id", F.lit(1), "_before", skew_safe, ranges)
+    counted = running_total(keyed, "bucket_id", F.lit(1), "_before", ranges)
     return counted.withColumn("incident_index", (F.col("_before") + 1).cast("bigint")).drop("_before")
 
 
-def generic_incidents(
-    events: DataFrame, window_minutes: int = 15, mode: str = "clock", skew_safe: bool | None = None
-) -> DataFrame:
+def generic_incidents(events: DataFrame, window_minutes: int = 15, mode: str = "clock") -> DataFrame:
     """Classified and numbered incidents, not ordered; see ``generic_order``."""
     graded = classify_generic(generic_groups(with_group(events, window_minutes, mode)))
-    named = number_incidents(graded, skew_safe)
+    named = number_incidents(graded)
     return named.withColumns(
         {
             "incident_id": text("generic:", F.col("group_key"), "#", F.col("incident_index")),

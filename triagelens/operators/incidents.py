@@ -9,20 +9,16 @@ from pyspark.sql import functions as F
 from triagelens.functions import rules
 from triagelens.functions.text import once, ratio, text
 from triagelens.operators.sessions import SECOND, SESSION, slice_of
-from triagelens.session import needs_skew_plan
 
 INCIDENT = ["ip", "cluster_index"]
 SLICE_SECONDS = 3600
-INLINE_MEMBERS = 10_000
 
 
 def _new_cluster(start: Column, previous_end: Column, window_us: int) -> Column:
     return F.coalesce(F.unix_micros(start) - F.unix_micros(previous_end) > window_us, F.lit(False)).cast("bigint")
 
 
-def cluster_sessions(
-    sessions: DataFrame, merge_window_minutes: float = 60, skew_safe: bool | None = None
-) -> DataFrame:
+def cluster_sessions(sessions: DataFrame, merge_window_minutes: float = 60) -> DataFrame:
     """Sessions with an ip, and their 0-based ``cluster_index`` within it.
 
     In the order (start, user, agent) a session opens a new cluster when it
@@ -31,12 +27,6 @@ def cluster_sessions(
     """
     window_us = int(merge_window_minutes * 60 * SECOND)
     known = sessions.where("ip IS NOT NULL AND ip <> ''")
-    if not needs_skew_plan(known, skew_safe):
-        order = W.partitionBy("ip").orderBy("start_time", "k_user", "k_agent")
-        opens = _new_cluster(F.col("start_time"), F.lag("end_time").over(order), window_us)
-        return known.withColumn("_opens", opens).withColumn(
-            "cluster_index", F.sum("_opens").over(order.rowsBetween(W.unboundedPreceding, 0))
-        ).drop("_opens")
     starts = _cluster_starts(known, window_us)
     # sessions starting together never part, so the index depends on the start
     return known.join(starts, ["ip", "start_time"])
@@ -157,10 +147,8 @@ def classify(incidents: DataFrame) -> DataFrame:
     )
 
 
-def ssh_incidents(
-    scored: DataFrame, merge_window_minutes: float = 60, min_sessions: int = 1, skew_safe: bool | None = None
-) -> DataFrame:
-    return roll_up(cluster_sessions(scored, merge_window_minutes, skew_safe), min_sessions)
+def ssh_incidents(scored: DataFrame, merge_window_minutes: float = 60, min_sessions: int = 1) -> DataFrame:
+    return roll_up(cluster_sessions(scored, merge_window_minutes), min_sessions)
 
 
 def join_scores(sessions: DataFrame, scores: DataFrame) -> DataFrame:
@@ -237,16 +225,13 @@ def timeline_order() -> list[Column]:
     return [F.asc_nulls_last("timestamp"), F.asc("session_id")]
 
 
-def with_member_lists(incidents: DataFrame, clustered: DataFrame, limit: int = INLINE_MEMBERS) -> DataFrame:
-    """Adds ``session_ids`` (in order) and ``targeted_users`` (sorted).
+def with_member_lists(incidents: DataFrame, clustered: DataFrame) -> DataFrame:
+    """Adds ``session_ids`` (in order) and ``targeted_users`` (sorted), always whole.
 
-    Lists are built where an incident has at most ``limit`` sessions.  Beyond it
-    they are null and ``incident_members`` holds the same members as rows: a
-    list could otherwise be a third of all sessions.
+    A list is as long as its incident; ``incident_members`` holds the same as rows.
     """
-    small = incidents.where(F.col("session_count") <= limit).select(*INCIDENT)
     lists = (
-        clustered.join(small, INCIDENT, "left_semi")
+        clustered.join(incidents.select(*INCIDENT), INCIDENT, "left_semi")
         .groupBy(*INCIDENT)
         .agg(
             F.array_sort(F.collect_list(F.struct("start_time", "k_user", "k_agent", "session_id"))).alias("m"),

@@ -1,9 +1,8 @@
 """Work over one global order without sorting everything in one task.
 
-Values are split into ranges, each range is worked on by itself, and the totals
-of the earlier ranges (one small row per range) are added.  The range bounds are
-literals in the plan, taken from a sample of at most ``SAMPLE`` values, so a
-task that is run again finds the same ranges.
+Values are split into ranges by a range partitioning, each range is worked on by
+itself, and the totals of the earlier ranges (one small row per range) are added.
+The ranged rows are written once, so a task that is run again finds the same ranges.
 """
 
 from __future__ import annotations
@@ -12,44 +11,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from triagelens.session import lowest_hash, needs_skew_plan, stage
-
-SAMPLE = 8192
-
-
-def range_bounds(df: DataFrame, column: str, ranges: int) -> list:
-    """Bounds of about equally full ranges, from the values with lowest hash."""
-    sample = lowest_hash(df.select(column).distinct(), [column], SAMPLE)
-    values = sorted(r[0] for r in sample.collect() if r[0] is not None)
-    step = max(len(values) // ranges, 1)
-    return values[step::step]
+from triagelens.session import stage
 
 
 def with_range(df: DataFrame, column: str, ranges: int | None = None) -> DataFrame:
-    """Adds ``range_no``: the number of bounds at or below the value."""
+    """Adds ``range_no``, ascending with the value, and writes the rows once."""
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = range_bounds(df, column, n)
-    if not bounds:
-        return df.withColumn("range_no", F.lit(0))
-    below = F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(column))
-    return df.withColumn("range_no", F.size(below))
+    return stage(df.repartitionByRange(n, column).withColumn("range_no", F.spark_partition_id()), "ranked")
 
 
-def running_total(
-    df: DataFrame, column: str, value: Column, name: str, skew_safe: bool | None = None, ranges: int | None = None
-) -> DataFrame:
+def running_total(df: DataFrame, column: str, value: Column, name: str, ranges: int | None = None) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over all rows with a smaller ``column``.
 
-    ``column`` must be unique.  A small input is one sorted run; a large one is
-    staged, split into ranges, and each range gets the total of those before.
+    ``column`` must be unique.
     """
-    if not needs_skew_plan(df, skew_safe):
-        before = W.orderBy(column).rowsBetween(W.unboundedPreceding, -1)
-        return df.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0)))
-    ranged = with_range(stage(df.withColumn("_value", value), "ranked"), column, ranges)
+    ranged = with_range(df.withColumn("_value", value), column, ranges)
     inside = W.partitionBy("range_no").orderBy(column).rowsBetween(W.unboundedPreceding, -1)
     local = ranged.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-    # one row per range: a few hundred at most
+    # one row per range
     totals = ranged.groupBy("range_no").agg(F.sum("_value").alias("_total"))
     earlier = W.orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select("range_no", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
@@ -64,43 +43,31 @@ def add_threshold(
     df: DataFrame,
     score: str = "anomaly_score",
     threshold_percentile: float = 99.0,
-    skew_safe: bool | None = None,
     ranges: int | None = None,
 ) -> DataFrame:
     """Adds ``anomaly_percentile`` (average rank of ties, in percent of the rows)
     and ``is_anomalous``.  Rows without a score have neither rank nor flag."""
     known = F.col(score).isNotNull()
-    if not needs_skew_plan(df, skew_safe):
-        below = F.rank().over(W.partitionBy(known).orderBy(score)) - 1
-        ties = F.count(score).over(W.partitionBy(known, score))
-        rows = F.count(score).over(W.partitionBy(known))
-        out = df.withColumn("anomaly_percentile", F.when(known, (below + (ties + 1) / 2.0) / rows * 100.0))
-    else:
-        # ranks are found on one row per distinct score
-        counts = df.where(known).groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
-        ranked = running_total(counts, score, F.col("_n"), "_before", True, ranges)
-        rows = df.select(F.count(score)).scalar()
-        percentile = (F.col("_before") + (F.col("_n") + 1) / 2.0) / rows * 100.0
-        levels = ranked.select(F.col(score).alias("_score"), percentile.alias("anomaly_percentile"))
-        out = df.join(levels, df[score] == levels["_score"], "left").drop("_score")
+    # ranks are found on one row per distinct score
+    counts = df.where(known).groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_total(counts, score, F.col("_n"), "_before", ranges)
+    rows = df.select(F.count(score)).scalar()
+    percentile = (F.col("_before") + (F.col("_n") + 1) / 2.0) / rows * 100.0
+    levels = ranked.select(F.col(score).alias("_score"), percentile.alias("anomaly_percentile"))
+    out = df.join(levels, df[score] == levels["_score"], "left").drop("_score")
     return out.withColumn(
         "is_anomalous", F.coalesce(F.col("anomaly_percentile") >= threshold_percentile, F.lit(False))
     )
 
 
-def percentiles(
-    df: DataFrame, column: str, shares: list[float], skew_safe: bool | None = None, ranges: int | None = None
-) -> list[float]:
+def percentiles(df: DataFrame, column: str, shares: list[float], ranges: int | None = None) -> list[float]:
     """Interpolated percentiles of a column, exact for any number of rows.
 
-    The built-in exact percentile keeps every distinct value in one task; on a
-    large input the values at the wanted ranks are looked up instead.
+    The built-in exact percentile keeps every distinct value in one task; here the
+    values at the wanted ranks are looked up instead.
     """
-    if not needs_skew_plan(df, skew_safe):
-        row = df.agg(F.percentile(F.col(column), F.array(*[F.lit(s) for s in shares]))).first()
-        return [float(x) for x in row[0]]
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_total(counts, column, F.col("_n"), "_before", True, ranges)
+    ranked = running_total(counts, column, F.col("_n"), "_before", ranges)
     total = df.agg(F.count(column)).first()[0]
     places = [s * (total - 1) for s in shares]
     wanted = sorted({int(p) for p in places} | {min(int(p) + 1, total - 1) for p in places})

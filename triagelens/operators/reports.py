@@ -178,7 +178,6 @@ def score_summary(
     score: str = "anomaly_score",
     threshold_percentile: float = 99.0,
     approximate: bool = False,
-    skew_safe: bool | None = None,
 ) -> DataFrame:
     """Minimum, maximum, mean, 95th percentile, threshold and share at or above it."""
     share_at = threshold_percentile / 100.0
@@ -187,7 +186,7 @@ def score_summary(
     elif scored.isEmpty():
         p95 = threshold = None
     else:
-        p95, threshold = percentiles(scored, score, [0.95, share_at], skew_safe)
+        p95, threshold = percentiles(scored, score, [0.95, share_at])
     above = F.count_if(F.col(score) >= F.lit(threshold).cast("double")) / F.nullif(F.count(score), F.lit(0))
     return scored.agg(
         F.min(score).alias("score_min"),

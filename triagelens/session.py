@@ -1,21 +1,12 @@
-"""Session set-up, scratch storage and input-size checks shared by all jobs."""
+"""Session set-up and scratch storage shared by all jobs."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Inputs below this many bytes fit comfortably in one task's sort, so an
-# operator may use its one-pass plan; above it the skew-safe plan is used.
-ONE_PASS_BYTES = 1 << 30
-# Inputs below this many bytes may be one split and are spread over the cores.
-SPREAD_BYTES = 256 << 20
-
-
 def build_session(app: str = "triagelens", master: str | None = None, conf: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -40,13 +31,11 @@ def pin_session(spark: SparkSession) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only in local mode."""
+    """The folder that all executors share, as the cluster names it."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared
-    if not spark.sparkContext.master.startswith("local"):
+    if not shared:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return os.path.join(tempfile.gettempdir(), f"triagelens-{os.getpid()}")
+    return shared
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -65,48 +54,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def leaf_bytes(df: DataFrame) -> int:
-    """Bytes of the tables and files ``df`` reads, before any pruning."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def needs_skew_plan(df: DataFrame, choice: bool | None = None) -> bool:
-    """``choice`` if given, else decided from the size of the input."""
-    return choice if choice is not None else leaf_bytes(df) > ONE_PASS_BYTES
-
-
-def widen(df: DataFrame, key: str) -> DataFrame:
-    """Spread a small input of few splits over the cores.
-
-    Parsing a line costs far more than moving it, and a small table may be a
-    single split.  Inputs above ``SPREAD_BYTES`` have splits enough and are left
-    alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if leaf_bytes(df) < SPREAD_BYTES else df
-
-
-def conf_bytes(spark: SparkSession, key: str) -> int:
-    """A size setting such as ``128MB`` or ``134217728b`` in bytes."""
-    text = spark.conf.get(key).strip().lower().removesuffix("b")
-    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    return int(text[:-1]) * unit[text[-1]] if text[-1:] in unit else int(text)
-
-
 def lowest_hash(df: DataFrame, columns: list[str], n: int, seed: int = 0) -> DataFrame:
     """The ``n`` rows with the lowest hash of ``columns``: a sample that is the
     same for any partitioning.
 
-    With far more rows than ``n``, those whose hash cannot be among the lowest
-    (beyond twice the expected bound) are dropped first, so that the tasks do
-    not each send ``n`` rows to the one that merges them.
+    A task sends at most ``n`` rows to the one that merges them.
     """
     hashed = df.withColumn("_hash", F.xxhash64(F.lit(seed), *columns))
-    total = df.count()
-    if total > 4 * n:
-        bound = -(1 << 63) + int((1 << 64) * (2 * n / total))
-        near = hashed.where(F.col("_hash") <= bound)
-        hashed = near if near.count() >= n else hashed
     return hashed.orderBy("_hash", *columns).limit(n).drop("_hash")
 

@@ -7,11 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from triagelens.functions.text import strip
-from triagelens.session import conf_bytes, leaf_bytes
 
 ROW_BITS = (1 << 33) - 1
-# A block row is about 200 bytes; this keeps the broadcast below 64 MB.
-BROADCAST_BLOCKS = 300_000
 
 
 def scan_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -52,10 +49,8 @@ def number_lines(lines: DataFrame, only: Column | None = None) -> DataFrame:
     """
     offsets = _block_offsets(lines)
     wanted = lines if only is None else lines.where(only)
-    n_blocks = leaf_bytes(lines) // conf_bytes(lines.sparkSession, "spark.sql.files.maxPartitionBytes")
-    side = F.broadcast(offsets) if n_blocks < BROADCAST_BLOCKS else offsets
     keyed = wanted.withColumn("path", F.col("seq.path")).withColumn("block_start", F.col("seq.block_start"))
-    return keyed.join(side, ["path", "block_start"]).select(
+    return keyed.join(offsets, ["path", "block_start"]).select(
         *[F.col(c) for c in wanted.columns],
         F.col("path"),
         (F.col("lines_before") + F.col("seq.row") - F.col("first_row") + 1).alias("line_no"),

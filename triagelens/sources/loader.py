@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,8 +88,6 @@ def load_normalized(
     year: int = 2005,
 ) -> Loaded:
     """Files of one source to normalized events and quarantined lines."""
-    if "://" not in path and not any(ch in path for ch in "*?[{") and not os.path.exists(path):
-        raise LoadError(f"Input file not found: {path}")
     if mapping is not None and mapping_path is not None:
         raise LoadError("Pass either mapping or mapping_path, not both.")
     if mapping_path is not None:
@@ -97,7 +95,13 @@ def load_normalized(
             mapping = load_mapping(mapping_path)
         except (OSError, ValueError, RuntimeError) as exc:
             raise LoadError(f"Failed to load mapping file: {exc}") from exc
-    return normalize_lines(scan_lines(spark, path), source_type, input_format, mapping, year)
+    try:
+        lines = scan_lines(spark, path)
+    except AnalysisException as exc:  # Spark's own file system looks for the path
+        if exc.getCondition() == "PATH_NOT_FOUND":
+            raise LoadError(f"Input file not found: {path}") from exc
+        raise
+    return normalize_lines(lines, source_type, input_format, mapping, year)
 
 
 def mix(*loaded: Loaded) -> Loaded:
