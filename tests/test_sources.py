@@ -183,3 +183,18 @@ def test_line_numbers_over_many_splits(spark, tmp_path):
         assert [int(x.split()[-1]) for x in ordered] == sorted(int(x.split()[-1]) for x in ordered)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_json_lines_with_repeated_keys_and_bare_numbers(lines):
+    df = rec.parse_jsonl(
+        lines(
+            '{"user":"a","user":"b","msg":"m"}',
+            '{"msg": "x: NaN, y", "score": NaN, "low":-Infinity, "user": "c"}',
+            '{"msg": "quote \\" NaN, ", "user": Infinity}',
+            '{"msg": NaN "user": 1}',
+        )
+    )
+    rows = {r.seq: r for r in df.collect()}
+    assert rows[0].user == "b" and rows[1].user == "c" and rows[1].message == "x: NaN, y"
+    assert rows[1].extra["score"] == "nan" and rows[1].extra["low"] == "-inf"
+    assert rows[2].user == "inf" and rows[2].message == 'quote " NaN, ' and 3 not in rows

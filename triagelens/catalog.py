@@ -669,11 +669,29 @@ def _(spark, sf):
     )
 
 
-@register("incident_json")
+@register(
+    "incident_json",
+    ssh_sql.on_incidents(
+        f"""SELECT incident_id, severity, priority_score, total_events, len(session_ids)::BIGINT AS sessions, session_ids[1] AS first_session,
+        coalesce(len(targeted_users), 0)::BIGINT AS users, first_seen, primary_user, {trs.TITLE} AS title, {trs.EXPLANATION} AS local_explanation FROM incidents"""
+    ),
+)
 def _(spark, sf):
+    """Fields read back from the JSON documents of all incidents."""
     members = stage(clustered(spark, sf), "clustered")
     df = ev.with_ssh_text(inc.with_member_lists(inc.roll_up(members), members))
-    return df.select("incident_id", ev.incident_json(df).alias("document"))
+    read = F.from_json(
+        "document",
+        "incident struct<incident_id string, severity string, priority_score bigint, total_events bigint, session_ids array<string>, "
+        "targeted_users array<string>, first_seen string, primary_user string>, summary struct<title string>, local_explanation string",
+    )
+    return df.select(ev.incident_json(df).alias("document")).select(read.alias("d")).select(
+        "d.incident.incident_id", "d.incident.severity", "d.incident.priority_score", "d.incident.total_events",
+        F.size("d.incident.session_ids").cast("bigint").alias("sessions"),
+        F.get("d.incident.session_ids", F.lit(0)).alias("first_session"),
+        F.size("d.incident.targeted_users").cast("bigint").alias("users"),
+        "d.incident.first_seen", "d.incident.primary_user", "d.summary.title", "d.local_explanation",
+    )
 
 
 @register(
@@ -888,10 +906,7 @@ def _(spark, sf):
     return nine(df.orderBy(*rep.apache_order(df)).limit(15), ["session_id", "anomaly_score"])
 
 
-@register(
-    "apache_report",
-    trs.on_web_sessions(
-        f"""SELECT count(*) AS total_sessions_considered, count(*) FILTER (WHERE {trs.RH} > 0) AS rare_hour_sessions,
+APACHE_REPORT = f"""SELECT count(*) AS total_sessions_considered, count(*) FILTER (WHERE {trs.RH} > 0) AS rare_hour_sessions,
         count(*) FILTER (WHERE {trs.B5} >= 5) AS sessions_with_5xx_burst, count(*) FILTER (WHERE {trs.BE} >= 10) AS sessions_with_error_burst,
         count(*) FILTER (WHERE {trs.RM} > 0.3::DOUBLE) AS sessions_with_rare_templates,
         count(*) FILTER (WHERE {trs.HI} > 0.1::DOUBLE) AS sessions_with_high_severity_ratio,
@@ -899,8 +914,9 @@ def _(spark, sf):
         sum(error_events)::BIGINT AS total_error_events,
         array_to_string(list(session_id ORDER BY anomaly_score DESC, session_id)[1:5], ';') AS top_session_ids
         FROM (SELECT * FROM aclass ORDER BY anomaly_score DESC, session_id LIMIT 20)"""
-    ),
-)
+
+
+@register("apache_report", trs.on_web_sessions(APACHE_REPORT))
 def _(spark, sf):
     df = rep.apache_report(web_sessions(spark, sf), 20)
     return df.withColumn("top_session_ids", F.array_join("top_session_ids", ";"))
@@ -966,19 +982,26 @@ def _(spark, sf):
     return jobs.compare_models(features_at(spark, sf))
 
 
-@register("model_save_and_load")
+@register(
+    "model_save_and_load",
+    "SELECT true AS session_count_kept, true AS event_count_kept, 45 AS features, true AS scores_kept FROM (SELECT count(*) FROM events)",
+)
 def _(spark, sf):
     features = stage(features_at(spark, sf), "features")
     path = scratch_path(spark, "model")
-    detectors.save(spark, jobs.train(features, "iforest", "ssh_auth", sf), path)
+    trained = jobs.train(features, "iforest", "ssh_auth", sf)
+    detectors.save(spark, trained, path)
     model = detectors.load(spark, path)
     info = model.metadata
+    pair = detectors.score_many(features, {"_before": trained, "_after": model})
+    moved = pair.agg(F.max(F.abs(F.col("_before") - F.col("_after")))).scalar()
     return features.agg(
         F.count(F.lit(1)).alias("sessions"), F.sum("event_count").alias("events")
     ).select(
         (F.col("sessions") == info["session_count"]).alias("session_count_kept"),
         (F.col("events") == info["event_count_total"]).alias("event_count_kept"),
         F.lit(len(info["numeric_features"])).alias("features"),
+        (moved == 0.0).alias("scores_kept"),
     )
 
 
@@ -1121,3 +1144,133 @@ def _(spark, sf):
     write_json(rows, path)
     back = spark.read.schema(rows.schema).json(path)
     return nine(back, ["session_id", "ip", "user", "event_count", "error_ratio", "anomaly_score"])
+
+
+# --- whole flows: from text, of alerts, of one incident --------------------------------
+
+
+@register("ssh_incidents_from_text", v.with_views(*ssh_sql.incident_views(base=text_sql.ssh_text_features())) + f" SELECT {ssh_sql.INCIDENT_COLUMNS} FROM incidents")
+def _(spark, sf):
+    events = src.parse_ssh(bridge.lines_of(spark, sf, "ssh"), YEAR)
+    return incident_columns(inc.ssh_incidents(bridge.fixed_score(feat.session_features(events, parts=RATES))))
+
+
+@register("apache_report_from_text", trs.on_web_sessions(APACHE_REPORT, text_sql.apache_text_features()))
+def _(spark, sf):
+    events = src.parse_apache_error(bridge.lines_of(spark, sf, "apache"))
+    scored_ = bridge.fixed_score(feat.session_features(events, parts=("rates", "rarity")))
+    return rep.apache_report(scored_, 20).withColumn("top_session_ids", F.array_join("top_session_ids", ";"))
+
+
+_ALERTS = ssh_sql.threshold_view().strip() + ", alerts AS (SELECT * FROM ranked WHERE is_anomalous)"
+
+
+@register(
+    "ssh_incidents_of_alerts",
+    v.with_views(*ssh_sql.incident_views(source="alerts", more=_ALERTS)) + f" SELECT {ssh_sql.INCIDENT_COLUMNS} FROM incidents",
+)
+def _(spark, sf):
+    ranked = rank.add_threshold(staged(spark, sf), threshold_percentile=95.0)
+    return incident_columns(inc.ssh_incidents(ranked.where("is_anomalous")))
+
+
+@register(
+    "explain_ssh_incident",
+    ssh_sql.on_incidents(
+        f"""SELECT incident_id, severity, timestamp, session_id, row_number() OVER (ORDER BY start_time, session_id) AS place, event_type, highlights
+        FROM (SELECT incident_id, ip, cluster_index, severity, {trs.SSH_HIGHLIGHTS} AS highlights
+          FROM (SELECT *, avg_anomaly_score AS avg_score FROM incidents WHERE severity IN ('medium', 'high')
+            ORDER BY {SORTS['total_events']}, ip, cluster_index LIMIT 1 OFFSET 1))
+        JOIN (SELECT ip, cluster_index, start_time, session_id, {v.iso('start_time')} AS timestamp, {trs.EVENT_TYPE} AS event_type FROM clustered) USING (ip, cluster_index)"""
+    ),
+)
+def _(spark, sf):
+    """Filter, sort, take the second, and show its timeline and evidence."""
+    members = stage(clustered(spark, sf), "clustered")
+    chosen = inc.filter_incidents(inc.roll_up(members), min_severity="medium")
+    one = stage(rank.nth(chosen, 1, inc.incident_order("total_events")), "chosen")
+    of_one = members.join(one.select(*inc.INCIDENT), inc.INCIDENT, "left_semi")
+    evidence = ev.ssh_evidence(one, of_one).select("incident_id", "severity", F.array_join("highlights", "\n").alias("highlights"))
+    place = F.row_number().over(Window.partitionBy("incident_id").orderBy(*inc.timeline_order()))
+    steps = inc.timeline(of_one).withColumn("place", place.cast("bigint"))
+    out = ["incident_id", "severity", "timestamp", "session_id", "place", "event_type", "highlights"]
+    return with_iso(steps.join(evidence, "incident_id"), "timestamp").select(*out)
+
+
+@register(
+    "epoch_incident_evidence",
+    v.with_views(v.LOG_EVENTS) + " SELECT count(*) AS events, true AS one_row_per_incident, true AS all_events_listed FROM log_events",
+)
+def _(spark, sf):
+    """Evidence of incidents in full-width buckets of 90 minutes: none is lost."""
+    events = stage(bridge.normalized_events(spark, sf), "normalized")
+    grouped = stage(gen.generic_incidents(events, 90, "epoch"), "epoch")
+    evidence = ev.generic_evidence(grouped, events, window_minutes=90, mode="epoch").agg(F.count_distinct("incident_id")).scalar()
+    whole = ev.normalized_evidence(grouped, events, "generic", "jsonl", 90, "epoch")
+    listed = whole.agg(F.sum(F.size("events"))).scalar()
+    return grouped.agg(F.sum("event_count").alias("events"), F.count(F.lit(1)).alias("n")).select(
+        "events", (F.col("n") == evidence).alias("one_row_per_incident"), (F.col("events") == listed).alias("all_events_listed")
+    )
+
+
+@register(
+    "anomaly_model_checks",
+    v.with_views(*v.feature_views())
+    + """ SELECT kind AS model_type, (SELECT count(*) FROM feats) AS sessions, true AS ranks_in_range, true AS flags_follow_ranks,
+      true AS about_5_percent_above_0 FROM (VALUES ('iforest'), ('ocsvm'), ('lof')) AS t(kind)""",
+)
+def _(spark, sf):
+    """What holds for every model's scores, whatever the model found."""
+    features = stage(features_at(spark, sf), "features")
+    out = None
+    for kind in detectors.KINDS:
+        model = jobs.train(features, kind, "ssh_auth", sf)
+        df = rank.add_threshold(stage(jobs.score_sessions(features, model), "scores"))
+        part = df.agg(
+            F.lit(kind).alias("model_type"),
+            F.count("anomaly_score").alias("sessions"),
+            F.bool_and(F.col("anomaly_percentile").between(0, 100)).alias("ranks_in_range"),
+            F.bool_and(F.col("is_anomalous") == (F.col("anomaly_percentile") >= 99)).alias("flags_follow_ranks"),
+            F.avg((F.col("anomaly_score") > 0).cast("double")).between(0.035, 0.065).alias("about_5_percent_above_0"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register(
+    "structured_payload_fields",
+    text_sql.on_generic(
+        """SELECT incident_id, event_count AS total_event_count, event_count AS events, least(event_count, 20) AS sampled_event_count,
+        'summary,evidence,hypothesis,caveats,next_steps,playbook_slug,playbook_notes' AS response_keys FROM gincidents"""
+    ),
+)
+def _(spark, sf):
+    events = bridge.normalized_events(spark, sf)
+    whole = ev.normalized_evidence(gen.generic_incidents(events), events, "generic", "jsonl")
+    read = F.from_json(
+        ana.payload_json(ana.structured_payload()),
+        "incident struct<incident_id string>, events array<struct<timestamp string>>, total_event_count bigint, "
+        "sampled_event_count bigint, instructions struct<response_format map<string,string>>",
+    )
+    return whole.select(read.alias("p")).select(
+        "p.incident.incident_id", "p.total_event_count", F.size("p.events").cast("bigint").alias("events"), "p.sampled_event_count",
+        F.array_join(F.map_keys("p.instructions.response_format"), ",").alias("response_keys"),
+    )
+
+
+@register(
+    "comparison_file",
+    "SELECT 3::BIGINT AS models, 'ssh_auth' AS log_type, 'iforest-v2' AS feature_version, 99.0::DOUBLE AS threshold_percentile FROM (SELECT count(*) FROM events)",
+)
+def _(spark, sf):
+    """The summary of a comparison, written as JSON and read back."""
+    from triagelens.plans.sinks import write_comparison
+
+    path = scratch_path(spark, "comparison")
+    write_comparison(jobs.compare_models(features_at(spark, sf)), path, "ssh_auth", sf)
+    schema = (
+        "log_type string, logs_path string, feature_version string, threshold_percentile double, "
+        "model_summaries map<string,struct<score_min double, fraction_above_threshold double>>, compared_at_utc string"
+    )
+    back = spark.read.schema(schema).json(path)
+    return back.select(F.size("model_summaries").cast("bigint").alias("models"), "log_type", "feature_version", "threshold_percentile")

@@ -175,3 +175,14 @@ CAVEAT_SCOPE = (
 ANALYSIS_KEYS = [
     "summary", "evidence", "hypothesis", "caveats", "next_steps", "playbook_slug", "playbook_notes",
 ]
+
+# What each key of an analysis is to hold, in our own words.
+RESPONSE_SHAPE = {
+    "summary": "one short paragraph",
+    "evidence": "list of observations",
+    "hypothesis": "one short paragraph",
+    "caveats": "list of limits",
+    "next_steps": "list of steps",
+    "playbook_slug": "name in kebab case, or empty",
+    "playbook_notes": "one short paragraph, or empty",
+}

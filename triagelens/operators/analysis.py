@@ -105,7 +105,7 @@ def structured_payload(first: int = 20) -> Column:
     """Payload column over ``normalized_evidence`` rows."""
     guide = F.struct(
         F.lit("Explain this group of log events from the normalized evidence given here.").alias("task"),
-        F.array(*[F.lit(k) for k in w.ANALYSIS_KEYS]).alias("response_keys"),
+        F.struct(*[F.lit(w.RESPONSE_SHAPE[k]).alias(k) for k in w.ANALYSIS_KEYS]).alias("response_format"),
         F.array(
             F.lit("Rely on the given evidence alone."),
             F.lit("Keep it short and useful to the person on call."),
@@ -114,7 +114,7 @@ def structured_payload(first: int = 20) -> Column:
     )
     sample = F.slice("events", 1, first)
     return F.struct(
-        "source_type", "input_format", "window_minutes", "incident", sample.alias("events_sample"),
+        "source_type", "input_format", "window_minutes", "incident", "events", sample.alias("events_sample"),
         F.size(sample).alias("sampled_event_count"), "total_event_count", guide.alias("instructions"),
     )
 

@@ -58,7 +58,7 @@ def case(tests: list[str], values: list[str]) -> str:
     return f"CASE {body} ELSE {values[-1]} END"
 
 
-def incident_views(source: str = "scored", min_sessions: int = 1) -> list[str]:
+def incident_views(source: str = "scored", min_sessions: int = 1, base: list[str] | None = None, more: str = "") -> list[str]:
     pattern_tests = [
         f"{_X} AND auth_success > 0",
         f"{_F} >= 100 AND distinct_users >= 5 AND auth_success = 0 AND {_R} >= 0.9::DOUBLE",
@@ -115,7 +115,8 @@ incidents AS (
       WHEN 'medium/low' THEN 15 WHEN 'medium/medium' THEN 30 WHEN 'medium/high' THEN 42
       WHEN 'high/low' THEN 24 WHEN 'high/medium' THEN 48 WHEN 'high/high' THEN 68 END::BIGINT AS priority_score FROM graded))
 """
-    return [*v.feature_views(), SCORED, MERGED.format(source=source), users, rolled, graded]
+    steps = [more] if more else []
+    return [*(base or v.feature_views()), SCORED, *steps, MERGED.format(source=source), users, rolled, graded]
 
 
 INCIDENT_COLUMNS = """incident_id, ip, cluster_index, "user", session_count, total_events,

@@ -134,8 +134,8 @@ APACHE_HIGHLIGHT_ITEMS = [
 APACHE_HIGHLIGHTS = joined(APACHE_HIGHLIGHT_ITEMS, "\n", w.HIGHLIGHT_APACHE_DEFAULT)
 
 
-def on_web_sessions(select: str) -> str:
-    return v.with_views(*v.feature_views(), ssh_sql.SCORED, APACHE_VIEW) + " " + select
+def on_web_sessions(select: str, base: list[str] | None = None) -> str:
+    return v.with_views(*(base or v.feature_views()), ssh_sql.SCORED, APACHE_VIEW) + " " + select
 
 
 # --- generic ------------------------------------------------------------------

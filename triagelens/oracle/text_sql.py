@@ -75,6 +75,30 @@ parsed_apache AS (
   FROM (SELECT *, regexp_extract(value, '{APACHE}', ['t', 'lvl', 'msg']) AS m FROM lines
         WHERE regexp_matches(value, '{APACHE}')))
 """
+TEXT_EVENTS = """
+text_events AS (
+  SELECT seq, ts, {ip} AS ip, {user} AS "user", NULL::VARCHAR AS path, {status} AS status, {source} AS source,
+    {level} AS level, {message} AS message FROM {parsed})
+"""
+
+
+def ssh_text_features() -> list[str]:
+    """Features of the sessions in SSH log text."""
+    events = TEXT_EVENTS.format(
+        ip="ip", user='"user"', status="status::BIGINT", source="'ssh_auth'", level="NULL::VARCHAR", message="NULL::VARCHAR", parsed="parsed_ssh"
+    )
+    return [*lines("ssh"), PARSED_SSH, events, v.sessions("text_events"), v.features()]
+
+
+def apache_text_features() -> list[str]:
+    """Features of the sessions in Apache error log text."""
+    none = "NULL::VARCHAR"
+    events = TEXT_EVENTS.format(
+        ip=none, user=none, status="NULL::BIGINT", source="'apache_error'", level="level", message="message", parsed="parsed_apache"
+    )
+    return [*lines("apache"), PARSED_APACHE, events, v.sessions("text_events"), v.features()]
+
+
 ACCESS = r'^(\S+) \S+ \S+ \[([^\]]+)\] "(\S+) (\S+) \S+" (\d{3}) \S+ ".*" "(.*)"'
 
 

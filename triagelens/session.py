@@ -13,6 +13,7 @@ def build_session(app: str = "triagelens", master: str | None = None, conf: dict
         builder = builder.master(master)
     settings = {
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.variant.allowDuplicateKeys": "true",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -25,8 +26,10 @@ def build_session(app: str = "triagelens", master: str | None = None, conf: dict
 
 
 def pin_session(spark: SparkSession) -> SparkSession:
-    """Settings the results depend on: naive log times are read as UTC."""
+    """Settings the results depend on: naive log times are read as UTC, and of a key
+    that a JSON object repeats the last value counts."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return spark
 
 

@@ -39,14 +39,42 @@ def facility(pri: Column) -> Column:
 # --- JSON lines -----------------------------------------------------------
 
 
+# Bare NaN and infinities, which some writers put into JSON, outside of strings: what
+# follows them must be complete strings and other characters up to the end.
+BARE = r"(?<=[:\[,\s])(-?){name}(?=\s*[,}}\]](?:[^\"\\]++|\\.|\"(?:[^\"\\]++|\\.)*+\")*+$)"
+
+
+def _as_array(value: Column) -> Column:
+    return F.concat(F.lit("["), value, F.lit("]"))
+
+
+def _readable(value: Column) -> Column:
+    """``value`` with bare NaN and infinities as the texts nan and inf, if that is what
+    keeps it from being JSON."""
+    plain = value
+    for name, shown in (("NaN", "nan"), ("Infinity", "inf")):
+        plain = F.regexp_replace(plain, BARE.format(name=name), f'"$1{shown}"')
+    odd = F.rlike(value, F.lit("NaN|Infinity")) & F.try_parse_json(_as_array(value)).isNull()
+    return F.when(odd, plain).otherwise(value)
+
+
+def _last_wins(entries: Column) -> Column:
+    """The map with the last value of every key."""
+    keys = F.map_keys(entries)
+    pairs = F.map_entries(entries)
+    last = F.filter(pairs, lambda e, i: F.array_position(F.reverse(keys), e["key"]) == F.size(keys) - i)
+    return F.when(F.size(keys) == F.size(F.array_distinct(keys)), entries).otherwise(F.map_from_entries(last))
+
+
 def _typed(lines: DataFrame) -> DataFrame:
-    """Adds ``item`` (the line's value) and ``kind`` (its JSON type, or "invalid").
+    """Adds ``json`` (the line as JSON), ``doc`` (it, parsed) and ``kind`` (its JSON
+    type, or "invalid").
 
     The line is parsed as the only item of an array, so text after a complete
     value is an error too.
     """
-    doc = F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit("]")))
-    typed = once(lines, "doc", doc)
+    readable = once(lines, "json", _readable(F.col("value")))
+    typed = once(readable, "doc", F.try_parse_json(_as_array(F.col("json"))))
     item = F.expr("try_variant_get(doc, '$[0]', 'variant')")
     single = item.isNotNull() & F.expr("try_variant_get(doc, '$[1]', 'variant')").isNull()
     shape = F.regexp_extract(F.schema_of_variant("doc"), r"^ARRAY<([A-Z]+)", 1)
@@ -57,9 +85,10 @@ def _json(lines: DataFrame, mapping=None) -> DataFrame:
     """Non-blank lines with ``kind`` and, for an object, ``plain`` and ``record``."""
     typed = _typed(lines.where(~is_blank(F.col("value"))))
     is_object = F.col("kind") == "OBJECT"
-    out = once(typed, "plain", F.when(is_object, F.from_json("value", "map<string,string>")))
+    out = once(typed, "entries", F.when(is_object, F.from_json("json", "map<string,string>")))
+    out = once(out, "plain", _last_wins(F.col("entries")))
     typed_map = F.expr(f"try_variant_get(doc, '$[0]', '{RECORD}')")
-    return once(out, "record", F.when(needs_types(F.col("plain"), mapping), typed_map)).drop("doc")
+    return once(out, "record", F.when(needs_types(F.col("plain"), mapping), typed_map)).drop("doc", "json", "entries")
 
 
 def parse_jsonl(lines: DataFrame, mapping=None) -> DataFrame:
