@@ -197,4 +197,4 @@ def test_json_lines_with_repeated_keys_and_bare_numbers(lines):
     rows = {r.seq: r for r in df.collect()}
     assert rows[0].user == "b" and rows[1].user == "c" and rows[1].message == "x: NaN, y"
     assert rows[1].extra["score"] == "nan" and rows[1].extra["low"] == "-inf"
-    assert rows[2].user == "inf" and rows[2].message == 'quote " NaN, ' and 3 not in rows
+    assert rows[2].user == "inf" and rows[2].message == 'quote " NaN,' and 3 not in rows

@@ -286,6 +286,16 @@ def _(spark, sf):
     return rec.syslog_simple_rejects(bridge.lines_of(spark, sf, "syslog"), YEAR).select(*ERROR_OUT)
 
 
+@register("apache_line_errors", text_sql.rejects("apache", text_sql.APACHE, "no Apache line match"))
+def _(spark, sf):
+    return src.apache_rejects(bridge.lines_of(spark, sf, "apache")).select(*ERROR_OUT)
+
+
+@register("access_line_errors", text_sql.rejects("access", text_sql.ACCESS, "no access line match"))
+def _(spark, sf):
+    return src.access_rejects(bridge.lines_of(spark, sf, "access")).select(*ERROR_OUT)
+
+
 @register("ssh_line_errors", text_sql.rejects("ssh", text_sql.SSH, "no SSH line match"))
 def _(spark, sf):
     return src.ssh_rejects(bridge.lines_of(spark, sf, "ssh"), YEAR).select(*ERROR_OUT)
@@ -1031,28 +1041,27 @@ def _(spark, sf):
     return nine(df, ["session_id", "iforest_score_norm", "ocsvm_score_norm", "lof_score_norm", "ensemble_score", "anomaly_score"])
 
 
-def _drift_sql():
-    runs = []
-    for i, day in enumerate(("2024-01-01", "2024-01-02")):
-        runs.append(
-            f"""SELECT {i}::BIGINT AS run_no, quantile_cont(anomaly_score, 0.99) AS t, avg(anomaly_score) AS m,
-            count(*) FILTER (WHERE anomaly_score >= (SELECT quantile_cont(anomaly_score, 0.99) FROM scored WHERE start_time::DATE = DATE '{day}'))::DOUBLE / count(*) AS f
-            FROM scored WHERE start_time::DATE = DATE '{day}'"""
-        )
-    return (
-        v.with_views(*v.feature_views(), ssh_sql.SCORED, "runs AS (" + " UNION ALL ".join(runs) + ")")
-        + """ SELECT a.run_no, round(a.t, 9) AS threshold_value, round(a.f, 9) AS fraction_above_threshold, round(a.m, 9) AS score_mean,
-          round(a.t - b.t, 9) AS threshold_value_change, round(a.f - b.f, 9) AS fraction_above_threshold_change,
-          round(a.m - b.m, 9) AS score_mean_change FROM runs a LEFT JOIN runs b ON a.run_no = b.run_no + 1"""
+_DRIFT_SQL = (
+    v.with_views(
+        *v.feature_views(),
+        ssh_sql.SCORED,
+        """tops AS (SELECT start_time::DATE AS day, quantile_cont(anomaly_score, 0.99) AS t, avg(anomaly_score) AS m FROM scored GROUP BY day),
+runs AS (SELECT row_number() OVER (ORDER BY day) - 1 AS run_no, day, t, m,
+  (SELECT count(*) FILTER (WHERE anomaly_score >= tops.t)::DOUBLE / count(*) FROM scored WHERE start_time::DATE = tops.day) AS f FROM tops)""",
     )
+    + """ SELECT a.run_no, round(a.t, 9) AS threshold_value, round(a.f, 9) AS fraction_above_threshold, round(a.m, 9) AS score_mean,
+      round(a.t - b.t, 9) AS threshold_value_change, round(a.f - b.f, 9) AS fraction_above_threshold_change,
+      round(a.m - b.m, 9) AS score_mean_change FROM runs a LEFT JOIN runs b ON a.run_no = b.run_no + 1"""
+)
 
 
-@register("score_drift", _drift_sql())
+@register("score_drift", _DRIFT_SQL)
 def _(spark, sf):
-    sessions = staged(spark, sf)
+    """One run for every day that the sessions start on."""
+    sessions = staged(spark, sf).withColumn("day", F.to_date("start_time"))
     runs = None
-    for i, day in enumerate(("2024-01-01", "2024-01-02")):
-        part = rep.score_summary(sessions.where(F.to_date("start_time") == day)).withColumn("run_no", F.lit(i).cast("bigint"))
+    for i, (day,) in enumerate(sessions.select("day").distinct().orderBy("day").collect()):  # one row per day
+        part = rep.score_summary(sessions.where(F.col("day") == F.lit(day))).withColumn("run_no", F.lit(i).cast("bigint"))
         runs = part if runs is None else runs.unionByName(part)
     df = rep.drift(stage(runs, "runs"))
     return nine(df, df.columns)

@@ -42,7 +42,6 @@ PATTERN_REASONS = {
 VOLUME_REASON = "high-volume failed SSH authentication attempts ("
 SPRAY_TAIL = " distinct user(s) with no successes"
 BRUTE_TAIL = " user(s) with very high failure ratio"
-SSH_PATTERNS = ["brute_force", "password_spray", "possible_compromise", "low_signal", "suspicious_auth_activity"]
 APACHE_PATTERNS = [
     (
         "apache_error_spike",

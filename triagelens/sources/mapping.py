@@ -22,14 +22,6 @@ class FieldMapping:
         """Flat form: each field with its first source name."""
         return {name: aliases[0] for name, aliases in self.fields.items()}
 
-    def as_dict(self) -> dict[str, Any]:
-        out: dict[str, Any] = {"fields": self.fields}
-        if self.defaults:
-            out["defaults"] = self.defaults
-        if self.source_type is not None:
-            out["source_type"] = self.source_type
-        return out
-
 
 def build_mapping(config: FieldMapping | dict | None) -> FieldMapping | None:
     """Check a configuration; the full form has ``fields``, the flat form is fields only."""
