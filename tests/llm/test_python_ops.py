@@ -1,6 +1,7 @@
 """Top-k, token counts, toxicity, archives and languages against plain Python."""
 
 
+import gzip
 import hashlib
 import random
 
@@ -215,7 +216,7 @@ def test_warc_odd_rows(spark, tmp_path):
 def test_warc_format(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/b", "héllo"), (2, "http://a/c", "x" * 1500), (3, "http://a/d", "x" * 1500)], "page_id long, url string, html string")
     warc.write_archives(warc.heads(pages.coalesce(1)), str(tmp_path / "w"))
-    content = b"".join(p.read_bytes() for p in sorted((tmp_path / "w").glob("part-*")))
+    content = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "w").glob("part-*.gz")))
     seen = []
     while content:
         head, content = content.split(b"\r\n\r\n", 1)

@@ -5,8 +5,10 @@ Writing: every page is one record. Pages with equal payloads of at least
 ``response``, the others as ``revisit`` records that carry headers only. Which is which
 is decided on headers alone: digests are shuffled, payloads are not moved by digest.
 
-Reading: archives are split at record starts by Spark's text reader, so a large file is
-read by many tasks. A record's start is recognised by its version line together with
+Archives are gzip files of a bounded number of records.
+
+Reading: Spark's text reader streams the files and splits them at record starts. A
+record's start is recognised by its version line together with
 the id of the archive set, a random UUID that no payload can contain. Record heads are
 parsed, payloads are cut by their content length, and revisits are joined, by payload
 digest, to the response they refer to.
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from triagelens.llm.common import shared_folder, written
 
 MIN_REVISIT = 1000  # bytes
+RECORDS_PER_FILE = 50_000  # a compressed file is read by one task, record by record
 CRLF = "\r\n"
 BREAK = CRLF + CRLF
 DATE = "2024-01-01T00:00:00Z"
@@ -125,7 +128,8 @@ def write_archives(records: DataFrame, path: str, now: str = DATE) -> str:
     revisits = decide(records.drop("payload")).select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), "refers_to")
     marked = records.join(revisits, F.expr("page_id <=> _id and payload_digest = _digest"), "left")
     lines = marked.select(record_text(archive, now).alias("value"))
-    lines.write.option("lineSep", BREAK).text(path)
+    writer = lines.write.option("lineSep", BREAK).option("compression", "gzip")
+    writer.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
     return archive
 
 
