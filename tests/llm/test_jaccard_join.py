@@ -93,6 +93,14 @@ def test_sketches_bound_the_difference():
     assert met > 500
 
 
+def test_split_buckets(spark, monkeypatch):
+    """Cells of few sets give the same components."""
+    monkeypatch.setattr(jj, "CELL", 3)
+    rows = generated()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, jj.components(docs).collect()), key=str) == brute(rows)
+
+
 def test_empty_table(spark):
     assert jj.components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

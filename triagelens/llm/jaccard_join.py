@@ -21,7 +21,8 @@ That is used twice:
 The rest is verified on the sets. Components need not be found pair by pair: in every
 bucket each set is first paired with the bucket's smallest one only, which joins groups
 of near copies at linear cost. What remains are buckets with sets of different
-components; only there, sets of different components are paired with each other.
+components; only there, sets of different components are compared with each other, by
+their sketches, and no pair leaves the comparison unless they are close.
 
 Equal sets are one set from the start: a task sends the keys of a set once, however
 many copies of the document it sees. Set ids are 64-bit hashes as well: among N
@@ -51,6 +52,8 @@ PERCENT = 80
 BAND_RATIO = 1.6
 MIN_BLOCKS = 32
 SLAB = 1 << 20  # bytes of a text that are split into words at once
+SMALL = 128  # bytes of a folded sketch at most
+CELL = 1024  # sets of a bucket that are compared with each other in one place, about
 SEEN = 200_000  # sets a task remembers, to send the keys of copies once
 
 MIX1, MIX2, MIX3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -154,34 +157,35 @@ def differing_bits(a: bytes, b: bytes) -> int:
 
 
 def sketch(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, text_key, n, set_id, bits, keys`` of every row; keys are empty for a copy
+    """``doc_id, text_key, n, set_id, bits, small, keys`` of every row; keys are empty for a copy
     of a set that the task has already sent, set and bits are null for an empty set.
     ``text_key`` tells rows of one id with different texts apart."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int32()), ("set_id", pa.int64()), ("bits", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int32()), ("set_id", pa.int64()), ("bits", pa.binary()), ("small", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         bands, seen = Bands(percent), set()
         for batch in batches:
             ids, texts, text_keys = batch.columns
-            sizes, sets, bits, keys = [], [], [], []
+            sizes, sets, bits, small, keys = [], [], [], [], []
             for text in texts.to_pylist():
                 members = shingle_set(text, words)
                 sizes.append(len(members))
                 if not len(members):
-                    sets.append(None), bits.append(None), keys.append([])
+                    sets.append(None), bits.append(None), small.append(None), keys.append([])
                     continue
                 set_id = set_id_of(members)
                 sets.append(set_id)
                 bits.append(bit_sketch(members))
+                small.append(folded(bits[-1]))
                 keys.append([] if set_id in seen else join_keys(members, bands))
                 if len(seen) < SEEN:
                     seen.add(set_id)
-            columns = [ids, text_keys, pa.array(sizes, pa.int32()), pa.array(sets, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            columns = [ids, text_keys, pa.array(sizes, pa.int32()), pa.array(sets, pa.int64()), pa.array(bits, pa.binary()), pa.array(small, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     small_batches(docs.sparkSession)
     rows = documents(docs).withColumn("text_key", F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, n int, set_id long, bits binary, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_key long, n int, set_id long, bits binary, small binary, keys array<long>")
 
 
 def similar_sizes(a: str, b: str, percent: int) -> str:
@@ -273,30 +277,112 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
-def open_pairs(met: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs of sets that share a bucket but, so far, no component."""
+def folded(bits: bytes, most: int = SMALL) -> bytes:
+    """A sketch of at most ``most`` bytes: longer ones XORed onto themselves."""
+    x = np.frombuffer(bits, np.uint8)
+    return np.bitwise_xor.reduce(x.reshape(-1, most), axis=0).tobytes() if len(x) > most else bits
+
+
+def differing_pairs(
+    ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sketches: list[bytes], percent: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one bucket with different labels, similar sizes and close sketches."""
+    shortest = min(map(len, sketches))
+    bits = np.stack([np.frombuffer(folded(x, shortest), np.uint8) for x in sketches]).view(np.uint64)
+    left, right = [], []
+    for i in range(len(ids) - 1):
+        others = slice(i + 1, None)
+        total = sizes[others] + sizes[i]
+        near = (labels[others] != labels[i]) & (ids[others] != ids[i])
+        near &= 100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])
+        if near.any():
+            apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            near &= apart <= (100 - percent) * total // (100 + percent)
+            found = ids[others][near]
+            left.append(np.minimum(found, ids[i]))
+            right.append(np.maximum(found, ids[i]))
+    empty = np.zeros(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
+
+
+def open_pairs(met: DataFrame, labels: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs of sets that share a bucket but, so far, no component.
+
+    The smallest set of a bucket has been compared with all others already. The others
+    are compared by their folded sketches inside the task that holds the bucket, and
+    only pairs that are close come out. A bucket of more than ``CELL`` sets is split
+    into parts, and every two parts meet in a cell of their own, so no task holds more
+    than two parts at once.
+    """
     of_lead = labels.select(F.col("node").alias("lead"), F.col("label").alias("lead_label"))
     of_set = labels.select(F.col("node").alias("set_id"), "label")
     rows = met.join(of_lead, "lead", "left").join(of_set, "set_id", "left")
-    rows = rows.select(
-        "key", "set_id", "n", F.coalesce("label", "set_id").alias("label"), F.coalesce("lead_label", "lead").alias("lead_label")
+    rows = rows.select("key", "set_id", "n", F.coalesce("label", "set_id").alias("label"), F.coalesce("lead_label", "lead").alias("lead_label"))
+    rows = written(rows, "labelled")
+    open_keys = (
+        rows.groupBy("key")
+        .agg(F.count("*").alias("in_bucket"), F.max(F.col("label") != F.col("lead_label")).alias("open"))
+        .where("open and in_bucket > 1")
+        .select("key", F.ceil(F.col("in_bucket") / CELL).cast("int").alias("parts"))
+    )
+    part = F.pmod(F.xxhash64("set_id", F.lit(2)), F.col("parts")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(F.col("part"), j).alias("i"), F.greatest(F.col("part"), j).alias("j")))
+    in_cells = (
+        rows.join(open_keys, "key")
+        .withColumn("part", part)
+        .withColumn("cell", F.explode(cells))
+        .join(sets.select("set_id", "small"), "set_id")
+        .select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "set_id", "n", "label", "small")
     )
-    rest = rows.where("label <> lead_label").select("key", F.col("set_id").alias("x"), F.col("n").alias("n_x"), F.col("label").alias("label_x"))
-    pairs = rest.join(rows, "key").where(f"label <> label_x and {similar_sizes('n', 'n_x', percent)}")
-    return pairs.select(F.least("set_id", "x").alias("a"), F.greatest("set_id", "x").alias("b")).distinct()
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(batches):
+        held: list[pa.RecordBatch] = []
+
+        def finished(batch):
+            """Pairs of the whole cells in ``batch``."""
+            keys, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
+            begins = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+            ids, sizes, marks = (batch.column(c).to_numpy() for c in ("set_id", "n", "label"))
+            small = batch.column("small").to_pylist()
+            left, right = [], []
+            for begin, end in zip(begins, [*begins[1:], len(keys)], strict=True):
+                if end - begin > 1:
+                    a, b = differing_pairs(ids[begin:end], sizes[begin:end].astype(np.int64), marks[begin:end], small[begin:end], percent)
+                    left.append(a), right.append(b)
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (left, right)], schema=schema)
+
+        # Rows come sorted by cell; the last cell of a batch may go on in the next one.
+        for batch in batches:
+            whole = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+            last = [whole.column(c)[whole.num_rows - 1].as_py() for c in ("key", "i", "j")]
+            same = np.ones(whole.num_rows, bool)
+            for name, value in zip(("key", "i", "j"), last, strict=True):
+                same &= whole.column(name).to_numpy() == value
+            cut = int(np.flatnonzero(same)[0])
+            if cut:
+                yield from finished(whole.slice(0, cut))
+            held = [whole.slice(cut)]
+        for batch in held:
+            yield from finished(batch)
+
+    dealt = in_cells.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``doc_id, text_key, n, class`` of every row; the class of an empty set is null."""
     sketched = written(sketch(docs, words, percent), "sketches")
     sets = sketched.where("set_id is not null").groupBy("set_id")
-    sets = written(sets.agg(F.min("doc_id").alias("place"), F.first("n").alias("n"), F.first("bits").alias("bits")), "sets")
+    sets = sets.agg(F.min("doc_id").alias("place"), *[F.first(c).alias(c) for c in ("n", "bits", "small")])
+    sets = written(sets, "sets")
     met = written(buckets(sketched), "buckets")
     stars = met.where(similar_sizes("n", "n_lead", percent)).select(F.col("lead").alias("a"), F.col("set_id").alias("b")).distinct()
     near = written(near_pairs(stars, sets, percent), "pairs")
     links = written(verified(near, docs, sets, words, percent), "verified")
     labels = connected(links)
-    near = written(near_pairs(open_pairs(met, labels, percent), sets, percent), "pairs")
+    near = written(near_pairs(open_pairs(met, labels, sets, percent), sets, percent), "pairs")
     if not near.isEmpty():
         labels = connected(links.union(verified(near, docs, sets, words, percent)))
     rows = sketched.select("doc_id", "text_key", "n", "set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
