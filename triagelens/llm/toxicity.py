@@ -11,7 +11,9 @@ Each hit is then judged by its context window: inside quotation marks or after a
 reporting word it counts as quotation, next to other hits as abuse. An entry found
 once, twice or three times outside of quotations is trusted as much as labelled
 documents with as many of it, relative to their length, were toxic; misspelled and quoted hits are trusted as much
-as documents with nothing better were. A document's score is its largest trust, without
+as documents with nothing better were. An entry that is trusted less than ``MIN_TRUST``
+at its level counts for nothing: a single word that begins oddly is no evidence, while
+several of them are. A document's score is its largest trust, without
 hits the rate of toxic documents among labelled ones without hits.
 
 Defined results: null and empty texts are scored as texts without hits; a null id is
@@ -27,7 +29,7 @@ import re
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagelens.llm.common import crc32_mod, documents, small_batches, written
@@ -35,10 +37,12 @@ from triagelens.llm.common import crc32_mod, documents, small_batches, written
 LABELLED = 20_000  # labelled rows to learn from, about; chosen by hash
 LEXICON = 4_000  # entries at most, the strongest first
 STEMS = (4, 5, 6, 7)  # lengths of word beginnings that can be entries
-PRECISION = 0.3  # least share of toxic documents among those with an entry
+PRECISION = 0.8  # least share of toxic documents among those with an entry
+MIN_TRUST = 0.7  # an entry at a level that is trusted less says nothing
 WINDOW = 8  # words on either side
 THRESHOLD = 0.3
-WORDS_KEPT = 400_000  # words whose lookup a worker remembers
+WORDS_KEPT = 500_000  # tokens a worker remembers to have looked into
+HEAD = 4  # first letters whose state is remembered
 STATES_KEPT = 50_000
 
 # Words that introduce somebody else's speech.
@@ -85,7 +89,9 @@ class Matcher:
         self.sets: list[dict[int, int]] = []
         self.found: list[tuple[list, list]] = []
         self.steps: list[dict[str, int]] = []
-        self.known: dict[str, tuple | None] = {}
+        self.heads: dict[str, tuple[int, list[int]]] = {}  # by first letters
+        self.seen: set[str] = set()  # tokens that were looked into
+        self.hitting: dict[str, dict] = {}  # those of them with hits, and the hits
         self.start = self.state({0: 0})
 
     def state(self, nodes: dict[int, int]) -> int:
@@ -128,25 +134,49 @@ class Matcher:
 
     def look_up(self, word: str) -> tuple[int, list[int]] | None:
         """Edits and entries of ``word``: all it equals or begins with, else the closest."""
-        if word in self.known:
-            return self.known[word]
-        if len(self.sets) > STATES_KEPT or len(self.known) > WORDS_KEPT:
-            self.clear()
-        state, entries = self.start, []
-        for letter in word:
+        head = word[:HEAD]
+        found = self.heads.get(head)
+        if found is None:
+            found = self.heads[head] = self.walk(self.start, head)
+        state, entries = found
+        if state >= 0 and len(word) > HEAD:
+            state, more = self.walk(state, word[HEAD:])
+            entries = entries + more
+        whole = self.found[state][0] if state >= 0 else []
+        entries = entries + [x for e, x in whole if not e]
+        if entries:
+            return 0, entries
+        return (min(whole)[0], [min(whole)[1]]) if whole else None
+
+    def walk(self, state: int, letters: str) -> tuple[int, list[int]]:
+        """State after ``letters`` (-1: none is left) and stems passed on the way."""
+        entries: list[int] = []
+        for letter in letters:
             following = self.steps[state].get(letter)
             state = self.step(state, letter) if following is None else following
             if state < 0:
                 break
             entries += self.found[state][1]
-        whole = self.found[state][0] if state >= 0 else []
-        entries = entries + [x for e, x in whole if not e]
-        if entries:
-            answer = 0, entries
-        else:
-            answer = (min(whole)[0], [min(whole)[1]]) if whole else None
-        self.known[word] = answer
-        return answer
+        return state, entries
+
+    def hits(self, text: str) -> dict[str, tuple[int, list[int]]]:
+        """The words of ``text`` that are hits. Each different token (a stretch between
+        blanks, which holds whole words) is looked into once."""
+        tokens = set(text.split())
+        new = tokens - self.seen
+        if new:
+            if len(self.sets) > STATES_KEPT or len(self.seen) > WORDS_KEPT:
+                self.clear()
+                new = tokens
+            for token in new:
+                for word in (token,) if token.isalnum() else WORD.findall(token):
+                    hit = self.look_up(word)
+                    if hit is not None:
+                        self.hitting.setdefault(token, {})[word] = hit
+            self.seen |= new
+        if tokens.isdisjoint(self.hitting):
+            return {}
+        return {word: hit for token in tokens.intersection(self.hitting) for word, hit in self.hitting[token].items()}
 
 
 def quoted_ranges(text: str) -> list[tuple[int, int]]:
@@ -166,23 +196,26 @@ def quoted_ranges(text: str) -> list[tuple[int, int]]:
 
 
 def hits_of(text: str, matcher: Matcher, window: int = WINDOW) -> tuple[int, list[tuple[int, list[int]]]]:
-    """Number of words; every hit as its kind (an index of KINDS) and its entries."""
+    """Number of words (0 without hits); every hit as its kind (an index of KINDS) and
+    its entries."""
     lowered = text.lower()
-    words = WORD.findall(lowered)
-    look_up = matcher.look_up
-    found = {w: hit for w in set(words) if (hit := look_up(w)) is not None}
+    found = matcher.hits(lowered)
     if not found:
-        return len(words), []
-    places = [(m.start(), i, m.group()) for i, m in enumerate(WORD.finditer(lowered)) if m.group() in found]
+        return 0, []
+    words = WORD.findall(lowered)
+    places = [i for i, word in enumerate(words) if word in found]
     ranges, at = quoted_ranges(lowered), 0
+    begins = [m.start() for m in WORD.finditer(lowered)] if ranges else []
     hits = []
-    for k, (start, i, word) in enumerate(places):
-        while at < len(ranges) and ranges[at][1] < start:
-            at += 1
-        quoted = at < len(ranges) and ranges[at][0] < start < ranges[at][1]
+    for k, i in enumerate(places):
+        quoted = False
+        if ranges:
+            while at < len(ranges) and ranges[at][1] < begins[i]:
+                at += 1
+            quoted = at < len(ranges) and ranges[at][0] < begins[i] < ranges[at][1]
         quoted = quoted or not REPORTING.isdisjoint(words[max(0, i - window) : i])
-        company = (k > 0 and i - places[k - 1][1] <= window) or (k + 1 < len(places) and places[k + 1][1] - i <= window)
-        edits, entries = found[word]
+        company = (k > 0 and i - places[k - 1] <= window) or (k + 1 < len(places) and places[k + 1] - i <= window)
+        edits, entries = found[words[i]]
         if edits:
             kind = 4 if quoted else 1 if company else 3
         else:
@@ -222,7 +255,40 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, rows: int =
     if total > rows:
         labelled = labelled.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * rows / total))
     # At most about ``rows`` ids, whatever the size of the tables.
-    return documents(docs).join(F.broadcast(labelled), F.expr("doc_id = _id")).select("text", "toxic")
+    sample = documents(docs).join(F.broadcast(labelled), F.expr("doc_id = _id")).select("text", "toxic")
+    return distinct_texts(sample)
+
+
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """One row of every group of copies: whatever else stands in a toxic text that was
+    copied many times would look as if it were found in many toxic texts.
+
+    Near copies nearly always have the same smallest hash of a three-word window, by at
+    least one of three hash functions.
+    """
+    words = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
+
+    def smallest(seed: int) -> Column:
+        return F.get(
+            F.transform(
+                F.array(words),
+                lambda w: F.array_min(
+                    F.transform(
+                        F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))),
+                        lambda i: F.xxhash64(F.lit(seed), F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)),
+                    )
+                ),
+            ),
+            F.lit(0),
+        )
+
+    keys = [f"_key{seed}" for seed in range(3)]
+    keyed = written(rows.select("text", "toxic", *[smallest(i).alias(k) for i, k in enumerate(keys)]), "labelled")
+    for key in keys:
+        # Which of the copies stays must not depend on the order they come in.
+        first = F.row_number().over(Window.partitionBy(key).orderBy("toxic", *keys, F.xxhash64("text")))
+        keyed = keyed.withColumn("_first", first).where("_first = 1").drop("_first")
+    return keyed.select("text", "toxic")
 
 
 def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> list[tuple[str, bool]]:
@@ -230,10 +296,11 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> list[tuple[str, bool]
 
     The evidence of an entry is its log likelihood ratio between its own rate of toxic
     documents and the overall one; it must exceed the logarithm of the number of
-    candidates, so that not one entry is expected by chance.
+    candidates, so that hardly one entry is expected by chance.
     """
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
     words = F.filter(words, lambda w: (F.length(w) >= 3) & (F.length(w) <= 40))
+
     # A beginning must be shared by two different words of the document.
     def beginnings(n: int) -> Column:
         return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
@@ -242,21 +309,25 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> list[tuple[str, bool]
     stems = F.get(
         F.transform(F.array(F.sort_array(stems)), lambda s: F.filter(s, lambda x, i: x == F.get(s, i - 1))), F.lit(0)
     )
-    total = rows.agg(F.count("*"), F.sum("toxic")).first()
-    if not total[0] or not total[1]:
+    listed = rows.select(F.array_distinct(F.concat(words, stems)).alias("terms"), "toxic")
+    # The rate to beat is that of the occurrences, not of the documents: toxic documents
+    # may be longer, and a long document has more of everything.
+    n_terms = F.size("terms")
+    all_, bad = listed.agg(F.sum(n_terms), F.sum(n_terms * F.col("toxic"))).first()
+    if not all_ or not bad:
         return []
-    base = min(max(total[1] / total[0], 1e-6), 1 - 1e-6)
+    base = min(max(bad / all_, 1e-6), 1 - 1e-6)
     counts = (
-        rows.select(F.explode(F.array_distinct(F.concat(words, stems))).alias("term"), "toxic")
+        listed.select(F.explode("terms").alias("term"), "toxic")
         .groupBy("term")
         .agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
     )
+    counts = written(counts, "terms")
     rate = (F.col("bad") + 0.5) / (F.col("n") + 1)
     evidence = F.col("bad") * F.log(rate / base) + (F.col("n") - F.col("bad")) * F.log((1 - rate) / (1 - base))
-    # Terms of one or two documents can never reach the bound below.
-    counts = counts.where((F.col("bad") >= 3) & (rate >= PRECISION)).select("term", evidence.alias("evidence"))
-    candidates = rows.select(F.explode(words).alias("term")).agg(F.approx_count_distinct("term")).first()[0]
-    bound = math.log(max(candidates, 1)) + 1
+    candidates = counts.count()
+    counts = counts.where(rate >= PRECISION).select("term", evidence.alias("evidence"))
+    bound = math.log(max(candidates, 1)) + 2
     best = counts.where(F.col("evidence") > bound).orderBy(F.desc("evidence"), "term").limit(size).collect()
     return [(r.term.removesuffix("*"), r.term.endswith("*")) for r in best]
 
@@ -326,7 +397,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: int = LA
         steps = [trust((entry, level), base, 0.5) for level in range(1, LEVELS + 1)]
         for level in range(1, LEVELS):  # more of an entry is never trusted less
             steps[level] = max(steps[level], steps[level - 1])
-        by_entry.append(steps)
+        by_entry.append([x if x >= MIN_TRUST else 0.0 for x in steps])
     by_kind = [trust((-1, kind), prior, PRIOR_WEIGHT) for kind, prior in enumerate(PRIOR_TRUST)]
     n, bad = counts.get((-1, -1), (0, 0))
     return Model(entries, by_entry, by_kind, min((bad + 0.01) / (n + 1.0), THRESHOLD / 2))
