@@ -52,9 +52,9 @@ PERCENT = 80
 BAND_RATIO = 1.6
 MIN_BLOCKS = 32
 SLAB = 1 << 20  # bytes of a text that are split into words at once
-SMALL = 128  # bytes of a folded sketch at most
+SMALL = 256  # bytes of a folded sketch at most
 CELL = 1024  # sets of a bucket that are compared with each other in one place, about
-SEEN = 200_000  # sets a task remembers, to send the keys of copies once
+SEEN = 200_000  # sets and pairs a task remembers, to send copies once
 
 MIX1, MIX2, MIX3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 BLANK = re.compile(rb"[\x20\x09-\x0d]")
@@ -137,8 +137,8 @@ def join_keys(members: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def bit_sketch(members: np.ndarray) -> bytes:
-    """Parity bits of the members, about one bit for each."""
-    bits = max(64, 1 << (len(members) - 1).bit_length())
+    """Parity bits of the members, two to four bits for each."""
+    bits = max(64, 2 << (len(members) - 1).bit_length())
     place = (mixed(members * MIX1) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -338,6 +338,7 @@ def open_pairs(met: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
 
     def compare(batches):
         held: list[pa.RecordBatch] = []
+        sent: set[tuple[int, int]] = set()  # near sets meet in many buckets: once per task is enough
 
         def finished(batch):
             """Pairs of the whole cells in ``batch``."""
@@ -350,8 +351,11 @@ def open_pairs(met: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
                 if end - begin > 1:
                     a, b = differing_pairs(ids[begin:end], sizes[begin:end].astype(np.int64), marks[begin:end], small[begin:end], percent)
                     left.append(a), right.append(b)
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (left, right)], schema=schema)
+            pairs = set(zip(np.concatenate(left).tolist(), np.concatenate(right).tolist(), strict=True)) - sent if left else set()
+            if pairs:
+                if len(sent) < SEEN:
+                    sent.update(pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(pairs), strict=True)], schema=schema)
 
         # Rows come sorted by cell; the last cell of a batch may go on in the next one.
         for batch in batches:
