@@ -230,6 +230,17 @@ def test_warc_format(spark, tmp_path):
     assert sorted(seen) == sorted([("response", "http://a/b", "héllo".encode()), ("revisit", "http://a/c", b""), ("response", "http://a/d", b"x" * 1500)])
 
 
+def test_warc_many_revisits(spark):
+    """Record starts are found wherever the line reader refills its buffer."""
+    n = 500_000
+    html = F.when(F.col("id") % 10 == 0, F.concat(F.col("id").cast("string"), F.lit("\r\n\r\n"))).otherwise(F.lit("x" * 1000))
+    pages = spark.range(0, n, 1, 4).select(F.col("id").alias("page_id"), F.lit("http://a/b").alias("url"), html.alias("html"))
+    got = warc.round_trip(spark, pages).groupBy("record_type", "refers_to").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("ids"))
+    own = n // 10
+    want = {("response", None, own + 1, own + 1), ("revisit", n - 1, n - own - 1, n - own - 1)}
+    assert set(map(tuple, got.collect())) == want
+
+
 # ---------------------------------------------------------------------------- languages
 
 

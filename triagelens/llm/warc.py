@@ -138,12 +138,14 @@ def read_archives(spark: SparkSession, path: str, archive: str) -> DataFrame:
 
     The payload of a revisit is null.
     """
-    start = first_lines(archive)
-    raw = spark.read.option("lineSep", BREAK + start).text(path).where(F.length("value") > 0)
-    # The first record of a file has kept its start. Everything before the body of the
-    # HTTP response is ASCII, so positions in the text are positions in the bytes.
-    text = F.when(F.startswith("value", F.lit(start)), F.expr(f"substring(value, {len(start) + 1})")).otherwise(F.col("value"))
-    split = raw.select(text.alias("text")).withColumn("cut", F.locate(BREAK, F.col("text")))
+    # A line break before the separator would be ambiguous: records end in one themselves,
+    # and where the line reader refills its buffer it does not go back into the old one to
+    # match anew. The bytes before a start are a break, which the start does not contain,
+    # so no earlier match can run into it. Content lengths cut the break off.
+    raw = spark.read.option("lineSep", first_lines(archive)).text(path).where(F.length("value") > 0)
+    # Everything before the body of the HTTP response is ASCII, so positions in the text are
+    # positions in the bytes.
+    split = raw.select(F.col("value").alias("text")).withColumn("cut", F.locate(BREAK, F.col("text")))
     rows = split.select(
         F.concat(F.lit("\n"), F.substring(F.col("text"), F.lit(1), F.col("cut") + 1)).alias("head"),
         F.expr("substring(text, cut + 4)").alias("rest"),
