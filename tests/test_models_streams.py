@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,30 @@ def test_models_flag_the_wild_sessions(spark, features, kind):
         assert a.session_id == b.session_id and abs(a.anomaly_score - b.anomaly_score) < 1e-9
 
 
+def test_lof_uses_every_session(spark):
+    """More rows than the former sample of 20,000, with copies, against all distances."""
+    n = 20_500
+    names = detectors.NUMERIC_FEATURES
+    rng = np.random.default_rng(4)
+    points = np.concatenate([rng.normal(size=(n - 40, len(names))) * (1 + np.arange(n - 40) % 5)[:, None], np.ones((40, len(names)))])
+    df = stage(spark.createDataFrame(pd.DataFrame(points, columns=names).assign(id=range(n), k_ip="a", k_user="u", k_agent="", session_no=range(n))), "points")
+    model = detectors.fit(df, "lof")
+    got = np.array([r.raw + model.params["offset"] for r in detectors.score(df, model, "raw").select("id", "raw").orderBy("id").collect()])
+    x = (points - np.array(model.scaler.mean)) / np.array(model.scaler.scale)
+
+    def nearest(skip):
+        parts = [kernels.nearest(x[s : s + 500], x, 20, s if skip else None) for s in range(0, n, 500)]
+        index = np.concatenate([p[1] for p in parts])
+        return np.sqrt(((x[:, None] - x[index]) ** 2).sum(-1)), index
+
+    distance, index = nearest(True)
+    k_distance = distance.max(axis=1)
+    density = kernels.reach_density(distance, index, k_distance)
+    assert abs(model.params["offset"] / np.percentile(density[index].mean(axis=1) / density, 95) - 1) < 1e-6
+    distance, index = nearest(False)
+    assert np.allclose(got, density[index].mean(axis=1) / kernels.reach_density(distance, index, k_distance), rtol=1e-6)
+
+
 def test_iforest_does_not_depend_on_partitions(features):
     a = detectors.fit(features.repartition(3), "iforest", trees=20)
     b = detectors.fit(features.repartition(7, "user"), "iforest", trees=20)

@@ -3,7 +3,7 @@
 Every model scores so that higher is more unusual and 0 is the 95th percentile
 of the training scores, i.e. the most unusual 5 % of the training rows are
 above 0.  Fitting and scoring run as Spark jobs; what reaches the driver has a
-fixed bound (a sample of fixed size, trees, weights).
+fixed bound (a sample of fixed size, trees, weights, pivots).
 """
 
 from __future__ import annotations
@@ -13,15 +13,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triagelens.models import kernels
 from triagelens.models.vectors import Scaler, fit_scaler, hash_sample, vector
 from triagelens.operators.features import NUMERIC_FEATURES
 from triagelens.operators.ranking import percentiles
-from triagelens.session import stage
+from triagelens.session import lowest_hash, stage
 
 # tasks get the kernels with the job, also where the package is not installed
 cloudpickle.register_pickle_by_value(kernels)
@@ -30,25 +31,28 @@ KINDS = ("iforest", "ocsvm", "lof")
 CONTAMINATION = 0.05
 SEED = 42
 FEATURE_VERSION = "v3-baseline-deviation"
+TABLE = "point long, v array<double>, copies long, k_distance double, density double"
 
 
 @dataclass
 class Model:
-    """Parameters, small arrays by name, and the description of the training run."""
+    """Parameters, small arrays by name, the description of the training run, and what
+    grows with the training rows as a table."""
 
     kind: str
     scaler: Scaler
     arrays: dict[str, np.ndarray]
     params: dict = field(default_factory=dict)
     metadata: dict = field(default_factory=dict)
+    table: DataFrame | None = None  # of the local outlier factor: the rows it was trained on
 
 
 def fit(features: DataFrame, kind: str, **options) -> Model:
     if kind not in KINDS:
         raise ValueError(f"Unsupported model_type: {kind}")
     scaler = fit_scaler(features)
-    arrays, params = {"iforest": _fit_iforest, "ocsvm": _fit_ocsvm, "lof": _fit_lof}[kind](features, scaler, **options)
-    model = Model(kind, scaler, arrays, {**params, "offset": 0.0})
+    arrays, params, *table = {"iforest": _fit_iforest, "ocsvm": _fit_ocsvm, "lof": _fit_lof}[kind](features, scaler, **options)
+    model = Model(kind, scaler, arrays, {**params, "offset": 0.0}, table=table[0] if table else None)
     if "train_offset" in params:
         model.params["offset"] = params["train_offset"]
     else:
@@ -67,6 +71,9 @@ def score_many(features: DataFrame, models: dict[str, Model]) -> DataFrame:
     spark = features.sparkSession
     out = features
     for name, model in models.items():
+        if model.kind == "lof":
+            out = _add_factor(out, model, name)
+            continue
         shared = spark.sparkContext.broadcast((model.kind, model.arrays, model.params))
         out = out.withColumn(name, _scorer(shared)(vector(model.scaler)))
     return out
@@ -83,18 +90,8 @@ def _scorer(shared):
             trees = _trees(arrays)
             depth = int(np.ceil(np.log2(max(params["sample_size"], 2))))
             raw = 2.0 ** (-kernels.mean_path(points, trees, depth) / kernels.average_path(params["sample_size"]))
-        elif kind == "ocsvm":
-            raw = -kernels.fourier_map(points, arrays["weights"], arrays["phase"]) @ arrays["normal"]
         else:
-            blocks = np.array_split(points, max(1, len(points) // 1024))
-            raw = np.concatenate(
-                [
-                    kernels.outlier_factor(
-                        b, arrays["reference"], params["neighbours"], arrays["k_distance"], arrays["density"]
-                    )
-                    for b in blocks
-                ]
-            )
+            raw = -kernels.fourier_map(points, arrays["weights"], arrays["phase"]) @ arrays["normal"]
         return pd.Series(raw - params["offset"])
 
     return run
@@ -217,39 +214,147 @@ def _mean_map(rows: DataFrame, weights, phase, normal, cut):
 # --- local outlier factor ---------------------------------------------------------
 
 
-def _fit_lof(features: DataFrame, scaler: Scaler, neighbours: int = 20, max_reference: int = 20_000, seed: int = SEED):
-    """Trained on all rows up to ``max_reference``, beyond it on that many rows
-    chosen by hash: the model is quadratic in its training rows."""
-    spark = features.sparkSession
-    reference = hash_sample(features, max_reference, seed, scaler)
-    k = max(1, min(neighbours, len(reference) - 1))
-    shared = spark.sparkContext.broadcast(reference)
-    block = 512
-    n_blocks = -(-len(reference) // block)
+BLOCK = 2048  # points that are compared with as many others at a time
+PIVOTS = 512
 
-    def find(batches):
-        for ids in batches:
-            for b in ids["id"]:
-                first = int(b) * block
-                part = shared.value[first : first + block]
-                distance, index = kernels.nearest(part, shared.value, k, skip_self=first)
-                yield pd.DataFrame(
-                    {"row": first + np.arange(len(part)), "distance": list(distance), "index": list(index)}
-                )
-
-    found = (
-        spark.range(0, n_blocks, 1, min(n_blocks, 64))
-        .mapInPandas(find, "row long, distance array<double>, index array<long>")
-        .toPandas()  # max_reference rows
-        .sort_values("row")
+
+def _fit_lof(features: DataFrame, scaler: Scaler, neighbours: int = 20, seed: int = SEED):
+    """Neighbours, densities and factors of all rows, as tables joined by point.
+
+    Equal rows are one point with a number of copies.
+    """
+    rows = stage(features.select(vector(scaler).alias("v")), "vectors")
+    points = rows.groupBy("v").agg(F.count(F.lit(1)).alias("copies"))
+    points = stage(points.withColumn("point", F.monotonically_increasing_id()), "points")
+    total, different = points.agg(F.sum("copies"), F.count(F.lit(1))).first()
+    k = max(1, min(neighbours, total - 1))
+    picked = lowest_hash(points.select("v"), ["v"], min(PIVOTS, -(-different // BLOCK)), seed)
+    pivots = np.array([r[0] for r in picked.collect()], dtype=float).reshape(-1, len(NUMERIC_FEATURES))
+    near = _neighbours(points, points, pivots, k, own=True)
+    far = near.groupBy("point").agg(F.max("distance").alias("k_distance"))
+    reach = _of_neighbours(near, far, F.greatest("distance", "k_distance"), k)
+    density = reach.select("point", (1 / (F.col("x") + 1e-10)).alias("density"))
+    known = points.join(far, "point", "left").join(density, "point", "left")
+    # a single row has no neighbours
+    known = stage(known.fillna({"k_distance": 0.0, "density": 1e10}), "densities")
+    factor = _of_neighbours(near, known.select("point", "density"), F.col("density"), k)
+    factor = known.join(factor, "point", "left").select("v", F.coalesce(F.col("x") / F.col("density"), F.lit(1.0)).alias("factor"))
+    raw = stage(rows.join(factor, "v").select("factor"), "factors")
+    offset = percentiles(raw, "factor", [1 - CONTAMINATION])[0]
+    return {"pivots": pivots}, {"neighbours": k, "train_offset": offset}, known
+
+
+def _of_neighbours(near: DataFrame, of: DataFrame, value, k: int) -> DataFrame:
+    """``point, x``: the mean of ``value`` over the ``k`` neighbours of each point."""
+    joined = near.join(of.withColumnRenamed("point", "neighbour"), "neighbour")
+    return joined.groupBy("point").agg((F.sum(value * F.col("times")) / k).alias("x"))
+
+
+def _add_factor(rows: DataFrame, model: Model, name: str) -> DataFrame:
+    """Adds the local outlier factor among the rows the model was trained on."""
+    rows = stage(rows.withColumn("_v", vector(model.scaler)), "rows")
+    k = model.params["neighbours"]
+    points = rows.select(F.col("_v").alias("v")).distinct()
+    points = stage(points.withColumn("point", F.monotonically_increasing_id()), "points")
+    near = _neighbours(points, model.table, model.arrays["pivots"], k)
+    known = model.table.select(F.col("point").alias("neighbour"), "k_distance", "density")
+    means = near.join(known, "neighbour").groupBy("point").agg(
+        (F.sum(F.col("density") * F.col("times")) / k).alias("density"),
+        (F.sum(F.greatest("distance", "k_distance") * F.col("times")) / k).alias("reach"),
+    )
+    factor = F.col("density") * (F.col("reach") + 1e-10) - F.lit(model.params["offset"])
+    scores = stage(points.join(means, "point").select(F.col("v").alias("_v"), factor.alias(name)), "scores")
+    return rows.join(scores, "_v", "left").select(*[c for c in rows.columns if c != "_v"], name)
+
+
+def _neighbours(points: DataFrame, reference: DataFrame, pivots: np.ndarray, k: int, own: bool = False) -> DataFrame:
+    """``point, neighbour, distance, times``: the ``k`` nearest of ``reference``, where
+    one with several copies is taken several ``times``.
+
+    Points and reference lie in cells around pivots, cells are cut into blocks. A block
+    of points meets the blocks of reference that may hold neighbours by the distance
+    of their pivots, one after the other, nearest first: a task holds two blocks.
+    """
+    spark = points.sparkSession
+    theirs = _blocks(reference.select("point", "v", "copies"), pivots)
+    ours = theirs if own else _blocks(points.select("point", "v", F.lit(1).cast("long").alias("copies")), pivots)
+    apart = spark.sparkContext.broadcast(np.sqrt(((pivots[:, None] - pivots[None]) ** 2).sum(axis=2)))
+
+    @F.pandas_udf("double")
+    def between(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(apart.value[a.to_numpy(), b.to_numpy()])
+
+    head = ours.select(F.col("block").alias("own"), F.col("cell").alias("own_cell"), F.col("radius").alias("own_radius"))
+    pairs = head.crossJoin(theirs.select("block", "cell", "radius", "n"))
+    pairs = pairs.withColumn("_apart", between("own_cell", "cell")).withColumn("_wide", F.col("own_radius") + F.col("radius"))
+    pairs = pairs.withColumn("far", F.col("_apart") + F.col("_wide")).withColumn("near", F.greatest(F.lit(0.0), F.col("_apart") - F.col("_wide")))
+    held = F.sum("n").over(Window.partitionBy("own").orderBy("far", "block"))
+    bound = F.min(F.when(F.col("_held") > k, F.col("far"))).over(Window.partitionBy("own"))
+    pairs = pairs.withColumn("_held", held).withColumn("_bound", bound)
+    pairs = pairs.where(F.col("_bound").isNull() | (F.col("near") <= F.col("_bound") * (1 + 1e-9) + 1e-9))
+    meeting = pairs.select("own", "near", "block").join(theirs.select("block", "points"), "block")
+    meeting = meeting.unionByName(ours.select(F.col("block").alias("own"), F.lit(-1.0).alias("near"), "block", "points"))
+    ordered = meeting.repartition(F.col("own")).sortWithinPartitions("own", "near", "block")
+
+    def found(points, best):
+        distance, ids, copies = best
+        before = np.cumsum(copies, axis=1) - copies
+        times = np.where(np.isfinite(distance), np.clip(k - before, 0, copies), 0)
+        row, column = np.nonzero(times)
+        columns = points[0][row], ids[row, column], distance[row, column], times[row, column]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["point", "neighbour", "distance", "times"])
+
+    def run(batches):
+        owner = points = best = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, near = batch.column("own")[i].as_py(), batch.column("near")[i].as_py()
+                values = batch.column("points")[i].values
+                ids, copies = (values.field(c).to_numpy() for c in ("point", "copies"))
+                vectors = values.field("v").flatten().to_numpy().reshape(len(ids), -1)
+                if block != owner:
+                    if best:
+                        yield found(points, best)
+                    owner, points, best = block, (ids, vectors), None
+                    continue
+                if best and best[0].shape[1] >= k and near > best[0][:, k - 1].max() * (1 + 1e-9) + 1e-9:
+                    continue
+                parts = [
+                    kernels.closest(points[1][s : s + 256], points[0][s : s + 256], vectors, ids, copies, k, own)
+                    for s in range(0, len(points[0]), 256)
+                ]
+                best = kernels.merged(best, tuple(np.concatenate(x) for x in zip(*parts)), k)
+        if best:
+            yield found(points, best)
+
+    # a row is a whole block
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 8)
+    try:
+        return stage(ordered.mapInArrow(run, "point long, neighbour long, distance double, times long"), "neighbours")
+    finally:
+        spark.conf.set(key, before)
+
+
+def _blocks(points: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``block, cell, radius, n, points``: the points nearest to a pivot, in blocks of
+    about ``BLOCK``; the radius is the largest distance from the pivot."""
+    shared = points.sparkSession.sparkContext.broadcast(pivots)
+
+    @F.pandas_udf("cell int, away double")
+    def place(vectors: pd.Series) -> pd.DataFrame:
+        x = np.stack(vectors.to_numpy()).astype(float) if len(vectors) else np.zeros((0, shared.value.shape[1]))
+        cell = np.array([((shared.value - v) ** 2).sum(axis=1).argmin() for v in x], dtype=np.int32)
+        return pd.DataFrame({"cell": cell, "away": np.sqrt(((x - shared.value[cell]) ** 2).sum(axis=1))})
+
+    placed = stage(points.withColumn("_at", place("v")).select("point", "v", "copies", "_at.*"), "cells")
+    parts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts"))  # a row per pivot
+    dealt = placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("point"), F.col("_parts")))
+    blocks = dealt.groupBy("cell", "part").agg(
+        F.max("away").alias("radius"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("point", "copies", "v")).alias("points")
     )
-    distance, index = np.stack(found["distance"].to_numpy()), np.stack(found["index"].to_numpy())
-    k_distance = distance[:, -1]
-    density = kernels.reach_density(distance, index, k_distance)
-    factor = density[index].mean(axis=1) / density
-    offset = float(np.percentile(factor, 100 * (1 - CONTAMINATION)))
-    arrays = {"reference": reference, "k_distance": k_distance, "density": density}
-    return arrays, {"neighbours": k, "train_offset": offset}
+    return stage(blocks.withColumn("block", F.concat_ws("/", "cell", "part")).drop("part"), "blocks")
 
 
 # --- storage ------------------------------------------------------------------------
@@ -263,6 +368,8 @@ def save(spark: SparkSession, model: Model, path: str) -> None:
         spark.createDataFrame(rows, "row long, x array<double>").coalesce(1).write.mode("overwrite").parquet(
             f"{path}/arrays/{name}"
         )
+    if model.table is not None:
+        model.table.write.mode("overwrite").parquet(f"{path}/table")
     info = {
         "kind": model.kind,
         "scaler": {"mean": model.scaler.mean, "scale": model.scaler.scale},
@@ -281,4 +388,5 @@ def load(spark: SparkSession, path: str) -> Model:
     for name, (shape, kind) in info["arrays"].items():
         rows = spark.read.parquet(f"{path}/arrays/{name}").orderBy("row").collect()
         arrays[name] = np.array([r["x"] for r in rows]).reshape(shape).astype(kind)
-    return Model(info["kind"], Scaler(**info["scaler"]), arrays, info["params"], info["metadata"])
+    table = spark.read.schema(TABLE).parquet(f"{path}/table") if info["kind"] == "lof" else None
+    return Model(info["kind"], Scaler(**info["scaler"]), arrays, info["params"], info["metadata"], table)

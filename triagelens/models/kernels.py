@@ -84,3 +84,28 @@ def outlier_factor(points: np.ndarray, reference: np.ndarray, k: int, k_distance
 
 def fourier_map(points: np.ndarray, weights: np.ndarray, phase: np.ndarray) -> np.ndarray:
     return np.sqrt(2.0 / len(phase)) * np.cos(points @ weights + phase)
+
+
+def closest(points: np.ndarray, ids: np.ndarray, others: np.ndarray, other_ids: np.ndarray, copies: np.ndarray, k: int, own: bool):
+    """Distances, ids and copies of the ``k`` nearest different rows of ``others``.
+
+    With ``own`` a point does not count itself: the row of its id has one copy less.
+    Distances of the rows found are taken from the differences, so equal rows are at 0.
+    """
+    square = (points**2).sum(axis=1)[:, None] + (others**2).sum(axis=1)[None, :] - 2 * points @ others.T
+    copies = np.broadcast_to(copies, square.shape)
+    if own:
+        same = ids[:, None] == other_ids[None, :]
+        copies = copies - same
+        square[same & (copies == 0)] = np.inf
+    found = np.argpartition(square, k - 1, axis=1)[:, :k] if k < square.shape[1] else np.tile(np.arange(square.shape[1]), (len(points), 1))
+    distance = np.sqrt(((points[:, None, :] - others[found]) ** 2).sum(axis=2))
+    taken = np.take_along_axis(copies, found, axis=1)
+    return np.where(taken > 0, distance, np.inf), other_ids[found], taken
+
+
+def merged(best, more, k: int):
+    """The ``k`` nearest of two results of ``closest`` for the same points, nearest first."""
+    distance, ids, copies = (np.concatenate(pair, axis=1) for pair in zip(best, more)) if best else more
+    order = np.lexsort((ids, distance), axis=1)[:, :k]
+    return tuple(np.take_along_axis(x, order, axis=1) for x in (distance, ids, copies))
