@@ -80,6 +80,16 @@ def test_evidence_of_epoch_buckets(lines):
     assert sum(len(r.events) for r in whole.collect()) == 27
 
 
+def test_evidence_in_blocks(lines):
+    objects = [{"ts": "2024-01-01T00:20:00", "user": f"u{i % 2}", "event_action": f"a{i}"} for i in range(23)]
+    df = jsonl(lines, *objects)
+    incidents = gen.generic_incidents(df)
+    whole = {r.incident.incident_id: r.events for r in ev.normalized_evidence(incidents, df, "generic", "jsonl").collect()}
+    rows = ev.evidence_blocks(incidents, df, size=5).orderBy("incident_id", "block").collect()
+    assert [(r.block, len(r.events)) for r in rows] == [(0, 5), (1, 5), (2, 2), (0, 5), (1, 5), (2, 1)]
+    assert {i: [e for r in rows if r.incident_id == i for e in r.events] for i in whole} == whole
+
+
 def test_adapters(spark):
     rows = [
         event(1, 0, "203.0.113.10", "admin", 401), event(2, 1, "203.0.113.11", "deploy", 200, path="/x", agent="ssh"),

@@ -1215,8 +1215,8 @@ def _(spark, sf):
     events = stage(bridge.normalized_events(spark, sf), "normalized")
     grouped = stage(gen.generic_incidents(events, 90, "epoch"), "epoch")
     evidence = ev.generic_evidence(grouped, events, window_minutes=90, mode="epoch").agg(F.count_distinct("incident_id")).scalar()
-    whole = ev.normalized_evidence(grouped, events, "generic", "jsonl", 90, "epoch")
-    listed = whole.agg(F.sum(F.size("events"))).scalar()
+    blocks = ev.evidence_blocks(grouped, events, 90, "epoch")
+    listed = blocks.agg(F.sum(F.size("events"))).scalar()
     return grouped.agg(F.sum("event_count").alias("events"), F.count(F.lit(1)).alias("n")).select(
         "events", (F.col("n") == evidence).alias("one_row_per_incident"), (F.col("events") == listed).alias("all_events_listed")
     )

@@ -10,6 +10,8 @@ from triagelens.functions import wording as w
 from triagelens.functions.text import fixed, iso_text, present, text
 from triagelens.operators import generic_incidents as gen
 from triagelens.operators.incidents import timeline
+from triagelens.operators.ranking import running_total
+from triagelens.session import stage
 
 
 def _or_unknown(name: str) -> Column:
@@ -412,6 +414,29 @@ def generic_incident_struct() -> Column:
     return F.struct(*INCIDENT_FIELDS, summary.alias("summary"))
 
 
+EVENT_FIELDS = [f for f in gen.SAMPLE_FIELDS if f != "session_hint"] + ["status_code", "session_hint"]
+BLOCK_EVENTS = 1000
+
+
+def evidence_blocks(
+    incidents: DataFrame, events: DataFrame, window_minutes: int = 15, mode: str = "clock", size: int = BLOCK_EVENTS
+) -> DataFrame:
+    """``incident_id, block, events``: all events of every incident in input order, ``size``
+    to a row, for incidents of any number of events.
+
+    Places are counted over ranges of all events, so no task sorts or holds a whole incident.
+    """
+    keys = gen.bundle(incidents, events, window_minutes, mode).select(
+        "incident_id", "seq", F.struct("incident_id", "seq").alias("_key"), F.struct(*EVENT_FIELDS).alias("event")
+    )
+    placed = running_total(stage(keys, "evidence"), "_key", F.lit(1), "_before")
+    placed = stage(placed, "evidence")
+    starts = placed.groupBy("incident_id").agg(F.min("_before").alias("_start"))
+    dealt = placed.join(starts, "incident_id").withColumn("block", F.floor((F.col("_before") - F.col("_start")) / size))
+    listed = dealt.groupBy("incident_id", "block").agg(F.array_sort(F.collect_list(F.struct("seq", "event"))).alias("s"))
+    return listed.select("incident_id", "block", F.transform("s", lambda x: x["event"]).alias("events"))
+
+
 def normalized_evidence(
     incidents: DataFrame,
     events: DataFrame,
@@ -420,8 +445,9 @@ def normalized_evidence(
     window_minutes: int = 15,
     mode: str = "clock",
 ) -> DataFrame:
-    """Incident, its event count and all its events in input order."""
-    fields = [f for f in gen.SAMPLE_FIELDS if f != "session_hint"] + ["status_code", "session_hint"]
+    """Incident, its event count and all its events in input order: one row, as long as
+    the incident. ``evidence_blocks`` holds the same events in rows of bounded length."""
+    fields = EVENT_FIELDS
     members = gen.with_group(events, window_minutes, mode).groupBy(*gen.GROUP)
     listed = members.agg(F.array_sort(F.collect_list(F.struct("seq", F.struct(*fields).alias("event")))).alias("s"))
     return incidents.join(listed, gen.GROUP, "left").select(
