@@ -267,6 +267,14 @@ def test_mixtures(spark):
     assert all(got[i] == ("und", []) for i in (3, 4, 5, 6))
 
 
+def test_rare_language_is_learned(spark):
+    docs = [(i, "the cat and the dog went home", "en") for i in range(2000)] + [(5000, "żółć gęślą jaźń", "pl")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    for first in range(8):
+        shifted = docs.withColumn("doc_id", F.col("doc_id") + first * 10_000)
+        assert language_mix.learn(shifted, F.lit(True), rows=100)[0] == ["en", "pl"]
+
+
 def test_language_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "en"), (None, "abc", None), (2, "x" * 300000, None), (2, "x" * 300000, None), (3, "", "de")], "doc_id long, text string, lang string")
     assert len(language_mix.identify(docs).collect()) == 5

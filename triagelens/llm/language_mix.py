@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from triagelens.llm.common import crc32_mod, documents, small_batches
 
 BUCKETS = 1 << 15
-LABELLED = 20_000  # labelled rows to learn from, about; chosen by hash
+LABELLED = 20_000  # labelled rows of a language to learn from, about; chosen by hash
 SMOOTHING = 0.5
 ROUNDS = 12
 PENALTY = 0.02  # log likelihood per trigram that a further language must add
@@ -77,12 +77,17 @@ def learn(docs: DataFrame, learn_from: Column, lang_col: str = "lang", rows: int
     spark = docs.sparkSession
     small_batches(spark)
     labelled = documents(docs, F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & learn_from)
-    total = labelled.count()
-    if total > rows:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * rows / total))
-    names = [r[0] for r in labelled.select("lang").distinct().limit(LANGUAGES + 1).collect()]
-    if len(names) > LANGUAGES:
+    # One row per language; each is learned from up to about ``rows`` of its own, so that a
+    # rare one is not lost among the others.
+    sizes = dict(map(tuple, labelled.groupBy("lang").count().limit(LANGUAGES + 1).collect()))
+    if len(sizes) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
+    common = [(lang, int((1 << 30) * rows / n)) for lang, n in sizes.items() if n > rows]
+    if common:
+        below = F.broadcast(spark.createDataFrame(common, "lang string, _below long"))
+        place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+        labelled = labelled.join(below, "lang", "left").where(F.col("_below").isNull() | (place < F.col("_below")))
+    tasks = 12 * max(1, -(-sum(min(n, rows) for n in sizes.values()) // LABELLED))
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -98,7 +103,7 @@ def learn(docs: DataFrame, learn_from: Column, lang_col: str = "lang", rows: int
             )
 
     # The sample is bounded, so a few tasks are enough and few partial counts move.
-    counts = labelled.select("text", "lang").repartition(12).mapInArrow(count, "lang string, bucket int, n long")
+    counts = labelled.select("text", "lang").repartition(tasks).mapInArrow(count, "lang string, bucket int, n long")
     counts = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(counts["lang"].unique())
     table = np.full((len(names), BUCKETS), SMOOTHING)
