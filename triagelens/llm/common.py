@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Space and the five control characters from tab to carriage return.
@@ -42,6 +42,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranged(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``rows`` dealt and sorted by ``keys``, nulls first, and written with ``at``: the number
+    of the range in the upper bits, the position in it in the lower 33. ``keys`` should be
+    short and tell rows apart, so that no range is larger than others."""
+    order = [F.col(c).asc_nulls_first() for c in keys]
+    return written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), name)
+
+
+def pieces(rows: DataFrame, group: str) -> DataFrame:
+    """``part, <group>, in_part, first_at, before``: one row for each group and range of a
+    ``ranged`` table, with the group's rows in earlier ranges. A row's position in its
+    group is ``before + at - first_at``."""
+    parts = rows.groupBy(F.shiftright("at", 33).alias("part"), group).agg(F.count("*").alias("in_part"), F.min("at").alias("first_at"))
+    earlier = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("before", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)))
+
+
 def documents(docs: DataFrame, *columns: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, text (null reads as empty) and further ``columns``; all else is left behind."""
     return docs.select(

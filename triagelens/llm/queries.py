@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 
 from triagelens.llm import (
     bpe,
+    chat_format,
     host_rules,
     jaccard_join,
     language_mix,
+    merkle,
     mixing,
     secret_scan,
     token_counts,
     topk,
     toxicity,
     warc,
+    whitening,
 )
 from triagelens.llm.common import table
 
@@ -65,6 +68,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digests(table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_top_k": op2_top_k,
@@ -76,4 +91,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_language_mix": op9_language_mix,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_chat_format": op11_chat_format,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_whitening": op13_whitening,
 }
