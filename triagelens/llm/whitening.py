@@ -39,7 +39,7 @@ COMPONENTS = 16
 SCALE = 64
 OFFSET = 1_000_000  # cancels in all that is returned
 LARGEST = float(1 << 40)  # of a scaled entry
-NO_VARIANCE = 1e-12
+NO_VARIANCE = 1e-11
 CLUSTER = 1e-3  # eigenvalues closer than this share of the largest have their vectors made orthogonal
 STEPS = 4  # of inverse iteration
 EPS = np.finfo(float).eps
