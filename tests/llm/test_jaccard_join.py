@@ -96,11 +96,36 @@ def test_sketches_bound_the_difference():
 def test_split_buckets(spark, monkeypatch):
     """Cells of few sets give the same components."""
     monkeypatch.setattr(jj, "CELL", 3)
+    monkeypatch.setattr(jj, "CELL_MEMBERS", 200)
     rows = generated()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, jj.components(docs).collect()), key=str) == brute(rows)
 
 
+def test_sets_leave_cells_not_pairs(spark):
+    """Near copies of one text, many pairs of them just below the similarity: what leaves the
+    comparison grows with the sets, and so do the links found."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sketched = jj.sketch(docs).cache()
+    sets = sketched.groupBy("set_id").agg(*[jj.F.first(c).alias(c) for c in ("n", "small", "bits")], jj.F.min("doc_id").alias("place")).cache()
+    met = jj.buckets(sketched).cache()
+    labels = spark.createDataFrame([], "node long, label long")
+    found = jj.open_sets(met, labels, sets).cache()
+    links = jj.open_links(found, docs, sets).collect()
+    assert found.where("set_id is not null").count() <= 400 and found.where("set_id is null").count() < 400 * 16
+    count = len({r[2] for r in brute(rows)})
+    assert 400 - count <= len(links) <= 400 * 3
+    assert sorted(map(tuple, jj.components(docs).collect()), key=str) == brute(rows)
+
+
 def test_empty_table(spark):
     assert jj.components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

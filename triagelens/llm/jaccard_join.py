@@ -22,7 +22,9 @@ The rest is verified on the sets. Components need not be found pair by pair: in
 bucket each set is first paired with the bucket's smallest one only, which joins groups
 of near copies at linear cost. What remains are buckets with sets of different
 components; only there, sets of different components are compared with each other, by
-their sketches, and no pair leaves the comparison unless they are close.
+their sketches. No pair leaves that comparison, only the sets that are close to one of
+another component; components with such sets form clusters, and inside the cells of a
+cluster close pairs are verified, the closest first, until links span the cell's components.
 
 Equal sets are one set from the start: a task sends the keys of a set once, however
 many copies of the document it sees. Set ids are 64-bit hashes as well: among N
@@ -54,7 +56,8 @@ MIN_BLOCKS = 32
 SLAB = 1 << 20  # bytes of a text that are split into words at once
 SMALL = 256  # bytes of a folded sketch at most
 CELL = 1024  # sets of a bucket that are compared with each other in one place, about
-SEEN = 200_000  # sets and pairs a task remembers, to send copies once
+CELL_MEMBERS = 1 << 20  # members of the sets of a part, about
+SEEN = 200_000  # sets a task remembers, to send copies once
 
 MIX1, MIX2, MIX3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 BLANK = re.compile(rb"[\x20\x09-\x0d]")
@@ -223,19 +226,27 @@ def near_pairs(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Dat
     return joined.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose sets have the similarity, counted exactly."""
-    members_schema = pa.schema([("set_id", pa.int64()), ("members", pa.binary())])
-    pair_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def members_of(needed: DataFrame, docs: DataFrame, sets: DataFrame, words: int = WORDS) -> DataFrame:
+    """``set_id, members`` of the sets ``needed``, from the text of one document each."""
+    schema = pa.schema([("set_id", pa.int64()), ("members", pa.binary())])
 
-    def members_of(batches):
+    def run(batches):
         for batch in batches:
             ids, texts = batch.columns
             found = [shingle_set(text, words) for text in texts.to_pylist()]
             # An id can stand for several texts: only the one asked for is kept.
             kept = [i for i, wanted in enumerate(ids.to_pylist()) if set_id_of(found[i]) == wanted]
             columns = [ids.take(pa.array(kept, pa.int64())), pa.array([found[i].tobytes() for i in kept], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, schema=members_schema)
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    places = needed.distinct().join(sets, "set_id").select("set_id", "place")
+    texts = documents(docs).join(places, F.expr("doc_id <=> place")).select("set_id", "text")
+    return written(texts.mapInArrow(run, "set_id long, members binary").dropDuplicates(["set_id"]), "members")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose sets have the similarity, counted exactly."""
+    pair_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def check(batches):
         for batch in batches:
@@ -248,11 +259,8 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int = WO
                     kept.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in kept], pa.int64()) for c in (a, b)], schema=pair_schema)
 
-    needed = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    places = needed.join(sets, "set_id").select("set_id", "place")
-    texts = documents(docs).join(places, F.expr("doc_id <=> place")).select("set_id", "text")
-    members = texts.mapInArrow(members_of, "set_id long, members binary").dropDuplicates(["set_id"])
-    members = written(members, "members")
+    needed = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b"))
+    members = members_of(needed, docs, sets, words)
     left = members.select(F.col("set_id").alias("a"), F.col("members").alias("x"))
     right = members.select(F.col("set_id").alias("b"), F.col("members").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
@@ -283,36 +291,71 @@ def folded(bits: bytes, most: int = SMALL) -> bytes:
     return np.bitwise_xor.reduce(x.reshape(-1, most), axis=0).tobytes() if len(x) > most else bits
 
 
-def differing_pairs(
-    ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sketches: list[bytes], percent: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one bucket with different labels, similar sizes and close sketches."""
+def close_to(i: int, bits: np.ndarray, sizes: np.ndarray, labels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places after ``i`` of sets with another label, a similar size and a close sketch, and
+    in how many bits those differ."""
+    others = slice(i + 1, None)
+    near = labels[others] != labels[i]
+    near &= 100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])
+    places = np.flatnonzero(near) + i + 1
+    apart = np.bitwise_count(bits[places] ^ bits[i]).sum(axis=1, dtype=np.int64)
+    close = apart <= (100 - percent) * (sizes[places] + sizes[i]) // (100 + percent)
+    return places[close], apart[close]
+
+
+def stacked(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of a cell as rows, folded to the shortest of them."""
     shortest = min(map(len, sketches))
-    bits = np.stack([np.frombuffer(folded(x, shortest), np.uint8) for x in sketches]).view(np.uint64)
-    left, right = [], []
-    for i in range(len(ids) - 1):
-        others = slice(i + 1, None)
-        total = sizes[others] + sizes[i]
-        near = (labels[others] != labels[i]) & (ids[others] != ids[i])
-        near &= 100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])
-        if near.any():
-            apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            near &= apart <= (100 - percent) * total // (100 + percent)
-            found = ids[others][near]
-            left.append(np.minimum(found, ids[i]))
-            right.append(np.maximum(found, ids[i]))
-    empty = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
-
-
-def open_pairs(met: DataFrame, labels: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs of sets that share a bucket but, so far, no component.
-
-    The smallest set of a bucket has been compared with all others already. The others
-    are compared by their folded sketches inside the task that holds the bucket, and
-    only pairs that are close come out. A bucket of more than ``CELL`` sets is split
-    into parts, and every two parts meet in a cell of their own, so no task holds more
-    than two parts at once.
+    return np.stack([np.frombuffer(folded(x, shortest), np.uint8) for x in sketches]).view(np.uint64)
+
+
+class Groups:
+    """Union-find over labels."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(up, up)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were apart."""
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
+def cells_of(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The rows of each cell, from batches that are sorted by the columns that name it."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        whole = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        changes = np.zeros(whole.num_rows, bool)
+        for name in names:
+            values = whole.column(name).to_numpy()
+            changes[1:] |= values[1:] != values[:-1]
+        begins = [0, *np.flatnonzero(changes).tolist()]
+        for begin, end in zip(begins, begins[1:], strict=False):
+            yield whole.slice(begin, end - begin)
+        held = whole.slice(begins[-1])
+    if held is not None:
+        yield held
+
+
+def open_sets(met: DataFrame, labels: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """What is left to verify once the smallest set of every bucket has been compared with
+    the others: ``set_id, label, null`` for each set that is close to one of another
+    component in some bucket, and ``null, label, other`` for components that hold such sets.
+
+    The sets of a bucket are compared by their folded sketches inside the task that holds
+    the bucket. A bucket of more than ``CELL`` sets is split into parts, and every two parts
+    meet in a cell of their own, so no task holds more than two parts at once. A cell sends
+    no pair of sets: each set once at most, and of the components a spanning forest.
     """
     of_lead = labels.select(F.col("node").alias("lead"), F.col("label").alias("lead_label"))
     of_set = labels.select(F.col("node").alias("set_id"), "label")
@@ -334,45 +377,98 @@ def open_pairs(met: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
         .join(sets.select("set_id", "small"), "set_id")
         .select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "set_id", "n", "label", "small")
     )
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("set_id", pa.int64()), ("label", pa.int64()), ("other", pa.int64())])
 
     def compare(batches):
-        held: list[pa.RecordBatch] = []
-        sent: set[tuple[int, int]] = set()  # near sets meet in many buckets: once per task is enough
-
-        def finished(batch):
-            """Pairs of the whole cells in ``batch``."""
-            keys, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
-            begins = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
-            ids, sizes, marks = (batch.column(c).to_numpy() for c in ("set_id", "n", "label"))
-            small = batch.column("small").to_pylist()
-            left, right = [], []
-            for begin, end in zip(begins, [*begins[1:], len(keys)], strict=True):
-                if end - begin > 1:
-                    a, b = differing_pairs(ids[begin:end], sizes[begin:end].astype(np.int64), marks[begin:end], small[begin:end], percent)
-                    left.append(a), right.append(b)
-            pairs = set(zip(np.concatenate(left).tolist(), np.concatenate(right).tolist(), strict=True)) - sent if left else set()
-            if pairs:
-                if len(sent) < SEEN:
-                    sent.update(pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(pairs), strict=True)], schema=schema)
-
-        # Rows come sorted by cell; the last cell of a batch may go on in the next one.
-        for batch in batches:
-            whole = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
-            last = [whole.column(c)[whole.num_rows - 1].as_py() for c in ("key", "i", "j")]
-            same = np.ones(whole.num_rows, bool)
-            for name, value in zip(("key", "i", "j"), last, strict=True):
-                same &= whole.column(name).to_numpy() == value
-            cut = int(np.flatnonzero(same)[0])
-            if cut:
-                yield from finished(whole.slice(0, cut))
-            held = [whole.slice(cut)]
-        for batch in held:
-            yield from finished(batch)
+        known: set[int] = set()  # sets meet in many buckets: once per task is enough
+        joined = Groups()  # components that the task has sent edges of
+        for cell in cells_of(batches, ("key", "i", "j")):
+            if cell.num_rows < 2:
+                continue
+            ids, sizes, marks = cell.column("set_id").to_numpy(), cell.column("n").to_numpy().astype(np.int64), cell.column("label").to_numpy()
+            bits = stacked(cell.column("small").to_pylist())
+            close, edges = np.zeros(len(ids), bool), []
+            for i in range(len(ids) - 1):
+                places, _ = close_to(i, bits, sizes, marks, percent)
+                if len(places):
+                    close[i] = True
+                    close[places] = True
+                    edges += [(marks[i].item(), other) for other in np.unique(marks[places]).tolist() if joined.join(marks[i].item(), other)]
+            found = {i: m for i, m in zip(ids[close].tolist(), marks[close].tolist(), strict=True) if i not in known}
+            if len(known) < SEEN:
+                known.update(found)
+            if len(joined.parent) > SEEN:
+                joined = Groups()
+            if found or edges:
+                columns = ([*found, *[None] * len(edges)], [*found.values(), *[a for a, _ in edges]], [*[None] * len(found), *[b for _, b in edges]])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
     dealt = in_cells.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    return dealt.mapInArrow(compare, "set_id long, label long, other long").distinct()
+
+
+def spanning_links(
+    ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sketches: list[bytes], members: list[bytes], percent: int
+) -> list[tuple[int, int]]:
+    """Verified links that join all components which links of the cell join, the closest
+    pairs first; one less than there are components at most."""
+    bits = stacked(sketches)
+    found = [(places, apart) for places, apart in (close_to(i, bits, sizes, labels, percent) for i in range(len(ids) - 1))]
+    left = np.repeat(np.arange(len(found)), [len(p) for p, _ in found])
+    if not len(left):
+        return []
+    right = np.concatenate([p for p, _ in found])
+    order = np.argsort(np.concatenate([a for _, a in found]), kind="stable")
+    sets = [np.frombuffer(m, np.uint64) for m in members]
+    groups, links = Groups(), []
+    for begin in range(0, len(order), 4096):
+        for k in order[begin : begin + 4096].tolist():
+            a, b = int(left[k]), int(right[k])
+            x, y = labels[a].item(), labels[b].item()
+            if groups.find(x) == groups.find(y):
+                continue
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                groups.join(x, y)
+                links.append((ids[a].item(), ids[b].item()))
+    return links
+
+
+def open_links(found: DataFrame, docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Verified links ``a, b`` between the components of ``open_sets``, enough to join all
+    that links join.
+
+    Components that hold close sets form clusters; a set is in one cluster, however many
+    buckets it shares with others. The sets of a cluster are dealt by size, in bands so wide
+    that linked sets are in one or in neighbouring ones, and every two parts of such bands
+    meet in a cell with the sets' members, where close pairs are verified.
+    """
+    clusters = connected(found.where("set_id is null").select(F.col("label").alias("a"), F.col("other").alias("b")))
+    rows = found.where("set_id is not null").select("set_id", "label").distinct()
+    rows = rows.join(clusters.toDF("label", "cluster"), "label").join(sets.select("set_id", "n", "small"), "set_id")
+    rows = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.01 * 100 / percent))).cast("int"))
+    rows = written(rows, "open")
+    parts = rows.groupBy("cluster", "band").agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("n") / CELL_MEMBERS)).cast("int").alias("parts"))
+    parts = written(parts, "parts")
+    own = rows.join(parts, ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("set_id", F.lit(3)), F.col("parts")).cast("int")).drop("parts")
+    near = own.withColumn("other_band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    near = near.join(parts.toDF("cluster", "other_band", "parts"), ["cluster", "other_band"]).withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    here, there = F.struct(F.col("band").alias("b"), F.col("part").alias("p")), F.struct(F.col("other_band").alias("b"), F.col("other_part").alias("p"))
+    near = near.withColumn("low", F.least(here, there)).withColumn("high", F.greatest(here, there))
+    cell = near.select("cluster", F.col("low.b").alias("b1"), F.col("low.p").alias("p1"), F.col("high.b").alias("b2"), F.col("high.p").alias("p2"), "set_id", "n", "label", "small")
+    members = members_of(rows.select("set_id"), docs, sets, words)
+    names = ("cluster", "b1", "p1", "b2", "p2")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def verify(batches):
+        for batch in cells_of(batches, names):
+            ids, sizes, marks = batch.column("set_id").to_numpy(), batch.column("n").to_numpy().astype(np.int64), batch.column("label").to_numpy()
+            links = spanning_links(ids, sizes, marks, batch.column("small").to_pylist(), batch.column("members").to_pylist(), percent)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], schema=schema)
+
+    dealt = cell.join(members, "set_id").repartition(*names).sortWithinPartitions(*names)
+    return dealt.mapInArrow(verify, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -386,9 +482,9 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     near = written(near_pairs(stars, sets, percent), "pairs")
     links = written(verified(near, docs, sets, words, percent), "verified")
     labels = connected(links)
-    near = written(near_pairs(open_pairs(met, labels, sets, percent), sets, percent), "pairs")
-    if not near.isEmpty():
-        labels = connected(links.union(verified(near, docs, sets, words, percent)))
+    found = written(open_sets(met, labels, sets, percent), "close")
+    if not found.isEmpty():
+        labels = connected(links.union(open_links(found, docs, sets, words, percent)))
     rows = sketched.select("doc_id", "text_key", "n", "set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
     return rows.select("doc_id", "text_key", "n", F.coalesce("label", "set_id").alias("class"))
 
