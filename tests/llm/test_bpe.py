@@ -43,6 +43,29 @@ def test_digests(docs, chunk, overlap):
     assert Counter(map(tuple, got.collect())) == want(docs.collect())
 
 
+# Letters and numbers of one Unicode version that are unassigned in another.
+NEWER = [chr(c) for c in (0x558, 0x58B, 0x88F, 0x208F, 0x11DE0, 0x11DE1, 0x17F, 0x212A)]
+
+
+def test_engines_agree_on_classes():
+    split, encoder, rng = bpe.splitter(PATTERN), bpe.encoding(VOCABULARY, PATTERN), random.Random(9)
+    alphabet = [*NEWER, "a", "B", "1", " ", "\n", "!", "?", "'s", "'re", "'ll", "  ", "é"]
+    for _ in range(2000):
+        text = "".join(rng.choice(alphabet) for _ in range(40))
+        ids = [i for piece in split.finditer(text) for i in encoder.encode_ordinary(piece[0])]
+        assert ids == encoder.encode_ordinary(text)
+
+
+def test_long_texts_with_newer_characters(spark):
+    """Beyond a chunk of the default length the ids are still those of the library."""
+    rng = random.Random(5)
+    rows = [(i, ("word " + c + "'s next ") * 8000) for i, c in enumerate(NEWER)]
+    rows += [(20 + i, "".join(rng.choice([*NEWER, "'s", "'re", " 7", "!", "ab", "  "]) for _ in range(90_000))) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = bpe.digests(docs, VOCABULARY, PATTERN)
+    assert Counter(map(tuple, got.collect())) == want(docs.collect())
+
+
 def test_real_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = bpe.digests(docs, VOCABULARY, PATTERN, 500, 60)

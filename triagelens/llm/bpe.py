@@ -8,7 +8,9 @@ chunks are stitched at that position and the pieces between two stitches are
 encoded in parallel. Where an overlap holds no common boundary (a pre-token longer
 than the overlap) the open end is pre-tokenised again together with the next chunk.
 
-A text of one chunk has nothing to stitch and is encoded where it is read.
+A text of one chunk has nothing to stitch and is encoded where it is read, split by the
+encoder itself. Chunks are split by another engine, to know the boundaries; the classes of
+letters and numbers it splits by are read off the encoder's, code point by code point.
 
 Defined results: null and empty texts have no ids; repeated rows are each encoded;
 a null id is kept. Other columns of the input are not looked at.
@@ -46,6 +48,59 @@ def encoding(vocabulary: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+EVERY = [*range(0xD800), *range(0xE000, 0x110000)]  # code points of texts
+
+
+def counted_to(escape: str) -> set[int]:
+    """The code points that the encoder's own engine counts to a class such as ``\\p{L}``."""
+    single = tiktoken.Encoding("class", pat_str=escape, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    # Text between matches has no tokens, so what comes back are the matches.
+    return set(map(ord, single.decode_bytes(single.encode_ordinary("".join(map(chr, EVERY)))).decode()))
+
+
+def ranges(points: set[int]) -> str:
+    """``points`` as the inside of a class."""
+    begins = sorted(c for c in points if c - 1 not in points)
+    ends = sorted(c for c in points if c + 1 not in points)
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" if a < b else f"\\U{a:08x}" for a, b in zip(begins, ends, strict=True))
+
+
+class Splitter:
+    """The pattern as the encoder's engine reads it, on another engine, whose Unicode tables
+    are of another year: property escapes are replaced by the encoder's classes. Texts
+    without any code point on which the two differ are split by the pattern as it is."""
+
+    def __init__(self, pattern: str):
+        self.plain = regex.compile(pattern)
+        known: dict[str, str] = {}
+        differ: set[int] = set()
+        out, inside = [], False
+        for part in regex.finditer(r"\\[pP]\{\^?\w+\}|\\.|[\[\]]|[^\\\[\]]+", pattern):
+            text = part[0]
+            if text in "[]":
+                inside = text == "["
+            elif text.startswith(("\\p{", "\\P{")):
+                if text not in known:
+                    points = counted_to(text)
+                    known[text] = ranges(points)
+                    differ |= points ^ set(map(ord, regex.findall(text, "".join(map(chr, EVERY)))))
+                text = known[text] if inside else f"[{known[text]}]"
+            out.append(text)
+        self.exact = regex.compile("".join(out)) if differ else self.plain
+        self.beyond = regex.compile(f"[\\U{min(differ, default=0x10FFFF):08x}-\\U0010ffff]")
+        self.differ = regex.compile(f"[{ranges(differ or {0x10FFFF})}]")
+
+    def finditer(self, text: str) -> Iterator[regex.Match]:
+        exact = self.beyond.search(text) and self.differ.search(text)
+        return (self.exact if exact else self.plain).finditer(text)
+
+
+@lru_cache(maxsize=4)
+def splitter(pattern: str) -> Splitter:
+    """Made once per worker."""
+    return Splitter(pattern)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         yield from zip(*(column.to_pylist() for column in batch.columns), strict=True)
@@ -129,7 +184,7 @@ def pretokenise(chunks: DataFrame, pattern: str) -> DataFrame:
     )
 
     def run(batches):
-        compiled = regex.compile(pattern)
+        compiled = splitter(pattern)
         rows = ((*row, starts_of(compiled, row[4], not row[3])) for row in rows_of(batches))
         yield from batched(rows, schema, lambda row: 2 * len(row[4]))
 
@@ -184,7 +239,7 @@ def stitch(tokenised: DataFrame, pattern: str, chunk: int = CHUNK) -> DataFrame:
     )
 
     def segments(rows):
-        compiled = regex.compile(pattern)
+        compiled = splitter(pattern)
         owner = stitcher = None
         copies = part = number = 0
         # A segment waits for the number of copies, known when chunk 1 arrives.
