@@ -255,16 +255,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, rows: int =
     if total > rows:
         labelled = labelled.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * rows / total))
     # At most about ``rows`` ids, whatever the size of the tables.
-    sample = documents(docs).join(F.broadcast(labelled), F.expr("doc_id = _id")).select("text", "toxic")
-    return distinct_texts(sample)
+    return documents(docs).join(F.broadcast(labelled), F.expr("doc_id = _id")).select("text", "toxic")
 
 
-def distinct_texts(rows: DataFrame) -> DataFrame:
-    """One row of every group of copies: whatever else stands in a toxic text that was
-    copied many times would look as if it were found in many toxic texts.
+def without_shared_passages(rows: DataFrame) -> DataFrame:
+    """The rows that candidates for the lexicon are counted in.
 
-    Near copies nearly always have the same smallest hash of a three-word window, by at
-    least one of three hash functions.
+    Whatever else stands in a passage that many toxic texts share would look as if it were
+    found in many of them. Texts that share much nearly always have the same smallest hash of
+    a three-word window by at least one of three hash functions; of rows of one label that
+    agree in one, one is counted. The trust in an entry is measured on all rows.
     """
     words = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
 
@@ -283,10 +283,10 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
         )
 
     keys = [f"_key{seed}" for seed in range(3)]
-    keyed = written(rows.select("text", "toxic", *[smallest(i).alias(k) for i, k in enumerate(keys)]), "labelled")
+    keyed = written(rows.select("text", "toxic", *[smallest(i).alias(k) for i, k in enumerate(keys)]), "passages")
     for key in keys:
-        # Which of the copies stays must not depend on the order they come in.
-        first = F.row_number().over(Window.partitionBy(key).orderBy("toxic", *keys, F.xxhash64("text")))
+        # Which of the rows stays must not depend on the order they come in.
+        first = F.row_number().over(Window.partitionBy("toxic", key).orderBy(*keys, F.xxhash64("text")))
         keyed = keyed.withColumn("_first", first).where("_first = 1").drop("_first")
     return keyed.select("text", "toxic")
 
@@ -383,7 +383,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: int = LA
     """A model from the labelled rows for which ``learn_from`` (over ``doc_id``) holds."""
     small_batches(docs.sparkSession)
     sample = written(training_rows(docs, labels, learn_from, rows), "labelled")
-    entries = learn_lexicon(sample)
+    entries = learn_lexicon(without_shared_passages(sample))
     counts = {(r.entry, r.level): (r.n, r.bad) for r in evidence(sample, entries).collect()}
     total, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     base = (toxic + 0.5) / (total + 5.0)
