@@ -289,3 +289,24 @@ def test_em_recovers_proportions():
     times = rng.multinomial(200_000, share @ models_).astype(float)
     got = language_mix.mixture(models_, times, np.full(3, 1 / 3), rounds=200)
     assert np.abs(got - share).max() < 0.02
+
+
+def test_more_labels_than_are_learned(spark, monkeypatch):
+    """The most frequent labels are learned, no table is refused."""
+    monkeypatch.setattr(language_mix, "LANGUAGES", 2)
+    texts = {"aa": "lorem ipsum dolor sit amet ", "bb": "quick brown fox jumps over ", "cc": "xyzzy plugh zork grue "}
+    rows = [(i, texts[lang] * 5, lang) for lang, ids in (("aa", range(1, 40)), ("bb", range(41, 80)), ("cc", range(81, 90))) for i in ids]
+    out = language_mix.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(out) == len(rows) and {r.lang_pred for r in out} == {"aa", "bb"}
+    assert all(r.lang_pred == "aa" for r in out if r.doc_id < 40) and all(r.lang_pred == "bb" for r in out if 40 < r.doc_id < 80)
+
+
+def test_every_labelled_row_is_learned_from(spark):
+    """Rows that share a passage are all trusted, though candidates are counted once in them."""
+    rows = [(i, "the same passage stands in all of these texts " * 3 + f"and number {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 4 == 0) for i in range(40)], "doc_id long, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
+    sample = toxicity.training_rows(docs, labels, F.lit(True))
+    assert sample.where("toxic = 1").count() == 10 and sample.count() == 40
+    kept = toxicity.without_shared_passages(sample)
+    assert {r.toxic for r in kept.collect()} == {0, 1}

@@ -8,7 +8,8 @@ with the largest proportion in the full mixture is added as long as the likeliho
 grows by more than the penalty.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is
-every text if nothing can be learned; an id of null is never held out; repeated rows
+every text if nothing can be learned; of more than ``LANGUAGES`` different labels the most
+frequent ones are learned (ties by code point); an id of null is never held out; repeated rows
 are each predicted; an empty table gives an empty result. Only id and text are read
 for a prediction.
 """
@@ -31,7 +32,7 @@ ROUNDS = 12
 PENALTY = 0.02  # log likelihood per trigram that a further language must add
 UNDETERMINED = "und"
 SLAB = 1 << 20  # characters of a text that are counted at once
-LANGUAGES = 1_000  # a table with more distinct labels is refused
+LANGUAGES = 500  # distinct labels to learn, the most frequent ones; bounds the model
 
 
 @lru_cache(maxsize=1)
@@ -79,9 +80,9 @@ def learn(docs: DataFrame, learn_from: Column, lang_col: str = "lang", rows: int
     labelled = documents(docs, F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & learn_from)
     # One row per language; each is learned from up to about ``rows`` of its own, so that a
     # rare one is not lost among the others.
-    sizes = dict(map(tuple, labelled.groupBy("lang").count().limit(LANGUAGES + 1).collect()))
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    sizes = dict(map(tuple, labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()))
+    learned = F.broadcast(spark.createDataFrame([(lang,) for lang in sizes], "lang string"))
+    labelled = labelled.join(learned, "lang", "left_semi")
     common = [(lang, int((1 << 30) * rows / n)) for lang, n in sizes.items() if n > rows]
     if common:
         below = F.broadcast(spark.createDataFrame(common, "lang string, _below long"))
