@@ -1,6 +1,7 @@
 """Secret scans, host rules and source mixing against plain Python."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -173,6 +174,21 @@ def test_mixing(name, request):
     assert sorted(map(str, mixing.mix(docs.repartition(5)).collect())) == sorted(map(str, rows))
 
 
+def test_mixing_of_equal_rows_and_lengths(spark):
+    """A third of a source's rows are one row: of those, too, only some get one copy more."""
+    rng = random.Random(2)
+    rows = [(1, "w " * 60, "hot")] * 300 + [(i, "w " * rng.choice((0, 5, 40, 60, 190, 230, 400)), rng.choice("abhot") if i % 2 else "hot") for i in range(10, 700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = mixing.mix(docs, keep=("text",)).collect()
+    assert len(out) == len(rows) and all(r.size == len(r.text.split()) and r.taken == r.size * r.copies and r.copies <= 3 for r in out)
+    for source in {r.source for r in out}:
+        own = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own)
+    assert len({r.copies for r in out if r.doc_id == 1}) == 2
+    below = [sum(r.copies for r in out if r.source == "hot" and low <= r.size < high) / sum(low <= r.size < high and r.source == "hot" for r in out) for low, high in ((1, 50), (50, 200), (200, 500))]
+    assert below[0] < below[1] < below[2]
+
+
 def test_mixing_by_document_weight(spark):
     rows = [(i, "w " * 10, "s" if i % 2 else "t", 1.0 + (i % 5)) for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, w double")

@@ -1,22 +1,27 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every source gets a target number of words. A document's expected number of copies
-is its source's target over its source's size: the whole part of it is allocated as
-certain copies, the fraction is the probability of one more. That one more copy is
-drawn by Pareto order sampling: a document has a fixed random number ``u`` and the
-ranking variable ``odds(u) / odds(inclusion probability)``; within each source the
-documents of lowest rank are taken until the words left are used up, so the sample's
-size is fixed rather than random. A ``weight`` column makes the probabilities unequal
-within a source as well; without one they differ between sources.
-
-The ranking is cut without sorting a source: documents fall into ``BINS`` bins by
-rank, running sums go over one row per (source, bin), and only the bin at the cut is
-ordered by document.
+Every source gets a target number of words, and every document an expected number of
+copies: proportional to its weight, at most ``MAX_COPIES``, and such that the source's
+expected words are its target (what documents at the limit cannot take goes to the others
+by weight). The whole part of it is allocated as certain copies, the fraction is the
+inclusion probability of one more. That one more copy is drawn by Pareto order sampling: a
+document has a fixed random number ``u`` and the ranking variable
+``odds(u) / odds(inclusion probability)``; within each source the documents of lowest rank
+are taken until the words left are used up, so the sample's size is fixed rather than
+random. Weights are grouped into classes of a ratio of ``2 ** (1 / STEPS)``; by default a
+document's weight follows its length (``length_weight``): shorter documents are taken less.
+
+Only ids, sources, sizes and weights are shuffled. The ranking is cut without sorting a
+source: documents fall into ``BINS`` bins by rank, running sums go over one row per
+(source, bin), and only the bin at the cut is ordered. What remains is one row per source,
+the last key that is taken, and with it the documents are passed once where they lie, texts
+included.
 
 Defined results: a null text has size 0 and is taken 0 times; null sources are one
-source, the last in order; repeated rows are documents of their own (equal rows tie,
-and it does not matter which of them is taken); an empty table gives an empty result.
-All random numbers are hashes of the id, so reruns agree.
+source, the last in order; a null or non-positive weight counts as the least class;
+repeated rows are documents of their own (equal keys tie, and it does not matter which of
+them is taken); an empty table gives an empty result. All random numbers are hashes of the
+id, so reruns agree.
 """
 
 from __future__ import annotations
@@ -24,11 +29,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from triagelens.llm.common import BLANKS, written
+from triagelens.llm.common import BLANKS, pieces, ranged, written
 
 WEIGHTS = (5, 2, 1)  # of the sources in code point order, repeating
 MAX_COPIES = 3
 BINS = 4096
+STEPS = 4  # weight classes per doubling
+CLASSES = (-80, 80)  # the least and the largest one
+LENGTHS = ((50, 1.0), (200, 2.0), (None, 4.0))  # words below which a document has this weight
 SEED = 7
 
 
@@ -75,6 +83,94 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_CO
     return levelled.select("source", "source_size", target.alias("target"))
 
 
+def length_weight(size: Column) -> Column:
+    weight = None
+    for below, value in LENGTHS:
+        if weight is None:
+            weight = F.when(size < below, value)
+        else:
+            weight = weight.otherwise(value) if below is None else weight.when(size < below, value)
+    return weight
+
+
+def weight_class(weight: Column) -> Column:
+    """The class whose weight is ``2 ** (class / STEPS)``."""
+    low, high = CLASSES
+    place = F.round(F.log2(weight.cast("double")) * STEPS)
+    return F.least(F.greatest(F.coalesce(F.when(weight > 0, place), F.lit(float(low))), F.lit(float(low))), F.lit(float(high))).cast("int")
+
+
+def expected_copies(rows: DataFrame, goals: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
+    """``source, class, expected, source_size, target``: copies of a document of each class.
+
+    Sorted by weight, the classes at the limit are the heaviest ones: a class is at it if
+    the level that all classes heavier than it at the limit leave reaches its own limit.
+    """
+    masses = rows.groupBy("source", "class").agg(F.sum("size").alias("mass"))
+    masses = masses.join(goals.withColumnRenamed("source", "_s"), F.expr("source <=> _s")).drop("_s")
+    masses = masses.withColumn("w", F.pow(F.lit(2.0), F.col("class") / STEPS))
+    heavier = Window.partitionBy("source").orderBy(F.desc("class"))
+    before = heavier.rowsBetween(Window.unboundedPreceding, -1)
+    after = heavier.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    left = F.col("target") - max_copies * F.coalesce(F.sum("mass").over(before), F.lit(0))
+    masses = masses.withColumn("level", left / F.nullif(F.sum(F.col("w") * F.col("mass")).over(after), F.lit(0.0)))
+    # The heaviest class below its limit fixes the level for it and all lighter ones.
+    open_class = F.max(F.when(F.col("level") * F.col("w") < max_copies, F.col("class"))).over(Window.partitionBy("source"))
+    masses = masses.withColumn("open", open_class)
+    shared = F.max(F.when(F.col("class") == F.col("open"), F.col("level"))).over(Window.partitionBy("source"))
+    expected = F.when(F.col("class") <= F.col("open"), F.least(shared * F.col("w"), F.lit(float(max_copies)))).otherwise(F.lit(float(max_copies)))
+    return masses.select("source", "class", expected.alias("expected"), "source_size", "target")
+
+
+# What a document's place in its source's order is; equal keys tie.
+KEY = ("rank", "no_id", "id", "size")
+
+
+def ranked(rows: DataFrame, copies: DataFrame, seed: int) -> DataFrame:
+    """``rows`` with ``whole``, ``p`` and the key by which the one more copy is drawn."""
+    joined = rows.join(copies.withColumnsRenamed({"source": "_s", "class": "_c"}), F.expr("source <=> _s and class = _c")).drop("_s", "_c")
+    u = uniform(F.col("doc_id"), seed)
+    return (
+        joined.withColumn("whole", F.floor("expected"))
+        .withColumn("p", F.col("expected") - F.col("whole"))
+        .withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), (u / (1 - u)) * (1 - F.col("p")) / F.col("p")))
+        .withColumn("no_id", F.col("doc_id").isNull())
+        .withColumn("id", F.coalesce("doc_id", F.lit(0).cast("long")))
+    )
+
+
+def cuts(order: DataFrame, bins: int) -> DataFrame:
+    """The last key that each source takes, as ``_source, cut, m, t``: all before it are
+    taken, of the ``t`` documents that have it ``m`` are. No row where none is taken."""
+    # rank / (1 + rank) lies between 0 and 1 and keeps the order
+    place = F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * bins), F.lit(bins - 1)).cast("int")
+    binned = order.withColumn("bin", F.coalesce(place, F.lit(-1)))
+    budget = binned.groupBy("source", "bin").agg(
+        F.sum(F.when(F.col("rank").isNotNull(), F.col("size")).otherwise(0)).alias("words"),
+        F.sum(F.col("whole") * F.col("size")).alias("sure"),
+        F.first("target").alias("target"),
+    )
+    of_source = Window.partitionBy("source")
+    upto = of_source.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("target") - F.sum("sure").over(of_source) - F.coalesce(F.sum("words").over(upto), F.lit(0))
+    budget = budget.withColumn("left", left).where("bin >= 0 and words > 0 and left > 0")
+    # The last bin with words left holds the cut, or ends before it.
+    last = budget.groupBy(F.col("source").alias("_s")).agg(F.max(F.struct("bin", "left")).alias("b"))
+    last = last.select("_s", F.col("b.bin").alias("_bin"), F.col("b.left").alias("left"))
+    inside = binned.join(last, F.expr("source <=> _s and bin = _bin")).groupBy("source", *KEY).agg(F.count("*").alias("t"), F.first("left").alias("left"))
+    before = F.coalesce(F.sum(F.col("t") * F.col("size")).over(Window.partitionBy("source").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A document is taken if the words left reach its middle.
+    fits = F.floor((F.col("left") - before) / F.col("size") + 0.5)
+    taken = inside.withColumn("m", F.least(F.greatest(fits, F.lit(0)), F.col("t")).cast("long"))
+    at = taken.where("m > 0").groupBy("source").agg(F.max(F.struct(*KEY, "m", "t")).alias("cut"))
+    # Where the first document of that bin does not fit, all of the bins before it are taken.
+    at = last.join(at, F.expr("source <=> _s"), "left")
+    return at.select(
+        F.col("_s").alias("_source"), F.col("_bin"), F.when(F.col("cut").isNotNull(), F.struct(*[f"cut.{k}" for k in KEY])).alias("cut"),
+        F.coalesce("cut.m", F.lit(0)).alias("m"), F.coalesce("cut.t", F.lit(0)).alias("t"),
+    )
+
+
 def mix(
     docs: DataFrame,
     weights: tuple = WEIGHTS,
@@ -89,61 +185,33 @@ def mix(
 ) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` of every row.
 
-    ``keep`` names further columns to carry.
+    ``keep`` names further columns to carry; they are not shuffled.
     """
-    weight = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).alias("source"),
-        word_count(F.col(text_col)).alias("size"),
-        weight.alias("_w"),
-        *keep,
-    )
-    # Read several times below, so the texts are counted once.
-    rows = written(rows, "mix")
-    goals = targets(rows.select("source", "size"), weights, max_copies)
-    shares = rows.groupBy(F.col("source").alias("_t")).agg(F.sum(F.col("_w") * F.col("size")).alias("_mass"))
-    goals = goals.withColumnRenamed("source", "_s").join(shares, F.expr("_s <=> _t")).drop("_t")
-    joined = rows.join(goals, F.expr("source <=> _s")).drop("_s")
-    expected = F.when(F.col("_mass") > 0, F.col("target") * F.col("_w") / F.col("_mass")).otherwise(F.lit(0.0))
-    expected = F.least(expected, F.lit(float(max_copies)))
-    u = uniform(F.col("doc_id"), seed)
-    ranked = (
-        joined.withColumn("_expected", expected)
-        .withColumn("_whole", F.floor("_expected"))
-        .withColumn("_p", F.col("_expected") - F.col("_whole"))
-        .withColumn("_rank", F.when(F.col("_p") > 0, (u / (1 - u)) * (1 - F.col("_p")) / F.col("_p")))
-        # rank / (1 + rank) lies between 0 and 1 and keeps the order
-        .withColumn("_place", F.floor(F.col("_rank") / (1 + F.col("_rank")) * bins))
-        .withColumn("_bin", F.coalesce(F.col("_place"), F.pmod(F.xxhash64("doc_id"), F.lit(bins))).cast("int"))
+    weight = F.col(weight_col) if weight_col else length_weight(F.col("size"))
+    # A projection of its own: the words are counted once, however often the size is used.
+    sized = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *keep, *([weight_col] if weight_col and weight_col not in keep else [])
     )
-    budget = ranked.groupBy("source", "_bin").agg(
-        F.sum(F.when(F.col("_p") > 0, F.col("size")).otherwise(0)).alias("_words"),
-        F.sum(F.col("_whole") * F.col("size")).alias("_sure"),
-        F.first("target").alias("_target"),
-    )
-    of_source = Window.partitionBy("source")
-    upto = of_source.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    budget = budget.select(
-        F.col("source").alias("_s"),
-        F.col("_bin").alias("_b"),
-        (F.col("_target") - F.sum("_sure").over(of_source) - F.coalesce(F.sum("_words").over(upto), F.lit(0))).alias("_left"),
-        "_words",
-    )
-    cut = ranked.join(budget, F.expr("source <=> _s and _bin = _b")).drop("_s", "_b")
-    # Whole bins below the cut are taken, whole bins above it are not; the bin at the
-    # cut is taken up to the document whose middle the cut has not passed.
-    at_cut = (F.col("_p") > 0) & (F.col("_left") > 0) & (F.col("_left") < F.col("_words"))
-    inside = Window.partitionBy("source", "_bin", "_at_cut").orderBy("_rank", "doc_id", "size")
-    split = cut.withColumn("_at_cut", at_cut)
-    near = split.where("_at_cut").withColumn(
-        "_before", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    )
-    near = near.withColumn("_more", F.coalesce(F.col("_before"), F.lit(0)) + F.col("size") / 2 <= F.col("_left")).drop("_before")
-    rest = split.where(~F.col("_at_cut")).withColumn("_more", (F.col("_p") > 0) & (F.col("_left") > 0))
-    copies = F.least(F.col("_whole") + F.col("_more").cast("long"), F.lit(max_copies))
-    return (
-        near.unionByName(rest)
-        .withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
+    sized = sized.select("doc_id", "source", "size", weight_class(weight).alias("class"), *keep)
+    rows = written(sized.drop(*keep), "mix")
+    goals = written(targets(rows.select("source", "size"), weights, max_copies), "goals")
+    copies = written(expected_copies(rows, goals, max_copies), "expected")
+    cut = written(cuts(ranked(rows, copies, seed), bins), "cuts")
+    order = ranked(sized if keep else rows, copies, seed).join(cut, F.expr("source <=> _source"), "left")
+    place = F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * bins), F.lit(bins - 1)).cast("int")
+    key = F.struct(*KEY)
+    chosen = F.col("rank").isNotNull() & F.coalesce((place < F.col("_bin")) | (key <= F.col("cut")), F.lit(False))
+    tied = F.coalesce((key == F.col("cut")) & (F.col("m") < F.col("t")), F.lit(False))
+    decided = order.withColumn("more", chosen).withColumn("tied", tied)
+    if not cut.where("m < t and m > 0").isEmpty():
+        # Of documents with one key some are taken: they are numbered.
+        some = decided.where("tied").withColumn("row", F.monotonically_increasing_id())
+        some = ranged(some, ["source", "row"], "ties")
+        first = pieces(some, "source").select("part", F.col("source").alias("_s"), "first_at", "before")
+        some = some.join(first, F.expr("shiftright(at, 33) = part and source <=> _s"))
+        some = some.withColumn("more", F.col("before") + F.col("at") - F.col("first_at") < F.col("m"))
+        decided = decided.where("not tied").unionByName(some.select(*decided.columns))
+    number = F.least(F.col("whole") + F.col("more").cast("long"), F.lit(max_copies))
+    return decided.withColumn("copies", F.when(F.col("size") > 0, number).otherwise(F.lit(0)).cast("long")).select(
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep
     )

@@ -120,17 +120,33 @@ MIX = f"""
     opened AS (SELECT *, min(k) FILTER (level * w < most) OVER () AS first FROM levelled),
     goals AS (
         SELECT source, source_size, CASE WHEN k >= first THEN max(level) FILTER (k = first) OVER () * w ELSE most END AS target FROM opened),
+    weighted AS (SELECT *, CASE WHEN size < 50 THEN 1.0::DOUBLE WHEN size < 200 THEN 2.0 ELSE 4.0 END AS cw FROM d),
+    masses AS (
+        SELECT source, cw, sum(size) AS mass, any_value(source_size) AS source_size, any_value(target) AS target
+        FROM weighted w JOIN goals USING (source) WHERE source IS NOT NULL GROUP BY ALL
+        UNION ALL
+        SELECT NULL, cw, sum(size), any_value(source_size), any_value(target)
+        FROM weighted w, goals WHERE w.source IS NULL AND goals.source IS NULL GROUP BY cw),
+    levels AS (
+        SELECT *, (target - 3 * coalesce(sum(mass) OVER (PARTITION BY source ORDER BY cw DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / nullif(sum(cw * mass) OVER (PARTITION BY source ORDER BY cw DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS lv
+        FROM masses),
+    fixed AS (SELECT *, max(cw) FILTER (lv * cw < 3) OVER (PARTITION BY source) AS o FROM levels),
+    copies AS (
+        SELECT source, cw, source_size, target,
+            CASE WHEN cw <= o THEN least((max(lv) FILTER (cw = o) OVER (PARTITION BY source)) * cw, 3) ELSE 3 END::DOUBLE AS c
+        FROM fixed),
     expected AS (
-        SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN least(target / source_size::DOUBLE, 3) ELSE 0 END AS c,
+        SELECT w.doc_id, w.source, w.size, copies.source_size, copies.target, c,
             (('0x' || substr(md5('7:' || doc_id), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
-        FROM d JOIN goals ON d.source IS NOT DISTINCT FROM goals.source),
+        FROM weighted w JOIN copies ON w.source IS NOT DISTINCT FROM copies.source AND w.cw = copies.cw),
     odds AS (
         SELECT *, floor(c) AS whole, c - floor(c) AS p,
-            CASE WHEN c > floor(c) THEN (u / (1 - u)) * (1 - (c - floor(c))) / (c - floor(c)) END AS rank
+            CASE WHEN c > floor(c) AND size > 0 THEN (u / (1 - u)) * (1 - (c - floor(c))) / (c - floor(c)) END AS rank
         FROM expected),
     running AS (
         SELECT *, target - sum(whole * size) OVER (PARTITION BY source) AS words,
-            coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            coalesce(sum(CASE WHEN rank IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
         FROM odds),
     taken AS (
         SELECT *, CASE WHEN size > 0 THEN least(whole + (p > 0 AND words > 0 AND before + size / 2 <= words)::INTEGER, 3) ELSE 0 END::BIGINT AS copies
