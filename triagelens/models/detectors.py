@@ -214,8 +214,9 @@ def _mean_map(rows: DataFrame, weights, phase, normal, cut):
 # --- local outlier factor ---------------------------------------------------------
 
 
-BLOCK = 2048  # points that are compared with as many others at a time
+BLOCK = 1024  # points that are compared with as many others at a time
 PIVOTS = 512
+RINGS = 64  # of a cell at most
 
 
 def _fit_lof(features: DataFrame, scaler: Scaler, neighbours: int = 20, seed: int = SEED):
@@ -230,7 +231,8 @@ def _fit_lof(features: DataFrame, scaler: Scaler, neighbours: int = 20, seed: in
     k = max(1, min(neighbours, total - 1))
     picked = lowest_hash(points.select("v"), ["v"], min(PIVOTS, -(-different // BLOCK)), seed)
     pivots = np.array([r[0] for r in picked.collect()], dtype=float).reshape(-1, len(NUMERIC_FEATURES))
-    near = _neighbours(points, points, pivots, k, own=True)
+    index = _index(points, pivots)
+    near = _neighbours(points, points, index, k, own=True)
     far = near.groupBy("point").agg(F.max("distance").alias("k_distance"))
     reach = _of_neighbours(near, far, F.greatest("distance", "k_distance"), k)
     density = reach.select("point", (1 / (F.col("x") + 1e-10)).alias("density"))
@@ -241,7 +243,7 @@ def _fit_lof(features: DataFrame, scaler: Scaler, neighbours: int = 20, seed: in
     factor = known.join(factor, "point", "left").select("v", F.coalesce(F.col("x") / F.col("density"), F.lit(1.0)).alias("factor"))
     raw = stage(rows.join(factor, "v").select("factor"), "factors")
     offset = percentiles(raw, "factor", [1 - CONTAMINATION])[0]
-    return {"pivots": pivots}, {"neighbours": k, "train_offset": offset}, known
+    return index, {"neighbours": k, "train_offset": offset}, known
 
 
 def _of_neighbours(near: DataFrame, of: DataFrame, value, k: int) -> DataFrame:
@@ -256,7 +258,7 @@ def _add_factor(rows: DataFrame, model: Model, name: str) -> DataFrame:
     k = model.params["neighbours"]
     points = rows.select(F.col("_v").alias("v")).distinct()
     points = stage(points.withColumn("point", F.monotonically_increasing_id()), "points")
-    near = _neighbours(points, model.table, model.arrays["pivots"], k)
+    near = _neighbours(points, model.table, model.arrays, k)
     known = model.table.select(F.col("point").alias("neighbour"), "k_distance", "density")
     means = near.join(known, "neighbour").groupBy("point").agg(
         (F.sum(F.col("density") * F.col("times")) / k).alias("density"),
@@ -267,96 +269,133 @@ def _add_factor(rows: DataFrame, model: Model, name: str) -> DataFrame:
     return rows.join(scores, "_v", "left").select(*[c for c in rows.columns if c != "_v"], name)
 
 
-def _neighbours(points: DataFrame, reference: DataFrame, pivots: np.ndarray, k: int, own: bool = False) -> DataFrame:
+def _index(points: DataFrame, pivots: np.ndarray) -> dict[str, np.ndarray]:
+    """Pivots and, for the cell around each, the distances from the pivot at which its rings
+    end, its radius and its number of rows: ``RINGS`` numbers for each of ``PIVOTS`` cells."""
+    shared = points.sparkSession.sparkContext.broadcast({"pivots": pivots, "edges": np.full((len(pivots), RINGS - 1), np.inf)})
+    shares = [i / RINGS for i in range(1, RINGS)]
+    cells = _placed(points, shared).groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("copies").alias("rows"), F.max("away").alias("radius"), F.percentile_approx("away", shares, 1000).alias("at")
+    )
+    edges, radius, count = np.full((len(pivots), RINGS - 1), np.inf), np.zeros(len(pivots)), np.zeros(len(pivots))
+    for row in cells.collect():  # one row per pivot
+        rings = min(RINGS, -(-row["n"] // BLOCK))
+        ends = sorted({row["at"][j * RINGS // rings - 1] for j in range(1, rings)})
+        edges[row["cell"], : len(ends)] = ends
+        radius[row["cell"]], count[row["cell"]] = row["radius"], row["rows"]
+    return {"pivots": pivots, "edges": edges, "radius": radius, "count": count}
+
+
+def _placed(points: DataFrame, shared) -> DataFrame:
+    """``point, v, copies`` with the cell of the nearest pivot, the distance from it and the ring."""
+
+    @F.pandas_udf("cell int, ring int, away double")
+    def place(vectors: pd.Series) -> pd.DataFrame:
+        index = shared.value
+        x = np.stack(vectors.to_numpy()).astype(float) if len(vectors) else np.zeros((0, index["pivots"].shape[1]))
+        away = kernels.pivot_distances(x, index["pivots"])
+        cell = away.argmin(axis=1).astype(np.int32) if len(x) else np.zeros(0, np.int32)
+        own = away[np.arange(len(x)), cell]
+        return pd.DataFrame({"cell": cell, "ring": kernels.ring_of(own, cell, index["edges"]).astype(np.int32), "away": own})
+
+    return points.withColumn("_at", place("v")).select("point", "v", "copies", "_at.*")
+
+
+def _blocks(points: DataFrame, shared) -> DataFrame:
+    """``block, cell, ring, low, high, points``: the points of a ring, ``BLOCK`` of them at
+    most, about, with their least and largest distance from the pivot."""
+    placed = stage(_placed(points, shared), "cells")
+    parts = placed.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts"))  # PIVOTS * RINGS rows at most
+    dealt = placed.join(F.broadcast(parts), ["cell", "ring"]).withColumn("part", F.pmod(F.xxhash64("point"), F.col("_parts")))
+    blocks = dealt.groupBy("cell", "ring", "part").agg(
+        F.min("away").alias("low"), F.max("away").alias("high"), F.collect_list(F.struct("point", "copies", "v")).alias("points")
+    )
+    return stage(blocks.withColumn("block", F.concat_ws("/", "cell", "ring", "part")).drop("part"), "blocks")
+
+
+def _neighbours(points: DataFrame, reference: DataFrame, index: dict[str, np.ndarray], k: int, own: bool = False, compared=None) -> DataFrame:
     """``point, neighbour, distance, times``: the ``k`` nearest of ``reference``, where
     one with several copies is taken several ``times``.
 
-    Points and reference lie in cells around pivots, cells are cut into blocks. A block
-    of points meets the blocks of reference that may hold neighbours by the distance
-    of their pivots, one after the other, nearest first: a task holds two blocks.
+    Points and reference lie in rings around pivots, rings are cut into blocks. A block of
+    points first meets the reference of its own ring, which bounds how far its neighbours
+    are; then it meets, by equality of ring numbers, the rings that the bounds reach, the
+    nearest first. A task holds two blocks. ``compared`` is an accumulator of the pairs of
+    points that were compared.
     """
     spark = points.sparkSession
-    theirs = _blocks(reference.select("point", "v", "copies"), pivots)
-    ours = theirs if own else _blocks(points.select("point", "v", F.lit(1).cast("long").alias("copies")), pivots)
-    apart = spark.sparkContext.broadcast(np.sqrt(((pivots[:, None] - pivots[None]) ** 2).sum(axis=2)))
-
-    @F.pandas_udf("double")
-    def between(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(apart.value[a.to_numpy(), b.to_numpy()])
-
-    head = ours.select(F.col("block").alias("own"), F.col("cell").alias("own_cell"), F.col("radius").alias("own_radius"))
-    pairs = head.crossJoin(theirs.select("block", "cell", "radius", "n"))
-    pairs = pairs.withColumn("_apart", between("own_cell", "cell")).withColumn("_wide", F.col("own_radius") + F.col("radius"))
-    pairs = pairs.withColumn("far", F.col("_apart") + F.col("_wide")).withColumn("near", F.greatest(F.lit(0.0), F.col("_apart") - F.col("_wide")))
-    held = F.sum("n").over(Window.partitionBy("own").orderBy("far", "block"))
-    bound = F.min(F.when(F.col("_held") > k, F.col("far"))).over(Window.partitionBy("own"))
-    pairs = pairs.withColumn("_held", held).withColumn("_bound", bound)
-    pairs = pairs.where(F.col("_bound").isNull() | (F.col("near") <= F.col("_bound") * (1 + 1e-9) + 1e-9))
-    meeting = pairs.select("own", "near", "block").join(theirs.select("block", "points"), "block")
-    meeting = meeting.unionByName(ours.select(F.col("block").alias("own"), F.lit(-1.0).alias("near"), "block", "points"))
-    ordered = meeting.repartition(F.col("own")).sortWithinPartitions("own", "near", "block")
-
-    def found(points, best):
+    shared = spark.sparkContext.broadcast({c: index[c] for c in ("pivots", "edges", "radius", "count")})
+    theirs = _blocks(reference.select("point", "v", "copies"), shared)
+    ours = theirs if own else _blocks(points.select("point", "v", F.lit(1).cast("long").alias("copies")), shared)
+
+    def meeting(pairs: DataFrame) -> DataFrame:
+        rows = pairs.select("own", "near", "block").join(theirs.select("block", "cell", "low", "high", "points"), "block")
+        head = ours.select(F.col("block").alias("own"), F.lit(-1.0).alias("near"), "cell", "low", "high", "points")
+        rows = rows.select("own", "near", "cell", "low", "high", "points").unionByName(head)
+        return rows.repartition(F.col("own")).sortWithinPartitions("own", "near", "cell", "low", "high")
+
+    def walk(finish):
+        """Goes through blocks and what they meet; ``finish`` makes a batch of each block."""
+
+        def run(batches):
+            owner = mine = best = away = None
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    block, near, cell, low, high = (batch.column(c)[i].as_py() for c in ("own", "near", "cell", "low", "high"))
+                    values = batch.column("points")[i].values
+                    ids, copies = (values.field(c).to_numpy() for c in ("point", "copies"))
+                    vectors = values.field("v").flatten().to_numpy().reshape(len(ids), -1)
+                    if block != owner:
+                        if owner is not None:
+                            yield finish(owner, mine, best, away)
+                        owner, mine = block, (ids, vectors, cell)
+                        away = kernels.pivot_distances(vectors, shared.value["pivots"])
+                        best = np.full((len(ids), k), np.inf), np.full((len(ids), k), -1), np.zeros((len(ids), k), int)
+                        continue
+                    limit = kernels.reach_of(best, k) * (1 + 1e-9) + 1e-9
+                    least = np.maximum(np.maximum(away[:, cell] - high, low - away[:, cell]), (away[:, cell] - away[:, mine[2]]) / 2)
+                    for rows in np.array_split(np.flatnonzero(least <= limit), max(1, len(ids) // 256)):
+                        if len(rows):
+                            found = kernels.padded(kernels.closest(mine[1][rows], mine[0][rows], vectors, ids, copies, k, own), k)
+                            for held, new in zip(best, kernels.merged(tuple(x[rows] for x in best), found, k)):
+                                held[rows] = new
+                            if compared is not None:
+                                compared.add(len(rows) * len(ids))
+            if owner is not None:
+                yield finish(owner, mine, best, away)
+
+        return run
+
+    def rings(owner, mine, best, away):
+        at = shared.value
+        reach = np.minimum(kernels.reach_of(best, k), kernels.cell_reach(away, at["radius"], at["count"], k))
+        found = kernels.rings_within(away, mine[2], reach, at["edges"], at["radius"], at["count"])
+        cells, numbers, near = zip(*found) if found else ((), (), ())
+        columns = [pa.array([owner] * len(cells), pa.string()), pa.array(cells, pa.int32()), pa.array(numbers, pa.int32()), pa.array(near, pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, names=["own", "cell", "ring", "near"])
+
+    def found(owner, mine, best, away):
         distance, ids, copies = best
         before = np.cumsum(copies, axis=1) - copies
         times = np.where(np.isfinite(distance), np.clip(k - before, 0, copies), 0)
         row, column = np.nonzero(times)
-        columns = points[0][row], ids[row, column], distance[row, column], times[row, column]
+        columns = mine[0][row], ids[row, column], distance[row, column], times[row, column]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["point", "neighbour", "distance", "times"])
 
-    def run(batches):
-        owner = points = best = None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                block, near = batch.column("own")[i].as_py(), batch.column("near")[i].as_py()
-                values = batch.column("points")[i].values
-                ids, copies = (values.field(c).to_numpy() for c in ("point", "copies"))
-                vectors = values.field("v").flatten().to_numpy().reshape(len(ids), -1)
-                if block != owner:
-                    if best:
-                        yield found(points, best)
-                    owner, points, best = block, (ids, vectors), None
-                    continue
-                if best and best[0].shape[1] >= k and near > best[0][:, k - 1].max() * (1 + 1e-9) + 1e-9:
-                    continue
-                parts = [
-                    kernels.closest(points[1][s : s + 256], points[0][s : s + 256], vectors, ids, copies, k, own)
-                    for s in range(0, len(points[0]), 256)
-                ]
-                best = kernels.merged(best, tuple(np.concatenate(x) for x in zip(*parts)), k)
-        if best:
-            yield found(points, best)
-
     # a row is a whole block
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, 8)
     try:
-        return stage(ordered.mapInArrow(run, "point long, neighbour long, distance double, times long"), "neighbours")
+        here = ours.select(F.col("block").alias("own"), "cell", "ring").join(theirs.select("block", "cell", "ring"), ["cell", "ring"])
+        first = meeting(here.withColumn("near", F.lit(0.0)))
+        needed = stage(first.mapInArrow(walk(rings), "own string, cell int, ring int, near double"), "needed")
+        pairs = needed.join(theirs.select("block", "cell", "ring"), ["cell", "ring"])
+        return stage(meeting(pairs).mapInArrow(walk(found), "point long, neighbour long, distance double, times long"), "neighbours")
     finally:
         spark.conf.set(key, before)
 
 
-def _blocks(points: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """``block, cell, radius, n, points``: the points nearest to a pivot, in blocks of
-    about ``BLOCK``; the radius is the largest distance from the pivot."""
-    shared = points.sparkSession.sparkContext.broadcast(pivots)
-
-    @F.pandas_udf("cell int, away double")
-    def place(vectors: pd.Series) -> pd.DataFrame:
-        x = np.stack(vectors.to_numpy()).astype(float) if len(vectors) else np.zeros((0, shared.value.shape[1]))
-        cell = np.array([((shared.value - v) ** 2).sum(axis=1).argmin() for v in x], dtype=np.int32)
-        return pd.DataFrame({"cell": cell, "away": np.sqrt(((x - shared.value[cell]) ** 2).sum(axis=1))})
-
-    placed = stage(points.withColumn("_at", place("v")).select("point", "v", "copies", "_at.*"), "cells")
-    parts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts"))  # a row per pivot
-    dealt = placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("point"), F.col("_parts")))
-    blocks = dealt.groupBy("cell", "part").agg(
-        F.max("away").alias("radius"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("point", "copies", "v")).alias("points")
-    )
-    return stage(blocks.withColumn("block", F.concat_ws("/", "cell", "part")).drop("part"), "blocks")
-
-
 # --- storage ------------------------------------------------------------------------
 
 

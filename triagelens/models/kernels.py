@@ -109,3 +109,64 @@ def merged(best, more, k: int):
     distance, ids, copies = (np.concatenate(pair, axis=1) for pair in zip(best, more)) if best else more
     order = np.lexsort((ids, distance), axis=1)[:, :k]
     return tuple(np.take_along_axis(x, order, axis=1) for x in (distance, ids, copies))
+
+
+def padded(found, k: int):
+    """A result of ``closest`` with ``k`` columns; what is added is nobody, infinitely far."""
+    distance, ids, copies = found
+    missing = ((0, 0), (0, k - distance.shape[1]))
+    return np.pad(distance, missing, constant_values=np.inf), np.pad(ids, missing, constant_values=-1), np.pad(copies, missing)
+
+
+def reach_of(best, k: int) -> np.ndarray:
+    """How far the ``k`` nearest rows known so far reach, copies counted; infinite if there are fewer."""
+    distance, _, copies = best
+    held = np.cumsum(np.where(np.isfinite(distance), copies, 0), axis=1)
+    enough = held >= k
+    at = np.where(enough.any(axis=1), enough.argmax(axis=1), 0)
+    return np.where(enough.any(axis=1), distance[np.arange(len(distance)), at], np.inf)
+
+
+def pivot_distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    parts = [np.sqrt(((points[s : s + 64, None] - pivots[None]) ** 2).sum(axis=2)) for s in range(0, len(points), 64)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(pivots)))
+
+
+def ring_of(away: np.ndarray, cell: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Number of the ring in its cell that each row lies in."""
+    return (edges[cell] <= away[:, None]).sum(axis=1)
+
+
+def cell_reach(away: np.ndarray, radius: np.ndarray, count: np.ndarray, k: int) -> np.ndarray:
+    """A bound for the distance to the ``k``-th row from the cells alone: so many rows lie in
+    the cells whose far sides are nearest. ``k`` has one to spare for the row itself."""
+    far = np.where(count > 0, away + radius, np.inf)
+    order = np.argsort(far, axis=1, kind="stable")
+    enough = np.cumsum(count[order], axis=1) > k
+    at = np.where(enough.any(axis=1), enough.argmax(axis=1), 0)
+    reach = np.take_along_axis(far, order[np.arange(len(far)), at][:, None], axis=1)[:, 0]
+    return np.where(enough.any(axis=1), reach, np.inf)
+
+
+def rings_within(away: np.ndarray, own_cell: int, reach: np.ndarray, edges: np.ndarray, radius: np.ndarray, count: np.ndarray):
+    """Cell, ring and least distance of the rings that may hold rows within ``reach`` of a point.
+
+    A row of a cell is no nearer to a point than the difference of their distances from the
+    cell's pivot, and no nearer than half of what the point is further from that pivot than
+    from its own.
+    """
+    limit = reach * (1 + 1e-9) + 1e-9
+    least = np.maximum(np.maximum(away - radius, (away - away[:, [own_cell]]) / 2), 0.0)
+    out = []
+    for cell in np.flatnonzero(count > 0):
+        near = np.flatnonzero(least[:, cell] <= limit)
+        if not len(near):
+            continue
+        first = np.searchsorted(edges[cell], away[near, cell] - limit[near], "right")
+        last = np.searchsorted(edges[cell], away[near, cell] + limit[near], "right")
+        marks = np.zeros(edges.shape[1] + 2, int)
+        np.add.at(marks, first, 1)
+        np.add.at(marks, last + 1, -1)
+        bound = least[near, cell].min()
+        out += [(int(cell), int(ring), float(bound)) for ring in np.flatnonzero(np.cumsum(marks) > 0)]
+    return out
