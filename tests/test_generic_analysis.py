@@ -169,3 +169,39 @@ def test_analysis_check_shape(spark):
 def test_nan_becomes_null(spark):
     df = spark.createDataFrame([("s", "i", "u", 1, float("nan"), 0.5)], "session_id string, ip string, user string, event_count long, error_ratio double, anomaly_score double")
     assert ev.session_rows(df).first().error_ratio is None
+
+
+def test_score_summaries_of_many_runs(spark):
+    """A thousand runs at once, one with a third of all rows, some without scores."""
+    import random
+
+    import numpy as np
+
+    from triagelens.operators import reports
+
+    rng = random.Random(6)
+    rows = [(0, rng.choice([None, 0.5, rng.random()])) for _ in range(4000)] + [(i, round(rng.random(), 2)) for i in range(1, 999) for _ in range(1 + i % 17)] + [(999, None)]
+    scored = spark.createDataFrame(rows, "run long, anomaly_score double").repartition(5)
+    got = {r.run: r for r in reports.score_summaries(scored, "run").collect()}
+    assert len(got) == 1000
+    for run, r in got.items():
+        x = np.array([s for i, s in rows if i == run and s is not None])
+        if not len(x):
+            assert r.score_min is None and r.threshold_value is None
+            continue
+        threshold = np.percentile(x, 99)
+        assert np.allclose([r.score_min, r.score_max, r.score_mean, r.score_p95, r.threshold_value], [x.min(), x.max(), x.mean(), np.percentile(x, 95), threshold], atol=1e-12)
+        assert abs(r.fraction_above_threshold - (x >= r.threshold_value).mean()) < 1e-12
+
+
+def test_optional_part_without_a_library(tmp_path):
+    """Where a library that only the training-data operators need is missing, the rest registers."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.join(os.path.dirname(__file__), "..")
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.ENTRIES), any(q.startswith('op') for q in e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    count, core, llm = out.stdout.split()
+    assert count == core and llm == "False"

@@ -1059,11 +1059,9 @@ runs AS (SELECT row_number() OVER (ORDER BY day) - 1 AS run_no, day, t, m,
 def _(spark, sf):
     """One run for every day that the sessions start on."""
     sessions = staged(spark, sf).withColumn("day", F.to_date("start_time"))
-    runs = None
-    for i, (day,) in enumerate(sessions.select("day").distinct().orderBy("day").collect()):  # one row per day
-        part = rep.score_summary(sessions.where(F.col("day") == F.lit(day))).withColumn("run_no", F.lit(i).cast("bigint"))
-        runs = part if runs is None else runs.unionByName(part)
-    df = rep.drift(stage(runs, "runs"))
+    runs = rep.score_summaries(sessions.where("day is not null"), "day")
+    by_day = Window.orderBy("day")  # one row per day
+    df = rep.drift(stage(runs.withColumn("run_no", (F.row_number().over(by_day) - 1).cast("bigint")), "runs"))
     return nine(df, df.columns)
 
 

@@ -82,6 +82,41 @@ def percentiles(df: DataFrame, column: str, shares: list[float], ranges: int | N
     ]
 
 
+def group_percentiles(df: DataFrame, group: str, column: str, shares: list[float], ranges: int | None = None) -> DataFrame:
+    """``group, value, n, total, p0, p1, ...``: the distinct values of each group with their
+    counts, and beside them the group's interpolated percentiles, exact, for any number of
+    groups and of values in one.
+
+    One range partitioning orders the values of all groups; a value's rank is its place in
+    its range and group, and what the group has in earlier ranges.
+    """
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(group, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    ranged = stage(counts.repartitionByRange(n, group, "value").withColumn("range_no", F.spark_partition_id()), "group-ranks")
+    inside = W.partitionBy("range_no", group).orderBy("value").rowsBetween(W.unboundedPreceding, -1)
+    parts = ranged.groupBy("range_no", group).agg(F.sum("n").alias("_part"))  # a row per range and group in it
+    earlier = W.partitionBy(group).orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(
+        "range_no", F.col(group).alias("_group"), F.coalesce(F.sum("_part").over(earlier), F.lit(0)).alias("_earlier"),
+        F.sum("_part").over(W.partitionBy(group)).alias("total"),
+    )
+    local = ranged.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).withColumnRenamed("range_no", "_range")
+    ranked = local.join(parts, (F.col("_range") == F.col("range_no")) & F.col(group).eqNullSafe(F.col("_group")))
+    ranked = ranked.select(group, "value", "n", "total", (F.col("_inside") + F.col("_earlier")).alias("_before"))
+
+    def at(place):
+        return F.max(F.when((place >= F.col("_before")) & (place < F.col("_before") + F.col("n")), F.col("value")))
+
+    wanted = []
+    for i, share in enumerate(shares):
+        place = F.lit(share) * (F.col("total") - 1)
+        low = F.floor(place)
+        wanted += [at(low).alias(f"_low{i}"), at(F.least(low + 1, F.col("total") - 1)).alias(f"_high{i}"), F.max(place - low).alias(f"_part{i}")]
+    found = ranked.groupBy(F.col(group).alias("_group")).agg(*wanted)
+    points = [(F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_part{i}")).alias(f"p{i}") for i in range(len(shares))]
+    return ranked.drop("_before").join(found.select("_group", *points), F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+
+
 def min_max(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """Adds each column scaled to 0..1 under its new name; 0.0 if it is constant."""
     spans = df.select(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelens.functions.text import count_where, empty_to_null, rounded
-from triagelens.operators.ranking import percentiles, score_column
+from triagelens.operators.ranking import group_percentiles, percentiles, score_column
 
 
 def count_by(df: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
@@ -199,6 +199,24 @@ def score_summary(
     )
 
 
+def score_summaries(scored: DataFrame, run: str, score: str = "anomaly_score", threshold_percentile: float = 99.0) -> DataFrame:
+    """``score_summary`` of every run, told apart by the column ``run``: one pass, however many runs."""
+    values = group_percentiles(scored, run, score, [0.95, threshold_percentile / 100.0])
+    summary = values.groupBy(F.col(run).alias("_run")).agg(
+        F.min("value").alias("score_min"),
+        F.max("value").alias("score_max"),
+        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("score_mean"),
+        F.first("p0").alias("score_p95"),
+        F.first("p1").alias("threshold_value"),
+        (F.sum(F.when(F.col("value") >= F.col("p1"), F.col("n")).otherwise(0)) / F.sum("n")).alias("fraction_above_threshold"),
+    )
+    # Runs without any score are runs, too.
+    return scored.select(run).distinct().join(summary, F.col(run).eqNullSafe(F.col("_run")), "left").select(
+        run, "score_min", "score_max", "score_mean", "score_p95", F.lit(float(threshold_percentile)).alias("threshold_percentile"),
+        "threshold_value", "fraction_above_threshold",
+    )
+
+
 def drift(runs: DataFrame) -> DataFrame:
     """Score summaries of several runs, each beside the change from the run before.
 
