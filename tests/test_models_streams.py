@@ -173,3 +173,19 @@ def test_json_sink_keeps_nulls(spark, tmp_path):
     df = spark.createDataFrame([("a", None, float("nan"))], "s string, u string, x double")
     write_json(df, str(tmp_path / "o"))
     assert spark.read.text(str(tmp_path / "o")).first()[0] == '{"s":"a","u":null,"x":null}'
+
+
+def test_ring_index_compares_few_and_misses_none(spark):
+    """The 20 nearest of 5,000 rows in clusters, against all distances."""
+    rng, n, names = np.random.default_rng(8), 5000, detectors.NUMERIC_FEATURES
+    centres = rng.normal(size=(25, len(names))) * 20
+    points = centres[rng.integers(0, 25, n)] + rng.normal(size=(n, len(names)))
+    rows = [(i, [float(c) for c in p], 1) for i, p in enumerate(points)]
+    table = stage(spark.createDataFrame(rows, "point long, v array<double>, copies long"), "points")
+    compared = spark.sparkContext.accumulator(0)
+    index = detectors._index(table, points[:25])
+    found = detectors._neighbours(table, table, index, 20, own=True, compared=compared).toPandas().sort_values(["point", "distance"])
+    exact = np.concatenate([kernels.nearest(points[s : s + 500], points, 20, s)[1] for s in range(0, n, 500)])
+    want = np.sort(np.sqrt(((points[:, None] - points[exact]) ** 2).sum(-1)), axis=1)
+    assert np.allclose(found.distance.to_numpy().reshape(n, 20), want, rtol=1e-9)
+    assert compared.value < n * n / 2
