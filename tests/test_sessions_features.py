@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import brute_features, event, events
 from triagelens.operators import features as feat
@@ -66,6 +69,36 @@ def test_closed_window_and_rare_hour(spark):
         feat.session_features(events(spark, [event(1, 0)]), gap_minutes=1, window_seconds=61)
 
 
+def test_peaks_of_a_dense_minute_are_spread(spark):
+    """100,000 instants of one identity in a minute: no task holds them all."""
+    rng = np.random.default_rng(5)
+    us = np.unique(np.concatenate([rng.integers(0, 60_000_000, 100_000), 60_000_000 + rng.integers(0, 60_000_000, 2_000)]))
+    status = rng.choice([404, 500, 200], len(us))
+    base = 1_704_103_200_000_000  # a whole minute
+    frame = pd.DataFrame({"us": us + base, "status": status})
+    rows = spark.createDataFrame(frame).selectExpr(
+        "'a' AS k_ip", "'' AS k_user", "'' AS k_agent", "us", "us div 60000000 AS slice", "cast(status AS int) AS status", "'error' AS level"
+    )
+    settings = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        step = 7745  # floor of the root of 60,000,000
+        pieces = feat._move_summaries(feat._moves(rows, 60_000_000), step).where("at_slice = {}".format(base // 60_000_000))
+        per_task = [r[0] for r in pieces.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        got = {r.slice - base // 60_000_000: r for r in feat._peak_rates(rows, 60).collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(per_task) == 8 and max(per_task) < sum(per_task) / 4
+    assert len(us) > 101_000 and set(got) == {0, 1}
+    for name, hit in (("all", status > 0), ("404", status == 404), ("5xx", status == 500), ("error", status > 0)):
+        at = us[hit]  # windows may end at any event of the slice
+        held = np.searchsorted(at, us, "right") - np.searchsorted(at, us - 60_000_000, "left")
+        assert [int(held[us // 60_000_000 == n].max()) for n in (0, 1)] == [got[n][f"peak_{name}"] for n in (0, 1)]
+
+
 def test_events_before_1970(spark):
     far = -1_704_103_200  # 10:00 of the helper's day is this far from the epoch
     rows = [event(i, far + (i - 3) * 20, "a", status=401) for i in range(6)]

@@ -8,7 +8,8 @@ or a value in one task:
   identity, as the summaries of two neighbouring pieces determine the summary of
   their union;
 * peak rates use one row per (identity, instant) and a copy of it in the next
-  slice, since a closed window reaches back into one slice at most;
+  slice, since a closed window reaches back into one slice at most, summed over
+  short pieces of a slice and then over the pieces;
 * value rarity and distinct counts use counts per (identity, slice, value).
 
 The ordered features are worked on by second of an identity, so what a task sorts
@@ -19,6 +20,8 @@ scanned a single time.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,6 +42,7 @@ from triagelens.session import stage
 RARE_SESSIONS = 3  # an identity with fewer sessions is "rarely seen"
 RARE_HOURS_END = 4  # hours 0..3
 ALL_PARTS = ("rates", "identity", "rarity")
+RATES = ["all", "404", "5xx", "error"]  # whose peaks are taken
 
 # The 45 numeric features, in model order.
 NUMERIC_FEATURES = [
@@ -151,24 +155,18 @@ def _piece_summaries(rows: DataFrame, cut: list[str]) -> DataFrame:
     return with_runs.groupBy(*KEYS, *cut).agg(*sums)
 
 
-def _peak_rates(rows: DataFrame, window_seconds: float) -> DataFrame:
-    """Per (identity, slice): the most events in any closed window ending in it.
-
-    An event counts from its instant until one window later.  Slices are one
-    window wide, so within a slice the events in the window are those of the
-    slice before that have not run out plus those of the slice so far: one
-    running sum over arrivals and departures, whatever the density.
-    """
-    width = int(window_seconds * SECOND)
+def _moves(rows: DataFrame, width: int) -> DataFrame:
+    """Arrivals (sign 1) and departures (sign -1) of events, one row per instant and sign:
+    an event counts from its instant until ``width`` microseconds later, which is in the
+    same slice or the next one."""
     status, level = F.col("status"), F.col("level")
-    names = ["all", "404", "5xx", "error"]
     instants = rows.groupBy(*KEYS, "slice", "us").agg(
         F.count(F.lit(1)).alias("n_all"),
         count_where(status == 404).alias("n_404"),
         count_where(_is_5xx(status)).alias("n_5xx"),
         count_where(level == "error").alias("n_error"),
     )
-    moves = instants.select(
+    return instants.select(
         *KEYS,
         F.explode(
             F.array(
@@ -176,30 +174,55 @@ def _peak_rates(rows: DataFrame, window_seconds: float) -> DataFrame:
                 F.struct((F.col("slice") + 1).alias("at_slice"), (F.col("us") + width + 1).alias("at"), F.lit(-1).alias("sign")),
             )
         ).alias("m"),
-        *[f"n_{n}" for n in names],
-    ).select(*KEYS, "m.*", *[f"n_{n}" for n in names])
-    in_slice = W.partitionBy(*KEYS, "at_slice")
-    so_far = in_slice.orderBy("at").rangeBetween(W.unboundedPreceding, 0)
-    whole = in_slice.orderBy("at").rangeBetween(W.unboundedPreceding, W.unboundedFollowing)
-    leaving = F.col("sign") < 0
-    counted = moves.select(
+        *[f"n_{n}" for n in RATES],
+    ).select(*KEYS, "m.*", *[f"n_{n}" for n in RATES])
+
+
+def _move_summaries(moves: DataFrame, step: int) -> DataFrame:
+    """One row per (identity, slice, ``step`` microseconds of it): the change of the number
+    of events, its largest value just after an arrival, and how many events left.  The
+    summaries of two neighbouring pieces determine that of their union."""
+    gone = F.col("sign") < 0
+    # of one instant the departures come first
+    so_far = W.partitionBy(*KEYS, "at_slice", "piece").orderBy("at", "sign").rowsBetween(W.unboundedPreceding, 0)
+    running = moves.withColumn("piece", F.col("at") - F.pmod("at", F.lit(step))).select(
+        "*", *[F.sum(F.col("sign") * F.col(f"n_{n}")).over(so_far).alias(f"run_{n}") for n in RATES]
+    )
+    sums = []
+    for n in RATES:
+        count = F.col(f"n_{n}")
+        sums += [
+            F.sum(F.col("sign") * count).alias(f"net_{n}"),
+            F.max(F.when(~gone, F.col(f"run_{n}"))).alias(f"best_{n}"),
+            F.sum(F.when(gone, count).otherwise(0)).alias(f"gone_{n}"),
+        ]
+    return running.groupBy(*KEYS, "at_slice", "piece").agg(*sums)
+
+
+def _peak_rates(rows: DataFrame, window_seconds: float) -> DataFrame:
+    """Per (identity, slice): the most events in any closed window ending in it.
+
+    Slices are one window wide, so within a slice the events in the window are
+    those of the slice before that have not run out plus those of the slice so
+    far: a running sum over arrivals and departures.  The sum is taken in two
+    steps, over pieces of a slice and then over the pieces' summaries.  A piece
+    is as many microseconds long as a slice has pieces, so a task sorts some
+    2 * sqrt(microseconds of a window) rows together, however dense the burst.
+    """
+    width = int(window_seconds * SECOND)
+    pieces = _move_summaries(_moves(rows, width), math.isqrt(width))
+    earlier = W.partitionBy(*KEYS, "at_slice").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    placed = pieces.select(
         *KEYS,
         "at_slice",
-        "sign",
-        *[
-            (
-                F.sum(F.col("sign") * F.col(f"n_{n}")).over(so_far)
-                + F.coalesce(F.sum(F.when(leaving, F.col(f"n_{n}"))).over(whole), F.lit(0))
-            ).alias(f"peak_{n}")
-            for n in names
-        ],
+        *[f"gone_{n}" for n in RATES],
+        *[(F.coalesce(F.sum(f"net_{n}").over(earlier), F.lit(0)) + F.col(f"best_{n}")).alias(f"top_{n}") for n in RATES],
     )
-    return (
-        counted.where("sign > 0")
-        .groupBy(*KEYS, "at_slice")
-        .agg(*[F.max(f"peak_{n}").alias(f"peak_{n}") for n in names])
-        .withColumnRenamed("at_slice", "slice")
+    # what leaves in a slice was there at its start
+    peaks = placed.groupBy(*KEYS, F.col("at_slice").alias("slice")).agg(
+        *[(F.max(f"top_{n}") + F.sum(f"gone_{n}")).alias(f"peak_{n}") for n in RATES]
     )
+    return peaks.where("peak_all IS NOT NULL")  # slices that hold departures only
 
 
 def _join_pieces(pieces: DataFrame, cut: list[str], gap_minutes: float) -> DataFrame:
