@@ -198,3 +198,41 @@ def test_json_lines_with_repeated_keys_and_bare_numbers(lines):
     assert rows[0].user == "b" and rows[1].user == "c" and rows[1].message == "x: NaN, y"
     assert rows[1].extra["score"] == "nan" and rows[1].extra["low"] == "-inf"
     assert rows[2].user == "inf" and rows[2].message == 'quote " NaN,' and 3 not in rows
+
+
+def test_mapped_names_that_are_no_first_name_of_a_field(lines):
+    mapping = {
+        "fields": {"User": ["who", "USER"], "msg": ["text"], "severity": ["lvl"]},
+        "defaults": {"region": "eu", "note": None, "severity": "info", "host": False, "retries": 3},
+    }
+    frame = lines(
+        '{"who": "a", "user": "own", "text": "t", "lvl": null, "ok": true, "n": [1, {"b": 2}]}',
+        '{"USER": "b", "region": null, "msg": "kept", "severity": "", "retries": 0}',
+        "{}",
+    )
+    a, b, c = rec.parse_jsonl(frame, mapping).orderBy("seq").collect()
+    # a null source leaves the default; a false default does not count as given
+    assert (a.user, a.message, a.severity, a.host) == ("own", "t", "info", None)
+    assert a.extra == {
+        "who": "a", "User": "a", "text": "t", "lvl": None, "ok": "true", "n": '[1,{"b":2}]', "region": "eu", "note": None, "retries": "3",
+    }
+    assert (b.message, b.severity) == ("kept", None)
+    assert b.extra == {"USER": "b", "User": "b", "region": None, "note": None, "retries": "0"}
+    assert c.extra == {"region": "eu", "note": None, "retries": "3"} and c.severity == "info"
+
+
+def test_flat_mapping_of_other_names_and_empty_mapping(lines):
+    frame = lines('{"a": 1, "Team": "own", "x": "m"}', '{"a": null}')
+    one_, two = rec.parse_jsonl_flat(frame, {"Team": "a", "message": "x"}).orderBy("seq").collect()
+    assert one_.message == "m" and one_.extra == {"a": "1", "x": "m", "Team": "1"}
+    assert two.extra == {"a": None, "Team": None}
+    for parse in (rec.parse_jsonl, rec.parse_jsonl_flat):
+        assert [r.extra for r in parse(frame, {"fields": {}}).orderBy("seq").collect()] == [
+            {"a": "1", "Team": "own", "x": "m"}, {"a": None}
+        ]
+
+
+def test_only_whole_objects_are_records(lines):
+    frame = lines('{"a": 1} ', '{"a": 1}x', '{"a": 1}, {"b": 2}', "{'a': 1}", '[{"a": 1}]', "null", '{"a": 01}', '{"a": "b', '{"user": "  \\u00a0"}')
+    got = rec.parse_jsonl(frame).orderBy("seq").collect()
+    assert [(r.seq, r.extra, r.user) for r in got] == [(0, {"a": "1"}, None), (8, {}, None)]

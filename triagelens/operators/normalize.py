@@ -40,19 +40,39 @@ ISO_DATE_TIME = (
 
 # --- values of a record ----------------------------------------------------
 
+# A record is three columns: ``plain``, a map of texts; ``texts``, an array with the text
+# of each name of ``names_read``; and ``kinds``, an array beside it with their JSON types,
+# null unless a text does not tell its type.  Names are looked up by place, once per line.
 
-def _typed(value: Column) -> Column:
-    return F.struct(F.schema_of_variant(value).alias("kind"), value.cast("string").alias("plain"))
+# Texts that mean something else as a string than as a JSON value.
+TYPE_MATTERS = ["true", "false", "0", "-0", "0.0", "-0.0", "[]", "{}"]
+
+
+def names_read(mapping: FieldMapping | None) -> list[str]:
+    """Every name a record is asked for, by its place."""
+    names = [a for aliases in FIELD_ALIASES.values() for a in aliases] + ["status_code", "raw_message"]
+    if mapping:
+        names += [n for target, listed in mapping.fields.items() for n in (target, *listed)] + list(mapping.defaults)
+    return list(dict.fromkeys(names))
+
+
+def needs_types(texts: Column, mapping: FieldMapping | None) -> Column:
+    """Whether a name that is read has a text whose JSON type matters."""
+    names = names_read(mapping)
+    status = ["status_code", *(mapping.fields.get("status_code", []) if mapping else [])]
+    odd = F.arrays_overlap(texts, F.array(*[F.lit(t) for t in TYPE_MATTERS]))
+    for name in status:
+        odd = F.coalesce(odd, F.lit(False)) | F.coalesce(F.get(texts, F.lit(names.index(name))).rlike("[.eE]"), F.lit(False))
+    return odd
 
 
-def _text(typed: Column) -> Column:
-    """Plain text of one typed value: strings as they are, the rest as JSON."""
-    return F.when(typed["kind"] == "BOOLEAN", F.initcap(typed["plain"])).otherwise(typed["plain"])
+def _text(plain: Column, kind: Column) -> Column:
+    """Strings as they are, the rest as JSON, but for the case of booleans."""
+    return F.when(kind == "BOOLEAN", F.initcap(plain)).otherwise(plain)
 
 
-def _present(typed: Column) -> Column:
+def _present(plain: Column, kind: Column) -> Column:
     """Whether a value counts as given: not null, empty, zero or false."""
-    kind, plain = typed["kind"], typed["plain"]
     return (
         F.when(plain.isNull(), False)
         .when(kind == "STRING", plain != "")
@@ -63,102 +83,88 @@ def _present(typed: Column) -> Column:
     )
 
 
-# --- mapping ----------------------------------------------------------------
-
-# A record is two columns: ``plain``, a map of texts, and ``record``, the same
-# map with typed values, filled only where a text does not tell its type.
-# Every step below works on a map column made by the step before: a lambda
-# repeats an expression it uses for each entry, and is not compiled.
-
-
 def _pairs(items: dict[str, Column]) -> Column:
     return F.create_map(*[x for name, value in items.items() for x in (F.lit(name), value)])
 
 
-def _replace_column(df: DataFrame, column: str, value: Column, *drop: str) -> DataFrame:
-    return once(df, "_new", value).drop(column, *drop).withColumnRenamed("_new", column)
+def _replace(df: DataFrame, column: str, value: Column) -> DataFrame:
+    return once(df, "_new", value).drop(column).withColumnRenamed("_new", column)
 
 
-def _put(df: DataFrame, column: str, over: dict[str, Column], keep_null: bool) -> DataFrame:
-    """The entries of ``over`` put over a map column; null ones only if kept."""
-    out = once(df, "_over", F.when(F.col(column).isNotNull(), _pairs(over)))
-    if not keep_null:
-        out = _replace_column(out, "_over", F.map_filter("_over", lambda k, v: v.isNotNull()))
-    out = once(out, "_keys", F.map_keys("_over"))
-    out = once(out, "_rest", F.map_filter(column, lambda k, v: ~F.array_contains("_keys", k)))
-    return _replace_column(out, column, F.map_concat("_rest", "_over"), "_over", "_keys", "_rest")
+def _with_given(df: DataFrame) -> DataFrame:
+    """Adds ``given``, the texts of the values that count as given, and shows ``texts``."""
+    typed = F.col("kinds").isNotNull()
+    out = once(
+        df,
+        "given",
+        F.when(
+            typed, F.zip_with("texts", "kinds", lambda v, k: F.when(_present(v, k), _text(v, k)))
+        ).otherwise(F.transform("texts", lambda v: F.nullif(v, F.lit("")))),
+    )
+    return _replace(out, "texts", F.when(typed, F.zip_with("texts", "kinds", _text)).otherwise(F.col("texts")))
 
 
-def _add_absent(df: DataFrame, column: str, defaults: dict[str, Column]) -> DataFrame:
-    out = once(df, "_have", F.map_keys(column))
-    out = once(out, "_add", F.when(F.col(column).isNotNull(), _pairs(defaults)))
-    out = _replace_column(out, "_add", F.map_filter("_add", lambda k, v: ~F.array_contains("_have", k)))
-    return _replace_column(out, column, F.map_concat(column, "_add"), "_have", "_add")
+# --- mapping ----------------------------------------------------------------
 
 
-def _given(column: str, name: str) -> Column:
-    """A value that is there and not null, of either map."""
-    value = F.try_element_at(column, F.lit(name))
-    return F.when(~F.is_variant_null(value), value) if column == "record" else value
+def _default(part: str, value) -> Column:
+    """A default of the mapping: its text, its text if it counts as given, or its type."""
+    if part == "kinds":
+        return F.schema_of_variant(F.parse_json(F.lit(json.dumps(value))))
+    shown = value if value is None or isinstance(value, str) else str(value) if isinstance(value, bool) else json.dumps(value)
+    return F.lit(shown if part == "texts" or value else None).cast("string")
 
 
-def apply_mapping(df: DataFrame, mapping: FieldMapping | None) -> DataFrame:
-    """Mapped fields over defaults over the record's own names.
+def _mapped(df: DataFrame, mapping: FieldMapping | None, flat: bool) -> DataFrame:
+    """``texts``, ``given`` and ``kinds`` with mapped fields over defaults over the record's
+    own names, and ``hidden``, the own names that are not seen any more, and ``loose``, what
+    the mapping adds under names that are no first name of a field.
 
-    A default applies only where the name is absent; a source name is skipped
-    when absent or null, but an empty text is taken.
+    A default applies only where the name is absent; a source name is skipped when absent or
+    null, but an empty text is taken.  In the flat form each target is its first source name,
+    null included.
     """
     if mapping is None:
-        return df
-    out = df
-    for column in ("plain", "record"):
-        taken = {t: F.coalesce(*[_given(column, n) for n in names]) for t, names in mapping.fields.items()}
-        held = f"_from_{column}"
-        if taken:  # read from the record as it came, before defaults
-            out = once(out, held, F.struct(*[v.alias(t) for t, v in taken.items()]))
-        if mapping.defaults:
-            out = _add_absent(out, column, {n: _default(column, v) for n, v in mapping.defaults.items()})
-        if taken:
-            out = _put(out, column, {t: F.col(held)[t] for t in taken}, keep_null=False).drop(held)
-    return out
-
-
-def _default(column: str, value) -> Column:
-    if column == "record":
-        return F.parse_json(F.lit(json.dumps(value)))
-    return F.lit(value if value is None or isinstance(value, str) else json.dumps(value)).cast("string")
-
-
-def apply_flat_mapping(df: DataFrame, mapping: FieldMapping | None) -> DataFrame:
-    """Each target is its first source name, null included."""
-    if mapping is None or not mapping.fields:
-        return df
-    out, null = df, F.parse_json(F.lit("null"))
-    for column in ("plain", "record"):
-        taken = {t: F.try_element_at(column, F.lit(n)) for t, n in mapping.first_names().items()}
-        if column == "record":
-            taken = {t: F.coalesce(v, null) for t, v in taken.items()}
-        out = _put(out, column, taken, keep_null=True)
-    return out
-
-
-# Texts that mean something else as a string than as a JSON value.
-TYPE_MATTERS = ["true", "false", "0", "-0", "0.0", "-0.0", "[]", "{}"]
-
-
-def names_read(mapping: FieldMapping | None) -> list[str]:
-    names = [a for aliases in FIELD_ALIASES.values() for a in aliases] + ["status_code", "raw_message"]
-    return names + [n for listed in (mapping.fields.values() if mapping else []) for n in listed]
+        return df.withColumns({"hidden": F.array().cast("array<string>"), "loose": F.lit(None).cast("map<string,string>")})
+    names = names_read(mapping)
+    place = {n: i for i, n in enumerate(names)}
+    at = lambda part, n: F.get(part, F.lit(place[n]))
+    first, defaults = mapping.first_names(), {} if flat else mapping.defaults
+    absent = lambda n: ~F.map_contains_key("plain", F.lit(n))
+    taken = lambda n: F.lit(True) if flat else F.coalesce(*[at("texts", s) for s in mapping.fields[n]]).isNotNull()
+
+    def value(part: str, n: str) -> Column:
+        if flat:
+            return at(part, first.get(n, n))
+        out = F.when(absent(n), _default(part, defaults[n])).otherwise(at(part, n)) if n in defaults else at(part, n)
+        for source in reversed(mapping.fields.get(n, [])):
+            out = F.when(at("texts", source).isNotNull(), at(part, source)).otherwise(out)
+        return out
+
+    always_read = {aliases[0] for aliases in FIELD_ALIASES.values()} | {"status_code"}
+    loose = [n for n in dict.fromkeys([*mapping.fields, *defaults]) if n not in always_read]
+    put = {n: taken(n) if n in first else F.lit(False) for n in loose}
+    added = {n: (put[n] | absent(n)) if n in defaults else put[n] for n in loose}
+    out = once(
+        df,
+        "_m",
+        F.struct(
+            *[F.array(*[value(part, n) for n in names]).alias(part) for part in ("texts", "given")],
+            F.when(F.col("kinds").isNotNull(), F.array(*[value("kinds", n) for n in names])).alias("kinds"),
+            F.array_compact(F.array(*[F.when(put[n], F.lit(n)) for n in loose])).cast("array<string>").alias("hidden"),
+            _kept_map({n: (added[n], value("texts", n)) for n in loose}).alias("loose"),
+        ),
+    )
+    return out.select("seq", "plain", "_m.*")
 
 
-def needs_types(plain: Column, mapping: FieldMapping | None) -> Column:
-    """Whether a field that is read has a text whose JSON type matters."""
-    names = names_read(mapping)
-    status = ["status_code", *(mapping.fields.get("status_code", []) if mapping else [])]
-    return F.exists(
-        F.map_entries(plain),
-        lambda e: (e["value"].isin(TYPE_MATTERS) & e["key"].isin(names))
-        | (e["key"].isin(status) & e["value"].rlike("[.eE]")),
+def _kept_map(items: dict[str, tuple[Column, Column]]) -> Column:
+    """Map of the names whose condition holds; null values are kept."""
+    if not items:
+        return F.lit(None).cast("map<string,string>")
+    entries = F.array(*[F.struct(F.lit(n).alias("key"), v.alias("value"), c.alias("kept")) for n, (c, v) in items.items()])
+    return F.map_from_entries(
+        F.transform(F.filter(entries, lambda e: e["kept"]), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
     )
 
 
@@ -201,50 +207,50 @@ def event_time(iso: Column) -> Column:
 # --- record to event --------------------------------------------------------
 
 
-def _read_names(aliases: list[str]) -> list[Column]:
+def _read_names(aliases: list[str], given) -> list[Column]:
     """The names read for one field: up to the first with a value, else all."""
     names = [F.lit(aliases[0])]
     missing = F.lit(True)
     for before, alias in zip(aliases, aliases[1:]):
-        missing = missing & F.try_element_at("valued", F.lit(before)).isNull()
+        missing = missing & given(before).isNull()
         names.append(F.when(missing, F.lit(alias)))
     return names
 
 
-def from_record(df: DataFrame, source_type: str) -> DataFrame:
+def from_record(df: DataFrame, source_type: str, mapping: FieldMapping | None = None, flat: bool = False) -> DataFrame:
     """Read the event fields of a record; what is left becomes ``extra``.
 
     Names are used up to the first one with a value; the later ones stay in
     ``extra``.  If none has a value the last one counts as read.
     """
-    typed = once(df.select("seq", "plain", "record"), "typed", F.transform_values("record", lambda k, v: _typed(v)))
-    shown = _replace_column(
-        typed, "plain", F.coalesce(F.transform_values("typed", lambda k, v: _text(v)), F.col("plain"))
-    )
-    plain = once(
-        shown,
-        "valued",
-        F.when(
-            F.col("typed").isNotNull(),
-            F.transform_values(F.map_filter("typed", lambda k, v: _present(v)), lambda k, v: _text(v)),
-        ).otherwise(F.map_filter("plain", lambda k, v: v != "")),
-    )
+    names = names_read(mapping)
+    record = _mapped(_with_given(df.select("seq", "plain", "texts", "kinds")), mapping, flat)
+    text = lambda n: F.get("texts", F.lit(names.index(n)))
+    given = lambda n: F.get("given", F.lit(names.index(n)))
     fields = {
-        name: F.coalesce(
-            *[F.try_element_at("valued", F.lit(a)) for a in aliases], F.try_element_at("plain", F.lit(aliases[-1]))
-        )
-        for name, aliases in FIELD_ALIASES.items()
+        name: F.coalesce(*[given(a) for a in aliases], text(aliases[-1])) for name, aliases in FIELD_ALIASES.items()
     }
-    used = [name for aliases in FIELD_ALIASES.values() for name in _read_names(aliases)]
-    picked = plain.select(
-        "seq",
-        "plain",
-        F.coalesce(F.try_element_at("typed", F.lit("status_code"))["kind"], F.lit("STRING")).alias("status_kind"),
-        *[value.alias(name) for name, value in fields.items()],
-        F.array_compact(F.array(*used, F.lit("status_code"))).alias("used"),
-        F.try_element_at("plain", F.lit("status_code")).alias("status_code_raw"),
-        F.try_element_at("plain", F.lit("raw_message")).alias("raw_message"),
+    used = [name for aliases in FIELD_ALIASES.values() for name in _read_names(aliases, given)]
+    picked = once(
+        record.select(
+            "seq",
+            "plain",
+            "hidden",
+            "loose",
+            F.coalesce(F.get("kinds", F.lit(names.index("status_code"))), F.lit("STRING")).alias("status_kind"),
+            *[value.alias(name) for name, value in fields.items()],
+            F.array_compact(F.array(*used, F.lit("status_code"))).alias("read"),
+            text("status_code").alias("status_code_raw"),
+            text("raw_message").alias("raw_message"),
+        ),
+        "used",
+        F.concat("read", "hidden"),
     )
+    left = F.map_filter("plain", lambda k, v: ~F.array_contains("used", k))
+    if mapping is not None:
+        left = F.map_concat(
+            left, F.coalesce(F.map_filter("loose", lambda k, v: ~F.array_contains("read", k)), F.map_from_arrays(*[F.array().cast("array<string>")] * 2))
+        )
     raw = F.col("status_code_raw")
     status = (
         F.when(F.col("status_kind") == "BOOLEAN", F.when(raw == "True", 1).otherwise(0))
@@ -261,7 +267,7 @@ def from_record(df: DataFrame, source_type: str) -> DataFrame:
         blank_to_null(F.coalesce("raw_message", "message")).alias("raw_message"),
         *[blank_to_null(F.col(name)).alias(name) for name in FIELD_ALIASES if name != "timestamp"],
         status.alias("status_code"),
-        F.map_filter("plain", lambda k, v: ~F.array_contains("used", k)).alias("extra"),
+        left.alias("extra"),
     ).select(*NORMALIZED)
 
 

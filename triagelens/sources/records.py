@@ -1,16 +1,18 @@
 """JSON-lines and syslog lines to records, then to normalized events.
 
-A record is a map of texts, and where the type of a value matters (false and
-zero count as absent, the texts "false" and "0" do not) also one of variants.
+A record is a map of texts and, by place, the texts of the names that are read; where the
+type of a value matters (false and zero count as absent, the texts "false" and "0" do not)
+also its JSON type.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from triagelens.functions.text import blank_to_null, iso_text, once, strip
-from triagelens.operators.normalize import apply_flat_mapping, apply_mapping, from_record, needs_types
+from triagelens.operators.normalize import from_record, names_read, needs_types
 from triagelens.sources.lines import captures, group, is_blank, quarantine
 from triagelens.sources.mapping import build_mapping
 
@@ -66,6 +68,13 @@ def _last_wins(entries: Column) -> Column:
     return F.when(F.size(keys) == F.size(F.array_distinct(keys)), entries).otherwise(F.map_from_entries(last))
 
 
+def _kind(doc: Column) -> Column:
+    """JSON type of the only item of an array, or "invalid"."""
+    single = F.try_variant_get(doc, "$[0]", "variant").isNotNull() & F.try_variant_get(doc, "$[1]", "variant").isNull()
+    shape = F.regexp_extract(F.schema_of_variant(doc), r"^ARRAY<([A-Z]+)", 1)
+    return F.when(single, shape).otherwise("invalid")
+
+
 def _typed(lines: DataFrame) -> DataFrame:
     """Adds ``json`` (the line as JSON), ``doc`` (it, parsed) and ``kind`` (its JSON
     type, or "invalid").
@@ -75,40 +84,59 @@ def _typed(lines: DataFrame) -> DataFrame:
     """
     readable = once(lines, "json", _readable(F.col("value")))
     typed = once(readable, "doc", F.try_parse_json(_as_array(F.col("json"))))
-    item = F.expr("try_variant_get(doc, '$[0]', 'variant')")
-    single = item.isNotNull() & F.expr("try_variant_get(doc, '$[1]', 'variant')").isNull()
-    shape = F.regexp_extract(F.schema_of_variant("doc"), r"^ARRAY<([A-Z]+)", 1)
-    return once(typed, "kind", F.when(single, shape).otherwise("invalid"))
+    return once(typed, "kind", _kind(F.col("doc")))
+
 
+# What try_parse_json reads, and no more.
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
-def _json(lines: DataFrame, mapping=None) -> DataFrame:
-    """Non-blank lines with ``kind`` and, for an object, ``plain`` and ``record``."""
-    typed = _typed(lines.where(~is_blank(F.col("value"))))
-    is_object = F.col("kind") == "OBJECT"
-    out = once(typed, "entries", F.when(is_object, F.from_json("json", "map<string,string>")))
-    out = once(out, "plain", _last_wins(F.col("entries")))
-    typed_map = F.expr(f"try_variant_get(doc, '$[0]', '{RECORD}')")
-    return once(out, "record", F.when(needs_types(F.col("plain"), mapping), typed_map)).drop("doc", "json", "entries")
+
+def _objects(lines: DataFrame, mapping) -> DataFrame:
+    """Non-blank lines as records; ``plain`` is null unless the line is one JSON object.
+
+    A line is read as a map of all names and as a struct of the names that are read, which
+    are then found by place; its types are read only where they matter.
+    """
+    names = names_read(mapping)
+    out = once(lines.where(~is_blank(F.col("value"))), "json", _readable(F.col("value")))
+    out = once(out, "items", F.from_json(_as_array(F.col("json")), "array<map<string,string>>", STRICT))
+    fields = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    single = F.size("items") == 1
+    out = once(out, "plain", F.when(single, _last_wins(F.get("items", F.lit(0)))))
+    out = once(out, "named", F.when(F.col("plain").isNotNull(), F.from_json("json", fields, STRICT)))
+    # names may differ by case alone, so fields are taken by their place
+    at = [f"n{i}" for i in range(len(names))]
+    kept = [*lines.columns, "json", "plain"]
+    out = out.select(*kept, "named.*").toDF(*kept, *at)
+    out = once(out, "texts", F.array(*at)).select(*kept, "texts")
+    typed = F.expr(f"try_variant_get(try_parse_json(concat('[', json, ']')), '$[0]', '{RECORD}')")
+    kinds = F.transform_values(typed, lambda k, v: F.schema_of_variant(v))
+    out = once(out, "types", F.when(needs_types(F.col("texts"), mapping), kinds))
+    known = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.try_element_at("types", n))
+    return once(out, "kinds", F.when(F.col("types").isNotNull(), known)).drop("json", "types")
 
 
 def parse_jsonl(lines: DataFrame, mapping=None) -> DataFrame:
     """One object per line; each field takes the first of its mapped names that is not null."""
     plan = build_mapping(mapping)
-    good = _json(lines, plan).where(F.col("plain").isNotNull())
+    good = _objects(lines, plan).where(F.col("plain").isNotNull())
     source_type = (plan.source_type if plan else None) or "generic_jsonl"
-    return from_record(apply_mapping(good, plan), source_type)
+    return from_record(good, source_type, plan)
 
 
 def parse_jsonl_flat(lines: DataFrame, mapping=None) -> DataFrame:
     """First name only, and its null is kept; an invalid line fails the job."""
     plan = build_mapping(mapping)
     message = F.concat(F.lit("invalid JSON line: "), F.col("value"))
+    parsed = F.try_parse_json(_as_array(_readable(F.col("value"))))
     strict = once(
-        _json(lines, plan),
+        _objects(lines, plan),
         "checked",
-        F.when(F.col("kind") == "invalid", F.raise_error(message).cast("boolean")).otherwise(F.col("kind") == "OBJECT"),
+        F.when(F.col("plain").isNotNull(), True)
+        .when(_kind(parsed) == "invalid", F.raise_error(message).cast("boolean"))
+        .otherwise(False),
     )
-    return from_record(apply_flat_mapping(strict.where("checked"), plan), "generic_jsonl")
+    return from_record(strict.where("checked"), "generic_jsonl", plan, flat=True)
 
 
 def jsonl_rejects(lines: DataFrame) -> DataFrame:
@@ -136,9 +164,11 @@ def _record(**fields: Column) -> Column:
     return F.create_map(*[x for name, value in fields.items() for x in (F.lit(name), value.cast("string"))])
 
 
-def _as_record(df: DataFrame, plain: Column) -> DataFrame:
+def _as_record(df: DataFrame, plain: Column, mapping=None) -> DataFrame:
     """Syslog values are texts and positive numbers: their types never matter."""
-    return once(df, "plain", plain).withColumn("record", F.lit(None).cast(RECORD))
+    out = once(df, "plain", plain)
+    texts = F.array(*[F.try_element_at("plain", F.lit(n)) for n in names_read(mapping)])
+    return once(out, "texts", texts).withColumn("kinds", F.lit(None).cast("array<string>"))
 
 
 def syslog_time(text: Column, year: int) -> Column:
@@ -181,7 +211,7 @@ def parse_syslog(lines: DataFrame, mapping=None, year: int = 2005) -> DataFrame:
     optional = ["service", "pid", "pri", "facility"]
     kept = F.map_filter(base, lambda k, v: v.isNotNull() | ~k.isin(optional))
     source_type = (plan.source_type if plan else None) or "generic_syslog"
-    return from_record(apply_mapping(_as_record(parts, kept), plan), source_type)
+    return from_record(_as_record(parts, kept, plan), source_type, plan)
 
 
 def syslog_rejects(lines: DataFrame) -> DataFrame:
