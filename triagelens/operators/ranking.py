@@ -142,10 +142,11 @@ def top_sessions(df: DataFrame, n: int, alerts_only: bool = False) -> DataFrame:
 
 def nth(ordered: DataFrame, index: int, n_columns: list) -> DataFrame:
     """The row at ``index`` (0-based) of the order ``n_columns``; an index past
-    the end is an error.  Only the rows up to it are sorted."""
+    the end is an error.  Only the rows up to it are sorted, and they are written, so
+    looking whether there is such a row does not run the job again."""
     if index < 0:
         raise ValueError(f"Invalid index {index}.")
-    top = ordered.orderBy(*n_columns).limit(index + 1)
+    top = stage(ordered.orderBy(*n_columns).limit(index + 1), "top")
     # at most index + 1 rows
     numbered = top.withColumn("_at", F.row_number().over(W.orderBy(*n_columns)) - 1)
     picked = numbered.where(F.col("_at") == index).drop("_at")
