@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from triagelens.oracle import views as v
 from triagelens.operators import features as feat
 from triagelens.operators import sessions as sess
 from triagelens.plans import bridge
-from triagelens.session import pin_session, stage
+from triagelens.session import pin_session, scratch_path, stage
 
 
 @dataclass(frozen=True)
@@ -333,6 +334,20 @@ def _(spark, sf):
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
+@register(
+    "load_path_with_mapping_file",
+    text_sql.normalized(text_sql.jsonl_views(), ", status_code, status_code_raw, extra_keys").replace(" SELECT seq, ", " SELECT "),
+)
+def _(spark, sf):
+    """The lines as files of a folder, read by path with a mapping file: S9, S10."""
+    folder = scratch_path(spark, "jsonl-files")
+    bridge.lines_of(spark, sf, "jsonl").select("value").write.text(folder)
+    mapping = str(Path(__file__).parent / "plans" / "jsonl_mapping.json")
+    df = loader.load_normalized(spark, "generic", folder, mapping_path=mapping).events
+    kept = [c for c in NORM_OUT if c != "seq"]
+    return df.select(*kept, F.col("status_code").cast("bigint").alias("status_code"), "status_code_raw", extra_keys())
+
+
 @register("preview_events", text_sql.normalized(text_sql.normalize_ssh_views()) + " ORDER BY seq LIMIT 10")
 def _(spark, sf):
     df = loader.normalize_lines(bridge.lines_of(spark, sf, "ssh"), "ssh", year=YEAR).events
@@ -949,7 +964,6 @@ def _(spark, sf):
 # --- anomaly models ------------------------------------------------------------------
 
 from triagelens.models import detectors, jobs, vectors  # noqa: E402
-from triagelens.session import scratch_path  # noqa: E402
 from triagelens.streaming import jobs as streams  # noqa: E402
 
 
