@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triagelens.models import kernels
-from triagelens.models.vectors import Scaler, fit_scaler, hash_sample, vector
+from triagelens.models.vectors import Scaler, fit_scaler, vector
 from triagelens.operators.features import NUMERIC_FEATURES
 from triagelens.operators.ranking import percentiles
+from triagelens.operators.sessions import SESSION
 from triagelens.session import lowest_hash, stage
 
 # tasks get the kernels with the job, also where the package is not installed
@@ -115,26 +116,29 @@ def _trees(arrays: dict[str, np.ndarray]) -> list[dict]:
 
 
 def _fit_iforest(features: DataFrame, scaler: Scaler, trees: int = 200, sample_size: int = 256, seed: int = SEED):
-    """Each tree draws its sample from one pool of ``trees * sample_size`` rows."""
-    spark = features.sparkSession
-    pool = hash_sample(features, trees * sample_size, seed, scaler)
-    size = min(sample_size, len(pool))
-    shared = spark.sparkContext.broadcast(pool)
-
-    def grow(batches):
-        for ids in batches:
-            for tree in ids["id"]:
-                rng = np.random.default_rng([seed, int(tree)])
-                picked = rng.choice(len(shared.value), size=size, replace=False)
-                rows = sorted(kernels.grow_tree(shared.value[picked], rng))
-                frame = pd.DataFrame(rows, columns=["node", "feature", "threshold", "left", "right", "length"])
-                frame.insert(0, "tree", int(tree))
-                yield frame
+    """Every tree draws its own sample by a hash of (tree, session): rows below a threshold go to
+    the tree's task, which keeps the ``sample_size`` with the lowest hash and grows the tree.
+    Only nodes reach the driver, ``trees`` x 2 x ``sample_size`` at most.
+    """
+    n = features.count()
+    size = min(sample_size, n)
+    # six to seven deviations above the sample size, so no tree gets less than its sample
+    share = min(1.0, (sample_size + 8 * np.sqrt(sample_size)) / n)
+    cut = min(int(-(2**63) + share * 2**64), 2**63 - 1)
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed), t, *SESSION).alias("hash")))
+    chosen = F.filter(drawn, lambda d: d["hash"] <= F.lit(cut))
+    picked = features.select(F.explode(chosen).alias("d"), vector(scaler).alias("v")).select("d.tree", "d.hash", "v")
+
+    def grow(batch):
+        batch = batch.sort_values("hash", kind="stable").head(size)
+        tree = int(batch["tree"].iloc[0])
+        rows = sorted(kernels.grow_tree(np.stack(batch["v"].to_numpy()), np.random.default_rng([seed, tree])))
+        frame = pd.DataFrame(rows, columns=["node", "feature", "threshold", "left", "right", "length"])
+        frame.insert(0, "tree", tree)
+        return frame
 
     schema = "tree long, node long, feature long, threshold double, left long, right long, length double"
-    tasks = min(trees, spark.sparkContext.defaultParallelism)
-    nodes = spark.range(0, trees, 1, tasks).mapInPandas(grow, schema).toPandas()  # trees x 2 * sample_size rows
-    nodes = nodes.sort_values(["tree", "node"])
+    nodes = picked.groupBy("tree").applyInPandas(grow, schema).toPandas().sort_values(["tree", "node"])
     return {c: nodes[c].to_numpy() for c in nodes.columns if c != "node"}, {"sample_size": size, "trees": trees}
 
 

@@ -1,16 +1,13 @@
-"""Feature vectors, their standardization and bounded training samples."""
+"""Feature vectors and their standardization."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelens.operators.features import NUMERIC_FEATURES
-from triagelens.operators.sessions import SESSION
-from triagelens.session import lowest_hash
 
 
 @dataclass
@@ -55,15 +52,3 @@ def vector(scaler: Scaler | None = None) -> Column:
     if scaler:
         columns = [(c - F.lit(m)) / F.lit(s) for c, m, s in zip(columns, scaler.mean, scaler.scale)]
     return F.array(*columns)
-
-
-def hash_sample(features: DataFrame, n: int, seed: int, scaler: Scaler) -> np.ndarray:
-    """At most ``n`` standardized rows: those with the lowest hash of their key.
-
-    The hash does not depend on partitioning, so the sample is the same on every
-    run, and a top-n keeps what a task and the driver hold to ``n`` rows.
-    """
-    picked = lowest_hash(features.select(*SESSION, vector(scaler).alias("v")), SESSION, n, seed)
-    rows = picked.select("v").collect()
-    return np.array([r[0] for r in rows], dtype=float).reshape(-1, len(NUMERIC_FEATURES))
-

@@ -9,9 +9,10 @@ from triagelens.functions import rules
 from triagelens.functions import wording as w
 from triagelens.functions.text import fixed, iso_text, present, text
 from triagelens.operators import generic_incidents as gen
-from triagelens.operators.incidents import timeline
-from triagelens.operators.ranking import running_total
-from triagelens.session import stage
+from triagelens.operators.incidents import incident_members, timeline
+from triagelens.operators.ranking import places
+from triagelens.operators.sessions import SESSION
+from triagelens.plans.documents import KEEP_NULLS, document_lines, json_text, opened
 
 
 def _or_unknown(name: str) -> Column:
@@ -147,9 +148,9 @@ def ssh_highlights() -> Column:
     return _with_default(items, w.HIGHLIGHT_SSH_DEFAULT)
 
 
-def ssh_session_evidence(clustered: DataFrame) -> DataFrame:
-    """Evidence rows of the sessions of every incident."""
-    rows = timeline(clustered)
+def ssh_session_evidence(clustered: DataFrame, more: list[str] | tuple = ()) -> DataFrame:
+    """Evidence rows of the sessions of every incident, with ``more`` columns of the sessions."""
+    rows = timeline(clustered, more)
     return rows.select(
         "incident_id",
         "session_id",
@@ -163,6 +164,7 @@ def ssh_session_evidence(clustered: DataFrame) -> DataFrame:
         "event_count",
         "event_type",
         ssh_session_notes().alias("notes"),
+        *more,
     )
 
 
@@ -172,6 +174,16 @@ EVIDENCE_HEAD = [
 ]
 
 
+def ssh_evidence_extra() -> Column:
+    c = F.col
+    return F.struct(
+        "severity_reason", "confidence_reason", "priority_reason", "attack_pattern_reason", "auth_failed",
+        "auth_success", "auth_fail_ratio", "total_events", "avg_anomaly_score", "session_count",
+        "auth_failed_streak_max", "auth_burst_max_per_minute",
+        iso_text(c("first_seen")).alias("first_seen"), iso_text(c("last_seen")).alias("last_seen"),
+    )
+
+
 def ssh_evidence(
     incidents: DataFrame,
     clustered: DataFrame,
@@ -188,29 +200,42 @@ def ssh_evidence(
         .agg(F.array_sort(F.collect_list(F.struct("start_time", "session_id", F.struct(*fields).alias("row")))).alias("s"))
         .select("incident_id", F.transform("s", lambda x: x["row"]).alias("sessions"))
     )
-    c = F.col
-    extra = F.struct(
-        "severity_reason", "confidence_reason", "priority_reason", "attack_pattern_reason", "auth_failed",
-        "auth_success", "auth_fail_ratio", "total_events", "avg_anomaly_score", "session_count",
-        "auth_failed_streak_max", "auth_burst_max_per_minute",
-        iso_text(c("first_seen")).alias("first_seen"), iso_text(c("last_seen")).alias("last_seen"),
-    )
-    return incidents.join(sessions, "incident_id", "left").select(
-        "incident_id",
+    head = ssh_evidence_head(log_type, model_type, threshold_percentile)
+    return incidents.join(sessions, "incident_id", "left").select(*head, "sessions", ssh_evidence_extra().alias("extra"))
+
+
+def ssh_evidence_head(log_type: str, model_type: str, threshold_percentile: float) -> list[Column]:
+    return [
+        F.col("incident_id"),
         F.lit(log_type).alias("log_type"),
-        "ip",
+        F.col("ip"),
         F.col("primary_user").alias("user"),
         F.lit(model_type).alias("model_type"),
         F.lit(w.FEATURE_VERSION).alias("feature_version"),
         F.lit(float(threshold_percentile)).alias("threshold_percentile"),
-        "severity",
-        "confidence",
-        "priority",
-        "attack_pattern",
+        F.col("severity"),
+        F.col("confidence"),
+        F.col("priority"),
+        F.col("attack_pattern"),
         ssh_highlights().alias("highlights"),
-        "sessions",
-        extra.alias("extra"),
-    )
+    ]
+
+
+def ssh_evidence_documents(
+    incidents: DataFrame,
+    clustered: DataFrame,
+    log_type: str = "ssh_auth",
+    model_type: str = "iforest",
+    threshold_percentile: float = 99.0,
+) -> DataFrame:
+    """The lines of one evidence document per incident, with all its sessions; see ``plans.documents``."""
+    rows = ssh_session_evidence(clustered)
+    entry = F.to_json(F.struct(*[c for c in rows.columns if c != "incident_id"]), KEEP_NULLS)
+    # a session id may be shared by several user agents
+    place = F.struct("start_time", "session_id", *SESSION)
+    keyed = ssh_session_evidence(clustered, SESSION).select("incident_id", place.alias("place"), entry.alias("entry"))
+    head = F.struct(*ssh_evidence_head(log_type, model_type, threshold_percentile), ssh_evidence_extra().alias("extra"))
+    return document_lines(incidents.select("incident_id", opened(head).alias("opening")), {"sessions": keyed}, "incident_id")
 
 
 # --- Apache ------------------------------------------------------------------
@@ -426,17 +451,35 @@ def evidence_blocks(
 
     Places are counted over ranges of all events, so no task sorts or holds a whole incident.
     """
-    keys = gen.bundle(incidents, events, window_minutes, mode).select(
-        "incident_id", "seq", F.struct("incident_id", "seq").alias("_key"), F.struct(*EVENT_FIELDS).alias("event")
-    )
-    placed = running_total(stage(keys, "evidence"), "_key", F.lit(1), "_before")
-    placed = stage(placed, "evidence")
-    starts = placed.groupBy("incident_id").agg(F.min("_before").alias("_start"))
-    dealt = placed.join(starts, "incident_id").withColumn("block", F.floor((F.col("_before") - F.col("_start")) / size))
+    rows = gen.bundle(incidents, events, window_minutes, mode).select("incident_id", "seq", F.struct(*EVENT_FIELDS).alias("event"))
+    dealt = places(rows, "incident_id", "seq", "place").withColumn("block", F.floor(F.col("place") / size))
     listed = dealt.groupBy("incident_id", "block").agg(F.array_sort(F.collect_list(F.struct("seq", "event"))).alias("s"))
     return listed.select("incident_id", "block", F.transform("s", lambda x: x["event"]).alias("events"))
 
 
+def normalized_documents(
+    incidents: DataFrame,
+    events: DataFrame,
+    source_type: str,
+    input_format: str,
+    window_minutes: int = 15,
+    mode: str = "clock",
+) -> DataFrame:
+    """The lines of one evidence document per incident, with all its events in input order;
+    see ``plans.documents``."""
+    head = F.struct(
+        F.lit(source_type).alias("source_type"),
+        F.lit(input_format).alias("input_format"),
+        F.lit(window_minutes).alias("window_minutes"),
+        generic_incident_struct().alias("incident"),
+        F.col("event_count").alias("total_event_count"),
+    )
+    entries = gen.bundle(incidents, events, window_minutes, mode).select(
+        "incident_id", F.col("seq").alias("place"), F.to_json(F.struct(*EVENT_FIELDS), KEEP_NULLS).alias("entry")
+    )
+    return document_lines(incidents.select("incident_id", opened(head).alias("opening")), {"events": entries}, "incident_id")
+
+
 def normalized_evidence(
     incidents: DataFrame,
     events: DataFrame,
@@ -463,21 +506,37 @@ def normalized_evidence(
 # --- flat JSON shapes ----------------------------------------------------------
 
 
-def incident_json(incidents_with_lists: DataFrame) -> Column:
-    """JSON document of one SSH incident row (with text and member lists)."""
+def incident_struct(lists: list[str]) -> Column:
     c = F.col
-    fields = [
+    return F.struct(
         "incident_id", "ip", "severity", "severity_reason", "confidence", "confidence_reason", "priority",
-        "priority_score", "priority_reason", "attack_pattern", "attack_pattern_reason", "session_ids", "total_events",
-        "avg_anomaly_score", "auth_failed", "auth_success", "auth_fail_ratio",
-    ]
-    incident = F.struct(
-        *[f for f in fields if f in incidents_with_lists.columns],
+        "priority_score", "priority_reason", "attack_pattern", "attack_pattern_reason",
+        *[f for f in lists if f == "session_ids"],
+        "total_events", "avg_anomaly_score", "auth_failed", "auth_success", "auth_fail_ratio",
         iso_text(c("first_seen")).alias("first_seen"),
         iso_text(c("last_seen")).alias("last_seen"),
         "primary_user",
-        *[f for f in ["targeted_users"] if f in incidents_with_lists.columns],
+        *[f for f in lists if f == "targeted_users"],
     )
+
+
+def incident_documents(incidents_with_text: DataFrame, clustered: DataFrame) -> DataFrame:
+    """The lines of one JSON document per SSH incident, with the ids of all its sessions and all
+    its users; see ``plans.documents``."""
+    outer = opened(F.struct(F.struct("title", "description").alias("summary"), "local_explanation"))
+    opening = F.concat(outer, F.lit('"incident":'), opened(incident_struct([])))
+    members = incident_members(clustered)
+    sessions = members.select(
+        "incident_id", F.struct("start_time", "k_user", "k_agent", "session_id").alias("place"), json_text(F.col("session_id")).alias("entry")
+    )
+    users = members.where("user IS NOT NULL").select("incident_id", F.col("user").alias("place")).distinct()
+    lists = {"session_ids": sessions, "targeted_users": users.withColumn("entry", json_text(F.col("place")))}
+    return document_lines(incidents_with_text.select("incident_id", opening.alias("opening")), lists, "incident_id", "}}")
+
+
+def incident_json(incidents_with_lists: DataFrame) -> Column:
+    """JSON document of one SSH incident row (with text and member lists)."""
+    incident = incident_struct([f for f in ("session_ids", "targeted_users") if f in incidents_with_lists.columns])
     summary = F.struct("title", "description")
     return F.to_json(
         F.struct(incident.alias("incident"), summary.alias("summary"), "local_explanation"), {"ignoreNullFields": "false"}

@@ -205,8 +205,8 @@ def sort_incidents(incidents: DataFrame, by: str | None = "severity") -> DataFra
 # --- timeline ---------------------------------------------------------------
 
 
-def timeline(clustered: DataFrame) -> DataFrame:
-    """One row per session of an incident; order by incident, time, session."""
+def timeline(clustered: DataFrame, more: list[str] | tuple = ()) -> DataFrame:
+    """One row per session of an incident, with ``more`` of its columns; order by incident, time, session."""
     return incident_members(clustered).select(
         "incident_id",
         F.col("start_time").alias("timestamp"),
@@ -218,6 +218,7 @@ def timeline(clustered: DataFrame) -> DataFrame:
         "event_count",
         "anomaly_score",
         rules.timeline_event_type(F.col("auth_failed"), F.col("auth_success")).alias("event_type"),
+        *more,
     )
 
 

@@ -39,6 +39,16 @@ def running_total(df: DataFrame, column: str, value: Column, name: str, ranges:
     )
 
 
+def places(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """Adds ``name``: the place of a row, from 0, in its group by ``order``, which must be
+    unique in the group. Places are counted over ranges of all rows, so no task sorts or
+    holds a whole group. Rows of the null group are left out."""
+    keyed = stage(df.withColumn("_key", F.struct(group, order)), "places")
+    counted = stage(running_total(keyed, "_key", F.lit(1), "_before"), "places").drop("_key")
+    starts = counted.groupBy(group).agg(F.min("_before").alias("_start"))
+    return counted.join(starts, group).withColumn(name, F.col("_before") - F.col("_start")).drop("_before", "_start")
+
+
 def add_threshold(
     df: DataFrame,
     score: str = "anomaly_score",
