@@ -189,3 +189,29 @@ def test_ring_index_compares_few_and_misses_none(spark):
     want = np.sort(np.sqrt(((points[:, None] - points[exact]) ** 2).sum(-1)), axis=1)
     assert np.allclose(found.distance.to_numpy().reshape(n, 20), want, rtol=1e-9)
     assert compared.value < n * n / 2
+
+
+NORMALIZED_ROW = (
+    "seq long, event_ts timestamp, severity string, event_action string, session_hint string, src_ip string, "
+    "user string, host string, service string"
+)
+
+
+def test_stream_incidents_to_the_end_with_exact_names(spark, tmp_path):
+    """20,000 names of one hot group, more than an approximate count gets right, in two files; the last bucket is closed by the end."""
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1, 10, 0)
+    rows = [(i, start + timedelta(milliseconds=30 * i), "error" if i % 2 else "warn", None, "h", f"10.0.{i % 50}.1", f"u{i}", " ", None) for i in range(20_000)]
+    rows += [(20_000, start + timedelta(hours=3), None, "login_failed", None, None, None, "web", None)]
+    src = str(tmp_path / "in")
+    spark.createDataFrame(rows[:9_000], NORMALIZED_ROW).coalesce(1).write.parquet(src)
+    spark.createDataFrame(rows[9_000:], NORMALIZED_ROW).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(NORMALIZED_ROW).option("maxFilesPerTrigger", 1).parquet(src)
+    make = lambda events: streams.stream_generic_incidents(events, late="30 minutes")
+    done = streams.run_to_end(make, stream, "event_ts", str(tmp_path / "out"), str(tmp_path / "state"))
+    got = {r.group_key: (r.event_count, r.error_count, r.warning_count, r.distinct_users, r.distinct_hosts, r.distinct_src_ips) for r in done.collect()}
+    assert got == {"session_hint:h": (20_000, 10_000, 10_000, 20_000, 0, 50), "host:web": (1, 0, 0, 0, 1, 0)}
+    # ending it once more adds nothing
+    again = streams.run_to_end(make, stream, "event_ts", str(tmp_path / "out"), str(tmp_path / "state"))
+    assert again.count() == 2

@@ -13,6 +13,7 @@ from triagelens.oracle import views as v
 from triagelens.operators import features as feat
 from triagelens.operators import sessions as sess
 from triagelens.plans import bridge
+from triagelens.plans import documents as docs
 from triagelens.session import pin_session, scratch_path, stage
 
 
@@ -788,6 +789,85 @@ def _(spark, sf):
     return df.select("incident.incident_id", "total_event_count", F.array_join(line, ";").alias("times"))
 
 
+def written_documents(spark, lines) -> DataFrame:
+    """The documents, written to files and read back."""
+    path = scratch_path(spark, "documents")
+    docs.write_documents(lines, path, "incident_id")
+    return docs.read_documents(spark, path)
+
+
+@register(
+    "normalized_incident_documents",
+    text_sql.on_generic(
+        """SELECT incident_id, 'events' AS list, event_count AS total_event_count, gincidents.severity AS incident_severity, position, e.timestamp,
+        e.event_category, e.event_action, e.severity, e.src_ip, e.user, e.host, e.service, e.message, e.session_hint
+        FROM gincidents JOIN (SELECT *, row_number() OVER (PARTITION BY group_key, bucket ORDER BY seq) - 1 AS position
+          FROM grouped) AS e USING (group_key, bucket)"""
+    ),
+)
+def _(spark, sf):
+    """Evidence documents with all events, as files; every entry as it is read back."""
+    events = stage(bridge.normalized_events(spark, sf), "normalized")
+    incidents_ = stage(gen.generic_incidents(events), "generic")
+    back = written_documents(spark, ev.normalized_documents(incidents_, events, "generic", "jsonl"))
+    head = F.from_json(F.concat("opening", F.lit("]}")), "incident struct<incident_id string, severity string>, total_event_count bigint")
+    event = F.from_json(
+        "entry",
+        "timestamp string, event_category string, event_action string, severity string, src_ip string, user string, host string, "
+        "service string, message string, session_hint string",
+    )
+    return back.select(head.alias("h"), event.alias("e"), "list", "position").select(
+        "h.incident.incident_id", "list", "h.total_event_count", F.col("h.incident.severity").alias("incident_severity"), "position", "e.*"
+    )
+
+
+@register(
+    "ssh_evidence_documents",
+    v.with_views(*ssh_sql.incident_views())
+    + f""" SELECT incident_id, i.severity, i.priority, i.first_seen, position, s.session_id, s.start_time, s.ip, s."user",
+      s.auth_failed, s.auth_success, s.event_count, s.event_type, s.notes
+      FROM incidents i JOIN (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY start_time, session_id) - 1 AS position FROM (
+        SELECT 'ip:' || ip || '#' || cluster_index AS incident_id, session_id, {v.iso('start_time')} AS start_time, ip, "user", auth_failed, auth_success,
+          event_count, {trs.EVENT_TYPE} AS event_type, {trs.SSH_NOTES} AS notes FROM clustered)) s USING (incident_id)""",
+)
+def _(spark, sf):
+    members = stage(clustered(spark, sf), "clustered")
+    back = written_documents(spark, ev.ssh_evidence_documents(stage(inc.roll_up(members), "incidents"), members))
+    head = F.from_json(
+        F.concat("opening", F.lit("]}")), "incident_id string, severity string, priority string, extra struct<first_seen string>"
+    )
+    session = F.from_json(
+        "entry",
+        "session_id string, start_time string, ip string, user string, auth_failed bigint, auth_success bigint, event_count bigint, "
+        "event_type string, notes array<string>",
+    )
+    out = back.select(head.alias("h"), session.alias("s"), "position").select(
+        "h.incident_id", "h.severity", "h.priority", "h.extra.first_seen", "position", "s.*"
+    )
+    return out.withColumn("notes", F.array_join("notes", "\n"))
+
+
+@register(
+    "ssh_incident_documents",
+    ssh_sql.on_incidents(
+        f"""SELECT incident_id, {trs.TITLE} AS title, {trs.EXPLANATION} AS local_explanation, l.list, l.position, l.entry FROM incidents, LATERAL (
+        SELECT 'session_ids' AS list, unnest(range(len(session_ids))) AS position, unnest(session_ids) AS entry
+        UNION ALL SELECT 'targeted_users', unnest(range(len(targeted_users))), unnest(targeted_users)
+        UNION ALL SELECT 'targeted_users', NULL, NULL WHERE coalesce(len(targeted_users), 0) = 0) AS l"""
+    ),
+)
+def _(spark, sf):
+    members = stage(clustered(spark, sf), "clustered")
+    back = written_documents(spark, ev.incident_documents(stage(ev.with_ssh_text(inc.roll_up(members)), "incidents"), members))
+    head = F.from_json(
+        F.concat("opening", F.lit("]}}")), "summary struct<title string>, incident struct<incident_id string>, local_explanation string"
+    )
+    entry = F.from_json(F.concat(F.lit('{"x":'), "entry", F.lit("}")), "x string")["x"]
+    return back.select(head.alias("h"), "list", "position", entry.alias("entry")).select(
+        "h.incident.incident_id", "h.summary.title", "h.local_explanation", "list", "position", "entry"
+    )
+
+
 @register("prompt_payloads")
 def _(spark, sf):
     members = stage(clustered(spark, sf), "clustered")
@@ -1122,6 +1202,47 @@ def _(spark, sf):
     )
 
 
+@register(
+    "stream_sessions_to_end",
+    v.with_views(*v.feature_views())
+    + f""" SELECT session_id, ip, "user", {v.iso('start_time')} AS start_time, {v.iso('end_time')} AS end_time, event_count, status_4xx,
+      status_5xx, auth_failed, auth_success, error_events, notice_events, round(error_ratio, 9) AS error_ratio,
+      round(auth_fail_ratio, 9) AS auth_fail_ratio FROM feats""",
+)
+def _(spark, sf):
+    """All sessions: those still open when the input ends are closed."""
+    done = streams.run_to_end(
+        streams.stream_sessions, bridge.as_log_events(_event_stream(spark, sf)), "ts",
+        scratch_path(spark, "stream"), scratch_path(spark, "stream-state"),
+    )
+    out = ["session_id", "ip", "user", "start_time", "end_time", "event_count", "status_4xx", "status_5xx", "auth_failed",
+           "auth_success", "error_events", "notice_events", "error_ratio", "auth_fail_ratio"]
+    return nine(with_iso(done, "start_time", "end_time"), out)
+
+
+@register(
+    "stream_generic_incidents_to_end",
+    text_sql.on_generic(
+        """SELECT group_key, bucket AS bucket_start, severity, confidence, priority, attack_pattern, event_count, error_count,
+        warning_count, distinct_users, distinct_hosts, distinct_src_ips, first_seen, last_seen FROM gincidents"""
+    ),
+)
+def _(spark, sf):
+    """All incidents with exact distinct counts: buckets still open when the input ends are closed,
+    and events without a time, which no window of a stream takes, are grouped beside it."""
+    normalized = lambda table: bridge.as_normalized_events(bridge.as_log_events(table))
+    out = ["group_key", "bucket_start", "severity", "confidence", "priority", "attack_pattern", "event_count", "error_count",
+           "warning_count", "distinct_users", "distinct_hosts", "distinct_src_ips", "first_seen", "last_seen"]
+    done = streams.run_to_end(
+        streams.stream_generic_incidents, normalized(_event_stream(spark, sf)), "event_ts",
+        scratch_path(spark, "stream"), scratch_path(spark, "stream-state"),
+    )
+    timed = with_iso(done, "bucket_start").select(*out)
+    untimed = normalized(bridge.table(spark, sf, "events")).where("event_ts IS NULL")
+    groups = gen.classify_generic(gen.generic_groups(gen.with_group(untimed)))
+    return timed.unionByName(groups.withColumnRenamed("bucket", "bucket_start").select(*out))
+
+
 # --- files: line scan, sinks ---------------------------------------------------------------
 
 

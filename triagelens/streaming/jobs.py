@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelens.functions.text import count_where, empty_to_null, iso_text, ratio
+from triagelens.functions.text import blank_to_null, count_where, iso_text, ratio
 from triagelens.operators.generic_incidents import ENTITIES, check_window, classify_generic, group_key
 from triagelens.operators.sessions import KEYS, identity_columns, session_id, with_identity
 
@@ -21,27 +21,47 @@ def stream_generic_incidents(events: DataFrame, window_minutes: int = 15, late:
     """Incidents per group key and bucket, emitted when the watermark passes the
     bucket.  Later rows are dropped; the query's progress counts them.
 
-    Buckets are event-time windows, so the width must divide an hour.  Distinct
-    entities are approximate: exact ones would keep every name in the state.
+    Buckets are event-time windows, so the width must divide an hour.  Two aggregations
+    follow each other: the first has one state row per (group, bucket, kind, name), so a hot
+    group is spread over its names and distinct entities are exact; the second adds these
+    rows up when the first hands them out.
     """
     check_window(window_minutes)
     if 60 % window_minutes:
         raise ValueError("in a stream the window must divide 60 minutes")
     level, action = F.lower("severity"), F.lower("event_action")
-    counted = (
+    # every event is one row per kind; it is counted in the rows of the first kind
+    names = F.array(*[F.struct(F.lit(c).alias("kind"), blank_to_null(F.col(c)).alias("name")) for c in ENTITIES])
+    per_name = (
         events.withColumn("group_key", group_key())
         .withWatermark("event_ts", late)
-        .groupBy("group_key", F.window("event_ts", f"{window_minutes} minutes"))
+        .select(
+            "group_key", "event_ts", F.explode(names).alias("e"),
+            (level == "error").alias("is_error"),
+            level.isin("warn", "warning").alias("is_warning"),
+            (action == "login_failed").alias("is_failed"),
+        )
+        .groupBy("group_key", F.window("event_ts", f"{window_minutes} minutes"), "e.kind", "e.name")
         .agg(
-            F.count(F.lit(1)).alias("event_count"),
-            count_where(level == "error").alias("error_count"),
-            count_where(level.isin("warn", "warning")).alias("warning_count"),
-            F.coalesce(F.bool_or(action == "login_failed"), F.lit(False)).alias("any_login_failed"),
+            F.count(F.lit(1)).alias("n"),
+            count_where(F.col("is_error")).alias("errors"),
+            count_where(F.col("is_warning")).alias("warnings"),
+            F.coalesce(F.bool_or("is_failed"), F.lit(False)).alias("failed"),
             F.min("event_ts").alias("first_ts"),
             F.max("event_ts").alias("last_ts"),
-            *[F.approx_count_distinct(empty_to_null(F.col(c))).alias(n) for c, n in ENTITIES.items()],
         )
     )
+    kind = F.col("kind")
+    once_each = kind == next(iter(ENTITIES))
+    counted = per_name.groupBy("group_key", "window").agg(
+        F.sum(F.when(once_each, F.col("n")).otherwise(0)).alias("event_count"),
+        F.sum(F.when(once_each, F.col("errors")).otherwise(0)).alias("error_count"),
+        F.sum(F.when(once_each, F.col("warnings")).otherwise(0)).alias("warning_count"),
+        F.bool_or("failed").alias("any_login_failed"),
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
+        *[count_where((kind == c) & F.col("name").isNotNull()).alias(n) for c, n in ENTITIES.items()],
+    )
     return classify_generic(counted).select(
         "group_key",
         F.col("window.start").alias("bucket_start"),
@@ -96,3 +116,31 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     )
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+END = "9000-01-01 00:00:00"
+
+
+def with_end(events: DataFrame, time: str, end_path: str) -> DataFrame:
+    """The stream together with the end marker that ``run_to_end`` puts into the folder."""
+    marker = events.sparkSession.readStream.schema(f"{time} timestamp").parquet(end_path)
+    return events.unionByName(marker, allowMissingColumns=True)
+
+
+def run_to_end(make, events: DataFrame, time: str, path: str, checkpoint: str) -> DataFrame:
+    """Process what is there, then end the input: what is still open is closed and emitted.
+
+    ``make`` builds the query from the events. After the input has been worked off, one row
+    far in the future, with nothing but a time, is fed into the same query; the watermark
+    passes all groups. The marker's own group stays open for ever. Rows that arrive after
+    that are late, so a checkpoint that was ended takes no more input.
+    """
+    spark = events.sparkSession
+    end_path = f"{checkpoint}-end"
+    marker = spark.range(1).select(F.lit(END).cast("timestamp").alias(time))
+    marker.limit(0).write.mode("ignore").parquet(end_path)
+    stream = make(with_end(events, time, end_path))
+    run_to_table(stream, path, checkpoint)
+    if spark.read.schema(marker.schema).parquet(end_path).isEmpty():
+        marker.write.mode("append").parquet(end_path)
+    return run_to_table(stream, path, checkpoint)
