@@ -896,6 +896,106 @@ def _(spark, sf):
     return out
 
 
+def payload_rows(df: DataFrame, payload) -> DataFrame:
+    """The payload of each row, written as JSON and read back: column ``p``."""
+    made = df.select(payload.alias("payload"))
+    return made.select(F.from_json(ana.payload_json(F.col("payload")), made.schema["payload"].dataType).alias("p"))
+
+
+def payload_fields(rows: DataFrame, *more) -> DataFrame:
+    out = rows.select(
+        "p.incident.*", "p.timeline_summary", "p.aggregates.total_incidents",
+        F.array_join("p.evidence.highlights", "\n").alias("highlights"), *more,
+    )
+    return nine(out, out.columns)
+
+
+@register(
+    "ssh_payload_values",
+    ssh_sql.on_incidents(
+        f"""SELECT incident_id, ip, severity, attack_pattern, primary_user, total_events, round(avg_anomaly_score, 9) AS avg_anomaly_score,
+        auth_failed, auth_success, round(auth_fail_ratio, 9) AS auth_fail_ratio, auth_failed_streak_max, auth_burst_max_per_minute,
+        first_seen, last_seen, 1 AS total_incidents, {trs.SSH_HIGHLIGHTS} AS highlights,
+        'SSH incident ' || incident_id || ' with attack pattern \'\'' || attack_pattern || '\'\' and severity ' || severity || '.' AS timeline_summary
+        FROM incidents"""
+    ),
+)
+def _(spark, sf):
+    members = stage(clustered(spark, sf), "clustered")
+    return payload_fields(payload_rows(ev.ssh_evidence(inc.roll_up(members), members), ana.ssh_payload()))
+
+
+@register(
+    "ssh_text_prompts",
+    ssh_sql.on_incidents(
+        f"""SELECT incident_id, concat_ws(chr(10), 'A suspicious SSH incident needs an analyst\'\'s reading. What is known:',
+        '- Incident ID: ' || incident_id, '- Source IP: ' || coalesce(ip, 'unknown'), '- Severity: ' || severity,
+        '- Total SSH log events: ' || total_events, '- Number of SSH sessions: ' || session_count,
+        '- Failed authentication attempts: ' || auth_failed, '- Successful authentication attempts: ' || auth_success,
+        '- Authentication failure ratio: ' || printf('%.2f', auth_fail_ratio), '- Average anomaly score: ' || printf('%.3f', avg_anomaly_score),
+        '- First seen: ' || first_seen, '- Last seen: ' || last_seen, 'Actions proposed by rule:',
+        '- ' || {{actions}}, 'Title: ' || {trs.TITLE}, 'Description: ' || {trs.DESCRIPTION},
+        'Say in two or three sentences what is going on, whether it looks like brute force or password spraying, and name one or two next steps.')
+        AS prompt FROM incidents""".replace("{actions}", trs.actions("\n- "))
+    ),
+)
+def _(spark, sf):
+    return ev.with_ssh_text(incidents(spark, sf)).select("incident_id", ana.text_prompt().alias("prompt"))
+
+
+_FIRST_OF_GROUP = """JOIN (SELECT group_key, bucket, arg_min(src_ip, seq) FILTER (WHERE src_ip IS NOT NULL) AS ip,
+  arg_min("user", seq) FILTER (WHERE "user" IS NOT NULL) AS primary_user,
+  string_agg(line, ';' ORDER BY seq) FILTER (WHERE pos <= 5) AS first_5, string_agg(line, ';' ORDER BY seq) FILTER (WHERE pos <= 20) AS first_20,
+  string_agg(line, ';' ORDER BY seq) AS all_events FROM (
+    SELECT *, coalesce(timestamp, '-') || ' ' || coalesce(event_action, '-') || ' ' || coalesce(message, '-') AS line,
+      row_number() OVER (PARTITION BY group_key, bucket ORDER BY seq) AS pos FROM grouped) GROUP BY ALL) USING (group_key, bucket)"""
+
+
+def _event_line(events):
+    part = lambda e, name: F.coalesce(e[name], F.lit("-"))
+    line = lambda e: F.concat_ws(" ", part(e, "timestamp"), part(e, "event_action"), part(e, "message"))
+    return F.array_join(F.transform(events, line), ";")
+
+
+@register(
+    "generic_payload_values",
+    text_sql.on_generic(
+        f"""SELECT incident_id, ip, severity, attack_pattern, primary_user, event_count AS total_events, error_count, warning_count, distinct_users,
+        distinct_hosts, distinct_src_ips, group_key, source_type, first_seen, last_seen, summary_title, summary_description, 1 AS total_incidents,
+        {trs.GENERIC_HIGHLIGHTS} AS highlights, first_5 AS sample_events, 'jsonl' AS input_format, 15 AS window_minutes,
+        'Generic incident ' || incident_id || ' for log_type \'\'' || source_type || '\'\' with attack pattern \'\'' || attack_pattern
+          || '\'\' and severity ' || severity || '.' AS timeline_summary FROM gincidents {_FIRST_OF_GROUP}"""
+    ),
+)
+def _(spark, sf):
+    events = stage(bridge.normalized_events(spark, sf), "normalized")
+    rows = payload_rows(ev.generic_evidence(stage(gen.generic_incidents(events), "generic"), events), ana.generic_payload())
+    return payload_fields(
+        rows, _event_line("p.evidence.sample_events").alias("sample_events"), "p.aggregates.input_format", "p.aggregates.window_minutes"
+    )
+
+
+@register(
+    "structured_payload_values",
+    text_sql.on_generic(
+        f"""SELECT incident_id, severity, confidence, priority, attack_pattern, event_count, source_type AS incident_source, summary_title AS title,
+        'generic' AS source_type, 'jsonl' AS input_format, 15 AS window_minutes, event_count AS total_event_count, all_events AS events, first_20 AS events_sample,
+        'Explain this group of log events from the normalized evidence given here.' AS task, 'Rely on the given evidence alone.' AS first_rule, 3 AS rules
+        FROM gincidents {_FIRST_OF_GROUP}"""
+    ),
+)
+def _(spark, sf):
+    events = stage(bridge.normalized_events(spark, sf), "normalized")
+    whole = ev.normalized_evidence(stage(gen.generic_incidents(events), "generic"), events, "generic", "jsonl")
+    return payload_rows(whole, ana.structured_payload()).select(
+        *[f"p.incident.{c}" for c in ("incident_id", "severity", "confidence", "priority", "attack_pattern", "event_count")],
+        F.col("p.incident.source_type").alias("incident_source"), "p.incident.summary.title",
+        "p.source_type", "p.input_format", "p.window_minutes", "p.total_event_count",
+        _event_line("p.events").alias("events"), _event_line("p.events_sample").alias("events_sample"),
+        "p.instructions.task", F.col("p.instructions.rules")[0].alias("first_rule"), F.size("p.instructions.rules").alias("rules"),
+    )
+
+
 @register(
     "check_analysis_payloads",
     v.with_views(v.LOG_EVENTS)
@@ -978,6 +1078,21 @@ def _(spark, sf):
     )
 
 
+@register(
+    "apache_payload_values",
+    trs.on_web_sessions(
+        f"""SELECT 'apache:' || session_id AS incident_id, ip, severity, attack_pattern, "user" AS primary_user, error_events AS total_events,
+        round(anomaly_score, 9) AS avg_anomaly_score, status_5xx, apache_5xx_burst_max_per_minute, apache_error_burst_max_per_minute,
+        round(apache_rare_error_message_ratio, 9) AS apache_rare_error_message_ratio, round(apache_rare_path_ratio, 9) AS apache_rare_path_ratio,
+        round(apache_high_severity_ratio, 9) AS apache_high_severity_ratio, 1 AS total_incidents, {trs.APACHE_HIGHLIGHTS} AS highlights,
+        'Apache error session apache:' || session_id || ' with attack pattern \'\'' || attack_pattern || '\'\' and severity ' || severity || '.'
+          AS timeline_summary FROM aclass"""
+    ),
+)
+def _(spark, sf):
+    return payload_fields(payload_rows(ev.apache_evidence(web_sessions(spark, sf)), ana.apache_payload()))
+
+
 @register(
     "apache_session_summaries",
     trs.on_web_sessions(
@@ -1088,7 +1203,8 @@ def _(spark, sf):
 
 @register(
     "model_save_and_load",
-    "SELECT true AS session_count_kept, true AS event_count_kept, 45 AS features, true AS scores_kept FROM (SELECT count(*) FROM events)",
+    v.with_views(*v.feature_views())
+    + " SELECT count(*) AS sessions, sum(event_count)::BIGINT AS events, 45 AS features, 200 AS trees, least(count(*), 256) AS sample_size, true AS scores_kept FROM feats",
 )
 def _(spark, sf):
     features = stage(features_at(spark, sf), "features")
@@ -1099,13 +1215,14 @@ def _(spark, sf):
     info = model.metadata
     pair = detectors.score_many(features, {"_before": trained, "_after": model})
     moved = pair.agg(F.max(F.abs(F.col("_before") - F.col("_after")))).scalar()
-    return features.agg(
-        F.count(F.lit(1)).alias("sessions"), F.sum("event_count").alias("events")
-    ).select(
-        (F.col("sessions") == info["session_count"]).alias("session_count_kept"),
-        (F.col("events") == info["event_count_total"]).alias("event_count_kept"),
+    # what the file says, beside the scores before and after
+    return features.limit(1).select(
+        F.lit(info["session_count"]).cast("bigint").alias("sessions"),
+        F.lit(info["event_count_total"]).cast("bigint").alias("events"),
         F.lit(len(info["numeric_features"])).alias("features"),
-        (moved == 0.0).alias("scores_kept"),
+        F.lit(int(model.params["trees"])).alias("trees"),
+        F.lit(int(model.params["sample_size"])).cast("bigint").alias("sample_size"),
+        F.lit(moved == 0.0).alias("scores_kept"),
     )
 
 
@@ -1416,3 +1533,34 @@ def _(spark, sf):
     )
     back = spark.read.schema(schema).json(path)
     return back.select(F.size("model_summaries").cast("bigint").alias("models"), "log_type", "feature_version", "threshold_percentile")
+
+
+_FIXED_THREE = {"iforest": "anomaly_score", "ocsvm": "auth_fail_ratio * 2 - 1", "lof": "ln(event_count)"}
+
+
+@register(
+    "comparison_file_of_fixed_scores",
+    v.with_views(*v.feature_views(), ssh_sql.SCORED)
+    + " UNION ALL ".join(
+        f""" SELECT '{k}' AS model_type, 'ssh_auth' AS log_type, 95.0::DOUBLE AS threshold_percentile, round(min(x), 9) AS score_min, round(max(x), 9) AS score_max,
+        round(avg(x), 9) AS score_mean, round(quantile_cont(x, 0.95), 9) AS score_p95, round(quantile_cont(x, 0.95), 9) AS threshold_value,
+        round(count(*) FILTER (WHERE x >= (SELECT quantile_cont({e}, 0.95) FROM scored))::DOUBLE / count(*), 9) AS fraction_above_threshold
+        FROM (SELECT ({e})::DOUBLE AS x FROM scored)"""
+        for k, e in _FIXED_THREE.items()
+    ),
+)
+def _(spark, sf):
+    """A comparison of three given scores, written as JSON and read back: every value of the file."""
+    from triagelens.plans.sinks import write_comparison
+
+    rows = staged(spark, sf)
+    parts = [
+        rep.score_summary(rows.withColumn("x", F.expr(e)), "x", 95.0).withColumn("model_type", F.lit(k)) for k, e in _FIXED_THREE.items()
+    ]
+    path = scratch_path(spark, "comparison")
+    write_comparison(parts[0].unionByName(parts[1]).unionByName(parts[2]), path, "ssh_auth", sf)
+    fields = ["score_min", "score_max", "score_mean", "score_p95", "threshold_value", "fraction_above_threshold"]
+    values = ", ".join(f"{f} double" for f in fields)
+    back = spark.read.schema(f"log_type string, threshold_percentile double, model_summaries map<string,struct<{values}>>").json(path)
+    out = back.select("log_type", "threshold_percentile", F.explode("model_summaries").alias("model_type", "m"))
+    return nine(out.select("model_type", "log_type", "threshold_percentile", "m.*"), ["model_type", "log_type", "threshold_percentile", *fields])
