@@ -120,6 +120,23 @@ def test_ocsvm_follows_the_exact_kernel_solution(features):
     assert np.corrcoef(rank(exact), rank(ours))[0, 1] > 0.7
 
 
+def test_mean_of_the_lowest_share_in_one_pass(spark, features):
+    """Bins against sorting all projections."""
+    scaler = detectors.fit_scaler(features)
+    rows = stage(features.select(vector(scaler).alias("v")).repartition(5), "vectors")
+    points = np.array([r.v for r in rows.collect()])
+    rng = np.random.default_rng(9)
+    weights, phase = rng.normal(0, 0.2, (points.shape[1], 64)), rng.uniform(0, 6, 64)
+    mapped = kernels.fourier_map(points, weights, phase)
+    normal = detectors._lowest_mean(rows, weights, phase, np.zeros(64), 1.0)
+    assert np.allclose(normal, mapped.mean(axis=0))
+    low = detectors._lowest_mean(rows, weights, phase, normal, 0.25)
+    order = np.argsort(mapped @ normal)[: len(points) // 4]
+    exact = mapped[order].mean(axis=0)
+    width = 2 * np.sqrt(2 * (normal @ normal)) / detectors.BINS
+    assert abs(float((low - exact) @ normal)) <= width
+
+
 def test_unknown_model_and_empty_training(spark, features):
     with pytest.raises(ValueError):
         detectors.fit(features, "forest")

@@ -150,21 +150,17 @@ def _fit_ocsvm(
 ):
     """Radial kernel by random Fourier features, then the one-class dual by
     conditional gradient: the best point of the feasible set in each round is the
-    mean of the ``nu`` share of rows with the lowest projection, so a round is
-    one percentile and one aggregate over all rows."""
-    spark = features.sparkSession
+    mean of the ``nu`` share of rows with the lowest projection, which one pass over
+    the rows finds, so there are ``rounds`` + 1 passes at most."""
     rows = stage(features.select(vector(scaler).alias("v")), "vectors")
     varying = features.agg(*[(F.min(f) < F.max(f)).cast("int").alias(f"f{i}") for i, f in enumerate(NUMERIC_FEATURES)])
     gamma = 1.0 / max(sum(x or 0 for x in varying.first()), 1)  # 1 / (features x variance of the scaled values)
     rng = np.random.default_rng(seed)
     weights = rng.normal(0.0, np.sqrt(2 * gamma), (len(NUMERIC_FEATURES), dimensions))
     phase = rng.uniform(0, 2 * np.pi, dimensions)
-    n = rows.count()
-    normal = _mean_map(rows, weights, phase, None, None)[1] / n
+    normal = _lowest_mean(rows, weights, phase, np.zeros(dimensions), 1.0)
     for _ in range(rounds):
-        cut = _cut(rows, weights, phase, normal, nu)
-        count, total = _mean_map(rows, weights, phase, normal, cut)
-        step = total / max(count, 1) - normal
+        step = _lowest_mean(rows, weights, phase, normal, nu) - normal
         gap, length = -float(normal @ step), float(step @ step)
         if gap <= 1e-4 * float(normal @ normal) or length == 0:
             break
@@ -172,47 +168,37 @@ def _fit_ocsvm(
     return {"weights": weights, "phase": phase, "normal": normal}, {"gamma": gamma, "nu": nu}
 
 
-def _projected(shared):
-    @F.pandas_udf("double")
-    def run(vectors: pd.Series) -> pd.Series:
-        weights, phase, normal = shared.value
-        if not len(vectors):
-            return pd.Series([], dtype=float)
-        return pd.Series(kernels.fourier_map(np.stack(vectors.to_numpy()), weights, phase) @ normal)
-
-    return run
-
-
-def _cut(rows: DataFrame, weights, phase, normal, nu: float) -> float:
-    shared = rows.sparkSession.sparkContext.broadcast((weights, phase, normal))
-    value = rows.select(_projected(shared)("v").alias("p"))
-    return float(value.agg(F.percentile_approx("p", F.lit(nu), F.lit(10_000))).first()[0])
+BINS = 1024  # of projections
 
 
-def _mean_map(rows: DataFrame, weights, phase, normal, cut):
-    """Count and sum of the mapped rows at or below the cut (all without one).
+def _lowest_mean(rows: DataFrame, weights, phase, normal, share: float) -> np.ndarray:
+    """Mean of the mapped rows over the ``share`` of rows with the lowest projection on ``normal``.
 
-    Each task adds up its rows; the sums per dimension are added by a shuffle.
+    A mapped row is no longer than the root of two, which bounds the projections; the bound
+    is cut into bins, and every task sends the count and the sum of its rows in each bin.
+    The bin in which the share ends counts in part, with its mean.
     """
-    shared = rows.sparkSession.sparkContext.broadcast((weights, phase, normal, cut))
+    reach = float(np.sqrt(2 * (normal @ normal))) or 1.0
+    shared = rows.sparkSession.sparkContext.broadcast((weights, phase, normal))
 
     def partial(batches):
-        weights, phase, normal, cut = shared.value
-        count, total = 0, np.zeros(len(phase))
+        weights, phase, normal = shared.value
+        counts, sums = np.zeros(BINS), np.zeros((BINS, len(phase)))
         for batch in batches:
             if not len(batch):
                 continue
             mapped = kernels.fourier_map(np.stack(batch["v"].to_numpy()), weights, phase)
-            if cut is not None:
-                mapped = mapped[mapped @ normal <= cut]
-            count += len(mapped)
-            total += mapped.sum(axis=0)
-        yield pd.DataFrame({"i": np.arange(len(phase) + 1), "x": [*total, float(count)]})
-
-    sums = rows.mapInPandas(partial, "i long, x double").groupBy("i").agg(F.sum("x").alias("x"))
-    values = {r["i"]: r["x"] for r in sums.collect()}  # one number per dimension
-    total = np.array([values[i] for i in range(len(phase))])
-    return int(values[len(phase)]), total
+            kernels.add_to_bins(mapped, mapped @ normal, reach, counts, sums)
+        held = np.flatnonzero(counts)
+        yield pd.DataFrame({"bin": held, "n": counts[held], "x": list(sums[held])})
+
+    def add(parts):
+        return pd.DataFrame({"bin": parts["bin"].iloc[:1], "n": [parts["n"].sum()], "x": [np.sum(np.stack(parts["x"].to_numpy()), axis=0)]})
+
+    schema = "bin long, n double, x array<double>"
+    # one row per bin
+    bins = rows.mapInPandas(partial, schema).groupBy("bin").applyInPandas(add, schema).toPandas().sort_values("bin")
+    return kernels.mean_of_lowest(bins["n"].to_numpy(), np.stack(bins["x"].to_numpy()), share)
 
 
 # --- local outlier factor ---------------------------------------------------------

@@ -170,3 +170,20 @@ def rings_within(away: np.ndarray, own_cell: int, reach: np.ndarray, edges: np.n
         bound = least[near, cell].min()
         out += [(int(cell), int(ring), float(bound)) for ring in np.flatnonzero(np.cumsum(marks) > 0)]
     return out
+
+
+def add_to_bins(mapped: np.ndarray, projected: np.ndarray, reach: float, counts: np.ndarray, sums: np.ndarray) -> None:
+    """Adds every row to the count and the sum of its bin; bins cut the span from -reach to reach."""
+    bins = np.clip(((projected + reach) / (2 * reach) * len(counts)).astype(int), 0, len(counts) - 1)
+    order = np.argsort(bins, kind="stable")
+    held, starts = np.unique(bins[order], return_index=True)
+    counts += np.bincount(bins, minlength=len(counts))
+    sums[held] += np.add.reduceat(mapped[order], starts, axis=0)
+
+
+def mean_of_lowest(counts: np.ndarray, sums: np.ndarray, share: float) -> np.ndarray:
+    """Mean over the lowest ``share`` of rows, from counts and sums of ascending bins."""
+    wanted = share * counts.sum()
+    before = np.cumsum(counts) - counts
+    taken = np.clip(wanted - before, 0, counts)
+    return (taken / counts) @ sums / wanted
