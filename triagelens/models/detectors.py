@@ -8,6 +8,7 @@ fixed bound (a sample of fixed size, trees, weights, pivots).
 
 from __future__ import annotations
 
+import functools
 import json
 from dataclasses import dataclass, field
 
@@ -205,6 +206,7 @@ def _lowest_mean(rows: DataFrame, weights, phase, normal, share: float) -> np.nd
 
 
 BLOCK = 1024  # points that are compared with as many others at a time
+GROUP = 256  # blocks whose points meet the reference together, at most
 PIVOTS = 512
 RINGS = 64  # of a cell at most
 
@@ -292,15 +294,37 @@ def _placed(points: DataFrame, shared) -> DataFrame:
 
 
 def _blocks(points: DataFrame, shared) -> DataFrame:
-    """``block, cell, ring, low, high, points``: the points of a ring, ``BLOCK`` of them at
-    most, about, with their least and largest distance from the pivot."""
+    """``block, cell, ring, part, low, high, n, points``: the points of a ring, ``BLOCK`` of them at
+    most, about, packed, with their least and largest distance from the pivot."""
     placed = stage(_placed(points, shared), "cells")
     parts = placed.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts"))  # PIVOTS * RINGS rows at most
     dealt = placed.join(F.broadcast(parts), ["cell", "ring"]).withColumn("part", F.pmod(F.xxhash64("point"), F.col("_parts")))
-    blocks = dealt.groupBy("cell", "ring", "part").agg(
-        F.min("away").alias("low"), F.max("away").alias("high"), F.collect_list(F.struct("point", "copies", "v")).alias("points")
-    )
-    return stage(blocks.withColumn("block", F.concat_ws("/", "cell", "ring", "part")).drop("part"), "blocks")
+
+    def pack(batch):
+        first = batch.iloc[0]
+        cell, ring, part = int(first["cell"]), int(first["ring"]), int(first["part"])
+        packed = kernels.pack(batch["point"].to_numpy(), batch["copies"].to_numpy(), np.stack(batch["v"].to_numpy()))
+        row = (f"{cell}/{ring}/{part}", cell, ring, part, batch["away"].min(), batch["away"].max(), len(batch), packed)
+        return pd.DataFrame([row], columns=["block", "cell", "ring", "part", "low", "high", "n", "points"])
+
+    schema = "block string, cell int, ring int, part long, low double, high double, n long, points binary"
+    blocks = dealt.select("cell", "ring", "part", "point", "copies", "v", "away").groupBy("cell", "ring", "part")
+    return stage(blocks.applyInPandas(pack, schema), "blocks")
+
+
+def _grouped(blocks: DataFrame, index: dict[str, np.ndarray]) -> DataFrame:
+    """Adds ``own``, the group of a block: blocks of neighbouring cells, ``GROUP`` of them at most,
+    and no more than leave two groups for every core."""
+    spark = blocks.sparkSession
+    rings = blocks.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("n"), F.max("part").alias("last")).toPandas()  # PIVOTS * RINGS rows at most
+    rings["place"] = kernels.chain(index["pivots"])[rings["cell"].to_numpy(int)]
+    rings = rings.sort_values(["place", "ring"])
+    numbers = rings["last"] + 1
+    size = int(np.clip(-(-int(rings["n"].sum()) // (2 * spark.sparkContext.defaultParallelism)), 1, GROUP))
+    starts = [(int(c), int(r), int(s)) for c, r, s in zip(rings["cell"], rings["ring"], numbers.cumsum() - numbers)]
+    first = spark.createDataFrame(starts, "cell int, ring int, _first long")
+    grouped = blocks.join(F.broadcast(first), ["cell", "ring"])
+    return grouped.withColumn("own", F.floor((F.col("_first") + F.col("part")) / size)).drop("_first")
 
 
 def _neighbours(points: DataFrame, reference: DataFrame, index: dict[str, np.ndarray], k: int, own: bool = False, compared=None) -> DataFrame:
@@ -310,61 +334,76 @@ def _neighbours(points: DataFrame, reference: DataFrame, index: dict[str, np.nda
     Points and reference lie in rings around pivots, rings are cut into blocks. A block of
     points first meets the reference of its own ring, which bounds how far its neighbours
     are; then it meets, by equality of ring numbers, the rings that the bounds reach, the
-    nearest first. A task holds two blocks. ``compared`` is an accumulator of the pairs of
+    nearest first. Blocks of neighbouring cells meet the reference together, as one group, so
+    a block of the reference is sent once to a group and not to every block that needs it. A
+    task holds a group and one block. ``compared`` is an accumulator of the pairs of
     points that were compared.
     """
     spark = points.sparkSession
     shared = spark.sparkContext.broadcast({c: index[c] for c in ("pivots", "edges", "radius", "count")})
     theirs = _blocks(reference.select("point", "v", "copies"), shared)
-    ours = theirs if own else _blocks(points.select("point", "v", F.lit(1).cast("long").alias("copies")), shared)
+    ours = _grouped(theirs if own else _blocks(points.select("point", "v", F.lit(1).cast("long").alias("copies")), shared), index)
+    columns = ["own", "near", "block", "cell", "ring", "low", "high", "n", "points", "reach"]
 
-    def meeting(pairs: DataFrame) -> DataFrame:
-        rows = pairs.select("own", "near", "block").join(theirs.select("block", "cell", "low", "high", "points"), "block")
-        head = ours.select(F.col("block").alias("own"), F.lit(-1.0).alias("near"), "cell", "low", "high", "points")
-        rows = rows.select("own", "near", "cell", "low", "high", "points").unionByName(head)
+    def meeting(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+        met = pairs.select("own", "near", "cell", "ring").join(theirs, ["cell", "ring"])
+        rows = met.withColumn("reach", F.lit(None).cast("binary")).select(columns).unionByName(heads.withColumn("near", F.lit(-1.0)).select(columns))
         return rows.repartition(F.col("own")).sortWithinPartitions("own", "near", "cell", "low", "high")
 
-    def walk(finish):
-        """Goes through blocks and what they meet; ``finish`` makes a batch of each block."""
+    def walk(finish, first: bool):
+        """Goes through groups and what they meet; ``finish`` makes a batch of a block."""
+
+        def compare(mine, cell, ring, low, high, others):
+            block, (ids, vectors, at, own_ring), best, away, bound = mine
+            if first and (at, own_ring) != (cell, ring):
+                return
+            limit = np.minimum(kernels.reach_of(best, k), bound) * (1 + 1e-9) + 1e-9
+            least = np.maximum(np.maximum(away[:, cell] - high, low - away[:, cell]), (away[:, cell] - away[:, at]) / 2)
+            near = np.flatnonzero(least <= limit)
+            if not len(near):
+                return
+            their_ids, copies, their_vectors = others()
+            for rows in np.array_split(near, max(1, len(ids) // 256)):
+                if len(rows):
+                    found = kernels.padded(kernels.closest(vectors[rows], ids[rows], their_vectors, their_ids, copies, k, own), k)
+                    for held, new in zip(best, kernels.merged(tuple(x[rows] for x in best), found, k)):
+                        held[rows] = new
+                    if compared is not None:
+                        compared.add(len(rows) * len(their_ids))
 
         def run(batches):
-            owner = mine = best = away = None
+            owner, group = None, []
             for batch in batches:
                 for i in range(batch.num_rows):
-                    block, near, cell, low, high = (batch.column(c)[i].as_py() for c in ("own", "near", "cell", "low", "high"))
-                    values = batch.column("points")[i].values
-                    ids, copies = (values.field(c).to_numpy() for c in ("point", "copies"))
-                    vectors = values.field("v").flatten().to_numpy().reshape(len(ids), -1)
-                    if block != owner:
-                        if owner is not None:
-                            yield finish(owner, mine, best, away)
-                        owner, mine = block, (ids, vectors, cell)
+                    row = {c: batch.column(c)[i].as_py() for c in columns}
+                    unpacked = functools.cache(lambda: kernels.unpack(row["points"], row["n"]))
+                    if row["own"] != owner:
+                        for mine in group:
+                            yield finish(owner, *mine[:4])
+                        owner, group = row["own"], []
+                    if row["near"] < 0:
+                        ids, _, vectors = unpacked()
                         away = kernels.pivot_distances(vectors, shared.value["pivots"])
                         best = np.full((len(ids), k), np.inf), np.full((len(ids), k), -1), np.zeros((len(ids), k), int)
+                        bound = np.frombuffer(row["reach"]) if row["reach"] else np.full(len(ids), np.inf)
+                        group.append((row["block"], (ids, vectors, row["cell"], row["ring"]), best, away, bound))
                         continue
-                    limit = kernels.reach_of(best, k) * (1 + 1e-9) + 1e-9
-                    least = np.maximum(np.maximum(away[:, cell] - high, low - away[:, cell]), (away[:, cell] - away[:, mine[2]]) / 2)
-                    for rows in np.array_split(np.flatnonzero(least <= limit), max(1, len(ids) // 256)):
-                        if len(rows):
-                            found = kernels.padded(kernels.closest(mine[1][rows], mine[0][rows], vectors, ids, copies, k, own), k)
-                            for held, new in zip(best, kernels.merged(tuple(x[rows] for x in best), found, k)):
-                                held[rows] = new
-                            if compared is not None:
-                                compared.add(len(rows) * len(ids))
-            if owner is not None:
-                yield finish(owner, mine, best, away)
+                    for mine in group:
+                        compare(mine, row["cell"], row["ring"], row["low"], row["high"], unpacked)
+            for mine in group:
+                yield finish(owner, *mine[:4])
 
         return run
 
-    def rings(owner, mine, best, away):
+    def rings(owner, block, mine, best, away):
         at = shared.value
         reach = np.minimum(kernels.reach_of(best, k), kernels.cell_reach(away, at["radius"], at["count"], k))
         found = kernels.rings_within(away, mine[2], reach, at["edges"], at["radius"], at["count"])
-        cells, numbers, near = zip(*found) if found else ((), (), ())
-        columns = [pa.array([owner] * len(cells), pa.string()), pa.array(cells, pa.int32()), pa.array(numbers, pa.int32()), pa.array(near, pa.float64())]
-        return pa.RecordBatch.from_arrays(columns, names=["own", "cell", "ring", "near"])
+        row = {"own": owner, "block": block, "reach": reach.tobytes(), "rings": [dict(zip(("cell", "ring", "near"), r)) for r in found]}
+        ring = pa.struct([("cell", pa.int32()), ("ring", pa.int32()), ("near", pa.float64())])
+        return pa.RecordBatch.from_pylist([row], pa.schema([("own", pa.int64()), ("block", pa.string()), ("reach", pa.binary()), ("rings", pa.list_(ring))]))
 
-    def found(owner, mine, best, away):
+    def found(owner, block, mine, best, away):
         distance, ids, copies = best
         before = np.cumsum(copies, axis=1) - copies
         times = np.where(np.isfinite(distance), np.clip(k - before, 0, copies), 0)
@@ -377,11 +416,14 @@ def _neighbours(points: DataFrame, reference: DataFrame, index: dict[str, np.nda
     before = spark.conf.get(key)
     spark.conf.set(key, 8)
     try:
-        here = ours.select(F.col("block").alias("own"), "cell", "ring").join(theirs.select("block", "cell", "ring"), ["cell", "ring"])
-        first = meeting(here.withColumn("near", F.lit(0.0)))
-        needed = stage(first.mapInArrow(walk(rings), "own string, cell int, ring int, near double"), "needed")
-        pairs = needed.join(theirs.select("block", "cell", "ring"), ["cell", "ring"])
-        return stage(meeting(pairs).mapInArrow(walk(found), "point long, neighbour long, distance double, times long"), "neighbours")
+        here = ours.select("own", "cell", "ring").distinct().withColumn("near", F.lit(0.0))
+        heads = ours.withColumn("reach", F.lit(None).cast("binary"))
+        needed = stage(
+            meeting(here, heads).mapInArrow(walk(rings, True), "own long, block string, reach binary, rings array<struct<cell:int,ring:int,near:double>>"), "needed"
+        )
+        pairs = needed.select("own", F.inline("rings")).groupBy("own", "cell", "ring").agg(F.min("near").alias("near"))
+        heads = ours.join(needed.select("block", "reach"), "block")
+        return stage(meeting(pairs, heads).mapInArrow(walk(found, False), "point long, neighbour long, distance double, times long"), "neighbours")
     finally:
         spark.conf.set(key, before)
 

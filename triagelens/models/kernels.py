@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 
 EULER = 0.5772156649015329
@@ -127,6 +129,30 @@ def reach_of(best, k: int) -> np.ndarray:
     return np.where(enough.any(axis=1), distance[np.arange(len(distance)), at], np.inf)
 
 
+def pack(ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray) -> bytes:
+    """Ids, copies and vectors of a block as one text of bytes, the vectors dimension by dimension."""
+    parts = np.asarray(ids, np.int64), np.asarray(copies, np.int64), np.ascontiguousarray(vectors.T, dtype=float)
+    return zlib.compress(b"".join(x.tobytes() for x in parts), 1)
+
+
+def unpack(packed: bytes, n: int):
+    """What ``pack`` was given, for a block of ``n`` points."""
+    data = zlib.decompress(packed)
+    ids, copies = np.frombuffer(data, np.int64, 2 * n).reshape(2, n)
+    return ids, copies, np.ascontiguousarray(np.frombuffer(data, float, offset=16 * n).reshape(-1, n).T)
+
+
+def chain(pivots: np.ndarray) -> np.ndarray:
+    """Place of each pivot on a way that goes on to the nearest one not yet visited."""
+    place, at = np.full(len(pivots), -1), 0
+    for step in range(len(pivots)):
+        place[at] = step
+        left = np.flatnonzero(place < 0)
+        if len(left):
+            at = int(left[((pivots[left] - pivots[at]) ** 2).sum(axis=1).argmin()])
+    return place
+
+
 def pivot_distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     parts = [np.sqrt(((points[s : s + 64, None] - pivots[None]) ** 2).sum(axis=2)) for s in range(0, len(points), 64)]
     return np.concatenate(parts) if parts else np.zeros((0, len(pivots)))
