@@ -121,6 +121,9 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column that is computed once per row.
 
     A filter on a plain computed column is pushed below it and repeats its
-    expression for every use; it is not pushed through a generator.
+    expression for every use; it is not pushed through a generator.  The value is
+    made before the generator, which would interpret an expression with a lambda
+    in it as a whole.
     """
-    return df.select("*", F.explode(F.array(value)).alias(name))
+    made = df.withColumn("_once", value)
+    return made.select("*", F.explode(F.array("_once")).alias(name)).drop("_once")

@@ -24,6 +24,13 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_log_events(table(spark, sf_dir, "events"))
 
 
+def dealt_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log events dealt by their number, for work that costs far more than sending a row: a
+    file's row group is read by one task, however many cores there are."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return as_log_events(table(spark, sf_dir, "events").repartition(n, "event_id"))
+
+
 def as_log_events(table_or_stream: DataFrame) -> DataFrame:
     events = once(table_or_stream, "k", F.regexp_extract("props", "([0-9]+)", 1).cast("bigint"))
     return events.selectExpr(
@@ -67,7 +74,7 @@ def apache_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines_of(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """One text line per event in the format ``kind``; every 50th is malformed."""
-    e = log_events(spark, sf_dir).withColumn("line_no", F.col("seq") + 1)
+    e = dealt_events(spark, sf_dir).withColumn("line_no", F.col("seq") + 1)
     clock = "date_format(ts, 'HH:mm:ss')"
     forms = {
         "ssh": f"""concat(date_format(ts, 'MMM d '), {clock}, ' LabSZ sshd[', user_id, ']: ',
@@ -117,7 +124,7 @@ def lines_of(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 def normalized_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalized events that reach every kind of grouping key."""
-    return as_normalized_events(log_events(spark, sf_dir))
+    return as_normalized_events(dealt_events(spark, sf_dir))
 
 
 def as_normalized_events(events: DataFrame) -> DataFrame:
