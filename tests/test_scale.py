@@ -1,9 +1,17 @@
 """What keeps the time of large inputs down, and that it changes no result."""
 
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from helpers import event, events
+from triagelens.catalog import ENTRIES
 from triagelens.functions.text import once
+from triagelens.models import detectors, jobs, kernels
+from triagelens.operators import features as feat
 from triagelens.plans import bridge
+from triagelens.session import stage
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,4 +31,42 @@ def test_rows_of_one_row_group_are_dealt(spark):
     assert bridge.table(spark, SF, "events").rdd.getNumPartitions() == 1
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert bridge.lines_of(spark, SF, "jsonl").rdd.getNumPartitions() == n
-    assert bridge.normalized_events(spark, SF).rdd.getNumPartitions() == n
+
+
+def test_payloads_make_no_lists_of_sessions(spark):
+    for name in ("ssh_payload_values", "ssh_incident_analysis"):
+        assert "collect_list" not in plan(ENTRIES[name].run(spark, SF))
+
+
+def _sessions(spark):
+    rng = random.Random(1)
+    rows = [event(i, i * 700, f"10.0.0.{i % 7}", f"u{i % 11}", rng.choice([200, 401, 404])) for i in range(400)]
+    return stage(feat.session_features(events(spark, rows)), "features")
+
+
+def test_training_rows_are_scored_once(spark):
+    features = _sessions(spark)
+    for kind in ("iforest", "ocsvm"):
+        model = detectors.fit(features, kind)
+        key = lambda r: (r.k_ip, r.k_user, r.session_no, r.anomaly_score)
+        kept = jobs.training_scores(features, model)
+        assert "ArrowEvalPython" not in plan(kept)
+        assert sorted(map(key, kept.collect())) == sorted(map(key, jobs.score_sessions(features, model).collect()))
+
+
+def test_mean_path_of_more_points_than_a_part():
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(5000, 3))
+    points[7, 1] = np.nan
+    rows = sorted(kernels.grow_tree(points[100:164], rng))
+    names = ["node", "feature", "threshold", "left", "right", "length"]
+    columns = {n: np.array([r[i] for r in rows]) for i, n in enumerate(names)}
+    tree = detectors._trees({**columns, "tree": np.zeros(len(rows), int)})[0]
+
+    def walk(point):
+        at = 0
+        while columns["feature"][at] >= 0:
+            at = columns["left" if point[columns["feature"][at]] <= columns["threshold"][at] else "right"][at]
+        return columns["length"][at]
+
+    assert np.array_equal(kernels.mean_path(points, [tree, tree], 64), np.array([walk(p) for p in points]))

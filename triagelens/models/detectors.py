@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triagelens.models import kernels
-from triagelens.models.vectors import Scaler, fit_scaler, vector
+from triagelens.models.vectors import Scaler, feature_stats, fit_scaler, vector
 from triagelens.operators.features import NUMERIC_FEATURES
 from triagelens.operators.ranking import percentiles
 from triagelens.operators.sessions import SESSION
@@ -47,6 +47,7 @@ class Model:
     params: dict = field(default_factory=dict)
     metadata: dict = field(default_factory=dict)
     table: DataFrame | None = None  # of the local outlier factor: the rows it was trained on
+    trained: DataFrame | None = None  # the training rows' keys and scores before the offset, where fitting finds them
 
 
 def fit(features: DataFrame, kind: str, **options) -> Model:
@@ -58,8 +59,9 @@ def fit(features: DataFrame, kind: str, **options) -> Model:
     if "train_offset" in params:
         model.params["offset"] = params["train_offset"]
     else:
-        raw = stage(score(features, model, "raw").select("raw"), "train-scores")
-        model.params["offset"] = percentiles(raw, "raw", [1 - CONTAMINATION])[0]
+        keys = [c for c in (*SESSION, "session_id") if c in features.columns]
+        model.trained = stage(score(features, model, "raw").select(*keys, "raw"), "train-scores")
+        model.params["offset"] = percentiles(model.trained, "raw", [1 - CONTAMINATION])[0]
     return model
 
 
@@ -154,8 +156,8 @@ def _fit_ocsvm(
     mean of the ``nu`` share of rows with the lowest projection, which one pass over
     the rows finds, so there are ``rounds`` + 1 passes at most."""
     rows = stage(features.select(vector(scaler).alias("v")), "vectors")
-    varying = features.agg(*[(F.min(f) < F.max(f)).cast("int").alias(f"f{i}") for i, f in enumerate(NUMERIC_FEATURES)])
-    gamma = 1.0 / max(sum(x or 0 for x in varying.first()), 1)  # 1 / (features x variance of the scaled values)
+    varying = feature_stats(features).where("low < high").count()
+    gamma = 1.0 / max(varying, 1)  # 1 / (features x variance of the scaled values)
     rng = np.random.default_rng(seed)
     weights = rng.normal(0.0, np.sqrt(2 * gamma), (len(NUMERIC_FEATURES), dimensions))
     phase = rng.uniform(0, 2 * np.pi, dimensions)
@@ -186,19 +188,22 @@ def _lowest_mean(rows: DataFrame, weights, phase, normal, share: float) -> np.nd
         weights, phase, normal = shared.value
         counts, sums = np.zeros(BINS), np.zeros((BINS, len(phase)))
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            mapped = kernels.fourier_map(np.stack(batch["v"].to_numpy()), weights, phase)
+            # all rows have as many values
+            mapped = kernels.fourier_map(batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1), weights, phase)
             kernels.add_to_bins(mapped, mapped @ normal, reach, counts, sums)
         held = np.flatnonzero(counts)
-        yield pd.DataFrame({"bin": held, "n": counts[held], "x": list(sums[held])})
+        yield pa.RecordBatch.from_pydict(
+            {"bin": held, "n": counts[held], "x": pa.array(list(sums[held]), pa.list_(pa.float64()))}
+        )
 
     def add(parts):
         return pd.DataFrame({"bin": parts["bin"].iloc[:1], "n": [parts["n"].sum()], "x": [np.sum(np.stack(parts["x"].to_numpy()), axis=0)]})
 
     schema = "bin long, n double, x array<double>"
     # one row per bin
-    bins = rows.mapInPandas(partial, schema).groupBy("bin").applyInPandas(add, schema).toPandas().sort_values("bin")
+    bins = rows.mapInArrow(partial, schema).groupBy("bin").applyInPandas(add, schema).toPandas().sort_values("bin")
     return kernels.mean_of_lowest(bins["n"].to_numpy(), np.stack(bins["x"].to_numpy()), share)
 
 

@@ -40,6 +40,13 @@ def score_sessions(features: DataFrame, model: Model) -> DataFrame:
     return detectors.score(features, model, "anomaly_score")
 
 
+def training_scores(features: DataFrame, model: Model) -> DataFrame:
+    """The training rows' keys and ``anomaly_score``, which fitting has found but for the offset."""
+    if model.trained is None:
+        return stage(score_sessions(features, model), "scores")
+    return model.trained.withColumn("anomaly_score", F.col("raw") - F.lit(model.params["offset"])).drop("raw")
+
+
 def combine_scores(scored: DataFrame, kinds: list[str], ensemble: bool = True) -> DataFrame:
     """From the ``<kind>_score`` columns: each scaled to 0..1, their mean, and
     ``anomaly_score`` (the isolation forest's if there is one)."""

@@ -17,31 +17,31 @@ class Scaler:
 
 
 def feature_stats(features: DataFrame) -> DataFrame:
-    """Mean and population deviation of every feature: (feature, mean, deviation)."""
+    """Mean, population deviation, least and largest value of every feature: (feature, mean,
+    deviation, low, high).
+
+    A row per cell: hundreds of sums in one aggregate make code too long to be compiled.
+    """
     cells = F.explode(
         F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in NUMERIC_FEATURES])
     )
     return (
         features.select(cells.alias("c"))
         .groupBy(F.col("c.feature").alias("feature"))
-        .agg(F.avg("c.x").alias("mean"), F.stddev_pop("c.x").alias("deviation"))
+        .agg(F.avg("c.x").alias("mean"), F.stddev_pop("c.x").alias("deviation"), F.min("c.x").alias("low"), F.max("c.x").alias("high"))
     )
 
 
 def fit_scaler(features: DataFrame) -> Scaler:
     """Two numbers per feature; a constant feature keeps scale 1."""
-    row = features.agg(
-        *[F.avg(f).alias(f"m{i}") for i, f in enumerate(NUMERIC_FEATURES)],
-        *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(NUMERIC_FEATURES)],
-    ).first()
-    n = len(NUMERIC_FEATURES)
-    if row["m0"] is None:
+    found = {row["feature"]: row for row in feature_stats(features).collect()}  # a row per feature
+    if not found:
         raise ValueError("No training data was produced from the provided logs.")
     # to 9 digits, and no mean or deviation that is only rounding: the last digits
     # of a sum depend on the order of addition
     near = lambda x: float(f"{x:.9g}")
-    mean = [near(row[f"m{i}"]) for i in range(n)]
-    spread = [near(row[f"s{i}"]) for i in range(n)]
+    mean = [near(found[f]["mean"]) for f in NUMERIC_FEATURES]
+    spread = [near(found[f]["deviation"]) for f in NUMERIC_FEATURES]
     scale = [s if s > 1e-9 * max(1.0, abs(m)) else 1.0 for m, s in zip(mean, spread)]
     return Scaler([m if abs(m) > 1e-9 * s else 0.0 for m, s in zip(mean, scale)], scale)
 

@@ -204,6 +204,14 @@ def ssh_evidence(
     return incidents.join(sessions, "incident_id", "left").select(*head, "sessions", ssh_evidence_extra().alias("extra"))
 
 
+def ssh_evidence_summary(
+    incidents: DataFrame, log_type: str = "ssh_auth", model_type: str = "iforest", threshold_percentile: float = 99.0
+) -> DataFrame:
+    """The evidence rows without ``sessions``, which payloads and analyses do not read."""
+    head = ssh_evidence_head(log_type, model_type, threshold_percentile)
+    return incidents.select(*head, ssh_evidence_extra().alias("extra"))
+
+
 def ssh_evidence_head(log_type: str, model_type: str, threshold_percentile: float) -> list[Column]:
     return [
         F.col("incident_id"),
