@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from helpers import event, events
+from helpers import brute_features, event, events
 from triagelens.catalog import ENTRIES
 from triagelens.functions.text import once
 from triagelens.models import detectors, jobs, kernels
@@ -70,3 +70,38 @@ def test_mean_path_of_more_points_than_a_part():
         return columns["length"][at]
 
     assert np.array_equal(kernels.mean_path(points, [tree, tree], 64), np.array([walk(p) for p in points]))
+
+
+def test_features_are_worked_on_by_session_number(spark):
+    rows = [event(i, i * 700, f"10.0.0.{i % 3}", None, 401, path=f"/{i % 4}") for i in range(40)]
+    lines = plan(feat.session_features(events(spark, rows))).splitlines()
+    windows = [line for line in lines if "Window [" in line or "Window(" in line]
+    assert windows and not any("k_ip" in line for line in windows)
+    assert not any("collect_set" in line for line in lines)
+
+
+def test_sources_and_values_of_sessions(spark):
+    names = ["a", "b", "", None, "c", "a"]
+    rows = [event(i, i, "1.1.1.1", "x", 401, path="/p", source=names[i]) for i in range(6)]
+    rows += [event(9, 1, "2.2.2.2", "y", 200, path="/once", message="/p", source=None)]
+    got = {r.ip: r for r in feat.session_features(events(spark, rows)).collect()}
+    assert [(got[ip].source_count, got[ip].has_mixed_sources) for ip in ("1.1.1.1", "2.2.2.2")] == [(3, 1), (0, 0)]
+    assert [(got[ip].unique_paths, got[ip].apache_rare_path_ratio) for ip in got if ip == "2.2.2.2"] == [(1, 1.0)]
+    assert got["1.1.1.1"].apache_rare_path_ratio == 0.0 and got["2.2.2.2"].apache_rare_error_message_count == 1
+
+
+def test_sessions_that_part_within_a_window_keep_their_own_peaks(spark):
+    rng = random.Random(6)
+    rows, at = [], 0.0
+    for i in range(300):
+        at += rng.choice([0, 0, 1, 30, 60, 60.000001, 61])
+        rows.append(event(i, at, rng.choice("ab"), "u", rng.choice([401, 404, 500, 200, None]), level=rng.choice(["error", "notice"])))
+    table = {
+        ((r.k_ip, r.k_user, r.k_agent), r.start_time.timestamp()): (
+            r.event_count, r.auth_failed_streak_max, r.apache_5xx_streak_max, r.success_after_failure_count,
+            r.auth_burst_max_per_minute, r.apache_404_burst_max_per_minute, r.apache_error_burst_max_per_minute,
+            round(r.max_inter_event_gap_seconds, 6),
+        )
+        for r in feat.session_features(events(spark, rows), gap_minutes=1, parts=("rates",)).collect()
+    }
+    assert table == brute_features(rows, gap=60)

@@ -3,19 +3,20 @@
 The work is laid out so that no step needs all events of an identity, a session
 or a value in one task:
 
+* sessions are numbered on one row per (identity, slice of time), and each gets one
+  number, ``sid``, that stands for its four key columns in all that follows;
 * ordered features (streaks, gaps, successes after a failure) are computed per
-  (identity, slice of time) and the slice summaries are then combined along the
-  identity, as the summaries of two neighbouring pieces determine the summary of
-  their union;
-* peak rates use one row per (identity, instant) and a copy of it in the next
+  (session, second) and the summaries are then combined along the session, as the
+  summaries of two neighbouring pieces determine the summary of their union;
+* peak rates use one row per (session, instant) and a copy of it in the next
   slice, since a closed window reaches back into one slice at most, summed over
   short pieces of a slice and then over the pieces;
-* value rarity and distinct counts use counts per (identity, slice, value).
+* value rarity and distinct counts use counts per (session, value).
 
-The ordered features are worked on by second of an identity, so what a task sorts
-together is one second's events however many an identity has, and every piece of
-work reads the prepared rows, which are written once: the events are parsed and
-scanned a single time.
+What a task sorts together is one second's events however many a session has.  The
+events are parsed a single time: the prepared rows are written once, and once more
+with their session's number, which is what the pieces of work read.  Windows name
+the column with the most values first, as sorts compare it first.
 """
 
 from __future__ import annotations
@@ -85,25 +86,45 @@ def _prepare(events: DataFrame, slice_seconds: float) -> DataFrame:
     )
 
 
-CUT = ["slice", "second"]
+SID = ["sid"]
 
 
-def _piece_summaries(rows: DataFrame, cut: list[str]) -> DataFrame:
-    """One row per (identity, piece): counts, and what is needed to join pieces."""
-    order = W.partitionBy(*KEYS, *cut).orderBy("us", "seq")
+def _number(rows: DataFrame, gap_minutes: float) -> DataFrame:
+    """One row per (identity, slice) with its session: number within the identity, number
+    among all sessions (``sid``), event count, and whether it is the session's first."""
+    slices = rows.groupBy("slice", *KEYS).agg(
+        F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("n")
+    )
+    # sorts compare the hash first, which tells identities apart faster than their texts
+    hashed = slices.withColumn("_hash", F.xxhash64(*KEYS))
+    numbered = number_sessions(hashed, gap_minutes, ["slice"], ["_hash", *KEYS])
+    numbered = numbered.withColumn("_row", F.monotonically_increasing_id())
+    whole = W.partitionBy("_hash", *SESSION)
+    return numbered.select(
+        *SESSION,
+        "slice",
+        "is_start",
+        "first_us",
+        F.min("_row").over(whole).alias("sid"),
+        F.sum("n").over(whole).alias("event_count"),
+    )
+
+
+def _piece_summaries(rows: DataFrame) -> DataFrame:
+    """One row per (session, second): counts, and what is needed to join seconds."""
+    order = W.partitionBy("second", *SID).orderBy("us", "seq")
     running = order.rowsBetween(W.unboundedPreceding, 0)
     status, level = F.col("status"), F.col("level")
     known = status.isNotNull()
     failed, server = status == 401, _is_5xx(status)
     flagged = rows.select(
-        *KEYS,
-        *cut,
+        "second",
+        *SID,
         "us",
         "seq",
         "hour",
         "status",
         "level",
-        "source",
         F.lag("us").over(order).alias("prev_us"),
         F.count_if(failed).over(running).alias("failed_so_far"),
         F.count_if(server).over(running).alias("server_so_far"),
@@ -121,9 +142,7 @@ def _piece_summaries(rows: DataFrame, cut: list[str]) -> DataFrame:
         {
             f"{name}_run": F.col(f"{name}_so_far")
             - F.coalesce(
-                F.max(f"{name}_ended").over(
-                    W.partitionBy(*KEYS, *cut).orderBy("us", "seq").rowsBetween(W.unboundedPreceding, 0)
-                ),
+                F.max(f"{name}_ended").over(running),
                 F.lit(0),
             )
             for name in ended
@@ -143,7 +162,6 @@ def _piece_summaries(rows: DataFrame, cut: list[str]) -> DataFrame:
         count_where(level == "notice").alias("notice_events"),
         count_where(level.isin("crit", "alert", "emerg")).alias("high_events"),
         count_where(F.col("hour") < RARE_HOURS_END).alias("rare_hour_events"),
-        F.collect_set(F.nullif("source", F.lit(""))).alias("sources"),  # parser names: a handful
     ]
     for name in ended:
         sums += [
@@ -152,22 +170,22 @@ def _piece_summaries(rows: DataFrame, cut: list[str]) -> DataFrame:
             F.max(f"{name}_ended").alias(f"{name}_last_end"),
             F.max(f"{name}_run").alias(f"{name}_best"),
         ]
-    return with_runs.groupBy(*KEYS, *cut).agg(*sums)
+    return with_runs.groupBy("second", *SID).agg(*sums)
 
 
-def _moves(rows: DataFrame, width: int) -> DataFrame:
+def _moves(rows: DataFrame, width: int, by: list[str] = KEYS) -> DataFrame:
     """Arrivals (sign 1) and departures (sign -1) of events, one row per instant and sign:
     an event counts from its instant until ``width`` microseconds later, which is in the
     same slice or the next one."""
     status, level = F.col("status"), F.col("level")
-    instants = rows.groupBy(*KEYS, "slice", "us").agg(
+    instants = rows.groupBy("us", *by, "slice").agg(
         F.count(F.lit(1)).alias("n_all"),
         count_where(status == 404).alias("n_404"),
         count_where(_is_5xx(status)).alias("n_5xx"),
         count_where(level == "error").alias("n_error"),
     )
     return instants.select(
-        *KEYS,
+        *by,
         F.explode(
             F.array(
                 F.struct(F.col("slice").alias("at_slice"), F.col("us").alias("at"), F.lit(1).alias("sign")),
@@ -175,16 +193,16 @@ def _moves(rows: DataFrame, width: int) -> DataFrame:
             )
         ).alias("m"),
         *[f"n_{n}" for n in RATES],
-    ).select(*KEYS, "m.*", *[f"n_{n}" for n in RATES])
+    ).select(*by, "m.*", *[f"n_{n}" for n in RATES])
 
 
-def _move_summaries(moves: DataFrame, step: int) -> DataFrame:
-    """One row per (identity, slice, ``step`` microseconds of it): the change of the number
+def _move_summaries(moves: DataFrame, step: int, by: list[str] = KEYS) -> DataFrame:
+    """One row per (``by``, slice, ``step`` microseconds of it): the change of the number
     of events, its largest value just after an arrival, and how many events left.  The
     summaries of two neighbouring pieces determine that of their union."""
     gone = F.col("sign") < 0
     # of one instant the departures come first
-    so_far = W.partitionBy(*KEYS, "at_slice", "piece").orderBy("at", "sign").rowsBetween(W.unboundedPreceding, 0)
+    so_far = W.partitionBy("piece", *by, "at_slice").orderBy("at", "sign").rowsBetween(W.unboundedPreceding, 0)
     running = moves.withColumn("piece", F.col("at") - F.pmod("at", F.lit(step))).select(
         "*", *[F.sum(F.col("sign") * F.col(f"n_{n}")).over(so_far).alias(f"run_{n}") for n in RATES]
     )
@@ -196,11 +214,11 @@ def _move_summaries(moves: DataFrame, step: int) -> DataFrame:
             F.max(F.when(~gone, F.col(f"run_{n}"))).alias(f"best_{n}"),
             F.sum(F.when(gone, count).otherwise(0)).alias(f"gone_{n}"),
         ]
-    return running.groupBy(*KEYS, "at_slice", "piece").agg(*sums)
+    return running.groupBy("piece", *by, "at_slice").agg(*sums)
 
 
-def _peak_rates(rows: DataFrame, window_seconds: float) -> DataFrame:
-    """Per (identity, slice): the most events in any closed window ending in it.
+def _peak_rates(rows: DataFrame, window_seconds: float, by: list[str] = KEYS) -> DataFrame:
+    """Per (``by``, slice): the most events in any closed window ending in it.
 
     Slices are one window wide, so within a slice the events in the window are
     those of the slice before that have not run out plus those of the slice so
@@ -210,30 +228,29 @@ def _peak_rates(rows: DataFrame, window_seconds: float) -> DataFrame:
     2 * sqrt(microseconds of a window) rows together, however dense the burst.
     """
     width = int(window_seconds * SECOND)
-    pieces = _move_summaries(_moves(rows, width), math.isqrt(width))
-    earlier = W.partitionBy(*KEYS, "at_slice").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    pieces = _move_summaries(_moves(rows, width, by), math.isqrt(width), by)
+    earlier = W.partitionBy("at_slice", *by).orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
     placed = pieces.select(
-        *KEYS,
+        *by,
         "at_slice",
         *[f"gone_{n}" for n in RATES],
         *[(F.coalesce(F.sum(f"net_{n}").over(earlier), F.lit(0)) + F.col(f"best_{n}")).alias(f"top_{n}") for n in RATES],
     )
     # what leaves in a slice was there at its start
-    peaks = placed.groupBy(*KEYS, F.col("at_slice").alias("slice")).agg(
+    peaks = placed.groupBy(F.col("at_slice").alias("slice"), *by).agg(
         *[(F.max(f"top_{n}") + F.sum(f"gone_{n}")).alias(f"peak_{n}") for n in RATES]
     )
     return peaks.where("peak_all IS NOT NULL")  # slices that hold departures only
 
 
-def _join_pieces(pieces: DataFrame, cut: list[str], gap_minutes: float) -> DataFrame:
-    """Session numbers, and the run and gap values that cross pieces."""
-    numbered = number_sessions(pieces, gap_minutes, cut)
-    along = W.partitionBy(*SESSION).orderBy(*cut)
+def _join_pieces(pieces: DataFrame) -> DataFrame:
+    """The run and gap values that cross seconds of a session."""
+    along = W.partitionBy(*SID).orderBy("second")
     before = along.rowsBetween(W.unboundedPreceding, -1)
     upto = along.rowsBetween(W.unboundedPreceding, 0)
-    out = numbered.withColumns(
+    out = pieces.withColumns(
         {
-            "edge_gap_us": F.when(~F.col("is_start"), F.col("first_us") - F.col("prev_last_us")),
+            "edge_gap_us": F.col("first_us") - F.lag("last_us").over(along),
             "failed_before": F.coalesce(F.sum("auth_failed").over(before), F.lit(0)),
             "failed_total": F.sum("failed_n").over(upto),
             "server_total": F.sum("server_n").over(upto),
@@ -256,9 +273,9 @@ def _join_pieces(pieces: DataFrame, cut: list[str], gap_minutes: float) -> DataF
     )
 
 
-def _session_values(joined: DataFrame, with_peaks: bool) -> DataFrame:
+def _session_sums(joined: DataFrame) -> DataFrame:
     total = lambda name: F.sum(name).cast("bigint")
-    aggs = [
+    return joined.groupBy(*SID).agg(
         F.min("first_us").alias("first_us"),
         F.max("last_us").alias("last_us"),
         total("n").alias("event_count"),
@@ -266,25 +283,32 @@ def _session_values(joined: DataFrame, with_peaks: bool) -> DataFrame:
                                       "auth_failed", "auth_success")],
         total("high_events").alias("apache_high_severity_events"),
         total("rare_hour_events").alias("rare_hour_events"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("sources")))).cast("bigint").alias("source_count"),
         total(F.when(F.col("failed_before") > 0, F.col("auth_success")).otherwise(F.col("success_after"))).alias(
             "success_after_failure_count"
         ),
         F.max("failed_longest").alias("auth_failed_streak_max"),
         F.max("server_longest").alias("apache_5xx_streak_max"),
         F.max(F.greatest("gap_us", "edge_gap_us")).alias("gap_us"),
-    ]
-    if with_peaks:
-        aggs += [
-            F.max("peak_all").alias("auth_burst_max_per_minute"),
-            F.max("peak_404").alias("apache_404_burst_max_per_minute"),
-            F.max("peak_5xx").alias("apache_5xx_burst_max_per_minute"),
-            F.max("peak_error").alias("apache_error_burst_max_per_minute"),
-        ]
-    s = joined.groupBy(*SESSION).agg(*aggs)
+    )
+
+
+def _session_peaks(rows: DataFrame, window_seconds: float) -> DataFrame:
+    return _peak_rates(rows, window_seconds, SID).groupBy(*SID).agg(
+        F.max("peak_all").alias("auth_burst_max_per_minute"),
+        F.max("peak_404").alias("apache_404_burst_max_per_minute"),
+        F.max("peak_5xx").alias("apache_5xx_burst_max_per_minute"),
+        F.max("peak_error").alias("apache_error_burst_max_per_minute"),
+    )
+
+
+def _session_values(s: DataFrame, more: list[str]) -> DataFrame:
+    """The columns of a session from its sums, its keys and ``more`` columns."""
     duration = (F.col("last_us") - F.col("first_us")) / F.lit(1e6)
     n, known_user, known_ip = F.col("event_count"), F.col("k_user") != "", F.col("k_ip") != ""
     rare_hour = (F.col("rare_hour_events") > n / 2.0).cast("bigint")
+    sums = ["event_count", "status_4xx", "status_5xx", "error_events", "notice_events", "auth_failed", "auth_success",
+            "apache_high_severity_events", "source_count", "success_after_failure_count", "auth_failed_streak_max",
+            "apache_5xx_streak_max"]
     # the user and ip are part of the identity, so a session has one or none
     return s.select(
         *SESSION,
@@ -292,7 +316,8 @@ def _session_values(joined: DataFrame, with_peaks: bool) -> DataFrame:
         *identity_columns(),
         F.timestamp_micros("first_us").alias("start_time"),
         F.timestamp_micros("last_us").alias("end_time"),
-        *[c for c in s.columns if c not in (*SESSION, "first_us", "last_us", "gap_us", "rare_hour_events")],
+        *sums,
+        *more,
         duration.alias("duration_seconds"),
         ratio(F.col("status_4xx") + F.col("status_5xx"), n).alias("error_ratio"),
         ratio(F.col("error_events"), n).alias("error_event_ratio"),
@@ -313,45 +338,26 @@ def _session_values(joined: DataFrame, with_peaks: bool) -> DataFrame:
     )
 
 
-def _value_rarity(rows: DataFrame, session_of: DataFrame) -> DataFrame:
-    """Per session: distinct paths and messages, and those seen once in all data.
+def _value_counts(rows: DataFrame, facets: list[str]) -> DataFrame:
+    """Per session and facet (path, message, source): distinct values, their events, and
+    the values seen once in all data.
 
     A value seen once belongs to the one session that has it, so rarity needs
     the values' total counts but no join of events with them.
     """
-    facets = rows.select(
-        *KEYS,
-        "slice",
-        F.explode(
-            F.array(
-                F.struct(F.lit("path").alias("facet"), F.col("path").alias("value")),
-                F.struct(F.lit("message").alias("facet"), F.col("message").alias("value")),
-            )
-        ).alias("f"),
-    ).select(*KEYS, "slice", "f.facet", "f.value").where("value <> ''")
-    counts = facets.groupBy(*KEYS, "slice", "facet", "value").agg(F.count(F.lit(1)).alias("n"))
-    per_session = (
-        counts.join(session_of, [*KEYS, "slice"])
-        .groupBy("facet", "value", *SESSION)
-        .agg(F.sum("n").alias("n"))
+    named = F.explode(F.array(*[F.struct(F.lit(f).alias("facet"), F.col(f).alias("value")) for f in facets]))
+    values = rows.select(*SID, named.alias("f")).select(*SID, "f.facet", "f.value").where("value <> '' AND sid IS NOT NULL")
+    # used twice, made once: the plan reuses its exchange
+    per_session = values.groupBy("value", *SID, "facet").agg(F.count(F.lit(1)).alias("n"))
+    once = per_session.groupBy("value", "facet").agg(F.sum("n").alias("n"), F.min("sid").alias("sid")).where("n = 1")
+    none = F.lit(0).cast("bigint")
+    found = per_session.select(*SID, "facet", F.lit(1).alias("distinct"), "n", none.alias("rare")).union(
+        once.select(*SID, "facet", none, none, "n")
     )
-    distinct = per_session.groupBy(*SESSION).agg(
-        count_where(F.col("facet") == "path").alias("apache_distinct_paths"),
-        count_where(F.col("facet") == "message").alias("apache_distinct_message_templates"),
-        F.sum(F.when(F.col("facet") == "path", F.col("n"))).alias("path_events"),
-        F.sum(F.when(F.col("facet") == "message", F.col("n"))).alias("message_events"),
+    of = lambda name, facet: F.sum(F.when(F.col("facet") == facet, F.col(name)).otherwise(0))
+    return found.groupBy(*SID).agg(
+        *[of(name, f).cast("bigint").alias(f"{f}_{name}") for f in facets for name in ("distinct", "n", "rare")]
     )
-    single = (
-        per_session.groupBy("facet", "value")
-        .agg(F.sum("n").alias("n"), *[F.min(c).alias(c) for c in SESSION])
-        .where("n = 1")
-        .groupBy(*SESSION)
-        .agg(
-            count_where(F.col("facet") == "path").alias("rare_paths"),
-            count_where(F.col("facet") == "message").alias("rare_messages"),
-        )
-    )
-    return distinct.join(single, SESSION, "left")
 
 
 def identity_baseline(sessions: DataFrame, column: str) -> DataFrame:
@@ -374,15 +380,12 @@ def _spread(column: str) -> Column:
     return F.coalesce(F.col(column), F.concat(F.lit("\x01"), salt))
 
 
-def with_identity_baselines(sessions: DataFrame, all_sessions: DataFrame | None = None) -> DataFrame:
-    """First-seen and rarely-seen flags, baseline and deviation, by ip and user.
-
-    ``all_sessions`` may be a cheaper frame of the same sessions to count from.
-    """
+def with_identity_baselines(sessions: DataFrame) -> DataFrame:
+    """First-seen and rarely-seen flags, baseline and deviation, by ip and user."""
     out = sessions
     for column in ("ip", "user"):
         known = F.col(column).isNotNull()
-        base = identity_baseline(all_sessions if all_sessions is not None else sessions, column).select(
+        base = identity_baseline(sessions, column).select(
             F.col(column).alias("_key"),
             F.col("session_count").alias("_sessions"),
             F.col("first_seen").alias("_first"),
@@ -424,32 +427,34 @@ def session_features(
     """
     if window_seconds > gap_minutes * 60:
         raise ValueError("the rate window must not be longer than the session gap")
-    rows = stage(_prepare(events, window_seconds), "prepared")
-    pieces_df = _piece_summaries(rows, CUT)
-    rates = "rates" in parts
-    if rates:
-        pieces_df = pieces_df.join(_peak_rates(rows, window_seconds), [*KEYS, "slice"])
-    out = _session_values(_join_pieces(pieces_df, CUT, gap_minutes), rates)
-    slices = rows.groupBy(*KEYS, "slice").agg(
-        F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("n")
+    prepared = stage(_prepare(events, window_seconds), "prepared")
+    numbered = stage(_number(prepared, gap_minutes), "numbered")
+    place = ["slice", *KEYS]
+    rows = stage(prepared.join(numbered.select(*place, *SID), place).drop(*KEYS), "rows")
+
+    sessions = numbered.where("is_start").select(
+        *SID, *SESSION, *identity_columns(), F.timestamp_micros("first_us").alias("start_time"), "event_count"
     )
-    numbered = number_sessions(slices, gap_minutes, ["slice"])
-    if "rarity" in parts:
-        session_of = numbered.select(*SESSION, "slice")
-        zero = lambda name: F.coalesce(F.col(name), F.lit(0))
-        out = out.join(_value_rarity(rows, session_of), SESSION, "left").withColumns(
-            {
-                "apache_distinct_paths": zero("apache_distinct_paths"),
-                "unique_paths": zero("apache_distinct_paths"),
-                "apache_distinct_message_templates": zero("apache_distinct_message_templates"),
-                "apache_rare_error_message_count": zero("rare_messages"),
-                "apache_rare_path_ratio": ratio(zero("rare_paths"), zero("path_events")),
-                "apache_rare_error_message_ratio": ratio(zero("rare_messages"), zero("message_events")),
-            }
-        ).drop("rare_paths", "path_events", "rare_messages", "message_events")
+    more = []
     if "identity" in parts:
-        light = numbered.groupBy(*SESSION).agg(
-            F.sum("n").alias("event_count"), F.timestamp_micros(F.min("first_us")).alias("start_time")
-        )
-        out = with_identity_baselines(out, light.select("event_count", "start_time", *identity_columns()))
-    return out
+        sessions = with_identity_baselines(sessions)
+        more += [c for c in sessions.columns if c.endswith(("_flag", "_per_session", "_deviation"))]
+    out = _session_sums(_join_pieces(_piece_summaries(rows))).join(sessions.select(*SID, *SESSION, *more), SID)
+    if "rates" in parts:
+        peaks = _session_peaks(rows, window_seconds)
+        out, more = out.join(peaks, SID), more + [c for c in peaks.columns if c not in SID]
+    facets = ["source", "path", "message"] if "rarity" in parts else ["source"]
+    out = out.join(_value_counts(rows, facets), SID, "left")
+    zero = lambda name: F.coalesce(F.col(name), F.lit(0))
+    out = out.withColumn("source_count", zero("source_distinct"))
+    if "rarity" in parts:
+        rarity = {
+            "apache_distinct_paths": zero("path_distinct"),
+            "unique_paths": zero("path_distinct"),
+            "apache_distinct_message_templates": zero("message_distinct"),
+            "apache_rare_error_message_count": zero("message_rare"),
+            "apache_rare_path_ratio": ratio(zero("path_rare"), zero("path_n")),
+            "apache_rare_error_message_ratio": ratio(zero("message_rare"), zero("message_n")),
+        }
+        out, more = out.withColumns(rarity), more + list(rarity)
+    return _session_values(out, more)

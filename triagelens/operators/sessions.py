@@ -37,11 +37,11 @@ def slice_of(us: Column, seconds: float) -> Column:
     return ((us - F.pmod(us, F.lit(width))) / width).cast("bigint")
 
 
-def number_sessions(slices: DataFrame, gap_minutes: float, order: list[str]) -> DataFrame:
+def number_sessions(slices: DataFrame, gap_minutes: float, order: list[str], by: list[str] = KEYS) -> DataFrame:
     """Adds ``session_no`` and ``is_start`` to rows of (identity, ordered slice)
-    holding ``first_us`` and ``last_us``.  An identity has at most one row per
+    holding ``first_us`` and ``last_us``.  An identity (``by``) has at most one row per
     slice of time, however many events it has."""
-    along = W.partitionBy(*KEYS).orderBy(*order)
+    along = W.partitionBy(*by).orderBy(*order)
     gap = int(gap_minutes * 60 * SECOND)
     previous = F.lag("last_us").over(along)
     return (
