@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helpers import brute_features, event, events
 from triagelens.catalog import ENTRIES
 from triagelens.functions.text import once
-from triagelens.models import detectors, jobs, kernels
+from triagelens.models import detectors, jobs, kernels, vectors
 from triagelens.operators import features as feat
 from triagelens.plans import bridge
 from triagelens.session import stage
@@ -105,3 +105,16 @@ def test_sessions_that_part_within_a_window_keep_their_own_peaks(spark):
         for r in feat.session_features(events(spark, rows), gap_minutes=1, parts=("rates",)).collect()
     }
     assert table == brute_features(rows, gap=60)
+
+
+def test_feature_statistics_are_grouped_by_place(spark):
+    features = _sessions(spark)
+    stats = vectors.feature_stats(features)
+    keys = [line for line in plan(stats).splitlines() if "HashAggregate(keys=" in line]
+    assert keys and all("keys=[place#" in line for line in keys)
+    found = {r.feature: r for r in stats.collect()}
+    assert set(found) == set(feat.NUMERIC_FEATURES)
+    table = features.select(*feat.NUMERIC_FEATURES).toPandas().astype(float)
+    for name, row in found.items():
+        want = [table[name].mean(), table[name].std(ddof=0), table[name].min(), table[name].max()]
+        assert np.allclose([row["mean"], row["deviation"], row["low"], row["high"]], want)

@@ -20,16 +20,15 @@ def feature_stats(features: DataFrame) -> DataFrame:
     """Mean, population deviation, least and largest value of every feature: (feature, mean,
     deviation, low, high).
 
-    A row per cell: hundreds of sums in one aggregate make code too long to be compiled.
+    A row per cell: hundreds of sums in one aggregate make code too long to be compiled.  Cells
+    are told apart by their place, as numbers are grouped faster than names.
     """
-    cells = F.explode(
-        F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in NUMERIC_FEATURES])
-    )
-    return (
-        features.select(cells.alias("c"))
-        .groupBy(F.col("c.feature").alias("feature"))
-        .agg(F.avg("c.x").alias("mean"), F.stddev_pop("c.x").alias("deviation"), F.min("c.x").alias("low"), F.max("c.x").alias("high"))
+    cells = F.posexplode(F.array(*[F.col(f).cast("double") for f in NUMERIC_FEATURES]))
+    found = features.select(cells.alias("place", "x")).groupBy("place").agg(
+        F.avg("x").alias("mean"), F.stddev_pop("x").alias("deviation"), F.min("x").alias("low"), F.max("x").alias("high")
     )
+    names = F.array(*[F.lit(f) for f in NUMERIC_FEATURES])
+    return found.select(F.get(names, F.col("place")).alias("feature"), "mean", "deviation", "low", "high")
 
 
 def fit_scaler(features: DataFrame) -> Scaler:
