@@ -9,7 +9,10 @@ from helpers import brute_features, event, events
 from triagelens.catalog import ENTRIES
 from triagelens.functions.text import once
 from triagelens.models import detectors, jobs, kernels, vectors
+from triagelens.operators import evidence as ev
 from triagelens.operators import features as feat
+from triagelens.operators import generic_incidents as gen
+from triagelens.operators import ranking as rank
 from triagelens.plans import bridge
 from triagelens.session import stage
 
@@ -118,3 +121,70 @@ def test_feature_statistics_are_grouped_by_place(spark):
     for name, row in found.items():
         want = [table[name].mean(), table[name].std(ddof=0), table[name].min(), table[name].max()]
         assert np.allclose([row["mean"], row["deviation"], row["low"], row["high"]], want)
+
+
+def test_rows_are_dealt_once_for_their_numbers(spark):
+    values = random.Random(2).sample(range(1000), 300)
+    df = spark.createDataFrame([(f"{v:03d}", v) for v in values], "k string, v int").repartition(5)
+    for ranges in (1, 3, 7):
+        out = rank.numbered(df, F.concat(F.lit("x"), "k"), "no", ranges)
+        assert "Exchange hashpartitioning" not in plan(out.select("k", "v", "no")).split("BroadcastExchange")[0]
+        assert [(r.v, r.no) for r in out.orderBy("no").collect()] == [(v, i + 1) for i, v in enumerate(sorted(values))]
+        assert out.columns == ["k", "v", "no"]
+
+
+def test_events_are_dealt_in_blocks_of_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(bridge, "BLOCK", 50)
+    dealt = bridge.events_in_blocks(spark, SF)
+    assert dealt.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = dealt.select((F.col("seq") / 50).cast("int").alias("b"), F.spark_partition_id().alias("p")).distinct()
+    assert blocks.groupBy("b").count().where("count > 1").isEmpty() and blocks.select("p").distinct().count() > 1
+    assert sorted(dealt.collect(), key=lambda r: r.seq) == bridge.log_events(spark, SF).orderBy("seq").collect()
+
+
+def _normalized(spark):
+    """Groups of up to 40 events, some without ip, user, time, hint or message."""
+    rng = random.Random(3)
+    pick = lambda *names: rng.choice([None, "", *names])
+    schema = "seq long, timestamp string, source_type string, event_category string, event_action string, severity string, src_ip string, " \
+        "dst_ip string, user string, host string, service string, status_code int, message string, session_hint string"
+    rows = [
+        (i, f"2024-01-01T00:{rng.randrange(60):02d}:00" if i % 9 else None, rng.choice("ab"), pick("c"), pick("login_failed", "LOGIN_SUCCESS"),
+         pick("error"), pick("1.1.1.1", "2.2.2.2"), None, pick("u", "v"), pick("h"), pick("s"), None, f"m{i}", pick("x", "y"))
+        for i in rng.sample(range(5000), 900)
+    ]
+    return spark.createDataFrame(rows, schema).withColumn("event_ts", F.to_timestamp("timestamp")).repartition(6)
+
+
+def test_first_events_of_incidents_are_listed_in_input_order(spark):
+    grouped = stage(gen.with_group(_normalized(spark)), "grouped")
+    assert gen.with_group(grouped) is grouped
+    incidents = gen.generic_incidents(grouped, more=gen.first_names())
+    evidence = ev.generic_evidence(incidents, grouped)
+    lines = plan(evidence)
+    # no list is made by an aggregation, ip and user come with the incidents, groups are not made again
+    assert not any(x in lines for x in ("ObjectHashAggregate", "min_by", "regexp_extract"))
+    members = {}
+    for r in sorted(grouped.collect(), key=lambda r: r.seq):
+        members.setdefault((r.group_key, r.bucket), []).append(r)
+    assert max(map(len, members.values())) > 5
+    keys = {r.incident_id: (r.group_key, r.bucket) for r in incidents.collect()}
+    got = evidence.collect()
+    assert len(got) == len(members) and {keys[r.incident_id] for r in got} == set(members)
+    for r in got:
+        rows = members[keys[r.incident_id]]
+        assert [e.message for e in r.extra.sample_events] == [e.message for e in rows[:5]]
+        assert r.ip == next((e.src_ip for e in rows if e.src_ip), None) and r.user == next((e.user for e in rows if e.user), None)
+        ids = [f"{r.incident_id}:event-{i + 1}" if e.session_hint is None else e.session_hint for i, e in enumerate(rows[:5])]
+        assert [x.session_id for x in r.sessions] == ids and [x.start_time for x in r.sessions] == [e.timestamp for e in rows[:5]]
+        assert [x.auth_failed for x in r.sessions] == [int((e.event_action or "").lower() == "login_failed") for e in rows[:5]]
+    # incidents without the names, events without the group: the same rows
+    plain = ev.generic_evidence(incidents.drop("ip", "user"), _normalized(spark))
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, got))
+
+
+def test_payloads_are_written_before_they_are_read(spark):
+    lines = plan(ENTRIES["generic_payload_values"].run(spark, SF)).splitlines()
+    reading = [line for line in lines if "from_json(" in line]
+    assert len(reading) == 1 and "StructsToJson" not in reading[0] and "to_json" not in reading[0]
+    assert any("Generate explode" in line for line in lines)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from triagelens.functions import rules
 from triagelens.functions import wording as w
-from triagelens.functions.text import fixed, iso_text, present, text
+from triagelens.functions.text import fixed, iso_text, once, present, text
 from triagelens.operators import generic_incidents as gen
 from triagelens.operators.incidents import incident_members, timeline
 from triagelens.operators.ranking import places
@@ -379,60 +379,55 @@ def generic_evidence(
     mode: str = "clock",
 ) -> DataFrame:
     """One evidence row per incident with its first ``sample`` events; window and
-    ``mode`` must be those the incidents were made with."""
+    ``mode`` must be those the incidents were made with.  Incidents that were made
+    with ``first_names`` bring their ip and user along."""
     c = F.col
-    first = gen.first_events(events, sample, window_minutes, mode).join(incidents.select(*gen.GROUP, "incident_id"), gen.GROUP)
-    action = F.lower(F.coalesce("event_action", F.lit("")))
-    sessions = F.struct(
-        F.coalesce("session_hint", text(c("incident_id"), ":event-", c("position"))).alias("session_id"),
-        F.lit(0.0).alias("anomaly_score"),
-        c("timestamp").alias("start_time"),
-        c("timestamp").alias("end_time"),
-        c("src_ip").alias("ip"),
-        "user",
-        (action == "login_failed").cast("bigint").alias("auth_failed"),
-        (action == "login_success").cast("bigint").alias("auth_success"),
-        F.lit(1).cast("bigint").alias("event_count"),
-        F.coalesce("event_action", "event_category", F.lit("generic_event")).alias("event_type"),
-        F.array(
-            *[text(f"{name}=", F.coalesce(name, F.lit("unknown"))) for name in ("severity", "service", "host")]
-        ).alias("notes"),
-    )
-    # at most ``sample`` rows per group
-    samples = first.groupBy(*gen.GROUP).agg(
-        F.array_sort(
-            F.collect_list(F.struct("position", F.struct(*gen.SAMPLE_FIELDS).alias("event"), sessions.alias("session")))
-        ).alias("s")
-    ).select(
-        *gen.GROUP,
-        F.transform("s", lambda x: x["event"]).alias("sample_events"),
-        F.transform("s", lambda x: x["session"]).alias("sessions"),
-    )
+
+    def session(e: Column, place: Column) -> Column:
+        action = F.lower(F.coalesce(e["event_action"], F.lit("")))
+        return F.struct(
+            F.coalesce(e["session_hint"], text(c("incident_id"), ":event-", place + 1)).alias("session_id"),
+            F.lit(0.0).alias("anomaly_score"),
+            e["timestamp"].alias("start_time"),
+            e["timestamp"].alias("end_time"),
+            e["src_ip"].alias("ip"),
+            e["user"].alias("user"),
+            (action == "login_failed").cast("bigint").alias("auth_failed"),
+            (action == "login_success").cast("bigint").alias("auth_success"),
+            F.lit(1).cast("bigint").alias("event_count"),
+            F.coalesce(e["event_action"], e["event_category"], F.lit("generic_event")).alias("event_type"),
+            F.array(
+                *[text(f"{name}=", F.coalesce(e[name], F.lit("unknown"))) for name in ("severity", "service", "host")]
+            ).alias("notes"),
+        )
+
+    if not {"ip", "user"} <= set(incidents.columns):
+        incidents = incidents.join(gen.representatives(events, window_minutes, mode), gen.GROUP, "left")
+    samples = gen.sample_lists(events, sample, window_minutes, mode)
+    # texts are made after the join, so they are not sent with the rows
+    joined = gen.with_incident_text(incidents.join(samples, gen.GROUP, "left"))
+    joined = once(joined, "shown", generic_highlights())
     extra = F.struct(
         F.lit(input_format).alias("input_format"), F.lit(window_minutes).alias("window_minutes"), "group_key",
         "source_type", c("event_count").alias("total_events"), "error_count", "warning_count", "distinct_users",
         "distinct_hosts", "distinct_src_ips", "first_seen", "last_seen", "summary_title", "summary_description",
         "sample_events",
     )
-    return (
-        incidents.join(samples, gen.GROUP, "left")
-        .join(gen.representatives(events, window_minutes, mode), gen.GROUP, "left")
-        .select(
-            "incident_id",
-            c("source_type").alias("log_type"),
-            "ip",
-            "user",
-            F.lit("generic").alias("model_type"),
-            F.lit(w.GENERIC_FEATURE_VERSION).alias("feature_version"),
-            F.lit(0.0).alias("threshold_percentile"),
-            "severity",
-            "confidence",
-            "priority",
-            "attack_pattern",
-            F.filter(generic_highlights(), lambda x: x.isNotNull()).alias("highlights"),
-            "sessions",
-            extra.alias("extra"),
-        )
+    return joined.select(
+        "incident_id",
+        c("source_type").alias("log_type"),
+        "ip",
+        "user",
+        F.lit("generic").alias("model_type"),
+        F.lit(w.GENERIC_FEATURE_VERSION).alias("feature_version"),
+        F.lit(0.0).alias("threshold_percentile"),
+        "severity",
+        "confidence",
+        "priority",
+        "attack_pattern",
+        F.filter("shown", lambda x: x.isNotNull()).alias("highlights"),
+        F.transform("sample_events", session).alias("sessions"),
+        extra.alias("extra"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from triagelens.functions import rules
 from triagelens.functions.text import blank_to_null, count_where, empty_to_null, once, text
-from triagelens.operators.ranking import running_total
+from triagelens.operators.ranking import numbered
 
 GROUP = ["group_key", "bucket"]
 WINDOW_RANGE = (1, 1440)
@@ -57,7 +57,10 @@ def clock_bucket(minutes: int) -> Column:
 
 
 def with_group(events: DataFrame, window_minutes: int = 15, mode: str = "clock") -> DataFrame:
+    """Adds the group. Events that have it keep it; window and ``mode`` must be those it was made with."""
     check_window(window_minutes)
+    if set(GROUP) <= set(events.columns):
+        return events
     if mode == "clock":
         return events.withColumns({"group_key": group_key(), "bucket": clock_bucket(window_minutes)})
     start = F.floor(F.unix_seconds("event_ts") / (window_minutes * 60)) * (window_minutes * 60)
@@ -79,6 +82,15 @@ def group_counts() -> list[Column]:
     ]
 
 
+def first_names() -> list[Column]:
+    """First non-empty ip and user of a group, in input order."""
+    ip, user = empty_to_null(F.col("src_ip")), empty_to_null(F.col("user"))
+    return [
+        F.min_by(ip, F.when(ip.isNotNull(), F.col("seq"))).alias("ip"),
+        F.min_by(user, F.when(user.isNotNull(), F.col("seq"))).alias("user"),
+    ]
+
+
 ENTITIES = {"user": "distinct_users", "host": "distinct_hosts", "src_ip": "distinct_src_ips"}
 
 
@@ -93,10 +105,10 @@ def entity_sets(grouped: DataFrame) -> DataFrame:
     )
 
 
-def generic_groups(grouped: DataFrame) -> DataFrame:
-    """Counts per group.  The distinct entities are counted from one row per
-    (group, kind, entity), so a large group is spread over its entities."""
-    base = grouped.groupBy(*GROUP).agg(*group_counts())
+def generic_groups(grouped: DataFrame, more: list[Column] | tuple = ()) -> DataFrame:
+    """Counts per group, and ``more`` aggregates.  The distinct entities are counted from one
+    row per (group, kind, entity), so a large group is spread over its entities."""
+    base = grouped.groupBy(*GROUP).agg(*group_counts(), *more)
     entities = entity_sets(grouped).groupBy(*GROUP).agg(
         *[count_where(F.col("kind") == kind).alias(name) for kind, name in ENTITIES.items()]
     )
@@ -134,16 +146,25 @@ def summary_description() -> Column:
 
 def number_incidents(groups: DataFrame, ranges: int | None = None) -> DataFrame:
     """1-based ``incident_index`` in the text order of key and bucket."""
-    keyed = groups.withColumn("bucket_id", text(F.col("group_key"), "||", F.col("bucket")))
-    counted = running_total(keyed, "bucket_id", F.lit(1), "_before", ranges)
-    return counted.withColumn("incident_index", (F.col("_before") + 1).cast("bigint")).drop("_before")
+    bucket_id = text(F.col("group_key"), "||", F.col("bucket"))
+    return numbered(groups, bucket_id, "incident_index", ranges).withColumn("bucket_id", bucket_id)
+
 
+def generic_incidents(
+    events: DataFrame, window_minutes: int = 15, mode: str = "clock", more: list[Column] | tuple = ()
+) -> DataFrame:
+    """Classified and numbered incidents, not ordered; see ``generic_order``.
+
+    They are written as they are numbered, so reading them again does not run the job again.
+    ``more`` are further aggregates of the events of an incident, such as ``first_names``.
+    """
+    graded = classify_generic(generic_groups(with_group(events, window_minutes, mode), more))
+    return with_incident_text(number_incidents(graded))
 
-def generic_incidents(events: DataFrame, window_minutes: int = 15, mode: str = "clock") -> DataFrame:
-    """Classified and numbered incidents, not ordered; see ``generic_order``."""
-    graded = classify_generic(generic_groups(with_group(events, window_minutes, mode)))
-    named = number_incidents(graded)
-    return named.withColumns(
+
+def with_incident_text(numbered_groups: DataFrame) -> DataFrame:
+    """Id, title and description, which follow from the other columns."""
+    return numbered_groups.withColumns(
         {
             "incident_id": text("generic:", F.col("group_key"), "#", F.col("incident_index")),
             "summary_title": summary_title(),
@@ -185,10 +206,17 @@ def first_events(events: DataFrame, n: int, window_minutes: int = 15, mode: str
     return ranked.where(F.col("position") <= n)
 
 
+def sample_lists(events: DataFrame, n: int, window_minutes: int = 15, mode: str = "clock") -> DataFrame:
+    """``sample_events``: the first ``n`` events of each group in input order, one row per group.
+
+    They are listed in the order of the rank, without another sort; a list has at most ``n`` events.
+    """
+    following = W.partitionBy(*GROUP).orderBy("seq").rowsBetween(W.currentRow, n - 1)
+    first = first_events(events, n, window_minutes, mode).select(*GROUP, "seq", "position", F.struct(*SAMPLE_FIELDS).alias("event"))
+    listed = first.withColumn("sample_events", F.collect_list("event").over(following))
+    return listed.where("position = 1").select(*GROUP, "sample_events")
+
+
 def representatives(events: DataFrame, window_minutes: int = 15, mode: str = "clock") -> DataFrame:
     """First non-empty ip and user of each group, in input order."""
-    ip, user = empty_to_null(F.col("src_ip")), empty_to_null(F.col("user"))
-    return with_group(events, window_minutes, mode).groupBy(*GROUP).agg(
-        F.min_by(ip, F.when(ip.isNotNull(), F.col("seq"))).alias("ip"),
-        F.min_by(user, F.when(user.isNotNull(), F.col("seq"))).alias("user"),
-    )
+    return with_group(events, window_minutes, mode).groupBy(*GROUP).agg(*first_names())

@@ -39,6 +39,27 @@ def running_total(df: DataFrame, column: str, value: Column, name: str, ranges:
     )
 
 
+def numbered(df: DataFrame, order: Column, name: str, ranges: int | None = None) -> DataFrame:
+    """Adds ``name``: the 1-based place of a row by ``order``, which must be unique.
+
+    Rows are numbered within their range as they are written, so they are dealt once.
+    """
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, order).sortWithinPartitions(order)
+    # range in the upper bits, place in the range, from 0, in the lower 33
+    ranged = stage(dealt.withColumn("_id", F.monotonically_increasing_id()), "ranked")
+    parts = ranged.withColumns({"_range": F.shiftright("_id", 33), "_inside": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id")
+    # one row per range
+    totals = parts.groupBy("_range").agg(F.count(F.lit(1)).alias("_total"))
+    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select("_range", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
+    return (
+        parts.join(F.broadcast(offsets), "_range")
+        .withColumn(name, (F.col("_inside") + F.col("_offset") + 1).cast("bigint"))
+        .drop("_range", "_inside", "_offset")
+    )
+
+
 def places(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
     """Adds ``name``: the place of a row, from 0, in its group by ``order``, which must be
     unique in the group. Places are counted over ranges of all rows, so no task sorts or

@@ -31,6 +31,16 @@ def dealt_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_log_events(table(spark, sf_dir, "events").repartition(n, "event_id"))
 
 
+BLOCK = 8192
+
+
+def events_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log events dealt in blocks of neighbouring numbers: the work of a row group is spread,
+    and events of one group, which lie close together, still meet before a shuffle."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return as_log_events(table(spark, sf_dir, "events").repartition(n, F.floor(F.col("event_id") / BLOCK)))
+
+
 def as_log_events(table_or_stream: DataFrame) -> DataFrame:
     events = once(table_or_stream, "k", F.regexp_extract("props", "([0-9]+)", 1).cast("bigint"))
     return events.selectExpr(
