@@ -3,12 +3,13 @@
 Every model scores so that higher is more unusual and 0 is the 95th percentile
 of the training scores, i.e. the most unusual 5 % of the training rows are
 above 0.  Fitting and scoring run as Spark jobs; what reaches the driver has a
-fixed bound (a sample of fixed size, trees, weights, pivots).
+fixed bound (samples of fixed size, trees, weights, planes, boxes).
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 from dataclasses import dataclass, field
 
@@ -33,7 +34,7 @@ KINDS = ("iforest", "ocsvm", "lof")
 CONTAMINATION = 0.05
 SEED = 42
 FEATURE_VERSION = "v3-baseline-deviation"
-TABLE = "point long, v array<double>, copies long, k_distance double, density double"
+TABLE = "point long, v array<double>, copies long, k_distance double, density double, factor double"
 
 
 @dataclass
@@ -210,225 +211,267 @@ def _lowest_mean(rows: DataFrame, weights, phase, normal, share: float) -> np.nd
 # --- local outlier factor ---------------------------------------------------------
 
 
-BLOCK = 1024  # points that are compared with as many others at a time
-GROUP = 256  # blocks whose points meet the reference together, at most
-PIVOTS = 512
-RINGS = 64  # of a cell at most
+BLOCK = 256  # points of a leaf, which are compared with as many others at a time
+LEAVES = 65_536  # of the training rows, about; with more rows leaves hold more
+CELLS = 2048  # of the tree that the driver grows, at most; a cell holds some leaves
+PART = 65_536  # rows of a cell that a task cuts into leaves
+GROUP = 256  # leaves whose points meet the reference together, at most
+LEAF = ["cell", "part", "leaf"]
 
 
 def _fit_lof(features: DataFrame, scaler: Scaler, neighbours: int = 20, seed: int = SEED):
     """Neighbours, densities and factors of all rows, as tables joined by point.
 
-    Equal rows are one point with a number of copies.
+    Equal rows are one point with a number of copies.  The table keeps the ``factor`` that a
+    row equal to the point is scored with: then the point itself is its nearest neighbour, at
+    distance 0, in the place of the last one that it has among the others.
     """
-    rows = stage(features.select(vector(scaler).alias("v")), "vectors")
-    points = rows.groupBy("v").agg(F.count(F.lit(1)).alias("copies"))
+    points = features.select(vector(scaler).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("copies"))
     points = stage(points.withColumn("point", F.monotonically_increasing_id()), "points")
     total, different = points.agg(F.sum("copies"), F.count(F.lit(1))).first()
     k = max(1, min(neighbours, total - 1))
-    picked = lowest_hash(points.select("v"), ["v"], min(PIVOTS, -(-different // BLOCK)), seed)
-    pivots = np.array([r[0] for r in picked.collect()], dtype=float).reshape(-1, len(NUMERIC_FEATURES))
-    index = _index(points, pivots)
+    picked = lowest_hash(points.select("v"), ["v"], 16 * _cells(different), seed)
+    sample = np.array([r[0] for r in picked.collect()], dtype=float).reshape(-1, len(NUMERIC_FEATURES))
+    index = _index(points, sample)
     near = _neighbours(points, points, index, k, own=True)
-    far = near.groupBy("point").agg(F.max("distance").alias("k_distance"))
-    reach = _of_neighbours(near, far, F.greatest("distance", "k_distance"), k)
-    density = reach.select("point", (1 / (F.col("x") + 1e-10)).alias("density"))
-    known = points.join(far, "point", "left").join(density, "point", "left")
+    far = near.where("last").select("point", "k_distance")
+    reach = _of_neighbours(near, far, F.greatest("distance", "k_distance"))
+    known = points.join(far, "point", "left").join(reach, "point", "left")
     # a single row has no neighbours
-    known = stage(known.fillna({"k_distance": 0.0, "density": 1e10}), "densities")
-    factor = _of_neighbours(near, known.select("point", "density"), F.col("density"), k)
-    factor = known.join(factor, "point", "left").select("v", F.coalesce(F.col("x") / F.col("density"), F.lit(1.0)).alias("factor"))
-    raw = stage(rows.join(factor, "v").select("factor"), "factors")
-    offset = percentiles(raw, "factor", [1 - CONTAMINATION])[0]
-    return index, {"neighbours": k, "train_offset": offset}, known
-
-
-def _of_neighbours(near: DataFrame, of: DataFrame, value, k: int) -> DataFrame:
-    """``point, x``: the mean of ``value`` over the ``k`` neighbours of each point."""
-    joined = near.join(of.withColumnRenamed("point", "neighbour"), "neighbour")
-    return joined.groupBy("point").agg((F.sum(value * F.col("times")) / k).alias("x"))
+    known = known.fillna({"k_distance": 0.0, "others": 0.0, "last": 0.0}).select(
+        "point", "v", "copies", "k_distance", (1 / ((F.col("others") + F.col("last")) / k + 1e-10)).alias("density"),
+        ((F.col("others") + F.col("k_distance")) / k).alias("reach"),
+    )
+    known = stage(known, "densities")
+    dense = _of_neighbours(near, known.select("point", "density"), F.col("density"))
+    known = known.join(dense, "point", "left")
+    own = F.coalesce((F.col("others") + F.col("last")) / k / F.col("density"), F.lit(1.0))
+    factor = (F.coalesce("others", F.lit(0.0)) + F.col("density")) / k * (F.col("reach") + 1e-10)
+    known = stage(known.select("point", "v", "copies", "k_distance", "density", factor.alias("factor"), own.alias("own")), "factors")
+    offset = percentiles(known.select("own", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))), "own", [1 - CONTAMINATION])[0]
+    return index, {"neighbours": k, "train_offset": offset}, known.drop("own")
+
+
+def _of_neighbours(near: DataFrame, of: DataFrame, value) -> DataFrame:
+    """``point, others, last``: the sum of ``value`` over the neighbours of each point but the
+    last one, and that of the last."""
+    joined = near.select("point", "neighbour", "distance", "times", "last").join(of.withColumnRenamed("point", "neighbour"), "neighbour")
+    last = F.col("last").cast("long")
+    return joined.groupBy("point").agg(
+        F.sum(value * (F.col("times") - last)).alias("others"), F.sum(F.when(F.col("last"), value)).alias("last")
+    )
 
 
 def _add_factor(rows: DataFrame, model: Model, name: str) -> DataFrame:
-    """Adds the local outlier factor among the rows the model was trained on."""
-    rows = stage(rows.withColumn("_v", vector(model.scaler)), "rows")
+    """Adds the local outlier factor among the rows the model was trained on.
+
+    A row equal to one of them has the factor that is kept with it; only the others are
+    compared with the training rows.  Keys are told apart by a hash first, which sorts fast.
+    """
+    columns = rows.columns
+    hashed = F.xxhash64("_v").alias("_h")
+    kept = model.table.select(F.col("v").alias("_v"), F.col("factor").alias("_factor")).select("*", hashed)
+    rows = rows.withColumn("_v", vector(model.scaler)).select("*", hashed)
+    rows = stage(rows.join(kept, ["_h", "_v"], "left"), "rows")
+    factor = F.col("_factor")
+    unseen = rows.where(factor.isNull()).select("_h", "_v").distinct()
+    if not unseen.isEmpty():
+        rows = rows.join(_unseen_factors(unseen, model), ["_h", "_v"], "left")
+        factor = F.coalesce("_factor", "_new")
+    return rows.select(*columns, (factor - F.lit(model.params["offset"])).alias(name))
+
+
+def _unseen_factors(unseen: DataFrame, model: Model) -> DataFrame:
+    """Adds ``_new``, the factor of vectors that the model was not trained on."""
     k = model.params["neighbours"]
-    points = rows.select(F.col("_v").alias("v")).distinct()
-    points = stage(points.withColumn("point", F.monotonically_increasing_id()), "points")
-    near = _neighbours(points, model.table, model.arrays, k)
+    points = stage(unseen.withColumn("point", F.monotonically_increasing_id()).withColumnRenamed("_v", "v"), "points")
+    near = _neighbours(points, model.table, model.arrays, k).select("point", "neighbour", "distance", "times")
     known = model.table.select(F.col("point").alias("neighbour"), "k_distance", "density")
     means = near.join(known, "neighbour").groupBy("point").agg(
         (F.sum(F.col("density") * F.col("times")) / k).alias("density"),
         (F.sum(F.greatest("distance", "k_distance") * F.col("times")) / k).alias("reach"),
     )
-    factor = F.col("density") * (F.col("reach") + 1e-10) - F.lit(model.params["offset"])
-    scores = stage(points.join(means, "point").select(F.col("v").alias("_v"), factor.alias(name)), "scores")
-    return rows.join(scores, "_v", "left").select(*[c for c in rows.columns if c != "_v"], name)
-
-
-def _index(points: DataFrame, pivots: np.ndarray) -> dict[str, np.ndarray]:
-    """Pivots and, for the cell around each, the distances from the pivot at which its rings
-    end, its radius and its number of rows: ``RINGS`` numbers for each of ``PIVOTS`` cells."""
-    shared = points.sparkSession.sparkContext.broadcast({"pivots": pivots, "edges": np.full((len(pivots), RINGS - 1), np.inf)})
-    shares = [i / RINGS for i in range(1, RINGS)]
-    cells = _placed(points, shared).groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("copies").alias("rows"), F.max("away").alias("radius"), F.percentile_approx("away", shares, 1000).alias("at")
-    )
-    edges, radius, count = np.full((len(pivots), RINGS - 1), np.inf), np.zeros(len(pivots)), np.zeros(len(pivots))
-    for row in cells.collect():  # one row per pivot
-        rings = min(RINGS, -(-row["n"] // BLOCK))
-        ends = sorted({row["at"][j * RINGS // rings - 1] for j in range(1, rings)})
-        edges[row["cell"], : len(ends)] = ends
-        radius[row["cell"]], count[row["cell"]] = row["radius"], row["rows"]
-    return {"pivots": pivots, "edges": edges, "radius": radius, "count": count}
+    factor = F.col("density") * (F.col("reach") + 1e-10)
+    return stage(points.join(means, "point").select("_h", F.col("v").alias("_v"), factor.alias("_new")), "scores")
 
 
-def _placed(points: DataFrame, shared) -> DataFrame:
-    """``point, v, copies`` with the cell of the nearest pivot, the distance from it and the ring."""
+def _cells(rows: int) -> int:
+    return int(np.clip(-(-rows // (8 * BLOCK)), 1, CELLS))
 
-    @F.pandas_udf("cell int, ring int, away double")
-    def place(vectors: pd.Series) -> pd.DataFrame:
-        index = shared.value
-        x = np.stack(vectors.to_numpy()).astype(float) if len(vectors) else np.zeros((0, index["pivots"].shape[1]))
-        away = kernels.pivot_distances(x, index["pivots"])
-        cell = away.argmin(axis=1).astype(np.int32) if len(x) else np.zeros(0, np.int32)
-        own = away[np.arange(len(x)), cell]
-        return pd.DataFrame({"cell": cell, "ring": kernels.ring_of(own, cell, index["edges"]).astype(np.int32), "away": own})
 
-    return points.withColumn("_at", place("v")).select("point", "v", "copies", "_at.*")
+def _index(points: DataFrame, sample: np.ndarray) -> dict[str, np.ndarray]:
+    """The planes of a tree of cells that hold as many rows of the sample each, about."""
+    return kernels.grow_cells(sample, _cells(points.count()))
 
 
-def _blocks(points: DataFrame, shared) -> DataFrame:
-    """``block, cell, ring, part, low, high, n, points``: the points of a ring, ``BLOCK`` of them at
-    most, about, packed, with their least and largest distance from the pivot."""
-    placed = stage(_placed(points, shared), "cells")
-    parts = placed.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts"))  # PIVOTS * RINGS rows at most
-    dealt = placed.join(F.broadcast(parts), ["cell", "ring"]).withColumn("part", F.pmod(F.xxhash64("point"), F.col("_parts")))
+def _placed(points: DataFrame, shared) -> DataFrame:
+    """``point, v, copies`` with the cell."""
+
+    def place(batches):
+        for batch in batches:
+            cell = kernels.cell_of(kernels.matrix(batch.column("v")), shared.value)
+            yield batch.append_column("cell", pa.array(cell, pa.int32()))
 
-    def pack(batch):
-        first = batch.iloc[0]
-        cell, ring, part = int(first["cell"]), int(first["ring"]), int(first["part"])
-        packed = kernels.pack(batch["point"].to_numpy(), batch["copies"].to_numpy(), np.stack(batch["v"].to_numpy()))
-        row = (f"{cell}/{ring}/{part}", cell, ring, part, batch["away"].min(), batch["away"].max(), len(batch), packed)
-        return pd.DataFrame([row], columns=["block", "cell", "ring", "part", "low", "high", "n", "points"])
+    return points.select("point", "v", "copies").mapInArrow(place, "point long, v array<double>, copies long, cell int")
 
-    schema = "block string, cell int, ring int, part long, low double, high double, n long, points binary"
-    blocks = dealt.select("cell", "ring", "part", "point", "copies", "v", "away").groupBy("cell", "ring", "part")
-    return stage(blocks.applyInPandas(pack, schema), "blocks")
+
+def _blocks(points: DataFrame, shared, size: int) -> DataFrame:
+    """``cell, part, leaf, low, high, n, rows, points``: the points of a leaf, ``size`` of them at most,
+    packed, the corners of the box that they lie in, their number and that with copies."""
+    placed = stage(_placed(points, shared), "cells")
+    parts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PART).alias("_parts"))  # CELLS rows at most
+    part = F.pmod(F.xxhash64("point"), F.col("_parts")).cast("int").alias("part")
+    dealt = placed.join(F.broadcast(parts), "cell").select("cell", part, "point", "copies", "v")
+
+    def pack(table):
+        cell, part = table["cell"][0].as_py(), table["part"][0].as_py()
+        ids, copies, vectors = table["point"].to_numpy(), table["copies"].to_numpy(), kernels.matrix(table["v"].combine_chunks())
+        rows = []
+        for leaf, at in enumerate(kernels.leaves(vectors, size)):
+            low, high = vectors[at].min(axis=0).tobytes(), vectors[at].max(axis=0).tobytes()
+            rows.append((cell, part, leaf, low, high, len(at), int(copies[at].sum()), kernels.pack(ids[at], copies[at], vectors[at])))
+        return pa.Table.from_pylist([dict(zip(leaf_schema.names, row)) for row in rows], leaf_schema)
+
+    leaf_schema = pa.schema([
+        *[pa.field(c, pa.int32()) for c in LEAF], ("low", pa.binary()), ("high", pa.binary()), ("n", pa.int64()), ("rows", pa.int64()), ("points", pa.binary()),
+    ])
+    schema = "cell int, part int, leaf int, low binary, high binary, n long, rows long, points binary"
+    return stage(dealt.groupBy("cell", "part").applyInArrow(pack, schema), "blocks")
+
+
+def _boxes(blocks: DataFrame) -> dict[str, dict[str, np.ndarray]]:
+    """The boxes of all leaves and of the cells, some ``LEAVES`` and at most ``CELLS``."""
+    found = blocks.select(*LEAF, "low", "high", "rows").toPandas().sort_values(LEAF)
+    low, high = (np.array([np.frombuffer(x) for x in found[c]]) for c in ("low", "high"))
+    cell, rows = found["cell"].to_numpy(), found["rows"].to_numpy()
+    start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    cells = {"low": np.minimum.reduceat(low, start), "high": np.maximum.reduceat(high, start), "rows": np.add.reduceat(rows, start)}
+    return {
+        "cells": {**cells, "start": start, "end": np.r_[start[1:], len(cell)]},
+        "leaves": {"low": low, "high": high, **{c: found[c].to_numpy() for c in LEAF}},
+    }
 
 
-def _grouped(blocks: DataFrame, index: dict[str, np.ndarray]) -> DataFrame:
-    """Adds ``own``, the group of a block: blocks of neighbouring cells, ``GROUP`` of them at most,
+def _grouped(blocks: DataFrame) -> DataFrame:
+    """Adds ``own``, the group of a leaf: leaves of neighbouring cells, ``GROUP`` of them at most,
     and no more than leave two groups for every core."""
     spark = blocks.sparkSession
-    rings = blocks.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("n"), F.max("part").alias("last")).toPandas()  # PIVOTS * RINGS rows at most
-    rings["place"] = kernels.chain(index["pivots"])[rings["cell"].to_numpy(int)]
-    rings = rings.sort_values(["place", "ring"])
-    numbers = rings["last"] + 1
-    size = int(np.clip(-(-int(rings["n"].sum()) // (2 * spark.sparkContext.defaultParallelism)), 1, GROUP))
-    starts = [(int(c), int(r), int(s)) for c, r, s in zip(rings["cell"], rings["ring"], numbers.cumsum() - numbers)]
-    first = spark.createDataFrame(starts, "cell int, ring int, _first long")
-    grouped = blocks.join(F.broadcast(first), ["cell", "ring"])
-    return grouped.withColumn("own", F.floor((F.col("_first") + F.col("part")) / size)).drop("_first")
+    parts = blocks.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["cell", "part"])  # a row per part of a cell
+    size = int(np.clip(-(-int(parts["n"].sum()) // (2 * spark.sparkContext.defaultParallelism)), 1, GROUP))
+    starts = [(int(c), int(p), int(s)) for c, p, s in zip(parts["cell"], parts["part"], parts["n"].cumsum() - parts["n"])]
+    first = spark.createDataFrame(starts, "cell int, part int, _first long")
+    grouped = blocks.join(F.broadcast(first), ["cell", "part"])
+    return grouped.withColumn("own", F.floor((F.col("_first") + F.col("leaf")) / size)).drop("_first")
 
 
 def _neighbours(points: DataFrame, reference: DataFrame, index: dict[str, np.ndarray], k: int, own: bool = False, compared=None) -> DataFrame:
-    """``point, neighbour, distance, times``: the ``k`` nearest of ``reference``, where
-    one with several copies is taken several ``times``.
-
-    Points and reference lie in rings around pivots, rings are cut into blocks. A block of
-    points first meets the reference of its own ring, which bounds how far its neighbours
-    are; then it meets, by equality of ring numbers, the rings that the bounds reach, the
-    nearest first. Blocks of neighbouring cells meet the reference together, as one group, so
-    a block of the reference is sent once to a group and not to every block that needs it. A
-    task holds a group and one block. ``compared`` is an accumulator of the pairs of
-    points that were compared.
+    """``point, neighbour, distance, times, last, k_distance``: the ``k`` nearest of ``reference``, where
+    one with several copies is taken several ``times``; which is the last of them, and how far it is.
+
+    Points and reference lie in cells between planes, cells are cut into leaves, and every leaf has
+    the box that its points lie in.  A leaf of points first meets the reference of its own cell, the
+    nearest boxes first, which bounds how far its neighbours are; then it meets, by equality of their
+    numbers, the leaves whose boxes the bounds reach, the nearest first.  Leaves of neighbouring
+    cells meet the reference together, as one group, so a leaf of the reference is sent once to a
+    group and not to every leaf that needs it.  A task holds a group and, of the reference, a part
+    of a cell.  ``compared`` is an accumulator of the pairs of points that were compared.
     """
     spark = points.sparkSession
-    shared = spark.sparkContext.broadcast({c: index[c] for c in ("pivots", "edges", "radius", "count")})
-    theirs = _blocks(reference.select("point", "v", "copies"), shared)
-    ours = _grouped(theirs if own else _blocks(points.select("point", "v", F.lit(1).cast("long").alias("copies")), shared), index)
-    columns = ["own", "near", "block", "cell", "ring", "low", "high", "n", "points", "reach"]
-
-    def meeting(pairs: DataFrame, heads: DataFrame) -> DataFrame:
-        met = pairs.select("own", "near", "cell", "ring").join(theirs, ["cell", "ring"])
+    size = max(BLOCK, 2 * reference.count() // LEAVES)
+    shared = spark.sparkContext.broadcast(index)
+    theirs = _blocks(reference.select("point", "v", "copies"), shared, size)
+    ours = _grouped(theirs if own else _blocks(points.select("point", "v", F.lit(1).cast("long").alias("copies")), shared, size))
+    boxes = spark.sparkContext.broadcast(_boxes(theirs))
+    columns = ["own", "near", *LEAF, "low", "high", "n", "points", "reach"]
+
+    def meeting(pairs: DataFrame, heads: DataFrame, on: list[str]) -> DataFrame:
+        met = pairs.select("own", "near", *on).join(theirs, on)
         rows = met.withColumn("reach", F.lit(None).cast("binary")).select(columns).unionByName(heads.withColumn("near", F.lit(-1.0)).select(columns))
-        return rows.repartition(F.col("own")).sortWithinPartitions("own", "near", "cell", "low", "high")
-
-    def walk(finish, first: bool):
-        """Goes through groups and what they meet; ``finish`` makes a batch of a block."""
-
-        def compare(mine, cell, ring, low, high, others):
-            block, (ids, vectors, at, own_ring), best, away, bound = mine
-            if first and (at, own_ring) != (cell, ring):
-                return
-            limit = np.minimum(kernels.reach_of(best, k), bound) * (1 + 1e-9) + 1e-9
-            least = np.maximum(np.maximum(away[:, cell] - high, low - away[:, cell]), (away[:, cell] - away[:, at]) / 2)
-            near = np.flatnonzero(least <= limit)
-            if not len(near):
-                return
-            their_ids, copies, their_vectors = others()
-            for rows in np.array_split(near, max(1, len(ids) // 256)):
-                if len(rows):
-                    found = kernels.padded(kernels.closest(vectors[rows], ids[rows], their_vectors, their_ids, copies, k, own), k)
-                    for held, new in zip(best, kernels.merged(tuple(x[rows] for x in best), found, k)):
-                        held[rows] = new
-                    if compared is not None:
-                        compared.add(len(rows) * len(their_ids))
-
-        def run(batches):
-            owner, group = None, []
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    row = {c: batch.column(c)[i].as_py() for c in columns}
-                    unpacked = functools.cache(lambda: kernels.unpack(row["points"], row["n"]))
-                    if row["own"] != owner:
-                        for mine in group:
-                            yield finish(owner, *mine[:4])
-                        owner, group = row["own"], []
-                    if row["near"] < 0:
-                        ids, _, vectors = unpacked()
-                        away = kernels.pivot_distances(vectors, shared.value["pivots"])
-                        best = np.full((len(ids), k), np.inf), np.full((len(ids), k), -1), np.zeros((len(ids), k), int)
-                        bound = np.frombuffer(row["reach"]) if row["reach"] else np.full(len(ids), np.inf)
-                        group.append((row["block"], (ids, vectors, row["cell"], row["ring"]), best, away, bound))
-                        continue
-                    for mine in group:
-                        compare(mine, row["cell"], row["ring"], row["low"], row["high"], unpacked)
+        return rows.repartition(F.col("own")).sortWithinPartitions("own", "near", *LEAF)
+
+    def opened(row):
+        low, high = np.frombuffer(row["low"]), np.frombuffer(row["high"])
+        return {**row, "low": low, "high": high, "open": functools.cache(lambda: kernels.unpack(row["points"], row["n"]))}
+
+    def groups(batches):
+        """The leaves of a group, then what they meet."""
+        rows = (opened({c: batch.column(c)[i].as_py() for c in columns}) for batch in batches for i in range(batch.num_rows))
+        for owner, members in itertools.groupby(rows, lambda row: row["own"]):
+            group, members = [], iter(members)
+            for row in members:
+                if row["near"] >= 0:
+                    members = itertools.chain([row], members)
+                    break
+                ids, _, vectors = row["open"]()
+                bound = np.frombuffer(row["reach"]) if row["reach"] else np.full(len(ids), np.inf)
+                best = np.full((len(ids), k), np.inf), np.full((len(ids), k), -1), np.zeros((len(ids), k), int)
+                # points of a query are not rows of the reference, whatever their number
+                apart = ids if own else np.full(len(ids), -1)
+                more = {"ids": ids, "apart": apart, "vectors": vectors, "best": best, "bound": bound, "limit": bound * (1 + 1e-9) + 1e-9}
+                group.append({**row, **more})
+            yield owner, group, members
+
+    def meet(mine, other):
+        rows = np.flatnonzero(kernels.gap(mine["vectors"], other["low"], other["high"]) <= mine["limit"])
+        if not len(rows):
+            return
+        their_ids, copies, vectors = other["open"]()
+        found = kernels.nearer(mine["best"], mine["limit"], rows, mine["vectors"], mine["apart"], vectors, their_ids, copies, k)
+        reach = np.minimum(kernels.reach_of(tuple(x[found] for x in mine["best"]), k), mine["bound"][found])
+        mine["limit"][found] = reach * (1 + 1e-9) + 1e-9
+        if compared is not None:
+            compared.add(len(rows) * len(their_ids))
+
+    def bounds(batches):
+        """How far the neighbours of a group's points are, and the leaves within that."""
+        cells, leaves = boxes.value["cells"], boxes.value["leaves"]
+        for owner, group, members in groups(batches):
+            of_cell = {}
+            for mine in group:
+                of_cell.setdefault(mine["cell"], []).append(mine)
+            for (cell, _), part in itertools.groupby(members, lambda row: (row["cell"], row["part"])):
+                part = list(part)
+                lows, highs = (np.array([other[c] for other in part]) for c in ("low", "high"))
+                for mine in of_cell[cell]:
+                    middle = np.abs((lows + highs - mine["low"] - mine["high"])).sum(axis=1)
+                    for at in np.lexsort((middle, kernels.gap_of_boxes(mine["low"], mine["high"], lows, highs))):
+                        meet(mine, part[at])
+            for mine in group:
+                reach = kernels.reach_of(mine["best"], k)
+                open_ended = np.isinf(reach)
+                reach[open_ended] = kernels.box_reach(mine["vectors"][open_ended], cells["low"], cells["high"], cells["rows"], k)
+                held, near = kernels.boxes_within(mine["vectors"], reach, cells, leaves)
+                needed = [{**{c: int(leaves[c][at]) for c in LEAF}, "near": least} for at, least in zip(held, near)]
+                row = {"own": owner, **{c: mine[c] for c in LEAF}, "reach": reach.tobytes(), "needed": needed}
+                yield pa.RecordBatch.from_pylist([row], needed_schema)
+
+    def found(batches):
+        """The neighbours of a group's points among the leaves that it meets."""
+        for _, group, members in groups(batches):
+            lows, highs = (np.array([mine[c] for mine in group]) for c in ("low", "high"))
+            limits = np.array([mine["limit"].max() for mine in group])
+            for other in members:
+                for at in np.flatnonzero(kernels.gap_of_boxes(other["low"], other["high"], lows, highs) <= limits):
+                    meet(group[at], other)
+                    limits[at] = group[at]["limit"].max()
             for mine in group:
-                yield finish(owner, *mine[:4])
-
-        return run
-
-    def rings(owner, block, mine, best, away):
-        at = shared.value
-        reach = np.minimum(kernels.reach_of(best, k), kernels.cell_reach(away, at["radius"], at["count"], k))
-        found = kernels.rings_within(away, mine[2], reach, at["edges"], at["radius"], at["count"])
-        row = {"own": owner, "block": block, "reach": reach.tobytes(), "rings": [dict(zip(("cell", "ring", "near"), r)) for r in found]}
-        ring = pa.struct([("cell", pa.int32()), ("ring", pa.int32()), ("near", pa.float64())])
-        return pa.RecordBatch.from_pylist([row], pa.schema([("own", pa.int64()), ("block", pa.string()), ("reach", pa.binary()), ("rings", pa.list_(ring))]))
-
-    def found(owner, block, mine, best, away):
-        distance, ids, copies = best
-        before = np.cumsum(copies, axis=1) - copies
-        times = np.where(np.isfinite(distance), np.clip(k - before, 0, copies), 0)
-        row, column = np.nonzero(times)
-        columns = mine[0][row], ids[row, column], distance[row, column], times[row, column]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["point", "neighbour", "distance", "times"])
-
-    # a row is a whole block
+                yield pa.RecordBatch.from_pydict(kernels.neighbour_rows(mine["ids"], mine["best"], k))
+
+    leaf = [pa.field(c, pa.int32()) for c in LEAF]
+    needed_schema = pa.schema([("own", pa.int64()), *leaf, ("reach", pa.binary()), ("needed", pa.list_(pa.struct([*leaf, ("near", pa.float64())])))])
+    # a row is a whole leaf
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, 8)
+    spark.conf.set(key, 32)
     try:
-        here = ours.select("own", "cell", "ring").distinct().withColumn("near", F.lit(0.0))
+        here = ours.select("own", "cell").distinct().withColumn("near", F.lit(0.0))
         heads = ours.withColumn("reach", F.lit(None).cast("binary"))
-        needed = stage(
-            meeting(here, heads).mapInArrow(walk(rings, True), "own long, block string, reach binary, rings array<struct<cell:int,ring:int,near:double>>"), "needed"
-        )
-        pairs = needed.select("own", F.inline("rings")).groupBy("own", "cell", "ring").agg(F.min("near").alias("near"))
-        heads = ours.join(needed.select("block", "reach"), "block")
-        return stage(meeting(pairs, heads).mapInArrow(walk(found, False), "point long, neighbour long, distance double, times long"), "neighbours")
+        schema = "own long, cell int, part int, leaf int, reach binary, needed array<struct<cell:int,part:int,leaf:int,near:double>>"
+        needed = stage(meeting(here, heads, ["cell"]).mapInArrow(bounds, schema), "needed")
+        pairs = needed.select("own", F.inline("needed")).groupBy("own", *LEAF).agg(F.min("near").alias("near"))
+        heads = ours.join(needed.select(*LEAF, "reach"), LEAF)
+        schema = "point long, neighbour long, distance double, times long, last boolean, k_distance double"
+        return stage(meeting(pairs, heads, LEAF).mapInArrow(found, schema), "neighbours")
     finally:
         spark.conf.set(key, before)
 
