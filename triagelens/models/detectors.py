@@ -192,8 +192,10 @@ def _lowest_mean(rows: DataFrame, weights, phase, normal, share: float) -> np.nd
             if not batch.num_rows:
                 continue
             # all rows have as many values
-            mapped = kernels.fourier_map(batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1), weights, phase)
-            kernels.add_to_bins(mapped, mapped @ normal, reach, counts, sums)
+            vectors = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
+            for start in range(0, len(vectors), 512):  # so many stay in the processor's cache
+                mapped = kernels.fourier_map(vectors[start : start + 512], weights, phase)
+                kernels.add_to_bins(mapped, mapped @ normal, reach, counts, sums)
         held = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict(
             {"bin": held, "n": counts[held], "x": pa.array(list(sums[held]), pa.list_(pa.float64()))}
@@ -352,16 +354,17 @@ def _boxes(blocks: DataFrame) -> dict[str, dict[str, np.ndarray]]:
     }
 
 
-def _grouped(blocks: DataFrame) -> DataFrame:
+def _grouped(blocks: DataFrame) -> tuple[DataFrame, int]:
     """Adds ``own``, the group of a leaf: leaves of neighbouring cells, ``GROUP`` of them at most,
-    and no more than leave two groups for every core."""
+    and no more than leave two groups for every core.  Beside it the number of groups."""
     spark = blocks.sparkSession
     parts = blocks.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["cell", "part"])  # a row per part of a cell
-    size = int(np.clip(-(-int(parts["n"].sum()) // (2 * spark.sparkContext.defaultParallelism)), 1, GROUP))
+    total = int(parts["n"].sum())
+    size = int(np.clip(-(-total // (2 * spark.sparkContext.defaultParallelism)), 1, GROUP))
     starts = [(int(c), int(p), int(s)) for c, p, s in zip(parts["cell"], parts["part"], parts["n"].cumsum() - parts["n"])]
     first = spark.createDataFrame(starts, "cell int, part int, _first long")
     grouped = blocks.join(F.broadcast(first), ["cell", "part"])
-    return grouped.withColumn("own", F.floor((F.col("_first") + F.col("leaf")) / size)).drop("_first")
+    return grouped.withColumn("own", F.floor((F.col("_first") + F.col("leaf")) / size)).drop("_first"), -(-total // size)
 
 
 def _neighbours(points: DataFrame, reference: DataFrame, index: dict[str, np.ndarray], k: int, own: bool = False, compared=None) -> DataFrame:
@@ -380,14 +383,15 @@ def _neighbours(points: DataFrame, reference: DataFrame, index: dict[str, np.nda
     size = max(BLOCK, 2 * reference.count() // LEAVES)
     shared = spark.sparkContext.broadcast(index)
     theirs = _blocks(reference.select("point", "v", "copies"), shared, size)
-    ours = _grouped(theirs if own else _blocks(points.select("point", "v", F.lit(1).cast("long").alias("copies")), shared, size))
+    ours, groups_made = _grouped(theirs if own else _blocks(points.select("point", "v", F.lit(1).cast("long").alias("copies")), shared, size))
     boxes = spark.sparkContext.broadcast(_boxes(theirs))
     columns = ["own", "near", *LEAF, "low", "high", "n", "points", "reach"]
 
     def meeting(pairs: DataFrame, heads: DataFrame, on: list[str]) -> DataFrame:
         met = pairs.select("own", "near", *on).join(theirs, on)
         rows = met.withColumn("reach", F.lit(None).cast("binary")).select(columns).unionByName(heads.withColumn("near", F.lit(-1.0)).select(columns))
-        return rows.repartition(F.col("own")).sortWithinPartitions("own", "near", *LEAF)
+        # a group is much work on few bytes, by which adaptive execution would join the tasks of several
+        return rows.repartition(max(1, 2 * groups_made), "own").sortWithinPartitions("own", "near", *LEAF)
 
     def opened(row):
         low, high = np.frombuffer(row["low"]), np.frombuffer(row["high"])
