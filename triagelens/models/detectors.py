@@ -236,32 +236,28 @@ def _fit_lof(features: DataFrame, scaler: Scaler, neighbours: int = 20, seed: in
     sample = np.array([r[0] for r in picked.collect()], dtype=float).reshape(-1, len(NUMERIC_FEATURES))
     index = _index(points, sample)
     near = _neighbours(points, points, index, k, own=True)
-    far = near.where("last").select("point", "k_distance")
-    reach = _of_neighbours(near, far, F.greatest("distance", "k_distance"))
-    known = points.join(far, "point", "left").join(reach, "point", "left")
-    # a single row has no neighbours
-    known = known.fillna({"k_distance": 0.0, "others": 0.0, "last": 0.0}).select(
-        "point", "v", "copies", "k_distance", (1 / ((F.col("others") + F.col("last")) / k + 1e-10)).alias("density"),
-        ((F.col("others") + F.col("k_distance")) / k).alias("reach"),
-    )
-    known = stage(known, "densities")
-    dense = _of_neighbours(near, known.select("point", "density"), F.col("density"))
-    known = known.join(dense, "point", "left")
-    own = F.coalesce((F.col("others") + F.col("last")) / k / F.col("density"), F.lit(1.0))
-    factor = (F.coalesce("others", F.lit(0.0)) + F.col("density")) / k * (F.col("reach") + 1e-10)
-    known = stage(known.select("point", "v", "copies", "k_distance", "density", factor.alias("factor"), own.alias("own")), "factors")
+    # times among the others, and times when the point is one of its neighbours
+    again = F.col("times") - F.col("last").cast("long") + (F.col("point") == F.col("neighbour")).cast("long")
+    alone = points.where("copies = 1").selectExpr("point", "point AS neighbour", "0D AS distance", "0L AS times", "1L AS again")
+    met = near.select("point", "neighbour", "distance", "times", again.alias("again")).unionByName(alone)
+    known = points.join(near.where("last").select("point", "k_distance"), "point", "left")
+    known = known.fillna({"k_distance": 0.0})  # a single row has no neighbours
+    reach = _of_neighbours(met, known.select("point", "k_distance"), F.greatest("distance", "k_distance"), k)
+    density = (1 / (F.col("others") + 1e-10)).alias("density")
+    known = stage(known.join(reach, "point").select("point", "v", "copies", "k_distance", density, F.col("again").alias("reach")), "densities")
+    dense = _of_neighbours(met, known.select("point", "density"), F.col("density"), k)
+    factor = F.col("again") * (F.col("reach") + 1e-10)
+    own = F.col("others") / F.col("density") if total > 1 else F.lit(1.0)
+    known = stage(known.join(dense, "point").select("point", "v", "copies", "k_distance", "density", factor.alias("factor"), own.alias("own")), "factors")
     offset = percentiles(known.select("own", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))), "own", [1 - CONTAMINATION])[0]
     return index, {"neighbours": k, "train_offset": offset}, known.drop("own")
 
 
-def _of_neighbours(near: DataFrame, of: DataFrame, value) -> DataFrame:
-    """``point, others, last``: the sum of ``value`` over the neighbours of each point but the
-    last one, and that of the last."""
-    joined = near.select("point", "neighbour", "distance", "times", "last").join(of.withColumnRenamed("point", "neighbour"), "neighbour")
-    last = F.col("last").cast("long")
-    return joined.groupBy("point").agg(
-        F.sum(value * (F.col("times") - last)).alias("others"), F.sum(F.when(F.col("last"), value)).alias("last")
-    )
+def _of_neighbours(met: DataFrame, of: DataFrame, value, k: int) -> DataFrame:
+    """``point, others, again``: the mean of ``value`` over the ``k`` neighbours of each point among
+    the others, and over those that it has with itself."""
+    joined = met.join(of.withColumnRenamed("point", "neighbour"), "neighbour")
+    return joined.groupBy("point").agg(*[(F.sum(value * F.col(n)) / k).alias(name) for n, name in (("times", "others"), ("again", "again"))])
 
 
 def _add_factor(rows: DataFrame, model: Model, name: str) -> DataFrame:
